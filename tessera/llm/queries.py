@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, sharding, warc_zip
+from tessera.llm import bpe, chat, embedding_dedup, sharding, warc_zip
 from tessera.llm.runtime import parts, shared_dir, table, written
 
 
@@ -16,6 +16,10 @@ from tessera.llm.runtime import parts, shared_dir, table, written
 SHARDS = 40
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/tessera-warc-{uuid.uuid4().hex}"
     archives = written(warc_zip.write_archives(warc_zip.marked(table(spark, sf_dir, "pages")), folder), "archives")
