@@ -19,12 +19,24 @@ ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i4"), ("flag", "<i
 GATHERED = 1_500_000
 
 
-def exchange(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[np.ndarray]], reduce: Callable[[np.ndarray], pa.Table], schema: str, per_part: int = 2) -> DataFrame:
+def exchange(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[np.ndarray]], reduce: Callable[[np.ndarray], pa.Table], schema: str, per_part: int = 2, add: bool = False) -> DataFrame:
     """Apply ``entries`` to batches, bring entries of equal keys together, apply ``reduce`` to each bucket.
 
     ``reduce`` gets the bucket's entries without repeats, sorted by (key, node).
-    The number of buckets follows spark.sql.shuffle.partitions, so a bucket's
+    With ``add`` the sizes of repeated (key, node) entries are summed, else they
+    are alike.  The number of buckets follows spark.sql.shuffle.partitions, so a bucket's
     size doesn't follow the input's."""
+    def distinct(e: np.ndarray) -> np.ndarray:
+        """Entries sorted by (key, node), without repeats."""
+        e = e[np.lexsort((e["node"], e["key"]))]
+        new = np.ones(len(e), bool)
+        new[1:] = (e["key"][1:] != e["key"][:-1]) | (e["node"][1:] != e["node"][:-1])
+        if not add or new.all():
+            return e[new]
+        out = e[new]
+        out["size"] = np.add.reduceat(e["size"], np.flatnonzero(new))
+        return out
+
     spark = rows.sparkSession
     n = parts(spark) * per_part
 
@@ -33,14 +45,11 @@ def exchange(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[np.nd
         count = 0
 
         def packed() -> pa.RecordBatch:
-            all_ = np.concatenate(held)
+            all_ = distinct(np.concatenate(held))
             held.clear()
             bucket = ((all_["key"] >> np.uint64(32)) % np.uint64(n)).astype(np.int32)
-            order = np.lexsort((all_["node"], all_["key"], bucket))
+            order = np.argsort(bucket, kind="stable")
             all_, bucket = all_[order], bucket[order]
-            new = np.ones(len(all_), bool)
-            new[1:] = (all_["key"][1:] != all_["key"][:-1]) | (all_["node"][1:] != all_["node"][:-1])
-            all_, bucket = all_[new], bucket[new]
             edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             ends = np.append(edge[1:], len(all_))
             # column by column, so that the equal bytes of ids and sizes lie together and compress
@@ -69,11 +78,7 @@ def exchange(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[np.nd
                 e[f] = np.frombuffer(raw, ENTRY[f], m, at)
                 at += m * ENTRY[f].itemsize
             out.append(e)
-        all_ = np.concatenate(out)
-        all_ = all_[np.lexsort((all_["node"], all_["key"]))]
-        new = np.ones(len(all_), bool)
-        new[1:] = (all_["key"][1:] != all_["key"][:-1]) | (all_["node"][1:] != all_["node"][:-1])
-        return reduce(all_[new])
+        return reduce(distinct(np.concatenate(out)))
 
     small_batches(spark)
     return rows.mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(receive, schema)

@@ -246,6 +246,27 @@ def _rest(percent: int):
     return run
 
 
+def linked_components(found: DataFrame, sets_of, percent: int) -> DataFrame:
+    """node and component from the rows of ``_receive``; sets_of(pairs) gives the packed sets of the pairs' nodes.
+
+    Members of long lists are first compared with a leader; what that leaves in
+    different components is then compared with all other components."""
+    open_ = found.filter("kind = 0").select("a", "b").distinct()
+    links = written(_count(open_, sets_of(open_), percent), "counted")
+    links = links.unionByName(found.filter("kind = 1").select("a", "b"))
+    long = found.filter("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("key"), "size", "flag")
+    parts_ = components(links, "a", "b")
+    with_part = written(long.join(parts_, "node", "left").withColumn("component", F.coalesce("component", "node")), "long-lists")
+    mixed = with_part.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
+    rest = with_part.join(mixed, "key", "left_semi").groupBy("key").applyInArrow(_rest(percent), "a long, b long").distinct()
+    rest = written(rest, "rest")
+    if not rest.isEmpty():
+        more = written(_count(rest, sets_of(rest), percent), "counted")
+        if not more.isEmpty():
+            parts_ = components(links.unionByName(more), "a", "b")
+    return parts_
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Link all documents whose sets of 5-word shingles have a Jaccard similarity of at least percent / 100.
 
@@ -285,19 +306,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
         packed = texts.join(hint, "doc_id", "left_semi").select("text").mapInArrow(run, "node long, s binary")
         return written(packed, "sets").dropDuplicates(["node"])
 
-    open_ = found.filter("kind = 0").select("a", "b").distinct()
-    links = written(_count(open_, sets_of(open_), percent), "counted")
-    links = links.unionByName(found.filter("kind = 1").select("a", "b"))
-    long = found.filter("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("key"), "size", "flag")
-    parts_ = components(links, "a", "b")
-    with_part = written(long.join(parts_, "node", "left").withColumn("component", F.coalesce("component", "node")), "long-lists")
-    mixed = with_part.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    rest = with_part.join(mixed, "key", "left_semi").groupBy("key").applyInArrow(_rest(percent), "a long, b long").distinct()
-    rest = written(rest, "rest")
-    if not rest.isEmpty():
-        more = written(_count(rest, sets_of(rest), percent), "counted")
-        if not more.isEmpty():
-            parts_ = components(links.unionByName(more), "a", "b")
+    parts_ = linked_components(found, sets_of, percent)
     named = nodes.join(parts_, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(smallest, "component").select("node", "component_id")
