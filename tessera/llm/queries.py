@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, embedding_dedup, jaccard_join, paragraph_dedup, sharding, toxicity, warc_zip
+from tessera.llm import bpe, chat, decontaminate, embedding_dedup, jaccard_join, paragraph_dedup, repeat_index, sharding, toxicity, warc_zip
 from tessera.llm.runtime import parts, shared_dir, table, written
 
 
@@ -57,6 +57,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), percent=80)
 
 
+def op9_repeat_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_index.without_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
 def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.repeats(table(spark, sf_dir, "documents"), percent=80)
 
