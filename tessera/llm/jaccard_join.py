@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tessera.llm.arrow_text import mix, shingle_sets
 from tessera.llm.buckets import ENTRY, exchange, groups_of
 from tessera.llm.components import components
-from tessera.llm.runtime import small_batches, written
+from tessera.llm.runtime import key_filter, may_have, small_batches, written
 
 #: A shingle in at least this share of all documents is frequent: 1 / FREQUENT sets of the mean size bound how many there are.
 FREQUENT = 1e-3
@@ -47,9 +47,18 @@ def partners(n: int, percent: int = 80) -> range:
     return range(-(-n * percent // 100), n * 100 // percent + 1)
 
 
+def common(n: int) -> int:
+    """Prefix shingles that a pair must share whose smaller set has n shingles.
+
+    A longer prefix by so many makes sharing so many necessary; one shared line or
+    passage of other texts then isn't enough to make a candidate."""
+    return 1 + n // 20
+
+
 def prefix(n: int, percent: int = 80) -> tuple[int, int]:
     """Lengths of a set's probed prefix and of its indexed prefix (as the smaller set of a pair)."""
-    return n - -(-n * percent // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+    more = common(n)
+    return min(n, n - -(-n * percent // 100) + more), min(n, n - -(-2 * percent * n // (100 + percent)) + more)
 
 
 def light_keys(n: int, bound: int, percent: int = 80) -> list[tuple[int, int, int]]:
@@ -156,8 +165,22 @@ def _admissible(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return (100 * small.astype(np.int64) >= percent * large.astype(np.int64)) & (first == INDEXED) & (~same | ((a["flag"] == INDEXED) & (b["flag"] == INDEXED)))
 
 
-def _receive(percent: int):
-    """Pairs of a bucket: proven (kind 1), to be counted (0), and members of long lists (2)."""
+def _least_common(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return 1 + np.minimum(n, m).astype(np.int64) // 20
+
+
+def _summed(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct pairs, the kind 0, how often each is given, and the least that it needs."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low))
+    low, high, least = low[order], high[order], least[order]
+    new = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))) if len(low) else np.zeros(0, np.int64)
+    return low[new], high[new], 0, np.diff(np.append(new, len(low))), least[new]
+
+
+def _receive(percent: int, counted: bool = True):
+    """Pairs of a bucket: proven (kind 1), to be counted (0; size: shared keys, flag: keys
+    that must be shared), and members of long lists (2)."""
 
     def reduce(entries: np.ndarray) -> pa.Table:
         proven, open_, long = [], [], []
@@ -174,7 +197,7 @@ def _receive(percent: int):
             elif len(g) <= SHORT_LIST:
                 i, j = np.triu_indices(len(g), 1)
                 ok = _admissible(g[i], g[j], percent)
-                open_.append((g["node"][i[ok]], g["node"][j[ok]]))
+                open_.append((g["node"][i[ok]], g["node"][j[ok]], _least_common(g["size"][i[ok]], g["size"][j[ok]])))
             else:
                 g = g[np.lexsort((mix(g["node"].view(np.uint64)), g["size"]))]
                 lead = 0
@@ -184,18 +207,18 @@ def _receive(percent: int):
                         lead = k
                     heads[k] = lead
                 ok = heads != np.arange(len(g))
-                open_.append((g["node"][heads[ok]], g["node"][ok]))
+                open_.append((g["node"][heads[ok]], g["node"][ok], _least_common(g["size"][heads[ok]], g["size"][ok])))
                 long.append(g)
         cols: list[list] = [[], [], [], [], []]
 
-        def put(a, b, kind, size=0, flag=0):
+        def put(a, b, kind, size=0, flag=1):
+            if kind == 0 and not counted:
+                flag = 1
             for c, v in zip(cols, (a, b, np.full(len(a), kind), np.broadcast_to(size, len(a)), np.broadcast_to(flag, len(a)))):
                 c.append(np.asarray(v, np.int64))
 
         if open_:
-            a, b = (np.concatenate(x) for x in zip(*open_))
-            pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            put(pairs[:, 0], pairs[:, 1], 0)
+            put(*_summed(*(np.concatenate(x) for x in zip(*open_))))
         for a, b, _ in proven:
             put(a, b, 1)
         for g in long:
@@ -221,45 +244,48 @@ def _count(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     left, right = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    return pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _rest(percent: int):
+def _rest(percent: int, counted: bool):
     """Pairs of a long list whose members are still in different components."""
 
     def run(table: pa.Table) -> pa.Table:
         g = np.empty(table.num_rows, ENTRY)
         g["node"], g["size"], g["flag"] = (table[c].to_numpy() for c in ("node", "size", "flag"))
-        comp = table["component"].to_numpy()
-        values, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
+        values, inverse, counts = np.unique(table["component"].to_numpy(), return_inverse=True, return_counts=True)
         main = counts.argmax()
         out = []
         for k in np.flatnonzero(inverse != main).tolist():
             other = np.flatnonzero((inverse != inverse[k]) & ((inverse == main) | (np.arange(len(g)) > k)))
             mine = np.repeat(g[k : k + 1], len(other))
             ok = _admissible(mine, g[other], percent)
-            n = g["node"][other[ok]]
-            out.append(np.stack((np.minimum(n, g["node"][k]), np.maximum(n, g["node"][k])), 1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+            out.append((g["node"][other[ok]], mine["node"][ok], _least_common(g["size"][other[ok]], mine["size"][ok])))
+        a, b, _, n, least = _summed(*(np.concatenate(x) for x in zip(*out))) if out else (np.zeros(0, np.int64),) * 5
+        return pa.table({"a": a, "b": b, "size": n, "flag": least if counted else np.ones(len(a), np.int64)})
 
     return run
 
 
-def linked_components(found: DataFrame, sets_of, percent: int) -> DataFrame:
+def linked_components(found: DataFrame, sets_of, percent: int, counted: bool = True) -> DataFrame:
     """node and component from the rows of ``_receive``; sets_of(pairs) gives the packed sets of the pairs' nodes.
 
     Members of long lists are first compared with a leader; what that leaves in
     different components is then compared with all other components."""
-    open_ = found.filter("kind = 0").select("a", "b").distinct()
+    enough = lambda df: df.groupBy("a", "b").agg(F.sum("size").alias("n"), F.max("flag").alias("least"))
+    short = found.filter("kind = 0").select("a", "b", "size", "flag")
+    open_ = written(enough(short).filter("n >= least").select("a", "b"), "pairs")
     links = written(_count(open_, sets_of(open_), percent), "counted")
     links = links.unionByName(found.filter("kind = 1").select("a", "b"))
     long = found.filter("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("key"), "size", "flag")
     parts_ = components(links, "a", "b")
     with_part = written(long.join(parts_, "node", "left").withColumn("component", F.coalesce("component", "node")), "long-lists")
     mixed = with_part.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    rest = with_part.join(mixed, "key", "left_semi").groupBy("key").applyInArrow(_rest(percent), "a long, b long").distinct()
-    rest = written(rest, "rest")
+    rest = with_part.join(mixed, "key", "left_semi").groupBy("key").applyInArrow(_rest(percent, counted), "a long, b long, size long, flag long")
+    rest = enough(rest)
+    # a pair may share keys of short lists besides; pairs that were compared need no second look
+    rest = rest.join(enough(short).select("a", "b", F.col("n").alias("more")), ["a", "b"], "left")
+    rest = written(rest.filter(F.col("n") + F.coalesce("more", F.lit(0)) >= F.col("least")).select("a", "b").join(open_, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = written(_count(rest, sets_of(rest), percent), "counted")
         if not more.isEmpty():
@@ -294,17 +320,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     nodes = linking.groupBy("node").agg(F.min("doc_id").alias("first_id"))
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select(F.col("first_id").alias("doc_id"))
+        asked = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select(F.col("first_id").alias("doc_id")), "asked")
+        wanted = key_filter(asked)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                packed = [s.tobytes() for s in shingle_sets(batch.column(0))]
+                batch = batch.filter(pa.array(may_have(wanted.value, batch.column(0).to_numpy())))
+                packed = [s.tobytes() for s in shingle_sets(batch.column(1))]
                 node = np.array([xxhash.xxh3_64_intdigest(p) for p in packed], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(packed, pa.binary())], names=["node", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array(packed, pa.binary())], names=["doc_id", "node", "s"])
 
-        hint = asked.distinct().hint("shuffle_hash")
-        packed = texts.join(hint, "doc_id", "left_semi").select("text").mapInArrow(run, "node long, s binary")
-        return written(packed, "sets").dropDuplicates(["node"])
+        packed = texts.filter("doc_id is not null").mapInArrow(run, "doc_id long, node long, s binary")
+        return written(packed.join(asked.hint("shuffle_hash"), "doc_id", "left_semi").select("node", "s"), "sets")
 
     parts_ = linked_components(found, sets_of, percent)
     named = nodes.join(parts_, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from tessera.llm.arrow_text import combine, flat, mix, ranges, word_hashes, words
 from tessera.llm.buckets import ENTRY, exchange
 from tessera.llm.jaccard_join import INDEXED, _receive, linked_components
-from tessera.llm.runtime import small_batches, written
+from tessera.llm.runtime import key_filter, may_have, small_batches, written
 
 #: Words from which on a line is a paragraph, and from which on it is also cut into pieces.
 PARAGRAPH_WORDS, LONG_WORDS = 20, 40
@@ -153,11 +153,16 @@ def repeats(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     places = written(_places(texts), "places")
     nodes = written(places.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "first_word", "last_word")).alias("home")), "nodes")
-    found = written(exchange(texts.select("text"), _band_entries, _receive(percent), "a long, b long, kind long, size long, flag long"), "collisions")
+    found = written(exchange(texts.select("text"), _band_entries, _receive(percent, counted=False), "a long, b long, kind long, size long, flag long"), "collisions")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node")
-        asked = asked.groupBy(F.col("home.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("node", "home.first_word", "home.last_word")).alias("asked"))
+        asked = written(asked.groupBy(F.col("home.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("node", "home.first_word", "home.last_word")).alias("asked")), "asked")
+        wanted = key_filter(asked.select("doc_id"))
+
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(may_have(wanted.value, batch.column(0).to_numpy())))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -171,10 +176,10 @@ def repeats(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col
                         packed.append(t.shingles((w["first_word"], w["last_word"])).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(packed, pa.binary())], names=["node", "s"])
 
-        met = texts.join(asked.hint("shuffle_hash"), "doc_id").select("text", "asked")
-        return written(met.mapInArrow(run, "node long, s binary"), "sets").dropDuplicates(["node"])
+        met = texts.mapInArrow(some, texts.schema).join(asked.hint("shuffle_hash"), "doc_id").select("text", "asked")
+        return written(met.mapInArrow(run, "node long, s binary"), "sets")
 
-    parts = linked_components(found, sets_of, percent)
+    parts = linked_components(found, sets_of, percent, counted=False)
     again = nodes.join(parts, "node", "left").filter((F.col("n") > 1) | F.col("component").isNotNull()).withColumn("cluster", F.coalesce("component", "node"))
     again = written(again.select("node", "cluster", "home"), "repeated")
     homes = again.groupBy("cluster").agg(F.min("home").alias("home"))
@@ -190,8 +195,9 @@ def repeats(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col
 
 def without(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the spans cut out of their texts; nothing else changes."""
-    cuts = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("first_byte", "last_byte"))).alias("_cuts"))
-    joined = docs.join(cuts.hint("shuffle_hash"), F.col(id_col) == F.col("_id"), "left").drop("_id")
+    key, held = (next(n for n in (f"{stem}_{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for stem in ("span_key", "span_cuts"))
+    cuts = spans.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("first_byte", "last_byte"))).alias(held))
+    joined = docs.join(cuts.hint("shuffle_hash"), F.col(id_col) == F.col(key), "left").drop(key)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.arrow_text import flat, mix, powers, ranges, substring_hashes, _VALUE
 from tessera.llm.buckets import ENTRY, exchange
-from tessera.llm.runtime import small_batches, written
+from tessera.llm.runtime import key_filter, may_have, small_batches, written
 
 LENGTH, GRAM = 200, 64
 #: Candidate anchors of a string.
@@ -239,8 +239,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     single = met.filter(F.col("kind") == SINGLE).select("anchor", "segments", "row", "first", "last", F.lit(True).alias("asked"))
     others = met.filter((F.col("kind") == COPIED) & (F.col("segments") > 1)).groupBy("anchor", "seg").agg(F.min(F.struct("row", "first", "last")).alias("x"), F.max("segments").alias("segments"))
     others = others.join(open_, "anchor", "left_semi").select("anchor", "segments", "x.row", "x.first", "x.last", F.lit(False).alias("asked"))
-    wanted = written(single.unionByName(others), "segments")
-    by_row = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "segments", "first", "last", "asked")).alias("w"))
+    wanted = single.unionByName(others)
+    by_row = written(wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "segments", "first", "last", "asked")).alias("w")), "by-row")
+    kept = key_filter(by_row.select("row"))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_have(kept.value, batch.column(0).to_numpy())))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,7 +258,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             blobs = [raw[offsets[o] + a : offsets[o] + b + length].tobytes() for o, a, b in zip(owner.tolist(), first.tolist(), last.tolist())]
             yield pa.RecordBatch.from_arrays([got["anchor"], got["segments"], row.take(pa.array(owner)), got["first"], got["asked"], pa.array(blobs, pa.binary())], names=["anchor", "segments", "row", "first", "asked", "segment"])
 
-    segments = docs.select("row", "text").join(by_row.hint("shuffle_hash"), "row").select("row", "text", "w")
+    texts = docs.select("row", "text")
+    segments = texts.mapInArrow(some, texts.schema).join(by_row.hint("shuffle_hash"), "row").select("row", "text", "w")
     segments = written(segments.mapInArrow(fetch, "anchor long, segments long, row long, first long, asked boolean, segment binary"), "segment-texts")
     total = segments.agg(F.sum(F.length("segment"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))

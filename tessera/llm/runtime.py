@@ -45,3 +45,44 @@ def parts(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bits of the filters that keep rows without a partner from being shuffled; more keys only make a filter weaker.
+FILTER_BITS = 1 << 25
+
+
+def _probes(keys):
+    import numpy as np
+
+    from tessera.llm.arrow_text import mix
+
+    h = mix(keys.view(np.uint64))
+    return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64), (h >> np.uint64(39)).astype(np.int64)
+
+
+def key_filter(keys: DataFrame):
+    """A broadcast bitmap of fixed size of the keys (one long column): absent keys mostly fail ``may_have``, present ones never."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            for p in _probes(batch.column(0).to_numpy()):
+                bits[p] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    whole = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in keys.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
+        whole |= np.frombuffer(r[0], np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(whole)
+
+
+def may_have(bitmap, keys):
+    """Whether each key may be among those of the filter."""
+    import numpy as np
+
+    out = np.ones(len(keys), bool)
+    for p in _probes(np.ascontiguousarray(keys)):
+        out &= (bitmap[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
+    return out

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.arrow_text import flat, ranges, runs
 from tessera.llm.runtime import small_batches
@@ -347,27 +348,33 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return lex
 
 
-def score(docs: DataFrame, lex: Lexicon, doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted and n_hits of every whole text; ``keep`` keeps the table's columns instead of the id.
+def score(docs: DataFrame, lex: Lexicon, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, held_out, score, predicted and n_hits of every whole text.
 
     Null and empty texts have no hits and get the score of that; a null id is
-    not held out; repeated rows are scored each; an empty table gives no rows."""
+    not held out; repeated rows are scored each; other columns are ignored; an
+    empty table gives no rows."""
     small_batches(docs.sparkSession)
-    lex_now = lex
-    own = docs.columns if keep else [doc_id]
-    body = docs.select(*own, F.col(text).alias("_text"))
+    schema = T.StructType([docs.schema[doc_id], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("n_hits", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f, hits = _scorer(lex_now).features(batch.column(batch.num_columns - 1))
-            s = score_of(f, lex_now.coefficients)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(hits)], names=[*own, "score", "predicted", "n_hits"])
+            f, hits = _scorer(lex).features(batch.column(1))
+            s = score_of(f, lex.coefficients)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(hits)], names=schema.names)
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType([docs.schema[c] for c in own] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("n_hits", T.LongType())])
-    out = body.mapInArrow(run, schema)
-    if keep:
-        return out
     held = F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
-    return out.select(doc_id, held.alias("held_out"), "score", "predicted", "n_hits")
+    return docs.select(doc_id, text).mapInArrow(run, schema).select(doc_id, held.alias("held_out"), "score", "predicted", "n_hits")
+
+
+def not_toxic(docs: DataFrame, lex: Lexicon, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose texts score below the threshold."""
+    small_batches(docs.sparkSession)
+    spot = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f, _ = _scorer(lex).features(batch.column(spot))
+            yield batch.filter(pa.array(score_of(f, lex.coefficients) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
