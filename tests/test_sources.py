@@ -1,0 +1,57 @@
+"""Readers of landed responses on small files."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.sources import records as S
+
+XML = """<?xml version="1.0"?><PubmedArticleSet>
+<PubmedArticle><MedlineCitation><PMID>11</PMID><Article><ArticleTitle>One</ArticleTitle><Journal><Title>J</Title><JournalIssue><PubDate><MedlineDate>2001 Jan-Feb</MedlineDate></PubDate></JournalIssue></Journal>
+<Abstract><AbstractText Label="AIM">To see.</AbstractText><AbstractText Label="END">Seen.</AbstractText></Abstract><PublicationTypeList><PublicationType>Comment</PublicationType><PublicationType>Randomized Controlled Trial</PublicationType></PublicationTypeList></Article></MedlineCitation>
+<PubmedData><ArticleIdList><ArticleId IdType="pubmed">11</ArticleId><ArticleId IdType="doi">10.1/x</ArticleId></ArticleIdList></PubmedData></PubmedArticle>
+<PubmedArticle><MedlineCitation><PMID>12</PMID><Article><ArticleTitle>No abstract</ArticleTitle></Article></MedlineCitation></PubmedArticle></PubmedArticleSet>"""
+
+
+def test_articles(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(XML)
+    rows = S.articles(spark, str(tmp_path / "a.xml")).collect()
+    assert len(rows) == 1
+    r = rows[0]
+    assert (r.external_id, r.title, r.journal, r.year, r.doi, r.design) == ("11", "One", "J", 2001, "10.1/x", "rct")
+    assert [tuple(p) for p in r.passages] == [("AIM", "To see."), ("END", "Seen.")]
+
+
+def test_json_responses(spark, tmp_path):
+    (tmp_path / "s.json").write_text(json.dumps({"esearchresult": {"idlist": ["3", "4", "3"]}}))
+    assert sorted(r[0] for r in S.search_ids(spark, str(tmp_path / "s.json")).collect()) == ["3", "4"]
+    (tmp_path / "f.json").write_text(json.dumps({"a": [{"b": {"c": "deep"}}], "n": 5}))
+    assert tuple(S.fetched(spark, str(tmp_path / "f.json"), {"x": "a.0.b.c", "y": "n", "z": "a.1.b"}).first()) == ("deep", "5", None)
+
+
+def test_web_results(spark, tmp_path):
+    hits = [{"title": "t", "url": "", "description": "d"}, {"title": "u", "url": "http://x", "description": "d", "extra_snippets": ["e", "f"]}, {"title": "v", "url": "http://y", "description": "g"}]
+    (tmp_path / "w.json").write_text(json.dumps({"web": {"results": hits}}))
+    assert [(r.position, r.url, r.text) for r in S.web_results(spark, str(tmp_path / "w.json"), 1).collect()] == [(1, "http://x", "d e f")]
+
+
+@pytest.mark.parametrize("status,rules,allow,rate", [(404, "", True, None), (500, "", False, None), (200, "User-agent: *\nDisallow: /\n", False, None), (200, "Crawl-delay: 2\nDisallow: /x", True, 0.5), (200, "Crawl-delay: z", True, None)])
+def test_robots(spark, status, rules, allow, rate):
+    r = spark.range(1).select(S.robots_policy(F.lit(status), F.lit(rules)).alias("p")).first()[0]
+    assert (r.allow, r.rate_per_s) == (allow, rate)
+
+
+def test_profile(spark, tmp_path):
+    root = tmp_path / "demo"
+    root.mkdir()
+    levels = "\n".join(f"[directness.{x}]\nprose='p'" for x in ("direct", "partial", "indirect", "extrapolated"))
+    (root / "focus.toml").write_text(f"slug='demo'\ntarget='t'\n[[standing_risks]]\nname='r'\npattern='harm'\nprose='may harm'\nmust_not_match=['help']\n{levels}")
+    (root / "strategies.toml").write_text("[[strategies]]\nname='s'\nqueries=['a','b']\n")
+    assert [r.query for r in S.search_specs(spark, S.load_profile(str(root))).orderBy("query").collect()] == ["a", "b"]
+    (root / "focus.toml").write_text("slug='other'\ntarget=' '")
+    with pytest.raises(ValueError, match="slug.*blank.*four"):
+        S.load_profile(str(root))
+    (tmp_path / "g.toml").write_text("[[cases]]\nid='a'\nodd=1\n")
+    with pytest.raises(ValueError, match="odd"):
+        S.load_cases(str(tmp_path / "g.toml"))
