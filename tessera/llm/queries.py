@@ -69,5 +69,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
+#: Components by links (a, b in both directions) among ids.
+_REACH = "reach(a, b) AS (SELECT id, id FROM ids UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)"
+
+OP2 = f"""WITH RECURSIVE v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding)>0
+    AND NOT list_bool_or(list_transform(embedding, lambda x: coalesce(NOT isfinite(x), TRUE))) AND list_bool_or(list_transform(embedding, lambda x: x<>0))),
+  links AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.label=y.label AND len(x.e)=len(y.e) AND x.id<>y.id AND list_cosine_similarity(x.e, y.e)>=0.98),
+  ids AS (SELECT vec_id AS id FROM embeddings), {_REACH}, c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1), n AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+  SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id=component_id AS kept FROM embeddings JOIN c USING (vec_id) LEFT JOIN n ON n.a=vec_id"""
+
+OP3 = """WITH p AS (SELECT page_id, strlen(coalesce(html,'')) AS payload_bytes, sha256(coalesce(html,'')) AS payload_digest FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+  SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes>=100 AND page_id<>first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes>=100 AND page_id<>first THEN first END AS refers_to FROM f"""
+
+OP4 = """WITH t AS (SELECT conv_id, turn, coalesce(role,'') AS role, coalesce(text,'') AS text FROM (SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok')),
+  e AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n, sum(16 + 2*length(role)-length(regexp_replace(role,'[\\\\<#:]','','g')) + 2*length(text)-length(regexp_replace(text,'[\\\\<#]','','g')) - 1) OVER w AS chars
+    FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+  SELECT conv_id, max(n) AS n_turns, sha256(string_agg(role||chr(10)||text||chr(10), '' ORDER BY i)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role='assistant'),0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role='assistant'),'')) AS loss_sha256, CAST(sum(chars) FILTER (role='assistant' OR i=n) AS BIGINT) AS formatted_chars, count(*) FILTER (role='assistant' OR i=n) AS n_examples FROM e GROUP BY 1"""
+
+OP8 = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x<>'') AS w FROM documents),
+  s AS (SELECT doc_id, CASE WHEN len(w)>=5 THEN list_distinct(list_transform(range(1, len(w)-3), lambda i: array_to_string(w[i:i+4], ' '))) WHEN len(w)>0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+  u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s), one AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x=b.x AND a.doc_id<b.doc_id GROUP BY 1, 2, a.n, b.n HAVING 100*count(*)>=80*(a.n+b.n-count(*))),
+  links AS (SELECT a, b FROM one UNION ALL SELECT b, a FROM one), ids AS (SELECT doc_id AS id FROM documents WHERE doc_id IS NOT NULL), {_REACH}
+  SELECT s.doc_id, len(s) AS n_shingles, c.m AS component_id FROM s JOIN (SELECT a, min(b) AS m FROM reach GROUP BY 1) c ON c.a=s.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_embedding_dedup": OP2, "op3_warc": OP3, "op4_chat": OP4, "op8_jaccard_join": OP8}
