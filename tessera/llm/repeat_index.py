@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.arrow_text import flat, mix, powers, ranges, substring_hashes, _VALUE
 from tessera.llm.buckets import ENTRY, exchange
-from tessera.llm.runtime import key_filter, may_have, small_batches, written
+from tessera.llm.runtime import key_filter, may_have, small_batches, trim, trimmed, written
 
 LENGTH, GRAM = 200, 64
 #: Candidate anchors of a string.
@@ -33,7 +33,7 @@ PLACE_BITS = np.uint64(24)
 #: Longer texts are hashed in slices of so many bytes (that overlap by LENGTH - 1).
 SLICE = 8 << 20
 #: Bytes of the segments that one index is built over.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 #: Segments of one anchor from which on its strings are counted by fingerprint instead.
 HOT_SEGMENTS = 4_000
 SINGLE, COPIED = 1, 2
@@ -192,6 +192,8 @@ def _index_block(length: int):
                     row.append(rows[i])
                     first.append(at[i] + s)
                     last.append(at[i] + e - 1 + length)
+        del index, ms
+        trim()
         return pa.table({"row": pa.array(row, pa.int64()), "first": pa.array(first, pa.int64()), "last": pa.array(last, pa.int64())})
 
     return run
@@ -213,7 +215,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 if len(text):
                     yield pa.RecordBatch.from_arrays([pa.array(key[text + a]), pa.array(first + shift), pa.array(last + shift), pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64))], names=["row", "first", "last", "anchor", "seg"])
 
-    placed = written(docs.select("row", "text").mapInArrow(places, schema), "anchors")
+    placed = written(docs.select("row", "text").mapInArrow(trimmed(places), schema), "anchors")
 
     def entries(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         e = np.empty(batch.num_rows, ENTRY)
@@ -259,8 +261,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([got["anchor"], got["segments"], row.take(pa.array(owner)), got["first"], got["asked"], pa.array(blobs, pa.binary())], names=["anchor", "segments", "row", "first", "asked", "segment"])
 
     texts = docs.select("row", "text")
-    segments = texts.mapInArrow(some, texts.schema).join(by_row.hint("shuffle_hash"), "row").select("row", "text", "w")
-    segments = written(segments.mapInArrow(fetch, "anchor long, segments long, row long, first long, asked boolean, segment binary"), "segment-texts")
+    segments = texts.mapInArrow(trimmed(some), texts.schema).join(by_row.hint("shuffle_hash"), "row").select("row", "text", "w")
+    segments = written(segments.mapInArrow(trimmed(fetch), "anchor long, segments long, row long, first long, asked boolean, segment binary"), "segment-texts")
     total = segments.agg(F.sum(F.length("segment"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     cool = segments.filter(F.col("segments") <= HOT_SEGMENTS).dropDuplicates(["row", "first", "anchor"])
@@ -327,4 +329,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays(cols[: len(fields)], names=[f.name for f in fields])
 
     joined = base.join(spans.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, T.StructType(fields))
+    return joined.mapInArrow(trimmed(run), T.StructType(fields))

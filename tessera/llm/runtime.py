@@ -11,6 +11,33 @@ from pyspark.sql import DataFrame, SparkSession
 ARROW_ROWS = 1000
 
 
+def trim() -> None:
+    """Give memory that a Python worker no longer uses back to the system; workers live on between tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(f):
+    """A batch function that trims its worker's memory when its task is done."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, ``spark.checkpoint.dir``.
 
