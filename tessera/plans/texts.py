@@ -10,6 +10,8 @@ from tessera.operators import text as X
 from tessera.plans.registry import query
 from tessera.sources.evidence import Evidence
 
+#: Bytes of quotations that are broadcast.
+QUOTE_BYTES = 4 << 20
 KEY = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
 
 
@@ -35,19 +37,21 @@ def chunk_pack(ev: Evidence) -> DataFrame:
 
 @query("quote_anchor", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON trim(b.text)<>'' AND (contains(d.text, b.text) OR contains(" + KEY.format("d.text") + ", " + KEY.format("b.text") + "))")
 def quote_anchor(ev: Evidence) -> DataFrame:
-    """Documents that hold a benchmark text: candidates share its rarest form of six words, then it must stand there."""
-    words = lambda c: F.split(c, " ")
+    """Documents that hold a benchmark text. A small set of texts is compared with every document; for a
+    large one candidates share six words with the text first."""
     b = ev.read("benchmark").select("item_id", text_key(F.col("text")).alias("q")).filter("q <> ''")
-    width = 6
-    grams = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - width + 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(width)), " ")))
-    # a middle stretch of a longer text is whole words wherever the text stands
-    probe = b.withColumn("w", words(F.col("q"))).withColumn("long", F.size("w") >= width + 2)
-    probe = probe.withColumn("gram", F.when(F.col("long"), F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.lit(width)), " "))))
     d = ev.read("documents").select("doc_id", text_key(F.col("text")).alias("t"))
-    asked = F.broadcast(probe.filter("long").select("item_id", "q", "gram"))
-    wide = d.withColumn("gram", F.explode(F.array_distinct(grams(words(F.col("t")))))).join(asked, "gram").filter(F.contains("t", "q")).select("item_id", "doc_id")
-    short = d.join(F.broadcast(probe.filter("not long").select("item_id", "q")), F.contains("t", "q")).select("item_id", "doc_id")
-    return wide.unionByName(short).distinct()
+    if (b.agg(F.sum(F.octet_length("q"))).first()[0] or 0) <= QUOTE_BYTES:
+        return d.join(F.broadcast(b), F.contains("t", "q")).select("item_id", "doc_id").distinct()
+    words, width = F.split("q", " "), 6
+    gram = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(width)), " "))
+    # from the second word on a longer text is whole words wherever it stands
+    probe = b.withColumn("gram", F.when(F.size(words) >= width + 2, gram(words, F.lit(2))))
+    said = F.split("t", " ")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(said) - width + 1)), lambda i: gram(said, i))
+    wide = d.withColumn("gram", F.explode(F.array_distinct(grams))).join(probe.filter("gram is not null"), "gram").filter(F.contains("t", "q"))
+    short = d.join(probe.filter("gram is null"), F.contains("t", "q"))
+    return wide.select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id")).distinct()
 
 
 @query("pmid_extract")
