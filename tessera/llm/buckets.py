@@ -12,14 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.runtime import parts, small_batches
+from tessera.llm.runtime import parts, small_batches, trim, trimmed
 
 ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i4"), ("flag", "<i4")])
 #: Entries that a task gathers before it sends them.
-GATHERED = 1_500_000
+GATHERED = 700_000
 
 
-def exchange(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[np.ndarray]], reduce: Callable[[np.ndarray], pa.Table], schema: str, per_part: int = 2, add: bool = False) -> DataFrame:
+def exchange(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[np.ndarray]], reduce: Callable[[np.ndarray], pa.Table], schema: str, per_part: int = 4, add: bool = False) -> DataFrame:
     """Apply ``entries`` to batches, bring entries of equal keys together, apply ``reduce`` to each bucket.
 
     ``reduce`` gets the bucket's entries without repeats, sorted by (key, node).
@@ -78,10 +78,13 @@ def exchange(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[np.nd
                 e[f] = np.frombuffer(raw, ENTRY[f], m, at)
                 at += m * ENTRY[f].itemsize
             out.append(e)
-        return reduce(distinct(np.concatenate(out)))
+        done = reduce(distinct(np.concatenate(out)))
+        del out
+        trim()
+        return done
 
     small_batches(spark)
-    return rows.mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(receive, schema)
+    return rows.mapInArrow(trimmed(send), "bucket int, blob binary").groupBy("bucket").applyInArrow(receive, schema)
 
 
 def groups_of(entries: np.ndarray, least: int = 2) -> Iterator[np.ndarray]:

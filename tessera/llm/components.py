@@ -2,10 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.runtime import written
+from tessera.llm.runtime import trimmed, written
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a partition as stars: each node with the smallest that it reaches by them."""
+    held = list(batches)
+    u = np.concatenate([b.column(0).to_numpy() for b in held]) if held else np.zeros(0, np.int64)
+    v = np.concatenate([b.column(1).to_numpy() for b in held]) if held else np.zeros(0, np.int64)
+    names, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    parent = list(range(len(names)))
+    for a, b in zip(at[: len(u)].tolist(), at[len(u) :].tolist()):
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        while parent[b] != b:
+            parent[b] = parent[parent[b]]
+            b = parent[b]
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    root = np.array(parent, np.int64)
+    while len(root) and (root[root] != root).any():
+        root = root[root]
+    child = np.flatnonzero(root != np.arange(len(root)))
+    yield pa.RecordBatch.from_arrays([pa.array(names[child]), pa.array(names[root[child]])], names=["u", "v"])
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,16 +54,20 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """node and component (its smallest node) of every node that has a link.
 
     ``edges`` has one row per link in either direction; self links and repeats
-    change nothing.  Every round is written to the shared folder; a node with
+    change nothing.  Each partition first makes stars of its own links.  Every round is written to the shared folder; a node with
     very many links is summed up before its links are joined, and the join of a
     very large node can be split because it needs no grouping behind it."""
     e = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).filter("u <> v")
-    e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    state = None
-    while True:
-        e = written(_star(_star(e, True), False), "links")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == state:
+    e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    e = written(e.mapInArrow(trimmed(_forest), "u long, v long"), "links")
+
+    def state() -> tuple:
+        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+
+    now = state()
+    while now[0]:
+        before, e = now, written(_star(_star(e, True), False), "links")
+        now = state()
+        if now == before:
             break
-        state = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
