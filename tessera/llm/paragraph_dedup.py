@@ -3,10 +3,11 @@
 Every line of PARAGRAPH_WORDS words or more is a paragraph: its MinHash bands are
 exchanged, colliding paragraphs are joined, and pairs count if the exact Jaccard
 similarity of their 5-word shingles is 0.8 or more.  So that a passage set inside
-a longer paragraph is found too, lines of LONG_WORDS words or more are also cut
-into pieces at positions that their words alone decide (local minima of a rolling
-hash), and equal pieces are repeats.  Clusters are connected components; all but
-the first place of a cluster are removed.
+a longer paragraph is found too, lines of LONG_WORDS words or more also have
+windows of WINDOW_WORDS words, beginning where the words alone decide (least hash
+of each WINNOW neighbours), and equal windows are repeats; any passage of
+WINDOW_WORDS + WINNOW + 1 words has one.  Clusters are connected components; all
+but the first place of a cluster are removed.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from pyspark.sql.window import Window
 from tessera.llm.arrow_text import combine, flat, mix, ranges, word_hashes, words
 from tessera.llm.buckets import ENTRY, exchange
 from tessera.llm.jaccard_join import INDEXED, _receive, linked_components
-from tessera.llm.runtime import key_filter, may_have, small_batches, written
+from tessera.llm.runtime import key_filter, may_have, small_batches, trimmed, written
 
-#: Words from which on a line is a paragraph, and from which on it is also cut into pieces.
-PARAGRAPH_WORDS, LONG_WORDS = 20, 40
-#: A piece ends where the hash is least among so many words to either side.
-RADIUS = 12
+#: Words from which on a line is a paragraph, and from which on it also has windows.
+PARAGRAPH_WORDS, LONG_WORDS = 20, 42
+#: Words of a window; of so many neighbouring word triples the one of least hash begins a window.
+WINDOW_WORDS, WINNOW = 20, 20
 #: Adjoining removals of fewer words together are not made.
 LEAST_REMOVED = 20
 #: 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9992: the recall of pairs at a similarity of just 0.8.
@@ -40,16 +41,6 @@ _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.int64).astype(np.uint64)
 PLACE = T.StructType([T.StructField(n, T.LongType()) for n in ("node", "doc_id", "first_word", "last_word", "first_byte", "last_byte")])
 
 
-def _least(h: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each ``width`` consecutive values."""
-    out, have = h, 1
-    while have < width:
-        step = min(have, width - have)
-        out = np.minimum(out[: len(out) - step], out[step:])
-        have += step
-    return out
-
-
 class Lines:
     """Paragraphs and pieces of the texts raw[offsets[i]:offsets[i+1]]."""
 
@@ -63,21 +54,31 @@ class Lines:
         a, b = self.line[:-1], self.line[1:]
         self.para = np.stack((a, b), 1)[b - a >= PARAGRAPH_WORDS]
 
-    def pieces(self) -> np.ndarray:
-        """Bounds (in words) of the pieces of long lines."""
+    def windows(self) -> np.ndarray:
+        """Bounds (in words) of the windows of long lines."""
         long = self.para[self.para[:, 1] - self.para[:, 0] >= LONG_WORDS]
         if not len(long):
             return np.zeros((0, 2), np.int64)
         g = combine(self.h, 3)
-        low = _least(g, 2 * RADIUS + 1)
-        cut = np.flatnonzero(g[RADIUS : RADIUS + len(low)] == low) + RADIUS
-        line = np.searchsorted(long[:, 0], cut, "right") - 1
-        ok = (line >= 0) & (cut > long[line, 0]) & (cut < long[line, 1])
-        starts = np.unique(np.concatenate((long[:, 0], cut[ok])))
-        line = np.searchsorted(long[:, 0], starts, "right") - 1
-        ends = np.minimum(np.append(starts[1:], len(self.h)), long[line, 1])
-        out = np.stack((starts, ends), 1)
-        return out[ends - starts >= 5]
+        low = (g & ~np.uint64((1 << 24) - 1)) | np.arange(len(g), dtype=np.uint64)
+        have = 1
+        while have < WINNOW:
+            step = min(have, WINNOW - have)
+            low = np.minimum(low[: len(low) - step], low[step:])
+            have += step
+        at = np.arange(len(low))
+        line = np.searchsorted(long[:, 0], at, "right") - 1
+        inside = (line >= 0) & (at + WINNOW + 2 <= long[line, 1])
+        start = (low[inside] & np.uint64((1 << 24) - 1)).astype(np.int64)
+        line = line[inside]
+        new = np.append(True, start[1:] != start[:-1]) if len(start) else np.zeros(0, bool)
+        start, line = start[new], line[new]
+        start = start[start + WINDOW_WORDS <= long[line, 1]]
+        return np.stack((start, start + WINDOW_WORDS), 1)
+
+    def spans(self) -> np.ndarray:
+        """Bounds of all paragraphs and windows."""
+        return np.concatenate((self.para, self.windows()))
 
     def sums(self, spans: np.ndarray) -> np.ndarray:
         """A hash of the word sequence of each span."""
@@ -107,8 +108,22 @@ class Lines:
         return np.unique(combine(self.h[span[0] : span[1]], 5))
 
 
-def _places(docs: DataFrame) -> DataFrame:
-    """Where each paragraph and piece is: node (hash of its words), doc_id, words and bytes within the text."""
+def _count_entries(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    raw, offsets = flat(batch.column(0))
+    for a, b in ranges(offsets):
+        t = Lines(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        key, n = np.unique(t.sums(t.spans()), return_counts=True)
+        e = np.zeros(len(key), ENTRY)
+        e["key"], e["size"] = key, n
+        yield e
+
+
+def _repeated(e: np.ndarray) -> pa.Table:
+    return pa.table({"node": e["key"][e["size"] > 1].view(np.int64)})
+
+
+def _places(docs: DataFrame, wanted) -> DataFrame:
+    """Where each paragraph and window is whose hash may be in ``wanted``: node (hash of its words), doc_id, words and bytes within the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,14 +131,18 @@ def _places(docs: DataFrame) -> DataFrame:
             ids = batch.column(0).to_numpy()
             for a, b in ranges(offsets):
                 t = Lines(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                spans = np.concatenate((t.para, t.pieces()))
-                whole = np.unique(spans, axis=0) if len(spans) else spans  # a long line may be one piece
-                doc = np.searchsorted(t.first, whole[:, 0], "right") - 1
+                spans = t.spans()
+                node = t.sums(spans).view(np.int64)
+                ok = may_have(wanted.value, node)
+                spans, node = spans[ok], node[ok]
+                if not len(node):
+                    continue
+                doc = np.searchsorted(t.first, spans[:, 0], "right") - 1
                 base, byte = t.first[doc], t.offsets[doc]
-                cols = [t.sums(whole).view(np.int64), ids[doc + a], whole[:, 0] - base, whole[:, 1] - base, t.start[whole[:, 0]] - byte, t.end[whole[:, 1] - 1] - byte]
+                cols = [node, ids[doc + a], spans[:, 0] - base, spans[:, 1] - base, t.start[spans[:, 0]] - byte, t.end[spans[:, 1] - 1] - byte]
                 yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in cols], names=PLACE.names)
 
-    return docs.mapInArrow(run, PLACE)
+    return docs.mapInArrow(trimmed(run), PLACE)
 
 
 def _band_entries(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -151,9 +170,12 @@ def repeats(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col
     """
     small_batches(docs.sparkSession)
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    places = written(_places(texts), "places")
+    body = texts.select("text")
+    repeated = written(exchange(body, _count_entries, _repeated, "node long", add=True), "repeated")
+    found = written(exchange(body, _band_entries, _receive(percent, counted=False), "a long, b long, kind long, size long, flag long"), "collisions")
+    colliding = found.select(F.col("a").alias("node")).union(found.filter("kind < 2").select("b"))
+    places = written(_places(texts, key_filter(repeated.union(colliding))), "places")
     nodes = written(places.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "first_word", "last_word")).alias("home")), "nodes")
-    found = written(exchange(texts.select("text"), _band_entries, _receive(percent, counted=False), "a long, b long, kind long, size long, flag long"), "collisions")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node")
@@ -177,7 +199,7 @@ def repeats(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(packed, pa.binary())], names=["node", "s"])
 
         met = texts.mapInArrow(some, texts.schema).join(asked.hint("shuffle_hash"), "doc_id").select("text", "asked")
-        return written(met.mapInArrow(run, "node long, s binary"), "sets")
+        return written(met.mapInArrow(trimmed(run), "node long, s binary"), "sets")
 
     parts = linked_components(found, sets_of, percent, counted=False)
     again = nodes.join(parts, "node", "left").filter((F.col("n") > 1) | F.col("component").isNotNull()).withColumn("cluster", F.coalesce("component", "node"))
@@ -216,4 +238,4 @@ def without(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     small_batches(docs.sparkSession)
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(trimmed(run), docs.schema)
