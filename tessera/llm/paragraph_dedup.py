@@ -7,7 +7,10 @@ a longer paragraph is found too, lines of LONG_WORDS words or more also have
 windows of WINDOW_WORDS words, beginning where the words alone decide (least hash
 of each WINNOW neighbours), and equal windows are repeats; any passage of
 WINDOW_WORDS + WINNOW + 1 words has one.  Clusters are connected components; all
-but the first place of a cluster are removed.
+but the first place of a cluster are removed.  Windows are only seeds: within a
+repeated passage they adjoin, and its first and last ones are less than WINNOW
+words from its edges, so the outer windows of a removed run grow word by word as
+far as the words equal those beside any earlier place of the same window.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql.window import Window
 from tessera.llm.arrow_text import combine, flat, mix, ranges, word_hashes, words
 from tessera.llm.buckets import ENTRY, exchange
 from tessera.llm.jaccard_join import INDEXED, _receive, linked_components
-from tessera.llm.runtime import key_filter, may_have, small_batches, trimmed, written
+from tessera.llm.runtime import key_filter, may_have, parts, small_batches, trimmed, written
 
 #: Words from which on a line is a paragraph, and from which on it also has windows.
 PARAGRAPH_WORDS, LONG_WORDS = 20, 42
@@ -145,6 +148,76 @@ def _places(docs: DataFrame, wanted) -> DataFrame:
     return docs.mapInArrow(trimmed(run), PLACE)
 
 
+BESIDE = T.StructType([*PLACE.fields[:2], *(T.StructField(n, T.LongType()) for n in ("side", "word", "byte", "bucket")), T.StructField("h", T.BinaryType()), T.StructField("at", T.BinaryType())])
+LEFT, RIGHT = 0, 1
+
+
+def _beside(docs: DataFrame, wanted, n_buckets: int) -> DataFrame:
+    """Up to WINNOW - 1 words beside each window asked for: node, doc_id, side, the edge's word and byte, word hashes and byte bounds from the edge outwards.
+
+    ``wanted`` holds the node where its left side is asked for, its complement for the right side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reach = np.arange(WINNOW - 1)
+        for batch in batches:
+            raw, offsets = flat(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            for a, b in ranges(offsets):
+                t = Lines(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                spans = t.windows()
+                nodes = t.sums(spans).view(np.int64)
+                for side in (LEFT, RIGHT):
+                    ok = may_have(wanted.value, ~nodes if side else nodes)
+                    edge, node = spans[ok, side], nodes[ok]
+                    doc = np.searchsorted(t.first, spans[ok, 0], "right") - 1
+                    n = t.first[doc + 1] - edge if side else edge - t.first[doc]
+                    some = n > 0
+                    edge, node, doc, n = edge[some], node[some], doc[some], n[some]
+                    if not len(node):
+                        continue
+                    word = edge[:, None] + reach if side else edge[:, None] - 1 - reach
+                    held = reach < n[:, None]
+                    word = np.where(held, word, 0)
+                    base, byte = t.first[doc], t.offsets[doc]
+                    h = np.where(held, t.h[word], np.uint64(0))
+                    at = np.where(held, (t.end if side else t.start)[word] - byte[:, None], -1)
+                    # only equal first words can go on, so they choose the bucket
+                    bucket = (mix(node.view(np.uint64) ^ mix(h[:, 0] + np.uint64(side))) % np.uint64(n_buckets)).astype(np.int64)
+                    start = t.end[edge - 1] if side else t.start[edge]
+                    cols = [pa.array(np.asarray(c, np.int64)) for c in (node, ids[doc + a], np.full(len(node), side), edge - base, start - byte, bucket)]
+                    cols += [pa.array([row.tobytes() for row in m], pa.binary()) for m in (h, at.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(cols, names=BESIDE.names)
+
+    return docs.mapInArrow(trimmed(run), BESIDE)
+
+
+def _grown(t: pa.Table) -> pa.Table:
+    """The words by which each place's window grows: as many as equal those beside an earlier place."""
+    t = t.combine_chunks()
+    node, doc, side, word, byte = (t[n].to_numpy() for n in ("node", "doc_id", "side", "word", "byte"))
+    h, at = (np.frombuffer(flat(t[n])[0], kind).reshape(len(node), WINNOW - 1) for n, kind in (("h", np.uint64), ("at", np.int64)))
+    by_place = np.lexsort((word, doc))
+    later = (doc[by_place[1:]] != doc[by_place[:-1]]) | (word[by_place[1:]] != word[by_place[:-1]])
+    rank = np.empty(len(node), np.int64)
+    rank[by_place] = np.concatenate(([0], np.cumsum(later)))
+    order = np.lexsort((*(h[:, k] for k in range(WINNOW - 2, -1, -1)), side, node))
+    node, doc, side, word, byte, h, at, rank = (x[order] for x in (node, doc, side, word, byte, h, at, rank))
+    new = np.append(True, (node[1:] != node[:-1]) | (side[1:] != side[:-1]))
+    grown = np.zeros(len(node), np.int64)
+    for k in range(WINNOW - 1):
+        new[1:] |= h[1:, k] != h[:-1, k]
+        first = np.minimum.reduceat(rank, np.flatnonzero(new))[np.cumsum(new) - 1]
+        grown += (rank > first) & (at[:, k] >= 0)
+    some = grown > 0
+    doc, side, word, byte, grown, at = (x[some] for x in (doc, side, word, byte, grown, at))
+    last = at[np.arange(len(grown)), grown - 1]
+    right = side == RIGHT
+    return pa.table({
+        "doc_id": doc, "first_word": np.where(right, word, word - grown), "last_word": np.where(right, word + grown, word),
+        "first_byte": np.where(right, byte, last), "last_byte": np.where(right, last, byte),
+    })
+
+
 def _band_entries(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     raw, offsets = flat(batch.column(0))
     for a, b in ranges(offsets):
@@ -201,17 +274,29 @@ def repeats(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col
         met = texts.mapInArrow(some, texts.schema).join(asked.hint("shuffle_hash"), "doc_id").select("text", "asked")
         return written(met.mapInArrow(trimmed(run), "node long, s binary"), "sets")
 
-    parts = linked_components(found, sets_of, percent, counted=False)
-    again = nodes.join(parts, "node", "left").filter((F.col("n") > 1) | F.col("component").isNotNull()).withColumn("cluster", F.coalesce("component", "node"))
+    linked = linked_components(found, sets_of, percent, counted=False)
+    again = nodes.join(linked, "node", "left").filter((F.col("n") > 1) | F.col("component").isNotNull()).withColumn("cluster", F.coalesce("component", "node"))
     again = written(again.select("node", "cluster", "home"), "repeated")
     homes = again.groupBy("cluster").agg(F.min("home").alias("home"))
     marked = places.join(again.select("node", "cluster").join(homes, "cluster"), "node")
     marked = marked.filter((F.col("doc_id") != F.col("home.doc_id")) | (F.col("first_word") != F.col("home.first_word")))
-    # adjoining and overlapping removals of a document become one run
-    order = Window.partitionBy("doc_id").orderBy("first_word", "last_word")
-    before = F.max("last_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    joined = marked.withColumn("new", F.coalesce(F.col("first_word") > before, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order))
-    out = joined.groupBy("doc_id", "run").agg(F.min("first_byte").alias("first_byte"), F.max("last_byte").alias("last_byte"), (F.max("last_word") - F.min("first_word")).alias("n_words"), F.min("home.doc_id").alias("kept_doc_id"))
+    marked = written(marked.select("node", "doc_id", "first_word", "last_word", "first_byte", "last_byte", F.col("home.doc_id").alias("kept_doc_id")), "marked")
+
+    def in_runs(spans: DataFrame) -> DataFrame:
+        """Adjoining and overlapping removals of a document become one run."""
+        order = Window.partitionBy("doc_id").orderBy("first_word", "last_word")
+        before = F.max("last_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        return spans.withColumn("new", F.coalesce(F.col("first_word") > before, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order))
+
+    run = Window.partitionBy("doc_id", "run")
+    outer = in_runs(marked).select("node", "first_word", "last_word", F.min("first_word").over(run).alias("a"), F.max("last_word").over(run).alias("b"))
+    outer = outer.filter(F.col("last_word") - F.col("first_word") == WINDOW_WORDS)
+    left, right = outer.filter(F.col("first_word") - F.col("a") < WINNOW - 1), outer.filter(F.col("b") - F.col("last_word") < WINNOW - 1)
+    asked_sides = written(left.select("node").union(right.select(F.bitwise_not("node"))).distinct(), "sides")
+    beside = _beside(texts, key_filter(asked_sides), 4 * parts(docs.sparkSession))
+    grown = beside.groupBy("bucket").applyInArrow(_grown, "doc_id long, first_word long, last_word long, first_byte long, last_byte long")
+    joined = in_runs(marked.drop("node").unionByName(grown, allowMissingColumns=True))
+    out = joined.groupBy("doc_id", "run").agg(F.min("first_byte").alias("first_byte"), F.max("last_byte").alias("last_byte"), (F.max("last_word") - F.min("first_word")).alias("n_words"), F.min("kept_doc_id").alias("kept_doc_id"))
     return out.filter(F.col("n_words") >= LEAST_REMOVED).drop("run")
 
 
