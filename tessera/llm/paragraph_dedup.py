@@ -1,13 +1,14 @@
 """Removal of repeated paragraphs and passages by MinHash banding.
 
-Every line of PARAGRAPH_WORDS words or more is a paragraph: its MinHash bands are
-exchanged, colliding paragraphs are joined, and pairs count if the exact Jaccard
-similarity of their 5-word shingles is 0.8 or more.  So that a passage set inside
-a longer paragraph is found too, lines of LONG_WORDS words or more also have
-windows of WINDOW_WORDS words, beginning where the words alone decide (least hash
-of each WINNOW neighbours), and equal windows are repeats; any passage of
-WINDOW_WORDS + WINNOW + 1 words has one.  Clusters are connected components; all
-but the first place of a cluster are removed.  Windows are only seeds: within a
+Every line of PARAGRAPH_WORDS words or more is a paragraph, and so are shorter
+neighbouring lines together, up to a blank or longer line, if they have as many
+words: its MinHash bands are exchanged, colliding paragraphs are joined, and pairs
+count if the exact Jaccard similarity of their 5-word shingles is 0.8 or more.  So
+that a passage set inside a longer paragraph or across lines is found too, every
+text also has windows of WINDOW_WORDS words of its whole word sequence, beginning
+where the words alone decide (least hash of each WINNOW neighbours), and equal
+windows are repeats; any passage of WINDOW_WORDS + WINNOW + 1 words has one.
+Clusters are connected components; all but the first place of a cluster are removed.  Windows are only seeds: within a
 repeated passage they adjoin, and its first and last ones are less than WINNOW
 words from its edges, so the outer windows of a removed run grow word by word as
 far as the words equal those beside any earlier place of the same window.
@@ -29,8 +30,8 @@ from tessera.llm.buckets import ENTRY, exchange
 from tessera.llm.jaccard_join import INDEXED, _receive, linked_components
 from tessera.llm.runtime import key_filter, may_have, parts, small_batches, trimmed, written
 
-#: Words from which on a line is a paragraph, and from which on it also has windows.
-PARAGRAPH_WORDS, LONG_WORDS = 20, 42
+#: Words from which on a line, or shorter neighbouring lines together, are a paragraph.
+PARAGRAPH_WORDS = 20
 #: Words of a window; of so many neighbouring word triples the one of least hash begins a window.
 WINDOW_WORDS, WINNOW = 20, 20
 #: Adjoining removals of fewer words together are not made.
@@ -55,13 +56,15 @@ class Lines:
         self.offsets = offsets
         self.first = np.searchsorted(self.start, offsets)
         a, b = self.line[:-1], self.line[1:]
+        short = (b > a) & (b - a < PARAGRAPH_WORDS)
+        alone = ~short | np.isin(bounds[:-1], offsets)
+        alone[1:] |= ~short[:-1]
+        lead = np.flatnonzero(alone)
+        a, b = a[lead], b[np.append(lead[1:], len(b)) - 1] if len(lead) else b[:0]
         self.para = np.stack((a, b), 1)[b - a >= PARAGRAPH_WORDS]
 
     def windows(self) -> np.ndarray:
-        """Bounds (in words) of the windows of long lines."""
-        long = self.para[self.para[:, 1] - self.para[:, 0] >= LONG_WORDS]
-        if not len(long):
-            return np.zeros((0, 2), np.int64)
+        """Bounds (in words) of the windows, which may cross lines but not texts."""
         g = combine(self.h, 3)
         low = (g & ~np.uint64((1 << 24) - 1)) | np.arange(len(g), dtype=np.uint64)
         have = 1
@@ -70,13 +73,13 @@ class Lines:
             low = np.minimum(low[: len(low) - step], low[step:])
             have += step
         at = np.arange(len(low))
-        line = np.searchsorted(long[:, 0], at, "right") - 1
-        inside = (line >= 0) & (at + WINNOW + 2 <= long[line, 1])
+        end = self.first[np.searchsorted(self.first, at, "right")]
+        inside = at + WINNOW + 2 <= end
         start = (low[inside] & np.uint64((1 << 24) - 1)).astype(np.int64)
-        line = line[inside]
+        end = end[inside]
         new = np.append(True, start[1:] != start[:-1]) if len(start) else np.zeros(0, bool)
-        start, line = start[new], line[new]
-        start = start[start + WINDOW_WORDS <= long[line, 1]]
+        start, end = start[new], end[new]
+        start = start[start + WINDOW_WORDS <= end]
         return np.stack((start, start + WINDOW_WORDS), 1)
 
     def spans(self) -> np.ndarray:

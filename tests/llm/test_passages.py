@@ -43,3 +43,33 @@ def test_passages_inside_long_lines_go_whole(spark):
     for i, want in enumerate(repeated_earlier(texts, 41)):
         if i % 4 > 1:
             assert got[i] == want, i
+
+
+def wrapped(text, n):
+    w = text.split()
+    return "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+
+
+def test_passages_in_short_lines_go_whole(spark):
+    rng = random.Random(52)
+    texts = []
+    for n in [51] * 10 + [80]:
+        passage = words(rng, n)
+        texts += [words(rng, 25) + "\n" + wrapped(passage, 8) + "\n" + words(rng, 30), wrapped(words(rng, 40) + " " + passage, 11), wrapped(passage + " " + words(rng, 30), 7)]
+    got = kept_words(spark, texts)
+    for i, want in enumerate(repeated_earlier(texts, 41)):
+        assert got[i] == want, i
+
+
+def test_short_neighbouring_lines_are_one_paragraph():
+    import numpy as np
+
+    rng = random.Random(53)
+    a, b, c = wrapped(words(rng, 30), 7), words(rng, 25), words(rng, 9)
+    texts = [a + "\n" + b + "\n" + c + "\n", "", c, a.replace("\n", " "), "\n\n" + a + "\n \n" + c + "\n" + c]
+    raw = [t.encode() for t in texts]
+    t = paragraph_dedup.Lines(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
+    assert t.para.tolist() == [[0, 30], [30, 55], [73, 103], [103, 133]]
+    sums = t.sums(t.para)
+    assert sums[0] == sums[2] == sums[3] != sums[1]
+    assert paragraph_dedup.Lines(np.zeros(0, np.uint8), np.zeros(1, np.int64)).para.shape == (0, 2)
