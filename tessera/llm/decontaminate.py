@@ -5,7 +5,10 @@ placeholders (slots).  Windows of these templates are hash-joined between
 documents and benchmark items; windows of one occurrence lie on one diagonal
 (document position minus item position), and on each diagonal the slot values
 must map consistently from item to document.  So a question asked again with
-other numbers or names is found as well as a copied one.
+other numbers or names is found as well as a copied one.  Items with one such
+window or none (few tokens, or hardly a literal) are also found verbatim: by a
+hash of all their tokens as they are, letters A-Z lower-cased, where characters of scripts
+written without spaces are tokens of their own.
 """
 
 from __future__ import annotations
@@ -52,6 +55,47 @@ _UNIT_HASHES = np.sort(_hash_of(UNITS))
 _SLOT_HASH = np.array([0, *(_hash_of(["\x01number", "\x01name", "\x01unit"]))], np.uint64)
 
 
+#: Scripts written without spaces between words, as ranges of code points: Thai to Lao, Myanmar, Khmer, kana and Han.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF))
+
+
+def _tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the verbatim tokens: runs of letters and digits, but each character of unspaced scripts alone."""
+    inside = _LETTER[raw]
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[offsets] = True
+    wide = np.flatnonzero(raw >= 0xE0)
+    if len(wide):
+        long = raw[wide] >= 0xF0
+        b = np.append(raw, np.zeros(3, np.uint8)).astype(np.int64)
+        point = np.where(long, (b[wide] & 7) << 18 | (b[wide + 1] & 63) << 12 | (b[wide + 2] & 63) << 6 | b[wide + 3] & 63, (b[wide] & 15) << 12 | (b[wide + 1] & 63) << 6 | b[wide + 2] & 63)
+        alone = np.zeros(len(point), bool)
+        for lo, hi in UNSPACED:
+            alone |= (point >= lo) & (point <= hi)
+        cut[wide[alone]] = True
+        cut[np.minimum(wide + 3 + long, len(raw))[alone]] = True
+    edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
+    at = np.flatnonzero(cut[1:-1]) + 1 if len(raw) else np.zeros(0, np.int64)
+    at = at[inside[at] & inside[at - 1]]
+    return np.sort(np.concatenate((np.flatnonzero(edge == 1), at))), np.sort(np.concatenate((np.flatnonzero(edge == -1), at)))
+
+
+def _verbatim(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, position in it, and hash of each run of ``width`` verbatim tokens inside one text."""
+    start, end = _tokens(raw, offsets)
+    first = np.searchsorted(start, offsets)
+    h = combine(word_hashes(raw, start, end), width)
+    at = np.arange(len(h))
+    text = np.searchsorted(first, at, "right")
+    ok = text == np.searchsorted(first, at + width - 1, "right")
+    text = text[ok] - 1
+    return text, at[ok] - first[text], h[ok] ^ np.uint64(width) ^ _AS_IS
+
+
+#: Keeps hashes of verbatim tokens apart from those of template windows.
+_AS_IS = np.uint64(0x5851F42D4C957F2D)
+
+
 class Template:
     """Tokens of many texts: bounds in bytes, kinds, template hashes, first token of each text."""
 
@@ -109,9 +153,14 @@ def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
             for i, key in enumerate(ids):
                 t = Template(raw[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
                 width = min(WINDOW, len(t.start))
-                if width < MIN_TOKENS or key is None:
+                if key is None:
                     continue
-                at, h = t.windows(width)
+                at, h = t.windows(width) if width >= MIN_TOKENS else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+                if len(at) < 2:  # the first word of a copy may be a name to the document, which is a window lost
+                    part, bounds = raw[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]])
+                    n = len(_tokens(part, bounds)[0])
+                    if n:  # a negative width: all its tokens, verbatim
+                        out.append((key, -n, 0, int(_verbatim(part, bounds, n)[2].view(np.int64)[0]), 1, []))
                 out += [(key, width, a, int(x), len(at), t.slots(a, width)) for a, x in zip(at.tolist(), h.view(np.int64).tolist())]
             cols = list(zip(*out)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string())))], names=["item_id", "width", "item_at", "hash", "item_windows", "item_slots"])
@@ -131,16 +180,21 @@ def _windows(docs: DataFrame, doc_id: str, text: str, widths: list[int], wanted)
                 t = Template(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 rows, tokens, hashes, slots = [], [], [], []
                 for width in widths:
-                    at, h = t.windows(width)
+                    if width < 0:
+                        doc, place, h = _verbatim(t.raw, offsets[a : b + 1] - offsets[a], -width)
+                        at = place
+                    else:
+                        at, h = t.windows(width)
+                        doc = np.searchsorted(t.first, at, "right") - 1
+                        place = at - t.first[doc]
                     if some is not None:
                         spot = np.minimum(np.searchsorted(some, h), len(some) - 1)
                         hit = some[spot] == h
-                        at, h = at[hit], h[hit]
-                    doc = np.searchsorted(t.first, at, "right") - 1
+                        at, h, doc, place = at[hit], h[hit], doc[hit], place[hit]
                     rows += (doc + a).tolist()
-                    tokens += (at - t.first[doc]).tolist()
+                    tokens += place.tolist()
                     hashes += h.view(np.int64).tolist()
-                    slots += [t.slots(i, width) for i in at.tolist()]
+                    slots += [t.slots(i, width) if width > 0 else [] for i in at.tolist()]
                 if rows:
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(tokens, pa.int32()), pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.string()))], names=["doc_id", "doc_at", "hash", "doc_slots"])
 
@@ -155,8 +209,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     (distinct slot values that map consistently) and kind: 'exact' where all
     slots are as in the item, else 'reparameterised'.  A pair counts if at least
     ``coverage`` of the item's windows occur on diagonals with consistent slots.
-    Items with fewer than MIN_TOKENS tokens, null ids or no window that is half
-    literal match nothing; rows that share a document id count as one document
+    Items with fewer than MIN_TOKENS tokens, or with one window that is half
+    literal or none, also match where a document holds all their tokens verbatim
+    ('exact', one window); those without a token or with a null id match nothing; rows that share a document id count as one document
     (null ids as one); null and empty texts hold nothing; other columns are
     ignored; an empty table on either side gives no rows.
     """
