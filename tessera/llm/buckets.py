@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.llm.arrow_text import mix
 from tessera.llm.runtime import parts, small_batches, trim, trimmed
 
 ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i4"), ("flag", "<i4")])
@@ -19,12 +20,13 @@ ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i4"), ("flag", "<i
 GATHERED = 700_000
 
 
-def exchange(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[np.ndarray]], reduce: Callable[[np.ndarray], pa.Table], schema: str, per_part: int = 4, add: bool = False) -> DataFrame:
+def exchange(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[np.ndarray]], reduce: Callable[[np.ndarray], pa.Table], schema: str, per_part: int = 4, add: bool = False, dtype: np.dtype = ENTRY, hot: int = 0) -> DataFrame:
     """Apply ``entries`` to batches, bring entries of equal keys together, apply ``reduce`` to each bucket.
 
     ``reduce`` gets the bucket's entries without repeats, sorted by (key, node).
     With ``add`` the sizes of repeated (key, node) entries are summed, else they
-    are alike.  The number of buckets follows spark.sql.shuffle.partitions, so a bucket's
+    are alike.  Entries whose flag is ``hot`` or more (if that is set) have keys of very
+    long lists, which are dealt over all buckets.  The number of buckets follows spark.sql.shuffle.partitions, so a bucket's
     size doesn't follow the input's."""
     def distinct(e: np.ndarray) -> np.ndarray:
         """Entries sorted by (key, node), without repeats."""
@@ -47,13 +49,16 @@ def exchange(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[np.nd
         def packed() -> pa.RecordBatch:
             all_ = distinct(np.concatenate(held))
             held.clear()
-            bucket = ((all_["key"] >> np.uint64(32)) % np.uint64(n)).astype(np.int32)
+            by = all_["key"] >> np.uint64(32)
+            if hot:
+                by = np.where(all_["flag"] >= hot, mix(all_["node"].view(np.uint64)) >> np.uint64(32), by)
+            bucket = (by % np.uint64(n)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             all_, bucket = all_[order], bucket[order]
             edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             ends = np.append(edge[1:], len(all_))
             # column by column, so that the equal bytes of ids and sizes lie together and compress
-            blobs = [b"".join(np.ascontiguousarray(all_[f][a:b]).tobytes() for f in ENTRY.names) for a, b in zip(edge.tolist(), ends.tolist())]
+            blobs = [b"".join(np.ascontiguousarray(all_[f][a:b]).tobytes() for f in dtype.names) for a, b in zip(edge.tolist(), ends.tolist())]
             return pa.RecordBatch.from_arrays([pa.array(bucket[edge], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
         for batch in batches:
@@ -71,12 +76,12 @@ def exchange(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[np.nd
         out = []
         for blob in table["blob"]:
             raw = blob.as_buffer()
-            m = raw.size // ENTRY.itemsize
-            e = np.empty(m, ENTRY)
+            m = raw.size // dtype.itemsize
+            e = np.empty(m, dtype)
             at = 0
-            for f in ENTRY.names:
-                e[f] = np.frombuffer(raw, ENTRY[f], m, at)
-                at += m * ENTRY[f].itemsize
+            for f in dtype.names:
+                e[f] = np.frombuffer(raw, dtype[f], m, at)
+                at += m * dtype[f].itemsize
             out.append(e)
         done = reduce(distinct(np.concatenate(out)))
         del out

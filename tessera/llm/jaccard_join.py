@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.arrow_text import mix, shingle_sets
 from tessera.llm.buckets import ENTRY, exchange, groups_of
-from tessera.llm.components import components
+from tessera.llm.linking import FOUND, HOT, INDEXED, LIGHT, PROBED, linked_components, receive
 from tessera.llm.runtime import key_filter, may_have, small_batches, trimmed, written
 
 #: A shingle in at least this share of all documents is frequent: 1 / FREQUENT sets of the mean size bound how many there are.
@@ -32,13 +32,6 @@ FREQUENT = 1e-3
 COUNTED = 1_500_000
 #: Sets with more shingles are never light.
 MOST_LIGHT = 12
-#: Lists up to this length give all their pairs at once; members of longer ones are compared with a leader first.
-SHORT_LIST = 12
-#: Times that members of a long list are compared with a random member before all pairs of what is left.
-LEADER_ROUNDS = 2
-#: Sets of long lists up to which a shingle is rare among them.
-RARE = 16
-LIGHT, INDEXED, PROBED = 2, 1, 0
 
 
 def needed(n: int, m: int, percent: int = 80) -> int:
@@ -139,12 +132,14 @@ def _send(bound: int, frequent, percent: int):
                 flags.append(np.full(len(h), LIGHT, np.int32))
             if n > bound:
                 probe, index = prefix(n, percent)
-                if len(often):
-                    spot = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    s = s[np.argsort(often[spot] == s, kind="stable")]
-                keys.append(s[:probe])
                 f = np.full(probe, PROBED, np.int32)
                 f[:index] = INDEXED
+                if len(often):
+                    hot = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
+                    order = np.argsort(hot, kind="stable")
+                    s = s[order]
+                    f[hot[order[:probe]]] += HOT
+                keys.append(s[:probe])
                 flags.append(f)
             e = np.empty(sum(map(len, keys)), ENTRY)
             e["key"], e["flag"] = np.concatenate(keys), np.concatenate(flags)
@@ -160,197 +155,6 @@ def _send(bound: int, frequent, percent: int):
     return entries
 
 
-def _admissible(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the smaller of two entries is indexed and the sizes can link."""
-    swap = a["size"] > b["size"]
-    small, large = np.where(swap, b["size"], a["size"]), np.where(swap, a["size"], b["size"])
-    first = np.where(swap, b["flag"], a["flag"])
-    same = small == large
-    return (100 * small.astype(np.int64) >= percent * large.astype(np.int64)) & (first == INDEXED) & (~same | ((a["flag"] == INDEXED) & (b["flag"] == INDEXED)))
-
-
-def _least_common(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    return 1 + np.minimum(n, m).astype(np.int64) // 20
-
-
-def _summed(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct pairs, the kind 0, how often each is given, and the least that it needs."""
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((high, low))
-    low, high, least = low[order], high[order], least[order]
-    new = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))) if len(low) else np.zeros(0, np.int64)
-    return low[new], high[new], 0, np.diff(np.append(new, len(low))), least[new]
-
-
-def _receive(percent: int, counted: bool = True):
-    """Pairs of a bucket: proven (kind 1), to be counted (0; size: shared keys, flag: keys
-    that must be shared), and members of long lists (2)."""
-
-    def reduce(entries: np.ndarray) -> pa.Table:
-        proven, open_, long = [], [], []
-        for g in groups_of(entries):
-            if g["flag"][0] == LIGHT:
-                low, high = g[g["size"] == g["size"].min()], g[g["size"] == g["size"].max()]
-                one = g["size"].min() == g["size"].max()
-                # sets of one size share the key of a pair of sizes: link only where the pair is of that size
-                if one:
-                    proven.append((np.full(len(g) - 1, g["node"][0]), g["node"][1:], np.full(len(g) - 1, g["size"][0])))
-                else:
-                    proven.append((np.full(len(low), high["node"][0]), low["node"], low["size"]))
-                    proven.append((np.full(len(high) - 1, low["node"][0]), high["node"][1:], high["size"][1:]))
-            elif len(g) <= SHORT_LIST:
-                i, j = np.triu_indices(len(g), 1)
-                ok = _admissible(g[i], g[j], percent)
-                open_.append((g["node"][i[ok]], g["node"][j[ok]], _least_common(g["size"][i[ok]], g["size"][j[ok]])))
-            else:
-                long.append(g)
-        cols: list[list] = [[], [], [], [], []]
-
-        def put(a, b, kind, size=0, flag=1):
-            if kind == 0 and not counted:
-                flag = 1
-            for c, v in zip(cols, (a, b, np.full(len(a), kind), np.broadcast_to(size, len(a)), np.broadcast_to(flag, len(a)))):
-                c.append(np.asarray(v, np.int64))
-
-        if open_:
-            put(*_summed(*(np.concatenate(x) for x in zip(*open_))))
-        for a, b, _ in proven:
-            put(a, b, 1)
-        for g in long:
-            put(g["node"], g["key"].view(np.int64), 2, g["size"], g["flag"])
-        arrays = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in cols]
-        return pa.Table.from_arrays(arrays, names=["a", "b", "kind", "size", "flag"])
-
-    return reduce
-
-
-def _count(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that really link; sets has node and s (packed 64-bit shingles)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                r, s = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate((r, s))
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * same >= percent * (len(both) - same))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    left, right = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(trimmed(run), "a long, b long")
-
-
-def _rest(percent: int, counted: bool):
-    """Pairs of a long list whose members are still in different components.
-
-    ``own`` is the number of shingles that a pair which shares no rare shingle
-    can't have in common; it can share no more than what is left of either set."""
-
-    def run(table: pa.Table) -> pa.Table:
-        g = np.empty(table.num_rows, ENTRY)
-        g["node"], g["size"], g["flag"] = (table[c].to_numpy() for c in ("node", "size", "flag"))
-        n = g["size"].astype(np.int64)
-        left = n - table["own"].to_numpy()
-        values, inverse, counts = np.unique(table["component"].to_numpy(), return_inverse=True, return_counts=True)
-        main = counts.argmax()
-        out = []
-        for k in np.flatnonzero(inverse != main).tolist():
-            other = np.flatnonzero((inverse != inverse[k]) & ((inverse == main) | (np.arange(len(g)) > k)) & (np.minimum(left, left[k]) >= -(-percent * (n + n[k]) // (100 + percent))))
-            if not len(other):
-                continue
-            mine = np.repeat(g[k : k + 1], len(other))
-            ok = _admissible(mine, g[other], percent)
-            out.append((g["node"][other[ok]], mine["node"][ok], _least_common(g["size"][other[ok]], mine["size"][ok])))
-        a, b, _, times, least = _summed(*(np.concatenate(x) for x in zip(*out))) if out else (np.zeros(0, np.int64),) * 5
-        return pa.table({"a": a, "b": b, "size": times, "flag": least if counted else np.ones(len(a), np.int64)})
-
-    return run
-
-
-def _rare_shingles(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """node and own (its shingles that at most RARE of the sets have), and the pairs (a, b) that share such a shingle.
-
-    Any other pair shares no more than what either set has besides its own."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
-            nodes = np.repeat(batch.column(0).to_numpy(), [len(x) for x in s])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(s) if s else np.zeros(0, np.int64))], names=["node", "h"])
-
-    each = sets.select("node", "s").mapInArrow(trimmed(run), "node long, h long").distinct()
-    each = written(each, "shingles")
-    rare = written(each.join(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= RARE), "h"), "rare")
-    own = rare.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    left, right = rare.filter("n > 1").select("h", F.col("node").alias("a")), rare.filter("n > 1").select("h", F.col("node").alias("b"))
-    return own, left.join(right, "h").filter("a < b").select("a", "b").distinct()
-
-
-def _can_link(percent: int):
-    """Whether what a pair (a member and its list's head) can share at most is enough."""
-    n, m = F.col("size"), F.col("head.size")
-    return F.least(n - F.col("own"), m - F.col("head.own")) >= F.ceil(percent * (n + m) / (100 + percent))
-
-
-def linked_components(found: DataFrame, sets_of, percent: int, counted: bool = True) -> DataFrame:
-    """node and component from the rows of ``_receive``; sets_of(pairs) gives the packed sets of the pairs' nodes.
-
-    Members of long lists are first compared with a leader, the member that is in
-    most lists (of many edited copies that is their common original); what that
-    leaves in different components is then compared with all other components."""
-    enough = lambda df: df.groupBy("a", "b").agg(F.sum("size").alias("n"), F.max("flag").alias("least"))
-    short = found.filter("kind = 0").select("a", "b", "size", "flag")
-    long = found.filter("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("key"), "size", "flag")
-    often = long.join(long.groupBy("node").agg(F.count(F.lit(1)).alias("lists")), "node")
-    heads = often.groupBy("key").agg(F.max(F.struct("lists", F.xxhash64("node").alias("x"), "node", "size")).alias("head"))
-    star = long.join(heads, "key").filter("node <> head.node").filter((100 * F.least("size", "head.size") >= percent * F.greatest("size", "head.size")))
-    least = (F.lit(1) + F.floor(F.least("size", "head.size") / 20)).cast("long") if counted else F.lit(1).cast("long")
-    star = star.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"), F.lit(1).cast("long").alias("size"), least.alias("flag"))
-    open_ = written(enough(short.unionByName(star)).filter("n >= least").select("a", "b"), "pairs")
-    links = written(_count(open_, sets_of(open_), percent), "counted")
-    links = links.unionByName(found.filter("kind = 1").select("a", "b"))
-    parts_ = components(links, "a", "b")
-
-    def mixed(parts: DataFrame, lists: DataFrame) -> DataFrame:
-        """Members, with their components, of the lists that hold more than one component."""
-        now = written(lists.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "long-lists")
-        keys = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-        return now.join(keys, "key", "left_semi")
-
-    if counted:
-        rest, fetch = mixed(parts_, long.withColumn("own", F.lit(0).cast("long"))), sets_of
-    else:
-        lists = written(mixed(parts_, long).drop("component"), "mixed-lists")
-        sets = sets_of(lists.select(F.col("node").alias("a")).distinct().withColumn("b", F.col("a")))
-        own, sharing = _rare_shingles(sets)
-        lists = written(lists.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))), "mixed-lists")
-        links = links.unionByName(written(_count(sharing, sets, percent), "counted"))
-        parts_ = components(links, "a", "b")
-        rest, fetch = mixed(parts_, lists), lambda _: sets
-        for turn in range(LEADER_ROUNDS):
-            # members are compared with random members first, which joins most of what can be joined
-            heads = rest.groupBy("key").agg(F.max(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("x"), "node", "size", "component", "own")).alias("head"))
-            pairs = rest.join(heads, "key").filter("component <> head.component").filter(_can_link(percent))
-            pairs = written(pairs.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct(), "pairs")
-            more = written(_count(pairs, sets, percent), "counted")
-            if more.isEmpty():
-                break
-            links = links.unionByName(more)
-            parts_ = components(links, "a", "b")
-            rest = mixed(parts_, lists)
-    rest = enough(rest.groupBy("key").applyInArrow(_rest(percent, counted), "a long, b long, size long, flag long"))
-    # a pair may share keys of short lists besides; pairs that were compared need no second look
-    rest = rest.join(enough(short).select("a", "b", F.col("n").alias("more")), ["a", "b"], "left")
-    rest = written(rest.filter(F.col("n") + F.coalesce("more", F.lit(0)) >= F.col("least")).select("a", "b").join(open_, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = written(_count(rest, fetch(rest), percent), "counted")
-        if not more.isEmpty():
-            parts_ = components(links.unionByName(more), "a", "b")
-    return parts_
-
-
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Link all documents whose sets of 5-word shingles have a Jaccard similarity of at least percent / 100.
 
@@ -373,12 +177,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     frequent = spark.sparkContext.broadcast(np.sort(np.array(often, np.int64).view(np.uint64)))
     sizes = {r[0]: r[1] for r in linking.filter(F.col("n_shingles") <= 2 * MOST_LIGHT).groupBy("n_shingles").count().collect()}
     bound = boundary(sizes, percent)
-    found = exchange(texts.filter("doc_id is not null").select("text"), _send(bound, frequent, percent), _receive(percent), "a long, b long, kind long, size long, flag long")
+    found = exchange(texts.filter("doc_id is not null").select("text"), _send(bound, frequent, percent), receive(percent), FOUND, hot=HOT)
     found = written(found, "candidates")
     nodes = linking.groupBy("node").agg(F.min("doc_id").alias("first_id"))
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        asked = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select(F.col("first_id").alias("doc_id")), "asked")
+    def sets_of(asked: DataFrame) -> DataFrame:
+        asked = written(asked.join(nodes, "node").select(F.col("first_id").alias("doc_id")), "asked")
         wanted = key_filter(asked)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

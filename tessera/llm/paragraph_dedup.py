@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from tessera.llm.arrow_text import combine, flat, mix, ranges, word_hashes, words
 from tessera.llm.buckets import ENTRY, exchange
-from tessera.llm.jaccard_join import INDEXED, _receive, linked_components
+from tessera.llm.linking import FOUND, INDEXED, linked_components, receive
 from tessera.llm.runtime import key_filter, may_have, parts, small_batches, trimmed, written
 
 #: Words from which on a line, or shorter neighbouring lines together, are a paragraph.
@@ -248,13 +248,13 @@ def repeats(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     body = texts.select("text")
     repeated = written(exchange(body, _count_entries, _repeated, "node long", add=True), "repeated")
-    found = written(exchange(body, _band_entries, _receive(percent, counted=False), "a long, b long, kind long, size long, flag long"), "collisions")
+    found = written(exchange(body, _band_entries, receive(percent, counted=False), FOUND), "collisions")
     colliding = found.select(F.col("a").alias("node")).union(found.filter("kind < 2").select("b"))
     places = written(_places(texts, key_filter(repeated.union(colliding))), "places")
     nodes = written(places.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "first_word", "last_word")).alias("home")), "nodes")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node")
+    def sets_of(asked: DataFrame) -> DataFrame:
+        asked = asked.join(nodes, "node")
         asked = written(asked.groupBy(F.col("home.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("node", "home.first_word", "home.last_word")).alias("asked")), "asked")
         wanted = key_filter(asked.select("doc_id"))
 

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tessera.llm import bpe, decontaminate, jaccard_join, paragraph_dedup, repeat_index, sharding, toxicity
+from tessera.llm import bpe, decontaminate, jaccard_join, linking, paragraph_dedup, repeat_index, sharding, toxicity
 
 SCHEMA = "doc_id long, text string, score double, node long, span_key string, label int"
 
@@ -342,3 +342,31 @@ def test_quoted_terms_have_their_own_sums():
     quoted, reported, addressed = (toxicity.NAMES.index(n) for n in ("quoted", "reported", "addressed"))
     assert hits.tolist() == [1, 1, 0, 0]
     assert f[0, quoted] > 0 and f[0, reported] > 0 and f[1, quoted] == 0 and f[1, addressed] > 0
+
+
+@pytest.mark.parametrize("tile", [1 << 16, 300])
+def test_jaccard_many_near_copies(spark, monkeypatch, tile):
+    """One long list whose members mostly link with their original, some only with one another and some with nothing."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 50, 130)
+    rows = []
+    for i in range(1500):
+        w = base.copy()
+        edits = (2, 2, 5, 6, 8)[i % 5]
+        spots = rng.choice(130, edits, replace=False)
+        w[spots] = rng.integers(50, 60 if i % 7 else 10_000, edits)
+        rows.append(" ".join(f"v{x}" for x in (w if i % 11 else w[: 118 - i % 3])))
+    monkeypatch.setattr(linking, "TILE_SHINGLES", tile)
+    sets = [shingles(t) for t in rows]
+    number = {x: k for k, x in enumerate(set().union(*sets))}
+    m = np.zeros((len(rows), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [number[x] for x in s]] = 1
+    both, n = m @ m.T, m.sum(1)
+    linked = 100 * both >= 80 * (n[:, None] + n[None, :] - both)
+    want = np.arange(len(rows))
+    while (low := np.where(linked, want[None, :], len(rows)).min(1)).tolist() != want.tolist():
+        want = low
+    assert 0.05 < linked.mean() < 0.6 and len(set(want.tolist())) > 20
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(spark.createDataFrame(rows_of(rows), SCHEMA)).collect()}
+    assert got == {i + 1: int(c) + 1 for i, c in enumerate(want)}
