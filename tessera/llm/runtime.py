@@ -41,11 +41,11 @@ def trimmed(f):
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary one is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
+    A session on one machine (master local) that has none, as in tests, gets a temporary one; a cluster must name its folder."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -74,35 +74,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bits of the filters that keep rows without a partner from being shuffled; more keys only make a filter weaker.
-FILTER_BITS = 1 << 25
+#: Least and most bits of the filters that keep rows without a partner from being shuffled, and bits for each key.
+LEAST_BITS, MOST_BITS, BITS_A_KEY = 20, 27, 10
 
 
-def _probes(keys):
+def _probes(keys, bits: int):
     import numpy as np
 
     from tessera.llm.arrow_text import mix
 
     h = mix(keys.view(np.uint64))
-    return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64), (h >> np.uint64(39)).astype(np.int64)
+    return (h & np.uint64((1 << bits) - 1)).astype(np.int64), (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def key_filter(keys: DataFrame):
-    """A broadcast bitmap of fixed size of the keys (one long column): absent keys mostly fail ``may_have``, present ones never."""
+    """A broadcast bitmap of the (written) keys, one long column: absent keys mostly fail ``may_have``, present ones never.
+
+    It has BITS_A_KEY bits for each key up to 1 << MOST_BITS bits (16 MB), a bound on what
+    is broadcast; with more keys it lets more rows through, which costs a larger shuffle
+    behind it and changes no result.  Tasks make blocks of the bitmap where it is merged, in parallel."""
     import numpy as np
     import pyarrow as pa
 
-    def run(batches):
-        bits = np.zeros(FILTER_BITS, bool)
+    spark = keys.sparkSession
+    name = keys.columns[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, int(keys.count() * BITS_A_KEY).bit_length()))
+    block = max(LEAST_BITS - 4, bits - 6)
+
+    def mark(batches):
+        held = np.zeros(1 << bits, bool)
         for batch in batches:
-            for p in _probes(batch.column(0).to_numpy()):
-                bits[p] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+            for p in _probes(batch.column(0).to_numpy(), bits):
+                held[p] = True
+        some = np.flatnonzero(held.reshape(-1, 1 << block).any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([np.packbits(held[k << block : (k + 1) << block]).tobytes() for k in some.tolist()], pa.binary())], names=["block", "bits"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        all_ = np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for x in table["bits"]])
+        return pa.table({"block": table["block"][:1].combine_chunks(), "bits": pa.array([all_.tobytes()], pa.binary())})
 
-    whole = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in keys.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
-        whole |= np.frombuffer(r[0], np.uint8)
-    return keys.sparkSession.sparkContext.broadcast(whole)
+    whole = np.zeros((1 << bits) // 8, np.uint8)
+    schema = "block long, bits binary"
+    blocks = keys.select(name).mapInArrow(trimmed(mark), schema).groupBy("block").applyInArrow(merge, schema)
+    for r in blocks.toLocalIterator():
+        whole[r[0] << block >> 3 : (r[0] + 1) << block >> 3] = np.frombuffer(r[1], np.uint8)
+    return spark.sparkContext.broadcast(whole)
 
 
 def may_have(bitmap, keys):
@@ -110,6 +126,6 @@ def may_have(bitmap, keys):
     import numpy as np
 
     out = np.ones(len(keys), bool)
-    for p in _probes(np.ascontiguousarray(keys)):
+    for p in _probes(np.ascontiguousarray(keys), len(bitmap).bit_length() + 2):
         out &= (bitmap[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
     return out
