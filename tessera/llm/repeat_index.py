@@ -1,14 +1,21 @@
-"""Removal of byte strings of 200 that occur anywhere else, with run-compressed BWT indexes.
+"""Removal of byte strings of 200 that occur anywhere else, by run-compressed BWT indexes.
 
 Every 200-byte string has an anchor: its 64-byte substring of least hash.  Equal
 strings have equal anchors at equal distances, so only texts around anchors that
 occur more than once can hold repeats.  The strings of one anchor place lie in
-one segment; equal segments need only be counted.  What is left, segments that
-are single but share an anchor with others, is indexed by anchor in blocks: a
+one segment.  Equal segments of an anchor are a class, of which one copy with its
+number of places is indexed; classes are indexed by anchor in blocks.  A
 multi-string BWT is built and held as runs with the suffix array sampled at the
 run ends, and matching statistics are streamed along the text from these samples
-(inside a run they fall by one from each position to the next).  Positions with a
-match of 200 bytes elsewhere are marked.
+(inside a run they fall by one from each position to the next); a string with
+several copies also matches its copies up to its end.  Positions with a match of
+200 bytes elsewhere are marked, in all places of the class.
+
+An anchor with very many classes is split: strings whose bytes to the left of
+the anchor number from a to b share a core, and equal strings have equal cores.
+Segments become such parts, keyed by the core's hash, equal parts become classes
+again, and cores that still have very many classes are split more finely; at last
+a core is a whole string, which has one class.
 """
 
 from __future__ import annotations
@@ -18,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,17 +42,16 @@ PLACE_BITS = np.uint64(24)
 SLICE = 8 << 20
 #: Bytes of the segments that one index is built over.
 BLOCK_BYTES = 1 << 20
-#: Segments of one anchor from which on its strings are counted by fingerprint instead.
-HOT_SEGMENTS = 4_000
-SINGLE, COPIED = 1, 2
+#: Classes of one anchor or core from which on it is split by finer cores, and the widths of these.
+HOT_CLASSES, WIDTHS = 4_000, (34, 8, 1)
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Anchor places of texts: text number, first and last string start (in the text), anchor hash, segment hash."""
+    """Anchor places of texts: text number, first and last string start (in the text), the anchor's distance from the first, anchor hash, segment hash."""
     span = length - GRAM + 1
     n = len(raw)
     if n < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     p, q = powers(n + 1)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
@@ -62,14 +69,14 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple
     ok = start + length <= offsets[text + 1]
     start, owner, text = start[ok], owner[ok], text[ok]
     if not len(start):
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])))
     last = start[np.append(new[1:], len(start)) - 1]
     first, own, text = start[new], owner[new], text[new]
     end = last + length
     seg = mix((total[end] - total[first]) * q[first] + (end - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix((own - first).astype(np.uint64)))
     base = offsets[text]
-    return text, first - base, last - base, h[own], seg
+    return text, first - base, last - base, own - first, h[own], seg
 
 
 def _slices(raw: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, tuple[np.ndarray, ...]]]:
@@ -124,7 +131,7 @@ def suffix_order(text: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class RunIndex:
     """BWT of many strings as runs, with the suffix array and the lengths of matches sampled at run ends."""
 
-    def __init__(self, blobs: list[bytes]):
+    def __init__(self, blobs: list[bytes], copies: np.ndarray):
         lengths = np.array([len(b) + 1 for b in blobs], np.int64)
         text = np.zeros(int(lengths.sum()), np.uint16)
         self.at = np.cumsum(lengths) - lengths
@@ -140,6 +147,7 @@ class RunIndex:
         self.head, self.tail = order[self.run_start], order[np.append(self.run_start[1:], len(order)) - 1]
         self.left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(text)) - 1
         self.text = text
+        self.several = np.repeat(copies > 1, lengths)
         # length of the match with the row above a run's head and below a run's tail
         with_above = self._match(self.head[1:], self.tail[:-1])
         self.above = np.concatenate(([0], with_above))
@@ -171,7 +179,8 @@ class RunIndex:
             value[spots] = lengths
             sampled = np.maximum.accumulate(np.where(value >= 0, np.arange(n), 0))
             best = np.maximum(best, np.where(value[sampled] >= 0, value[sampled] - (np.arange(n) - sampled), 0))
-        return np.minimum(best, self.left)
+        # equal rows of the copies of a string would stand side by side; one of them is held
+        return np.where(self.several, self.left, np.minimum(best, self.left))
 
 
 def _spans_of(ok: np.ndarray) -> list[tuple[int, int]]:
@@ -180,40 +189,78 @@ def _spans_of(ok: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _index_block(length: int):
+    """Runs of string starts (first, last) of the classes of a block that occur elsewhere."""
+
     def run(table: pa.Table) -> pa.Table:
-        index = RunIndex([b.as_buffer().to_pybytes() for b in table["segment"]])
+        # rows that are equal throughout give their classes more than once
+        pairs = np.stack((table["key"].to_numpy(), table["cls"].to_numpy()), 1)
+        table = table.take(pa.array(np.sort(np.unique(pairs, axis=0, return_index=True)[1])))
+        index = RunIndex([b.as_buffer().to_pybytes() for b in table["segment"]], table["n"].to_numpy())
         ms = index.matching_statistics() >= length
-        row, first, last = [], [], []
-        rows, at, asked = table["row"].to_pylist(), table["first"].to_pylist(), table["asked"].to_pylist()
-        for i in np.flatnonzero(np.add.reduceat(ms, index.at) > 0).tolist():
-            if asked[i]:
-                a = index.at[i]
-                for s, e in _spans_of(ms[a : index.at[i + 1] if i + 1 < len(index.at) else len(ms)]):
-                    row.append(rows[i])
-                    first.append(at[i] + s)
-                    last.append(at[i] + e - 1 + length)
-        del index, ms
+        edge = np.diff(np.concatenate(([0], ms.astype(np.int8), [0])))  # runs end with strings, whose last bytes match less
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        of = np.searchsorted(index.at, first, "right") - 1
+        out = pa.table({"key": table["key"].combine_chunks().take(pa.array(of)), "cls": table["cls"].combine_chunks().take(pa.array(of)), "first": first - index.at[of], "last": last - index.at[of]})
+        del index, ms, edge
         trim()
-        return pa.table({"row": pa.array(row, pa.int64()), "first": pa.array(first, pa.int64()), "last": pa.array(last, pa.int64())})
+        return out
 
     return run
 
 
+def _in_blocks(classes: DataFrame, length: int) -> DataFrame:
+    """key, cls, first, last: runs of string starts of the classes (key, cls, n, own, segment) that occur elsewhere among their key's."""
+    total = classes.agg(F.sum(F.length("segment"))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_BYTES))
+    return classes.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).select("block", "key", "cls", "n", "segment").groupBy("block").applyInArrow(_index_block(length), "key long, cls long, first long, last long")
+
+
+PART = "key long, cls long, old_key long, old_cls long, shift long, n long, own int, segment binary"
+
+
+def _split(classes: DataFrame, width: int, length: int) -> DataFrame:
+    """Parts of the classes by cores of ``width`` distances to the anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, cls, n, own = (batch.column(k).to_pylist() for k in range(4))
+            out = []
+            for i, blob in enumerate(batch.column(4)):
+                text = blob.as_buffer().to_pybytes()
+                starts = len(text) - length + 1
+                for a in range(0, length - GRAM + 1, width):
+                    low, high = max(0, own[i] - a - width + 1), min(starts - 1, own[i] - a)
+                    if low <= high:
+                        core, part = text[own[i] - a : own[i] - a - width + 1 + length], text[low : high + length]
+                        seed = (key[i] * 257 + a) & 0xFFFFFFFFFFFFFFFF
+                        out.append((_signed(xxhash.xxh3_64_intdigest(core, seed)), _signed(xxhash.xxh3_64_intdigest(part, own[i] - low)), key[i], cls[i], low, n[i], own[i] - low, part))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), PART_TYPES)], names=[f.split()[0] for f in PART.split(", ")])
+
+    return classes.select("key", "cls", "n", "own", "segment").mapInArrow(trimmed(run), PART)
+
+
+PART_TYPES = [pa.int64()] * 6 + [pa.int32(), pa.binary()]
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """row, first, last: byte spans (last is past the end) whose strings of ``length`` bytes occur elsewhere.
 
-    ``docs`` has row (a key) and text."""
+    ``docs`` has row (a binary key) and text; rows that share a key have equal texts."""
     spark = docs.sparkSession
     small_batches(spark)
-    schema = "row long, first long, last long, anchor long, seg long"
+    schema = "row binary, first long, last long, own int, anchor long, seg long"
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = flat(batch.column(1))
-            key = batch.column(0).to_numpy()
-            for a, shift, (text, first, last, anchor, seg) in _slices(raw, offsets, length):
+            for a, shift, (text, first, last, own, anchor, seg) in _slices(raw, offsets, length):
                 if len(text):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[text + a]), pa.array(first + shift), pa.array(last + shift), pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64))], names=["row", "first", "last", "anchor", "seg"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text + a)), pa.array(first + shift), pa.array(last + shift), pa.array(own, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64))], names=["row", "first", "last", "own", "anchor", "seg"])
 
     placed = written(docs.select("row", "text").mapInArrow(trimmed(places), schema), "anchors")
 
@@ -223,71 +270,61 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         yield e
 
     def repeated(e: np.ndarray) -> pa.Table:
-        if not len(e):
-            return pa.table({"anchor": pa.array([], pa.int64()), "seg": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "segments": pa.array([], pa.int64())})
-        start = np.flatnonzero(np.append(True, e["key"][1:] != e["key"][:-1]))
+        """Classes of the anchors that occur more than once: their places, and the classes of the anchor."""
+        start = np.flatnonzero(np.append(True, e["key"][1:] != e["key"][:-1])) if len(e) else np.zeros(0, np.int64)
         n = np.diff(np.append(start, len(e)))
-        several = np.repeat(n, n)
-        ok = (several > 1) | (e["size"] > 1)
-        e, several = e[ok], several[ok]
-        return pa.table({"anchor": e["key"].view(np.int64), "seg": e["node"], "kind": np.where(e["size"] > 1, COPIED, SINGLE).astype(np.int32), "segments": several})
+        classes = np.repeat(n, n)
+        ok = (classes > 1) | (e["size"] > 1)
+        return pa.table({"anchor": e["key"][ok].view(np.int64), "seg": e["node"][ok], "n": e["size"][ok].astype(np.int64), "classes": classes[ok]})
 
-    again = exchange(placed.select("anchor", "seg"), entries, repeated, "anchor long, seg long, kind int, segments long", add=True)
+    again = exchange(placed.select("anchor", "seg"), entries, repeated, "anchor long, seg long, n long, classes long", add=True)
     again = written(again, "repeated")
     met = written(placed.join(again.hint("shuffle_hash"), ["anchor", "seg"]), "met")
-    copied = met.filter(F.col("kind") == COPIED).select("row", "first", (F.col("last") + length).alias("last"))
-    # single segments are asked about; one copy of each other segment of their anchors is compared with
-    open_ = met.filter(F.col("kind") == SINGLE).select("anchor").distinct()
-    single = met.filter(F.col("kind") == SINGLE).select("anchor", "segments", "row", "first", "last", F.lit(True).alias("asked"))
-    others = met.filter((F.col("kind") == COPIED) & (F.col("segments") > 1)).groupBy("anchor", "seg").agg(F.min(F.struct("row", "first", "last")).alias("x"), F.max("segments").alias("segments"))
-    others = others.join(open_, "anchor", "left_semi").select("anchor", "segments", "x.row", "x.first", "x.last", F.lit(False).alias("asked"))
-    wanted = single.unionByName(others)
-    by_row = written(wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "segments", "first", "last", "asked")).alias("w")), "by-row")
-    kept = key_filter(by_row.select("row"))
+    one = met.groupBy("anchor", "seg").agg(F.min(F.struct("row", "first", "last", "own")).alias("x"), F.max("n").alias("n"), F.max("classes").alias("classes"))
+    by_row = written(one.groupBy("x.row").agg(F.collect_list(F.struct("anchor", "seg", "n", "classes", "x.first", "x.last", "x.own")).alias("w")), "by-row")
+    kept = key_filter(by_row.select(F.xxhash64("row").alias("key")))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(may_have(kept.value, batch.column(0).to_numpy())))
+            yield batch.filter(pa.array(may_have(kept.value, batch.column(2).to_numpy()))).select(["row", "text"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = flat(batch.column(1))
-            row, w = batch.column(0), batch.column(2)
-            bounds = w.offsets.to_numpy()
-            owner = np.repeat(np.arange(len(w)), np.diff(bounds))
+            raw, offsets = flat(batch.column(0))
+            w = batch.column(1)
+            owner = np.repeat(np.arange(len(w)), np.diff(w.offsets.to_numpy()))
             got = pa.RecordBatch.from_struct_array(w.flatten())
             first, last = got["first"].to_numpy(), got["last"].to_numpy()
             blobs = [raw[offsets[o] + a : offsets[o] + b + length].tobytes() for o, a, b in zip(owner.tolist(), first.tolist(), last.tolist())]
-            yield pa.RecordBatch.from_arrays([got["anchor"], got["segments"], row.take(pa.array(owner)), got["first"], got["asked"], pa.array(blobs, pa.binary())], names=["anchor", "segments", "row", "first", "asked", "segment"])
-
-    texts = docs.select("row", "text")
-    segments = texts.mapInArrow(trimmed(some), texts.schema).join(by_row.hint("shuffle_hash"), "row").select("row", "text", "w")
-    segments = written(segments.mapInArrow(trimmed(fetch), "anchor long, segments long, row long, first long, asked boolean, segment binary"), "segment-texts")
-    total = segments.agg(F.sum(F.length("segment"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    cool = segments.filter(F.col("segments") <= HOT_SEGMENTS).dropDuplicates(["row", "first", "anchor"])
-    cool = cool.withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(blocks)))
-    marked = cool.select("block", "row", "first", "asked", "segment").groupBy("block").applyInArrow(_index_block(length), "row long, first long, last long")
-    hot = segments.filter(F.col("segments") > HOT_SEGMENTS).dropDuplicates(["row", "first", "anchor"])
-    return copied.unionByName(marked).unionByName(_counted(hot, length))
-
-
-def _counted(segments: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many segments: every string's fingerprint is counted, in parts before they meet."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, first, asked = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            for i, blob in enumerate(batch.column(3)):
-                raw = np.frombuffer(blob.as_buffer(), np.uint8)
-                at = np.arange(len(raw) - length + 1)
-                h = substring_hashes(raw, at, at + length)
-                g = substring_hashes(raw[::-1].copy(), len(raw) - at - length, len(raw) - at)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(np.full(len(at), row[i])), pa.array(first[i] + at), pa.array(np.full(len(at), asked[i]))], names=["h", "g", "row", "first", "asked"])
-
-    prints = segments.select("row", "first", "asked", "segment").mapInArrow(run, "h long, g long, row long, first long, asked boolean")
-    often = prints.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return prints.filter("asked").join(often, ["h", "g"]).select("row", "first", (F.col("first") + length).alias("last"))
+            yield pa.RecordBatch.from_arrays([got["anchor"], got["seg"], got["n"], got["classes"], got["own"], pa.array(blobs, pa.binary())], names=["key", "cls", "n", "classes", "own", "segment"])
+
+    texts = docs.select("row", "text", F.xxhash64("row").alias("key")).mapInArrow(trimmed(some), "row binary, text string")
+    # rows that share a key have one text, so any of them will do; a class that is fetched twice is a class once
+    met_rows = texts.join(by_row.hint("shuffle_hash"), "row").select("text", "w")
+    classes = written(met_rows.mapInArrow(trimmed(fetch), "key long, cls long, n long, classes long, own int, segment binary"), "classes")
+    cool, hot = F.col("classes") <= HOT_CLASSES, F.col("classes") > HOT_CLASSES
+    marks = _in_blocks(classes.filter(cool), length).withColumnsRenamed({"key": "anchor", "cls": "seg"})
+    members = None
+    for width in WIDTHS:
+        classes = classes.filter(hot).dropDuplicates(["key", "cls"])
+        if classes.isEmpty():
+            break
+        parts_ = written(_split(classes, width, length), "parts")
+        own = parts_.select("key", "cls", "old_key", "old_cls", "shift").distinct()
+        if members is None:
+            own = own.select("key", "cls", F.col("old_key").alias("anchor"), F.col("old_cls").alias("seg"), "shift")
+        else:
+            old = members.select(F.col("key").alias("old_key"), F.col("cls").alias("old_cls"), "anchor", "seg", F.col("shift").alias("before"))
+            own = own.join(old, ["old_key", "old_cls"]).select("key", "cls", "anchor", "seg", (F.col("shift") + F.col("before")).alias("shift"))
+        members = written(own, "members")
+        classes = parts_.groupBy("key", "cls").agg(F.sum("n").alias("n"), F.min("own").alias("own"), F.min("segment").alias("segment"))
+        often = classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("places")).filter("places > 1").drop("places")
+        classes = written(classes.join(often, "key"), "classes")
+        found = _in_blocks(classes.filter(cool if width > 1 else F.lit(True)), length).join(members, ["key", "cls"])
+        marks = marks.unionByName(found.select("anchor", "seg", (F.col("first") + F.col("shift")).alias("first"), (F.col("last") + F.col("shift")).alias("last")))
+    marks = written(marks, "marks")
+    spans = met.select("row", "anchor", "seg", F.col("first").alias("at")).join(marks, ["anchor", "seg"])
+    return spans.select("row", (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last") - 1 + length).alias("last"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -300,7 +337,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     repeated ids count like others (two equal rows are copies of each other, so
     both are removed); other columns are ignored; an empty table gives no rows.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.unhex(F.md5(F.concat_ws("\n", F.coalesce(F.col(id_col).cast("string"), F.lit("")), "text"))))
     spans = repeated_spans(base, length).groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     spans = written(spans, "spans")
     fields = [T.StructField("doc_id", base.schema["doc_id"].dataType)] + [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept", T.BinaryType())] * with_text

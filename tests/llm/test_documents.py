@@ -127,7 +127,7 @@ def removed(texts, length):
 @pytest.mark.parametrize("hot", [False, True])
 def test_repeat_index(docs, empty, monkeypatch, hot):
     if hot:
-        monkeypatch.setattr(repeat_index, "HOT_SEGMENTS", 0)
+        monkeypatch.setattr(repeat_index, "HOT_CLASSES", 1)
     got = repeat_index.without_repeats(docs).collect()
     all_ = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     want = collections.Counter()
@@ -142,7 +142,8 @@ def test_run_index_on_small_strings():
     rng = random.Random(1)
     for _ in range(60):
         blobs = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 25))).encode() for _ in range(rng.randint(1, 7))]
-        index = repeat_index.RunIndex(blobs)
+        copies = np.array([rng.randint(1, 3) if k % 4 == 0 else 1 for k in range(len(blobs))])
+        index = repeat_index.RunIndex(blobs, copies)
         ms = index.matching_statistics()
         assert len(index.runs) <= len(index.text)
         places = [(i, j) for i, b in enumerate(blobs) for j in range(len(b))]
@@ -154,7 +155,7 @@ def test_run_index_on_small_strings():
                     while j + n < len(blobs[i]) and m + n < len(blobs[k]) and blobs[i][j + n] == blobs[k][m + n]:
                         n += 1
                     best = max(best, n)
-            assert ms[index.at[i] + j] == best
+            assert ms[index.at[i] + j] == (len(blobs[i]) - j if copies[i] > 1 else best)
 
 
 def test_long_texts_are_sliced(monkeypatch):
