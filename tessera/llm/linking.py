@@ -231,15 +231,27 @@ def linked_components(found: DataFrame, sets_of: Callable[[DataFrame], DataFrame
     """node and component from the (written) rows of ``receive``; sets_of(nodes) gives node and s, the packed sets of the nodes asked for.
 
     Nodes without a link may be left out.  An empty table gives no rows."""
-    short = found.filter(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("size").alias("n"), F.max("flag").alias("least")).filter("n >= least").select("a", "b")
+    met = found.filter(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("size").alias("n"), F.max("flag").alias("least"))
     long = found.filter(F.col("kind") == MEMBER).select(F.col("a").alias("node"), F.col("b").alias("key"), "size")
-    often = long.join(long.groupBy("node").agg(F.count(F.lit(1)).alias("lists")), "node")
+    lists = long.groupBy("node").agg(F.count(F.lit(1)).alias("lists"), F.max("size").alias("size"))
+    if counted:
+        # keys that a pair shares in short lists are counted; in long lists it shares no more than either member has
+        lists = written(lists, "lists")
+        of_list = lambda name: lists.select(F.col("node").alias(name), F.col("lists").alias(f"{name}_lists"))
+        met = written(met, "met")
+        few = met.filter("n < least").join(of_list("a"), "a").join(of_list("b"), "b").filter(F.col("n") + F.least("a_lists", "b_lists") >= F.col("least"))
+        short = met.filter("n >= least").select("a", "b").unionByName(few.select("a", "b"))
+        smallest = F.ceil(F.lit(percent) * F.col("size") / 100)  # of the sets that can link with a member
+        lists = lists.filter(F.col("lists") >= 1 + F.floor(smallest / 20))
+    else:
+        short = met.select("a", "b")
+    often = long.join(lists.select("node", "lists"), "node")
     heads = often.groupBy("key").agg(F.max(F.struct("lists", F.xxhash64("node").alias("x"), "node", "size")).alias("h"))
-    members = long.join(heads.select("key", F.col("h.node").alias("head"), F.col("h.size").alias("head_size")), "key")
+    members = often.join(heads.select("key", F.col("h.node").alias("head"), F.col("h.size").alias("head_size")), "key").filter("node <> head")
     members = written(members.select("head", "node", "size", "head_size").distinct(), "members")
-    star = members.filter("node <> head").filter(100 * F.least("size", "head_size") >= percent * F.greatest("size", "head_size"))
+    star = members.filter(100 * F.least("size", "head_size") >= percent * F.greatest("size", "head_size"))
     pairs = written(short.unionByName(star.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))).distinct(), "pairs")
-    sets = sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct())
+    sets = sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).unionByName(members.select(F.col("head").alias("node"))).distinct())
     links = written(count(pairs, sets, percent), "counted")
     parts_ = components(links, "a", "b")
 
@@ -248,7 +260,7 @@ def linked_components(found: DataFrame, sets_of: Callable[[DataFrame], DataFrame
     placed = placed.select("head", "node", (F.coalesce("x", "node") != F.coalesce("y", "head")).alias("outside"))
     placed = written(placed, "placed")
     mixed = placed.groupBy("head").agg(F.max("outside").alias("mixed")).filter("mixed").select("head")
-    asked = written(placed.join(mixed, "head", "left_semi").filter("node <> head"), "mixed")
+    asked = written(placed.join(mixed, "head", "left_semi"), "mixed")
     if asked.isEmpty():
         return parts_
     both = asked.join(sets, "node").join(sets.select(F.col("node").alias("head"), F.col("s").alias("head_s")), "head").select("node", "head", "s", "head_s", "outside")
