@@ -35,6 +35,7 @@ TILE_SHINGLES = 1 << 16
 PROBED, INDEXED, LIGHT, HOT = 0, 1, 2, 4
 FOUND = "a long, b long, kind long, size long, flag long"
 PAIR, MEMBER = 0, 2
+LOW = np.uint64(0xFFFFFFFF)
 PROBE, INDEX = 1, 2
 DIFFERENCE = np.dtype([("key", "<u8"), ("node", "<i8"), ("head", "<i8"), ("size", "<i4"), ("flag", "<i4")])
 
@@ -121,11 +122,18 @@ def probes(size: int, difference: int, head_size: int, percent: int = 80) -> int
     return max(0, min(difference, difference - shared + 1))
 
 
+#: Members of a head whose lists of differences one bucket takes.
+BUCKET_MEMBERS = 2_000
+
+
 def _difference_entries(percent: int):
-    """Entries of the differences of members to their heads; columns node, head, s, head's s, outside."""
+    """Entries of the differences of members to their heads; columns node, head, s, head's s, outside, members of the head.
+
+    The upper half of a key is of the head and one of so many parts of its elements, so
+    that a member is in few buckets and a large head in many."""
 
     def entries(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        node, head, outside = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 4))
+        node, head, outside, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 4, 5))
         seed, of = node.view(np.uint64), mix(head.view(np.uint64))
         out, total = [], 0
         for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
@@ -143,7 +151,9 @@ def _difference_entries(percent: int):
             d = d[np.lexsort((mix(d ^ seed[i]), ~own))]
             k = probes(len(r), len(d), len(s), percent)
             e = np.empty(len(d) if outside[i] else k, DIFFERENCE)
-            e["key"] = mix(d[: len(e)] ^ of[i])
+            h = mix(d[: len(e)] ^ of[i])
+            part = of[i] + (h >> np.uint64(32)) % np.uint64(1 + n[i] // BUCKET_MEMBERS)
+            e["key"] = (mix(part) & ~LOW) | (h & LOW)
             e["node"], e["head"], e["size"] = node[i], head[i], len(r)
             e["flag"] = INDEX if outside[i] else 0
             e["flag"][:k] |= PROBE
@@ -259,11 +269,11 @@ def linked_components(found: DataFrame, sets_of: Callable[[DataFrame], DataFrame
     placed = members.join(of("node", "x"), "node", "left").join(of("head", "y"), "head", "left")
     placed = placed.select("head", "node", (F.coalesce("x", "node") != F.coalesce("y", "head")).alias("outside"))
     placed = written(placed, "placed")
-    mixed = placed.groupBy("head").agg(F.max("outside").alias("mixed")).filter("mixed").select("head")
-    asked = written(placed.join(mixed, "head", "left_semi"), "mixed")
+    mixed = placed.groupBy("head").agg(F.max("outside").alias("mixed"), F.count(F.lit(1)).alias("n")).filter("mixed").select("head", "n")
+    asked = written(placed.join(mixed, "head"), "mixed")
     if asked.isEmpty():
         return parts_
-    both = asked.join(sets, "node").join(sets.select(F.col("node").alias("head"), F.col("s").alias("head_s")), "head").select("node", "head", "s", "head_s", "outside")
+    both = asked.join(sets, "node").join(sets.select(F.col("node").alias("head"), F.col("s").alias("head_s")), "head").select("node", "head", "s", "head_s", "outside", "n")
     met = written(exchange(both, _difference_entries(percent), _meet, FOUND, dtype=DIFFERENCE), "differences")
     pairs = written(met.filter(F.col("kind") == PAIR).select("a", "b").distinct(), "pairs")
     tiled = met.filter(F.col("kind") == MEMBER).groupBy(F.col("b").alias("head"), F.col("a").alias("node")).agg(F.bit_or("flag").alias("role"), F.max("size").alias("size"))
