@@ -6,11 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.sources import shared
 
-def percentile_by_offset(value: str, q: float) -> Column:
-    """The value at offset floor(n q) (from 0) of the sorted non-null values; null without any."""
-    s = F.sort_array(F.collect_list(value))
-    return F.when(F.size(s) > 0, F.element_at(s, F.least(F.size(s), F.floor(F.size(s) * F.lit(q)).cast("int") + 1)))
+
+def percentiles_by_offset(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """For each group the values at offsets floor(n q) (from 0) of its sorted non-null values; null without any.
+
+    Equal values are counted first.  Rows are then dealt by range, ranked within their
+    range, and moved on by the counts of the ranges before, so that no task holds a group."""
+    groups = df.select(by).distinct()
+    counted = df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
+    ranges = shared.written(counted.repartitionByRange(F.col(by), F.col(value)).withColumn("range", F.spark_partition_id()), "ranges")
+    sums = ranges.groupBy(by, "range").agg(F.sum("n").alias("s"))  # a row for a group and a range
+    before = F.sum("s").over(Window.partitionBy(by).orderBy("range")) - F.col("s")
+    sums = sums.select(by, "range", before.alias("before"), F.sum("s").over(Window.partitionBy(by)).alias("total"))
+    last = F.sum("n").over(Window.partitionBy(by, "range").orderBy(value))
+    at = ranges.withColumn("last", last).join(sums, [by, "range"]).withColumn("last", F.col("last") + F.col("before"))
+    spot = {name: F.least(F.col("total") - 1, F.floor(F.col("total") * F.lit(q))) for name, q in shares.items()}
+    found = [F.max(F.when((F.col("last") > c) & (F.col("last") - F.col("n") <= c), F.col(value))).alias(name) for name, c in spot.items()]
+    return groups.join(at.groupBy(by).agg(*found), by, "left")
 
 
 def first_n(df: DataFrame, by: list[str], order: list, n: int, name: str = "position") -> DataFrame:
@@ -42,9 +56,10 @@ def retry_delay(attempts: Column, base: float = 30.0) -> Column:
     return F.lit(base) * F.pow(F.lit(2.0), attempts - 1)
 
 
-def allowance(outcomes: Column, cap: int) -> Column:
-    """Replay of a parallelism allowance: halved under pressure, one more after success, within 1..cap."""
-    return F.aggregate(outcomes, F.lit(cap), lambda a, pressed: F.when(pressed, F.greatest(F.lit(1), F.floor(a / 2).cast("int"))).otherwise(F.least(F.lit(cap), a + 1)))
+def allowances(outcomes: Column, cap: int) -> Column:
+    """What each allowance from 1 to cap becomes by a replay: halved under pressure, one more after success, within 1..cap."""
+    one = lambda a, pressed: F.when(pressed, F.greatest(F.lit(1), F.floor(a / 2).cast("int"))).otherwise(F.least(F.lit(cap), a + 1))
+    return F.transform(F.sequence(F.lit(1), F.lit(cap)), lambda start: F.aggregate(outcomes, start, one))
 
 
 def answer_action(same: Column, sufficient: Column, articles: Column, blocked: Column, rounds: Column, human_queue: int, max_rounds: int, waiting: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from tessera.functions import levels as L
 from tessera.functions.semantics import count_if
 from tessera.operators import weight as W
+from tessera.operators.text import pmid
 from tessera.plans.registry import query
 from tessera.sources.evidence import Evidence, with_
 
@@ -85,9 +86,9 @@ def speculation_board(ev: Evidence) -> DataFrame:
     return b.select("hypothesis_id", "novelty", F.round(F.col("plausibility") * F.col("novelty"), 9).alias("score")).orderBy(F.desc("score"), "hypothesis_id")
 
 
-@query("refuted_hypotheses", with_("hypotheses active_focus", "SELECT hypothesis_id, statement FROM hypotheses JOIN active_focus USING (focus_id) WHERE tier<>'supported' AND survives=FALSE"))
+@query("refuted_hypotheses", with_("hypotheses", "SELECT hypothesis_id, statement FROM hypotheses WHERE tier='speculative' AND survives=FALSE ORDER BY hypothesis_id DESC LIMIT 10"))
 def refuted_hypotheses(ev: Evidence) -> DataFrame:
-    return ev.hypotheses.join(ev.active_focus, "focus_id").filter("tier <> 'supported' and survives = false").select("hypothesis_id", "statement")
+    return ev.hypotheses.filter("tier = 'speculative' and survives = false").orderBy(F.desc("hypothesis_id")).limit(10).select("hypothesis_id", "statement")
 
 
 @query("pending_reground", with_("hypotheses active_focus", "SELECT hypothesis_id, regrounded FROM hypotheses JOIN active_focus USING (focus_id) WHERE tier<>'rejected' ORDER BY coalesce(regrounded,-1), hypothesis_id LIMIT 10"))
@@ -96,15 +97,20 @@ def pending_reground(ev: Evidence) -> DataFrame:
     return h.orderBy(F.coalesce("regrounded", F.lit(-1)), "hypothesis_id").limit(10).select("hypothesis_id", "regrounded")
 
 
-@query("citation_gate", with_("chain sources", """SELECT hypothesis_id, string_agg(CASE WHEN supported AND s.external_id IS NOT NULL THEN '1' ELSE '0' END, '' ORDER BY step) AS kept,
-  count(s.external_id) AS resolved FROM (SELECT *, regexp_extract(lower(evidence), '^(?:pmid[: ]*)?([0-9]{1,8})$', 1) AS ref FROM chain) c LEFT JOIN sources s ON s.external_id=c.ref AND c.ref<>'' GROUP BY 1"""))
+REF = "nullif(regexp_extract(evidence, '(?i)(?:^|[^0-9A-Za-z_.])(?:pmid[:\\s]*)?([0-9]{1,8})(?:[^0-9A-Za-z_.]|$)', 1), '')"
+
+
+@query("citation_gate", with_("chain sources", f"""SELECT hypothesis_id, string_agg(CASE WHEN kept THEN '1' ELSE '0' END, '' ORDER BY step) AS kept, string_agg(CASE WHEN kept THEN 'PMID:'||ref ELSE coalesce(evidence,'') END, '|' ORDER BY step) AS evidence,
+  count(*) FILTER (supported AND NOT kept) AS refused FROM (SELECT c.*, supported AND s.external_id IS NOT NULL AS kept FROM (SELECT *, {REF} AS ref FROM chain) c LEFT JOIN sources s ON s.external_id=c.ref) GROUP BY 1"""))
 def citation_gate(ev: Evidence) -> DataFrame:
-    """Steps of a chain keep their support only if their reference is a source of the corpus."""
-    ref = F.regexp_extract(F.lower("evidence"), r"^(?:pmid[: ]*)?([0-9]{1,8})$", 1)
-    c = ev.chain.withColumn("ref", F.when(ref != "", ref)).join(ev.sources.select("external_id"), F.col("ref") == F.col("external_id"), "left")
-    kept = F.when(F.col("supported") & F.col("external_id").isNotNull(), "1").otherwise("0")
-    g = c.groupBy("hypothesis_id").agg(F.array_sort(F.collect_list(F.struct("step", kept.alias("k")))).alias("s"), F.count("external_id").alias("resolved"))
-    return g.select("hypothesis_id", F.array_join(F.transform("s", lambda x: x["k"]), "").alias("kept"), "resolved")
+    """Supported steps of a chain keep their support only if they name a source of the corpus; its name then has one form."""
+    c = ev.chain.withColumn("ref", pmid(F.col("evidence"))).join(ev.sources.select("external_id"), F.col("ref") == F.col("external_id"), "left")
+    c = c.withColumn("kept", F.col("supported") & F.col("external_id").isNotNull())
+    said = F.when(F.col("kept"), F.concat(F.lit("PMID:"), "ref")).otherwise(F.coalesce("evidence", F.lit("")))
+    # a chain has a few steps
+    g = c.groupBy("hypothesis_id").agg(F.array_sort(F.collect_list(F.struct("step", "kept", said.alias("said")))).alias("s"), count_if(F.col("supported") & ~F.col("kept")).alias("refused"))
+    flags = F.transform("s", lambda x: x["kept"].cast("int").cast("string"))
+    return g.select("hypothesis_id", F.array_join(flags, "").alias("kept"), F.array_join(F.transform("s", lambda x: x["said"]), "|").alias("evidence"), "refused")
 
 
 COV = CW + """, cov AS (SELECT lower(trim(intervention)) AS key, count(*) AS n, sum(weight) AS total, count(*) FILTER (direction='positive') AS pos, count(*) FILTER (direction='negative') AS neg,
@@ -164,13 +170,13 @@ def state_lookup(ev: Evidence) -> DataFrame:
 
 
 @query("question_priority", with_(BASE + " questions", f"""SELECT question_id, round(greatest(0.01, least(1, ({L.NOVELTY_WEIGHT}/(1+coalesce(total,0)) + {L.CONFLICT_WEIGHT}*coalesce(conflict,0) + {L.GAP_WEIGHT}*coalesce(gap,1))
-  / CASE kind WHEN 'gap' THEN 1.5 WHEN 'preference' THEN 3 ELSE 1 END)), 6) AS score FROM questions q LEFT JOIN cov2 ON key='agent '||(question_id%40)""", COV))
+  / CASE kind WHEN 'synthesis' THEN 1.5 WHEN 'methodological' THEN 3 ELSE 1 END)), 6) AS score FROM questions q LEFT JOIN cov2 ON key='agent '||(question_id%40)""", COV))
 def question_priority(ev: Evidence) -> DataFrame:
     """Novelty, conflict and gap of what a question is about, against the cost of its kind."""
     c = W.coverage(ev).select("key", "total", "conflict", "gap")
     q = ev.questions.withColumn("about", F.concat(F.lit("agent "), (F.col("question_id") % 40).cast("string"))).join(c, F.col("about") == F.col("key"), "left")
     value = L.NOVELTY_WEIGHT / (1 + F.coalesce("total", F.lit(0.0))) + L.CONFLICT_WEIGHT * F.coalesce("conflict", F.lit(0.0)) + L.GAP_WEIGHT * F.coalesce("gap", F.lit(1.0))
-    cost = F.when(F.col("kind") == "gap", 1.5).when(F.col("kind") == "preference", 3.0).otherwise(1.0)
+    cost = F.when(F.col("kind") == "synthesis", 1.5).when(F.col("kind") == "methodological", 3.0).otherwise(1.0)
     return q.select("question_id", F.round(F.greatest(F.lit(0.01), F.least(F.lit(1.0), value / cost)), 6).alias("score"))
 
 
@@ -182,22 +188,28 @@ def gap_queries(ev: Evidence) -> DataFrame:
     return c.unionByName(u).orderBy("part", "o", "key").limit(8).select("text")
 
 
-@query("corpus_counts", with_("sources claims hypotheses links questions tasks", """SELECT 'sources' AS what, count(*) AS n FROM sources UNION ALL SELECT 'claims', count(*) FROM claims UNION ALL SELECT 'verified', count(*) FILTER (verified) FROM claims
-  UNION ALL SELECT 'hypotheses', count(*) FROM hypotheses UNION ALL SELECT 'links', count(*) FROM links UNION ALL SELECT 'open_questions', count(*) FILTER (status='open') FROM questions UNION ALL SELECT 'pending_tasks', count(*) FILTER (status='pending') FROM tasks"""))
-def corpus_counts(ev: Evidence) -> DataFrame:
-    def one(df: DataFrame, what: str, only: str = "true") -> DataFrame:
-        return df.agg(count_if(F.expr(only)).alias("n")).select(F.lit(what).alias("what"), F.coalesce("n", F.lit(0)).alias("n"))
+COUNTS = (
+    ("sources", "sources", "true"), ("chunks", "chunks", "true"), ("claims", "claims", "true"), ("hypotheses", "hypotheses", "true"), ("links", "links", "true"), ("questions", "questions", "true"), ("tasks", "tasks", "true"), ("runs", "runs", "true"),
+    ("verified", "claims", "verified"), ("approved", "sources", "approved"), ("speculative", "hypotheses", "tier='speculative'"), ("supported", "hypotheses", "tier='supported'"),
+    ("open_questions", "questions", "status='open'"), ("escalated_questions", "questions", "status='escalated'"), ("pending_tasks", "tasks", "status='pending'"),
+)
 
-    parts = [one(ev.sources, "sources"), one(ev.claims, "claims"), one(ev.claims, "verified", "verified"), one(ev.hypotheses, "hypotheses"), one(ev.links, "links"), one(ev.questions, "open_questions", "status = 'open'"), one(ev.tasks, "pending_tasks", "status = 'pending'")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+
+@query("corpus_counts", with_("sources chunks claims hypotheses links questions tasks runs", " UNION ALL ".join(f"SELECT '{w}' AS what, count(*) AS n FROM {t} WHERE {c}" for w, t, c in COUNTS)))
+def corpus_counts(ev: Evidence) -> DataFrame:
+    """Rows of the tables and of parts of them; each table is read once."""
+    out = None
+    for t in dict.fromkeys(t for _, t, _ in COUNTS):
+        own = [(w, c) for w, at, c in COUNTS if at == t]
+        row = getattr(ev, t).agg(*[F.coalesce(count_if(F.expr(c)), F.lit(0)).alias(w) for w, c in own])
+        part = row.unpivot([], [w for w, _ in own], "what", "n")
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-@query("barren_sources", with_("sources claims", "SELECT source_id FROM sources s WHERE NOT EXISTS (SELECT 1 FROM claims c WHERE c.source_id=s.source_id AND c.verified AND c.confidence>=0.9)"))
+@query("barren_sources", with_("sources claims", "SELECT source_id FROM sources s WHERE NOT EXISTS (SELECT 1 FROM claims c WHERE c.source_id=s.source_id AND c.verified)"))
 def barren_sources(ev: Evidence) -> DataFrame:
-    return ev.sources.join(ev.claims.filter("verified and confidence >= 0.9").select("source_id"), "source_id", "left_anti").select("source_id")
+    return ev.sources.join(ev.claims.filter("verified").select("source_id"), "source_id", "left_anti").select("source_id")
 
 
 @query("intervention_representatives", with_(BASE, """SELECT coalesce(nullif(lower(trim(intervention)),''), 'id:'||claim_id) AS key, count(*) AS n, count(*) FILTER (direction='positive') AS n_pos,
@@ -228,12 +240,14 @@ def article_key():
     return F.coalesce(F.nullif(F.trim(F.lower("doi")), F.lit("")), F.concat_ws(":", "kind", "external_id"))
 
 
-@query("evidence_fingerprint", with_(BASE + " sources hypotheses links", """SELECT hypothesis_id, md5(string_agg(claim_id::VARCHAR, ',' ORDER BY claim_id)) AS fingerprint, count(DISTINCT article_key) AS articles
-  FROM links JOIN cw USING (claim_id) JOIN art USING (source_id) GROUP BY 1""", CW + ", " + ART))
+@query("evidence_fingerprint", with_(BASE + " sources hypotheses links", """SELECT hypothesis_id, md5(count(*)||':'||bit_xor(h)||':'||sum(h)) AS fingerprint, count(DISTINCT article_key) AS articles
+  FROM (SELECT hypothesis_id, article_key, ('0x'||left(md5(claim_id::VARCHAR),12))::BIGINT AS h FROM links JOIN cw USING (claim_id) JOIN art USING (source_id)) GROUP BY 1""", CW + ", " + ART))
 def evidence_fingerprint(ev: Evidence) -> DataFrame:
+    """A fingerprint of the set of a hypothesis' claims that no order and no list of them enters, and its articles."""
     cw = W.claim_weight(ev).select("claim_id", "source_id").join(ev.sources.select("source_id", article_key().alias("article_key")), "source_id")
-    g = ev.links.join(cw, "claim_id").groupBy("hypothesis_id").agg(F.array_sort(F.collect_list("claim_id")).alias("ids"), F.countDistinct("article_key").alias("articles"))
-    return g.select("hypothesis_id", F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")).alias("fingerprint"), "articles")
+    h = F.conv(F.left(F.md5(F.col("claim_id").cast("string")), F.lit(12)), 16, 10).cast("long")
+    g = ev.links.join(cw, "claim_id").groupBy("hypothesis_id").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(h).alias("s"), F.countDistinct("article_key").alias("articles"))
+    return g.select("hypothesis_id", F.md5(F.concat_ws(":", "n", "x", "s")).alias("fingerprint"), "articles")
 
 
 @query("literature_mark", with_(BASE, "SELECT coalesce(max(claim_id),0) AS mark, count(*) FILTER (claim_id>1000) AS newer FROM cw", CW))

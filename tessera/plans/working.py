@@ -29,7 +29,8 @@ def usage_summary(ev: Evidence) -> DataFrame:
 @query("usage_percentiles", with_("calls", "SELECT label, " + ", ".join(f"round(list_sort(list(elapsed) FILTER (elapsed IS NOT NULL))[least(count(elapsed), floor(count(elapsed)*{q})::BIGINT+1)],6) AS p{int(q * 100)}" for q in (0.5, 0.9, 0.99)) + " FROM calls GROUP BY 1"))
 def usage_percentiles(ev: Evidence) -> DataFrame:
     """All labels in one pass, by rank offset."""
-    return ev.calls.groupBy("label").agg(*[F.round(K.percentile_by_offset("elapsed", q), 6).alias(f"p{int(q * 100)}") for q in (0.5, 0.9, 0.99)])
+    p = K.percentiles_by_offset(ev.calls, "label", "elapsed", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return p.select("label", *[F.round(c, 6).alias(c) for c in ("p50", "p90", "p99")])
 
 
 @query("direction_histogram", with_("claims", "SELECT direction, count(*) AS n FROM claims WHERE verified AND extracted_at>='1995-01-01' AND extracted_at<'1997-01-01' GROUP BY 1"))
@@ -103,22 +104,22 @@ def daily_cap(ev: Evidence) -> DataFrame:
 def promote_slots(ev: Evidence) -> DataFrame:
     """Open questions that take the free places of the human queue (20 queues of the usual size)."""
     held = ev.questions.filter("status = 'escalated'").groupBy("focus_id").agg(F.count(F.lit(1)).alias("held"))
-    w = Window.partitionBy("focus_id").orderBy(F.desc("priority"), "question_id")
-    q = ev.questions.filter("status = 'open'").withColumn("r", F.row_number().over(w)).join(F.broadcast(held), "focus_id", "left")
-    return q.filter(F.col("r") <= L.HUMAN_QUEUE * 20 - F.coalesce("held", F.lit(0))).select("question_id", "focus_id")
+    first = K.first_n(ev.questions.filter("status = 'open'"), ["focus_id"], [F.desc("priority"), "question_id"], L.HUMAN_QUEUE * 20)
+    return first.join(held, "focus_id", "left").filter(F.col("position") <= L.HUMAN_QUEUE * 20 - F.coalesce("held", F.lit(0))).select("question_id", "focus_id")
 
 
 @query("park_overflow", with_("questions", f"SELECT question_id FROM questions WHERE status='open' QUALIFY row_number() OVER (PARTITION BY focus_id ORDER BY priority DESC, question_id)>{L.AUTO_QUEUE}"))
 def park_overflow(ev: Evidence) -> DataFrame:
-    w = Window.partitionBy("focus_id").orderBy(F.desc("priority"), "question_id")
-    return ev.questions.filter("status = 'open'").withColumn("r", F.row_number().over(w)).filter(F.col("r") > L.AUTO_QUEUE).select("question_id")
+    open_ = ev.questions.filter("status = 'open'")
+    first = K.first_n(open_, ["focus_id"], [F.desc("priority"), "question_id"], L.AUTO_QUEUE).select("question_id")
+    return open_.select("question_id").join(first, "question_id", "left_anti")
 
 
-@query("dispatchable_questions", with_("questions tasks", f"""SELECT question_id FROM questions q WHERE status='open' AND kind IN ('research','gap') AND NOT stuck AND rounds<{L.MAX_ROUNDS}
+@query("dispatchable_questions", with_("questions tasks", f"""SELECT question_id FROM questions q WHERE status='open' AND kind IN ('factual','synthesis') AND NOT stuck AND rounds<{L.MAX_ROUNDS}
   AND NOT EXISTS (SELECT 1 FROM tasks t WHERE t.status IN ('pending','running') AND t.user_id=q.question_id) ORDER BY priority DESC, question_id LIMIT {L.IN_FLIGHT}"""))
 def dispatchable_questions(ev: Evidence) -> DataFrame:
     live = ev.tasks.filter("status in ('pending', 'running')").select(F.col("user_id").alias("question_id"))
-    q = ev.questions.filter(f"status = 'open' and kind in ('research', 'gap') and not stuck and rounds < {L.MAX_ROUNDS}").join(live, "question_id", "left_anti")
+    q = ev.questions.filter(f"status = 'open' and kind in ('factual', 'synthesis') and not stuck and rounds < {L.MAX_ROUNDS}").join(live, "question_id", "left_anti")
     return q.orderBy(F.desc("priority"), "question_id").limit(L.IN_FLIGHT).select("question_id")
 
 
@@ -137,7 +138,7 @@ def fresh_ids(ev: Evidence) -> DataFrame:
 @query("approved_sources", with_("sources", "SELECT source_id, registry FROM sources WHERE approved AND registry IN (SELECT registry FROM sources GROUP BY 1 HAVING count(*)>=20)"))
 def approved_sources(ev: Evidence) -> DataFrame:
     big = ev.sources.groupBy("registry").count().filter("count >= 20").select("registry")
-    return ev.sources.filter("approved").join(F.broadcast(big), "registry", "left_semi").select("source_id", "registry")
+    return ev.sources.filter("approved").join(big, "registry", "left_semi").select("source_id", "registry")
 
 
 @query("history_budget", with_("messages", "SELECT conv_id, turn FROM (SELECT *, row_number() OVER w AS r, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text ROWS UNBOUNDED PRECEDING) AS used FROM messages WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC, role, text)) WHERE r=1 OR used<=600"))
@@ -179,9 +180,9 @@ def upsert_sources(ev: Evidence) -> DataFrame:
     return K.upsert(ev.sources.select("source_id", "title", "year"), new, ["source_id"])
 
 
-@query("insert_ignore", with_("hypotheses", "SELECT DISTINCT focus_id, statement FROM (SELECT 1+(p_partkey%3=0)::INT AS focus_id, p_name AS statement FROM part) n WHERE NOT EXISTS (SELECT 1 FROM hypotheses h WHERE h.focus_id=n.focus_id AND h.statement=n.statement)"))
+@query("insert_ignore", with_("hypotheses", "SELECT DISTINCT focus_id, statement FROM (SELECT 1+(p_partkey%3=0)::INT AS focus_id, CASE WHEN p_partkey%5=0 THEN p_name||' again' ELSE p_name END AS statement FROM part) n WHERE NOT EXISTS (SELECT 1 FROM hypotheses h WHERE h.focus_id=n.focus_id AND h.statement=n.statement)"))
 def insert_ignore(ev: Evidence) -> DataFrame:
-    new = ev.read("part").select((F.lit(1) + (F.col("p_partkey") % 3 == 0).cast("int")).alias("focus_id"), F.col("p_name").alias("statement"))
+    new = ev.read("part").select((F.lit(1) + (F.col("p_partkey") % 3 == 0).cast("int")).alias("focus_id"), F.when(F.col("p_partkey") % 5 == 0, F.concat("p_name", F.lit(" again"))).otherwise(F.col("p_name")).alias("statement"))
     return K.insert_ignore(ev.hypotheses, new, ["focus_id", "statement"])
 
 
@@ -245,11 +246,16 @@ def backlog(ev: Evidence) -> DataFrame:
     return q.crossJoin(ev.tasks.agg(count_if(s == "running").alias("running"))).unpivot([], ["escalated", "held", "running"], "queue", "n")
 
 
-@query("backpressure")
+@query("backpressure", with_("calls", "SELECT user_id, list_reduce(list_prepend(8, list(CASE WHEN ok THEN 0 ELSE 1 END ORDER BY created_at, call_id)), lambda a, x: CASE WHEN x=1 THEN greatest(1, a//2) ELSE least(8, a+1) END) AS allowance FROM calls JOIN (SELECT event_id AS call_id, user_id FROM events) USING (call_id) GROUP BY 1"))
 def backpressure(ev: Evidence) -> DataFrame:
-    """The allowance of each user's calls after a replay of their outcomes in time order."""
-    g = ev.calls.join(ev.read("events").select(F.col("event_id").alias("call_id"), "user_id"), "call_id").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "call_id", (~F.col("ok")).alias("pressed")))).alias("o"))
-    return g.select("user_id", K.allowance(F.transform("o", lambda x: x["pressed"]), 8).alias("allowance"))
+    """The allowance of each user's calls after a replay of their outcomes in time order.
+
+    An hour's outcomes are folded into what they make of each allowance from 1 to 8, and hours are then chained."""
+    pressed = ev.calls.join(ev.read("events").select(F.col("event_id").alias("call_id"), "user_id"), "call_id").withColumn("hour", F.date_trunc("hour", "created_at"))
+    hours = pressed.groupBy("user_id", "hour").agg(F.array_sort(F.collect_list(F.struct("created_at", "call_id", (~F.col("ok")).alias("pressed")))).alias("o"))
+    hours = hours.select("user_id", "hour", K.allowances(F.transform("o", lambda x: x["pressed"]), 8).alias("becomes"))
+    g = hours.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("hour", "becomes"))).alias("h"))
+    return g.select("user_id", F.aggregate("h", F.lit(8), lambda a, x: F.element_at(x["becomes"], a)).alias("allowance"))
 
 
 @query("compare_and_set", with_("tasks", "SELECT user_id, arg_min(status, (scheduled_at, task_id)) AS decision FROM tasks WHERE status IN ('done','failed','dead') GROUP BY 1"))

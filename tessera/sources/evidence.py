@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from tessera.functions import levels
 
 ACTIVE_FOCUS = 1
+QUESTION_KINDS = ["factual", "synthesis", "context", "preference", "methodological", "factual"]
+#: Characters of a chunk, and the room for the numbers of a source's chunks.
+CHUNK, CHUNKS = 1200, 1_000_000
 
 
 def choose(values: list[str | None], index) -> F.Column:
@@ -67,8 +70,22 @@ class Evidence:
             choose([g for g, _ in levels.GRADES], k % 9).alias("grade"), ((k % 10 + 1) / F.lit(10.0)).alias("confidence"), (k % 7 != 0).alias("verified"),
             (F.lit(1) + (k % 13 == 0).cast("int")).alias("scale_id"), F.col("o_orderdate").alias("extracted_at"),
             F.concat(F.lit("Claim "), k.cast("string")).alias("statement"),
+            F.when(k % 19 == 0, "[]").otherwise(F.concat(F.lit("["), ((k % F.col("n_docs")) * CHUNKS + k % 3).cast("string"), F.lit(", "), ((k % F.col("n_docs")) * CHUNKS + k % 7).cast("string"), F.lit("]"))).alias("chunk_ids"),
         )
 
+    @cached_property
+    def chunks(self) -> DataFrame:
+        """Pieces of the documents: chunk_id, source_id, ord (from 0), text."""
+        d = self.read("documents").filter("text <> ''")
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / CHUNK).cast("int")), lambda i: F.substring("text", i * CHUNK + 1, F.lit(CHUNK)))
+        return d.select(F.col("doc_id").alias("source_id"), F.posexplode(pieces).alias("ord", "text")).select((F.col("source_id") * CHUNKS + F.col("ord")).alias("chunk_id"), "source_id", "ord", "text")
+
+    @cached_property
+    def claim_chunks(self) -> DataFrame:
+        """One row for a claim and each chunk that it names, once."""
+        ids = F.array_distinct(F.from_json("chunk_ids", "array<bigint>"))
+        return self.claims.select("claim_id", "source_id", F.explode(ids).alias("chunk_id"))
+
     @cached_property
     def directness(self) -> DataFrame:
         """One judgment for a claim and a focus."""
@@ -132,7 +149,7 @@ class Evidence:
     def questions(self) -> DataFrame:
         v, k = self.read("embeddings"), F.col("vec_id")
         return v.select(
-            k.alias("question_id"), (F.lit(1) + (k % 6 == 0).cast("int")).alias("focus_id"), choose(["research", "gap", "context", "preference"], k % 4).alias("kind"),
+            k.alias("question_id"), (F.lit(1) + (k % 6 == 0).cast("int")).alias("focus_id"), choose(QUESTION_KINDS, k % 6).alias("kind"),
             choose(["open", "open", "answered", "escalated", "parked"], k % 5).alias("status"), ((k * 37 % 100) / F.lit(100.0)).alias("priority"), (k % 5).cast("int").alias("rounds"),
             F.when(k % 9 != 0, F.concat(F.lit(" Target "), F.col("label").cast("string"))).alias("target"), F.col("embedding"), (k % 8 == 7).alias("stuck"),
         )
@@ -172,7 +189,11 @@ def ctes(active: str = str(ACTIVE_FOCUS)) -> dict[str, str]:
             CASE WHEN o_orderkey%23=0 THEN NULL WHEN o_orderkey%29=0 THEN '  ' WHEN o_orderkey%2=0 THEN 'AGENT '||(o_custkey%40) ELSE 'Agent '||(o_custkey%40)||' ' END AS intervention,
             CASE WHEN o_orderkey%10=3 THEN 'null' WHEN o_orderstatus='F' THEN 'positive' WHEN o_orderstatus='O' THEN 'negative' ELSE 'mixed' END AS direction,
             {_choose_sql(g, 'o_orderkey%9')} AS grade, (o_orderkey%10+1)/10.0::DOUBLE AS confidence, o_orderkey%7<>0 AS verified, 1+(o_orderkey%13=0)::INT AS scale_id,
-            o_orderdate AS extracted_at, 'Claim '||o_orderkey AS statement FROM orders, n)""",
+            o_orderdate AS extracted_at, 'Claim '||o_orderkey AS statement,
+            CASE WHEN o_orderkey%19=0 THEN '[]' ELSE '['||(o_orderkey%n_docs*{CHUNKS}+o_orderkey%3)||', '||(o_orderkey%n_docs*{CHUNKS}+o_orderkey%7)||']' END AS chunk_ids FROM orders, n)""",
+        "chunks": f"""chunks AS (SELECT doc_id*{CHUNKS}+i AS chunk_id, doc_id AS source_id, i AS ord, substr(text, i*{CHUNK}+1, {CHUNK}) AS text
+            FROM (SELECT doc_id, text, unnest(range(0, (length(text)-1)//{CHUNK}+1)) AS i FROM documents WHERE text<>''))""",
+        "claim_chunks": "claim_chunks AS (SELECT DISTINCT claim_id, source_id, unnest(from_json(chunk_ids, '[\"BIGINT\"]')) AS chunk_id FROM claims)",
         "directness": f"""directness AS (SELECT o_orderkey AS claim_id, 1 AS focus_id, {_choose_sql(d, 'o_orderkey%4')} AS directness, o_orderkey%17=0 AS out_of_scope FROM orders WHERE o_orderkey%5<>0
             UNION ALL SELECT o_orderkey, 2, {_choose_sql(d, 'o_orderkey%4')}, FALSE FROM orders WHERE o_orderkey%3=0)""",
         "hypotheses": f"""hypotheses AS (SELECT p_partkey AS hypothesis_id, 1+(p_partkey%4=0)::INT AS focus_id, p_name AS statement, {_choose_sql(['speculative', 'supported', 'rejected'], 'p_partkey%3')} AS tier,
@@ -187,7 +208,7 @@ def ctes(active: str = str(ACTIVE_FOCUS)) -> dict[str, str]:
         "tasks": f"""tasks AS (SELECT *, CASE WHEN status IN ('done','dead') THEN scheduled_at + INTERVAL 1 HOUR END AS finished_at FROM (SELECT event_id AS task_id, event_type AS kind,
             {_choose_sql(['pending', 'pending', 'running', 'done', 'done', 'failed', 'dead'], 'event_id%7')} AS status, CAST(props->>'$.k' AS BIGINT)/100.0::DOUBLE AS priority, (event_id%4)::INT AS attempts,
             CASE WHEN user_id%2=0 THEN 'auto' ELSE 'on_demand' END AS origin, user_id, ts AS scheduled_at FROM events))""",
-        "questions": f"""questions AS (SELECT vec_id AS question_id, 1+(vec_id%6=0)::INT AS focus_id, {_choose_sql(['research', 'gap', 'context', 'preference'], 'vec_id%4')} AS kind,
+        "questions": f"""questions AS (SELECT vec_id AS question_id, 1+(vec_id%6=0)::INT AS focus_id, {_choose_sql(QUESTION_KINDS, 'vec_id%6')} AS kind,
             {_choose_sql(['open', 'open', 'answered', 'escalated', 'parked'], 'vec_id%5')} AS status, (vec_id*37%100)/100.0::DOUBLE AS priority, (vec_id%5)::INT AS rounds,
             CASE WHEN vec_id%9<>0 THEN ' Target '||label END AS target, embedding, vec_id%8=7 AS stuck FROM embeddings)""",
         "messages": "messages AS (SELECT conv_id, turn, role, coalesce(text,'') AS text FROM conversations)",
@@ -198,7 +219,7 @@ def ctes(active: str = str(ACTIVE_FOCUS)) -> dict[str, str]:
 
 
 #: CTEs that a CTE is built on.
-NEEDS = {"active_focus": ["focuses"], "claims": ["n"], "chain": ["n", "hypotheses"]}
+NEEDS = {"active_focus": ["focuses"], "claims": ["n"], "chain": ["n", "hypotheses"], "claim_chunks": ["claims"]}
 
 
 def with_(names: str, select: str, more: str = "", active: str = str(ACTIVE_FOCUS)) -> str:

@@ -17,9 +17,22 @@ from tessera.functions.levels import GRADES
 
 # Publication types of articles and the evidence grades that they stand for.
 TYPE_GRADES = {
-    "Meta-Analysis": "meta_analysis", "Systematic Review": "systematic_review", "Randomized Controlled Trial": "rct",
-    "Observational Study": "cohort", "Case Reports": "case_report", "Editorial": "opinion", "Comment": "opinion",
-}
+    "Meta-Analysis": "meta_analysis",
+    "Network Meta-Analysis": "meta_analysis",
+    "Systematic Review": "systematic_review",
+    "Practice Guideline": "systematic_review",
+    "Guideline": "systematic_review",
+    "Consensus Development Conference": "systematic_review",
+    "Randomized Controlled Trial": "rct",
+    "Controlled Clinical Trial": "rct",
+    "Case Reports": "case_report",
+    "Observational Study": "cohort",
+    "Comparative Study": "cohort",
+    "Editorial": "opinion",
+    "Comment": "opinion",
+    "Letter": "opinion",
+    "Review": "opinion",
+}
 ARTICLE = """MedlineCitation struct<PMID: string, Article: struct<ArticleTitle: string, Journal: struct<Title: string, JournalIssue: struct<PubDate: struct<Year: string, MedlineDate: string>>>,
   Abstract: struct<AbstractText: array<struct<_VALUE: string, _Label: string>>>, PublicationTypeList: struct<PublicationType: array<string>>>>,
   PubmedData struct<ArticleIdList: struct<ArticleId: array<struct<_VALUE: string, _IdType: string>>>>"""

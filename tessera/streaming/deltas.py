@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _folder(spark: SparkSession, name: str) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        import tempfile
-
-        at = "file://" + tempfile.mkdtemp(prefix="tessera-streams-")
-    return f"{at}/{name}-{uuid.uuid4().hex}"
+from tessera.sources import shared
 
 
 def run_available(frame: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -23,7 +14,7 @@ def run_available(frame: DataFrame, name: str, mode: str = "append") -> DataFram
     In update mode each batch is written by its number, so a batch that runs again
     replaces itself; the last state of a key is the one of the last batch."""
     spark = frame.sparkSession
-    out, state = _folder(spark, name), _folder(spark, f"{name}-state")
+    out, state = shared.folder(spark, name), shared.folder(spark, f"{name}-state")
     if mode == "append":
         frame.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(frame.schema).parquet(out)
@@ -47,8 +38,11 @@ def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("day", "event_type").agg(F.max_by("n", "batch_no").alias("n"))
 
 
-def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The keys user, type and hour, each once, across restarts of the stream."""
-    e = event_stream(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "ts"))
-    keys = e.select("user_id", "event_type", "hour").dropDuplicates(["user_id", "event_type", "hour"])
-    return run_available(keys, "seen")
+def first_seen(spark: SparkSession, sf_dir: str, late: str = "2 days") -> DataFrame:
+    """The keys user, type and hour, each once, across restarts of the stream.
+
+    Keys are forgotten when the watermark has passed their hour by ``late``, so the
+    state holds no more than the keys of that time; events that come later still are
+    left out by the stream, as their key can't be told from one that was seen."""
+    e = event_stream(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "ts")).withWatermark("hour", late)
+    return run_available(e.select("user_id", "event_type", "hour").dropDuplicates(["user_id", "event_type", "hour"]), "seen")

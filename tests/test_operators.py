@@ -78,11 +78,15 @@ def test_cosine_of_nothing_is_zero(spark):
     assert [r[0] for r in df.select(cosine(F.col("a"), F.col("b"))).collect()] == [0.0, 1.0, 0.0]
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 4, 5])
-def test_percentile_by_offset(spark, n):
-    df = spark.createDataFrame([(float(i),) for i in range(1, n + 1)] + [(None,)], "v double")
-    got = df.agg(K.percentile_by_offset("v", 0.5)).first()[0]
-    assert got == (sorted(range(1, n + 1))[n // 2] if n else None)
+def test_percentiles_by_offset(spark):
+    rng = random.Random(5)
+    rows = [(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 4), ("d", 5), ("e", 500)) for v in (rng.randint(0, 90) for _ in range(n))] + [("a", None), ("none", None), (None, 1.0)]
+    got = {r.g: (r.p50, r.p99) for r in K.percentiles_by_offset(spark.createDataFrame(rows, "g string, v double"), "g", "v", {"p50": 0.5, "p99": 0.99}).collect() if r.g}
+    want = {}
+    for g in "abcde":
+        v = sorted(x for h, x in rows if h == g and x is not None)
+        want[g] = tuple(v[min(len(v) - 1, int(len(v) * q))] for q in (0.5, 0.99))
+    assert got == {**want, "none": (None, None)}
 
 
 def test_history_budget(spark):
@@ -101,31 +105,42 @@ def test_upsert_keeps_what_is_not_given(spark):
 
 def test_allowance_replay(spark):
     df = spark.createDataFrame([([True, True, False, True, True, True, True, False],)], "o array<boolean>")
-    assert df.select(K.allowance(F.col("o"), 8)).first()[0] == 2
+    got = df.select(K.allowances(F.col("o"), 8)).first()[0]
+    for start in range(1, 9):
+        a = start
+        for pressed in (True, True, False, True, True, True, True, False):
+            a = max(1, a // 2) if pressed else min(8, a + 1)
+        assert got[start - 1] == a
 
 
 def test_retry_delay(spark):
     assert [r[0] for r in spark.range(1, 4).select(K.retry_delay(F.col("id"))).collect()] == [30.0, 60.0, 120.0]
 
 
-def packed(text, limit=1600, overlap=200, least=40):
-    parts = [s[i : i + limit] for s in re.split(r"(?<=[.!?])\s+(?=[A-Z(])", text.strip(" ")) for i in range(0, max(1, len(s)), limit)]
-    now, out = "", []
-    for s in parts:
-        if not now or len(now) + 1 + len(s) <= limit:
-            now = f"{now} {s}" if now else s
-        else:
-            out.append(now)
-            now = f"{now[-overlap:]} {s}"
-    return [c for c in [*out, now] if len(c) >= least]
+def test_chunks_of_known_texts(spark):
+    """Expected chunks worked out by hand: limit 30, overlap 8."""
+    cut = lambda t: spark.createDataFrame([(t,)], "t string").select(X.packed_chunks(F.col("t"), 30, 8)).first()[0]
+    assert cut("") == cut("  \n ") == [] and cut(" One two. Three. ") == ["One two. Three."]
+    # what is carried over may make a chunk longer than the limit
+    assert cut("a. B." + " c" * 13) == ["a.", "a. B." + " c" * 13]
+    # two sentences fit exactly, the third begins with the last eight characters
+    assert cut("Alpha beta gam. Delta eps zet. Eta theta iota.") == ["Alpha beta gam. Delta eps zet.", "eps zet. Eta theta iota."]
+    # a sentence over the limit ends what is there and is cut every 22 characters; nothing of it carries over
+    long = "X" + "y" * 49
+    assert cut("Abc def. " + long + ". Ghi.") == ["Abc def.", (long + ".")[:30], (long + ".")[22:52], (long + ".")[44:], "Ghi."]
+    # an exact fit stays whole
+    assert cut("Z" * 30) == ["Z" * 30] and cut("Z" * 31) == ["Z" * 30, "Z" * 9]
 
 
-def test_chunks_like_a_loop(spark):
+def test_chunks_cover_their_texts(spark):
+    """Every sentence of a text stands whole in a chunk unless it is over the limit, and no chunk is over it by more than the overlap."""
     rng = random.Random(3)
-    texts = ["", "   ", "Short.", "x" * 16_000, " ".join(f"Sentence number {i} is here." for i in range(200))]
-    texts += [" ".join(("W" + "y" * rng.randint(0, 300)) + rng.choice([".", "", "!"]) for _ in range(rng.randint(1, 80))) for _ in range(30)]
+    texts = [" ".join(("W" + "y" * rng.randint(0, 300)) + rng.choice([".", "", "!"]) for _ in range(rng.randint(1, 80))) for _ in range(30)]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.packed_chunks(F.col("t"))).collect()]
-    assert got == [packed(t) for t in texts]
+    for t, chunks in zip(texts, got):
+        assert all(len(c) <= 1600 + 201 for c in chunks)
+        for s in re.split(X.SENTENCE_END, t):
+            assert any(s.strip() in c for c in chunks) if len(s) <= 1600 else all(any(s[k : k + 1600].strip() in c for c in chunks) for k in range(0, len(s), 1400))
 
 
 @pytest.mark.parametrize("quote,text,ok", [("a b", "x a b y", True), ("A  b", "x a\nB y", True), ("a c", "a b", False), ("  ", "a", False), ("b a", "a b", False)])
@@ -146,9 +161,40 @@ def test_negation_has_a_scope(spark):
 
 
 def test_html_reader():
-    html = "<html><head><title> A  b </title><script>var x;</script></head><body><nav>menu</nav><p>" + "word " * 20 + "</p><p>short</p>&amp;</body>"
+    body = "word " * 20
+    html = f"<html><head><title> A <b>b</b> </title><script>var x;</script></head><body><nav><form>menu</form>{body}</nav><p>{body}</p><p>short</p>&amp;</body>"
     title, text = X.read_page(html)
-    assert title == "A b" and text == ("word " * 20).strip() and X.read_page(None) == ("", "")
+    assert title == "A b" and text == body.strip() and X.read_page(None) == ("", "")
+    assert X.read_page(f"<title>{body}</title><p>x") == (body.strip(), body.strip())  # a title is text as well
+    # broken pages: what comes before and behind the break is read, closing tags too many don't hide text
+    assert X.read_page(f"</nav></nav><p>{body}<p")[1].startswith(body.strip())
+    assert X.read_page(f"<p>{body}&am")[1] == (body + "&am").strip()
+    assert X.read_page(f"one{chr(10)}{body}<br/>{body}")[1] == body.strip() + chr(10) + body.strip()
+
+
+@pytest.mark.parametrize("text,want", [
+    ("apikey=abcd&key=SECRETSECRET token=ab+cdefgh/ijkl== secret=ab12!", "apikey=«redigido»&key=«redigido» token=«redigido» secret=«redigido»"),
+    ('{"access_token": "x/y+z="}', '{"access_token": "«redigido»"}'), ("X-Subscription-Token: abc", "X-Subscription-Token: «redigido»"), ("a token of thanks", "a token of thanks"),
+])
+def test_secrets(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(X.redacted(F.col("t"))).first()[0] == want
+
+
+@pytest.mark.parametrize("url,more,want", [
+    ("https://pubmed.ncbi.nlm.nih.gov/30712879/", "10.1234/abc", ("pubmed", "30712879")), ("https://a.org/12345", "", None), ("https://pubmed.ncbi.nlm.nih.gov/1234567890", "", None),
+    ("https://a.org/x", "see 10.1234/abc.d).", ("doi", "10.1234/abc.d")), ("https://doi.org/10.1000/x_1", None, ("doi", "10.1000/x_1")), ("https://a.org", "10.1234/.,", None), (None, None, None),
+])
+def test_leads(spark, url, more, want):
+    got = spark.createDataFrame([(url, more)], "u string, m string").select(X.lead(F.col("u"), F.col("m"))).first()[0]
+    assert (tuple(got) if got else None) == want
+
+
+def test_page_verdicts(spark):
+    long = "word " * 300
+    rows = [("https://a.org", True, "t", long, "read"), ("https://a.org", True, "Just a Moment", long, "interstitial"), ("https://a.org", True, "t", "x" * 295 + "captcha" + long, "read"), ("https://a.org", True, "t", "captcha " + long, "interstitial"),
+            ("https://x.pubmed.ncbi.nlm.nih.gov/1", True, "t", long, "evidence"), ("https://a.org", False, "t", long, "robots"), ("https://a.org", True, "t", "x" * 999, "short"), ("https://a.org", None, "t", "x" * 1000, "read")]
+    df = spark.createDataFrame(rows, "u string, ok boolean, t string, x string, want string")
+    assert [r[0] for r in df.filter(X.page_verdict(F.col("u"), F.col("ok"), F.col("t"), F.col("x")) != F.col("want")).collect()] == []
 
 
 def test_text_semantics(spark):
