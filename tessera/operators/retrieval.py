@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import levels as L
-from tessera.functions.semantics import norm, tokens
+from tessera.functions.semantics import tokens
+from tessera.sources import shared
 
 K1, B = 1.2, 0.75
 
@@ -17,38 +22,105 @@ def ranked(df: DataFrame, by: str, score: Column, *ties: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(score, *ties)))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """doc_id, token, tf and dl (tokens of the document)."""
+def postings(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """doc_id, dl (tokens of the document), token and tf of the tokens asked for, written for use in several places.
+
+    One pass over the texts; each document also has a row of the token "", so that
+    the counts of the whole table come from the same rows."""
     t = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    t = t.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("token"))
-    return t.groupBy("doc_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    # explode_outer: no filter on the tokens is inferred that would work them out again
+    t = t.select("doc_id", F.size("t").alias("dl"), F.explode_outer(F.concat(F.array(F.lit("")), "t")).alias("token"))
+    wanted = asked.select("token").unionByName(asked.sparkSession.createDataFrame([("",)], "token string")).distinct()
+    return shared.written(t.join(wanted, "token", "left_semi").groupBy("doc_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf")), "postings")
 
 
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, doc_id and score of every document that has a token of the query.
-
-    Only postings of tokens that a query has are counted up; the token statistics
-    come from the same pass."""
+    """query_id, doc_id and score of every document that has a token of the query."""
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    size = docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    p = postings(docs).join(asked.select("token").distinct(), "token", "left_semi")
+    p = postings(docs, asked)
+    size = p.filter("token = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = p.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    terms = asked.join(df, "token").crossJoin(F.broadcast(size))
+    terms = asked.filter("token <> ''").join(df, "token").crossJoin(F.broadcast(size))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     met = p.join(terms, "token")
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return met.groupBy("query_id", "doc_id").agg(F.sum(gain).alias("score"))
 
 
-def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, doc_id and cosine of all pairs of a stated query set and all vectors.
+#: Queries whose vectors are sent to the tasks at once.
+QUERY_BLOCK = 2_048
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of one length scaled to length 1; what is null, of another length or without a length becomes zeros."""
+    lists = column.to_pylist()
+    out = np.zeros((len(lists), dim))
+    for i, v in enumerate(lists):
+        if v is not None and len(v) == dim and None not in v:
+            out[i] = v
+    n = np.sqrt((out * out).sum(1))
+    n[~(n > 0) | ~np.isfinite(n)] = np.inf
+    return np.where(np.isfinite(n)[:, None], out, 0) / n[:, None]
+
+
+def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    ids: list[int] = []
+    rows: list[list[float]] = []
+    for r in queries.select("query_id", "embedding").filter("embedding is not null").toLocalIterator():
+        ids.append(r[0])
+        rows.append(r[1])
+        if len(ids) == QUERY_BLOCK:
+            yield np.array(ids, np.int64), _matrix(pa.array(rows), len(rows[0]))
+            ids, rows = [], []
+    if ids:
+        yield np.array(ids, np.int64), _matrix(pa.array(rows), len(rows[0]))
+
+
+def _by_blocks(vectors: DataFrame, queries: DataFrame, pick: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """query_id, doc_id and cosine of what ``pick`` takes from each product of a batch of vectors and a block of queries.
+
+    A stated query set against all rows: the queries go to the tasks in blocks of QUERY_BLOCK, each block in one pass over the vectors."""
+    schema = "query_id long, doc_id long, cosine double"
+    out = None
+
+    def product(asked: np.ndarray, q: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                cosine = _matrix(batch.column(1), q.shape[1]) @ q.T
+                row, column = pick(ids, cosine)
+                yield pa.RecordBatch.from_arrays([pa.array(asked[column]), pa.array(ids[row]), pa.array(cosine[row, column])], names=["query_id", "doc_id", "cosine"])
+
+        return run
+
+    v = vectors.select(F.col("doc_id").cast("long"), "embedding").filter("doc_id is not null")
+    for asked, q in _query_blocks(queries):
+        part = v.mapInArrow(product(asked, q), schema)
+        out = part if out is None else out.unionByName(part)
+    return vectors.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_id, cosine and rank of the k nearest vectors of each query; ids decide ties of nine decimals.
+
+    Each batch keeps its k best of every query, so what is ranked in the end is small."""
+
+    def best(ids: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        value = np.round(cosine, 9)
+        rows, columns = [], []
+        for j in range(value.shape[1]):
+            v = value[:, j]
+            some = np.flatnonzero(v >= np.partition(v, len(v) - k)[len(v) - k]) if len(v) > k else np.arange(len(v))
+            rows.append(some[np.lexsort((ids[some], -v[some]))[:k]])
+            columns.append(np.full(len(rows[-1]), j))
+        return np.concatenate(rows), np.concatenate(columns)
+
+    return ranked(_by_blocks(vectors, queries, best), "query_id", F.desc(F.round("cosine", 9)), "doc_id").filter(F.col("rank") <= k)
+
 
-    The queries are the small side; a vector without length has cosine 0."""
-    v = vectors.select("doc_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).withColumn("vn", norm(F.col("v")))
-    q = queries.select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("q")).withColumn("qn", norm(F.col("q")))
-    pairs = v.crossJoin(q)
-    product = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return pairs.select("query_id", "doc_id", F.when(F.col("vn") * F.col("qn") > 0, product / (F.col("vn") * F.col("qn"))).otherwise(0.0).alias("cosine"))
+def close_pairs(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """query_id, doc_id and cosine of the pairs with a cosine of at least ``least``."""
+    return _by_blocks(vectors, queries, lambda ids, cosine: np.nonzero(cosine >= least))
 
 
 def fuse(rankings: DataFrame, k: int = L.RRF_K) -> DataFrame:

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from tessera.functions.semantics import text_key
 from tessera.operators import text as X
 from tessera.plans.registry import query
-from tessera.sources.evidence import Evidence
+from tessera.sources.evidence import Evidence, with_
+from tessera.sources.records import robots_policy
 
-#: Bytes of quotations that are broadcast.
-QUOTE_BYTES = 4 << 20
 KEY = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
 
 
@@ -35,26 +34,24 @@ def chunk_pack(ev: Evidence) -> DataFrame:
     return d.select("doc_id", "ord", F.length("chunk").alias("chars"), F.floor(F.length("chunk") / 4).alias("tokens"), F.md5("chunk").alias("digest"))
 
 
-@query("quote_anchor", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON trim(b.text)<>'' AND (contains(d.text, b.text) OR contains(" + KEY.format("d.text") + ", " + KEY.format("b.text") + "))")
+#: Quotations without a whole word inside that are looked for in one pass over the texts.
+SHORT_QUOTES = 500
+
+
+@query("quote_anchor", "SELECT item_id, doc_id FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT 1000000+item_id, split_part(trim(text), ' ', 2) FROM benchmark WHERE item_id%50=0) b JOIN documents d ON trim(b.text)<>'' AND (contains(d.text, b.text) OR contains(" + KEY.format("d.text") + ", " + KEY.format("b.text") + "))")
 def quote_anchor(ev: Evidence) -> DataFrame:
-    """Documents that hold a benchmark text. A small set of texts is compared with every document; for a
-    large one candidates share six words with the text first."""
-    b = ev.read("benchmark").select("item_id", text_key(F.col("text")).alias("q")).filter("q <> ''")
-    d = ev.read("documents").select("doc_id", text_key(F.col("text")).alias("t"))
-    if (b.agg(F.sum(F.octet_length("q"))).first()[0] or 0) <= QUOTE_BYTES:
-        return d.join(F.broadcast(b), F.contains("t", "q")).select("item_id", "doc_id").distinct()
-    words, width = F.split("q", " "), 6
-    gram = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(width)), " "))
-    # from the second word on a longer text is whole words wherever it stands
-    probe = b.withColumn("gram", F.when(F.size(words) >= width + 2, gram(words, F.lit(2))))
-    said = F.split("t", " ")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(said) - width + 1)), lambda i: gram(said, i))
-    wide = d.withColumn("gram", F.explode(F.array_distinct(grams))).join(probe.filter("gram is not null"), "gram").filter(F.contains("t", "q"))
-    short = d.join(probe.filter("gram is null"), F.contains("t", "q"))
-    return wide.select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id")).distinct()
-
-
-@query("pmid_extract")
+    """Documents that hold a benchmark text, or the second word of some of them.
+
+    From its second word to the last but one a quotation is whole words wherever it
+    stands, so it shares a run of up to six words with its document; only such pairs
+    are compared.  Quotations of one or two words go over the texts in blocks."""
+    b = ev.read("benchmark").select("item_id", "text")
+    word = b.filter("item_id % 50 = 0").select((F.col("item_id") + 1_000_000).alias("item_id"), F.split_part(F.trim("text"), F.lit(" "), F.lit(2)).alias("text"))
+    q = b.unionByName(word).select("item_id", text_key(F.col("text")).alias("q")).filter("q <> ''")
+    return X.anchors(q, ev.read("documents").select("doc_id", text_key(F.col("text")).alias("t")), SHORT_QUOTES)
+
+
+@query("pmid_extract", "SELECT doc_id, pmid FROM (SELECT doc_id, nullif(regexp_extract(text, '(?i)(?:^|[^0-9A-Za-z_.])(?:pmid[:\\s]*)?([0-9]{1,8})(?:[^0-9A-Za-z_.]|$)', 1), '') AS pmid FROM documents) WHERE pmid IS NOT NULL")
 def pmid_extract(ev: Evidence) -> DataFrame:
     return ev.read("documents").select("doc_id", X.pmid(F.col("text")).alias("pmid")).filter("pmid is not null")
 
@@ -73,14 +70,28 @@ def host_domains(ev: Evidence) -> DataFrame:
     return g.withColumn("evidence_domain", X.in_domain(F.col("host"), "example.com"))
 
 
-@query("lead_from_url", "SELECT page_id, nullif(regexp_extract(url, '/([0-9]{1,9})/?$', 1), '') AS number, nullif(regexp_replace(regexp_extract(html, '(10\\.[0-9]{4,9}/[^\\s\"<>]+)', 1), '[.,;:)]+$', ''), '') AS doi FROM pages")
+LEAD_URL = "CASE WHEN page_id%4=0 THEN 'https://pubmed.ncbi.nlm.nih.gov/'||(page_id*7919)||'/' WHEN page_id%4=1 THEN 'https://pmc.ncbi.nlm.nih.gov/articles/PMC'||(page_id+10000) ELSE url END"
+LEAD_TEXT = "CASE WHEN page_id%3=0 THEN 'as found (10.1234/abc.'||page_id||').' WHEN page_id%3=1 THEN coalesce(html,'') ELSE 'see 10.1000/).' END"
+
+
+def _doi(c: str) -> str:
+    return f"regexp_replace(regexp_extract({c}, '{X.DOI}', 1), '{X.DOI_TAIL}', '')"
+
+
+
+@query("lead_from_url", f"""SELECT page_id, kind, CASE kind WHEN 'pubmed' THEN number WHEN 'doi' THEN coalesce(d1, d2) END AS id, indexed FROM (SELECT *, CASE WHEN number<>'' THEN 'pubmed' WHEN coalesce(d1, d2) IS NOT NULL THEN 'doi' END AS kind FROM
+  (SELECT page_id, regexp_extract(u, '{X.PUBMED_URL}', 1) AS number, CASE WHEN regexp_matches({_doi('u')}, '{X.WHOLE_DOI}') THEN {_doi('u')} END AS d1, CASE WHEN regexp_matches({_doi('m')}, '{X.WHOLE_DOI}') THEN {_doi('m')} END AS d2,
+  regexp_matches(u, '{X.PUBMED_URL}') OR regexp_matches(u, '{X.PMC_URL}') AS indexed FROM (SELECT page_id, {LEAD_URL} AS u, {LEAD_TEXT} AS m FROM pages)))""")
 def lead_from_url(ev: Evidence) -> DataFrame:
-    number = F.regexp_extract("url", r"/([0-9]{1,9})/?$", 1)
-    doi = F.regexp_replace(F.regexp_extract("html", r"(10\.[0-9]{4,9}/[^\s\"<>]+)", 1), r"[.,;:)]+$", "")
-    return ev.read("pages").select("page_id", F.nullif(number, F.lit("")).alias("number"), F.nullif(doi, F.lit("")).alias("doi"))
+    """Leads of hits (pages, some with addresses and texts of articles), and which addresses are of indexed articles."""
+    k = F.col("page_id")
+    url = F.when(k % 4 == 0, F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), (k * 7919).cast("string"), F.lit("/"))).when(k % 4 == 1, F.concat(F.lit("https://pmc.ncbi.nlm.nih.gov/articles/PMC"), (k + 10000).cast("string"))).otherwise(F.col("url"))
+    said = F.when(k % 3 == 0, F.concat(F.lit("as found (10.1234/abc."), k.cast("string"), F.lit(")."))).when(k % 3 == 1, F.coalesce("html", F.lit(""))).otherwise(F.lit("see 10.1000/)."))
+    p = ev.read("pages").select("page_id", X.lead(url, said).alias("l"), X.is_indexed_article(url).alias("indexed"))
+    return p.select("page_id", "l.kind", "l.id", "indexed")
 
 
-@query("secret_redaction", "SELECT doc_id, md5(r) AS digest FROM (SELECT doc_id, text, regexp_replace(text, '(?i)((?:api[_\\-]?key|token|secret|password|bearer)[\"'']?\\s*[=: ]\\s*[\"'']?)[A-Za-z0-9_\\-.]{6,}', '\\1[hidden]', 'g') AS r FROM documents) WHERE r<>text")
+@query("secret_redaction", "SELECT doc_id, md5(r) AS digest FROM (SELECT doc_id, text, regexp_replace(text, '" + X.SECRET.replace("'", "''") + "', '\\1" + X.HIDDEN + "', 'g') AS r FROM documents) WHERE r<>text")
 def secret_redaction(ev: Evidence) -> DataFrame:
     d = ev.read("documents").select("doc_id", "text", X.redacted(F.col("text")).alias("r"))
     return d.filter("r <> text").select("doc_id", F.md5("r").alias("digest"))
@@ -92,16 +103,36 @@ def html_text(ev: Evidence) -> DataFrame:
     return p.select("page_id", "p.title", F.length("p.text").alias("chars"), F.md5("p.text").alias("digest"))
 
 
-@query("html_stripped")
+def _stripped_sql() -> str:
+    out = "coalesce(html,'')"
+    for t in sorted(X.DROPPED_TAGS):
+        out = f"regexp_replace({out}, '(?is)<{t}\\b[^>]*>.*?</{t}\\s*>', ' ', 'g')"
+    out = f"regexp_replace({out}, '(?i)</?(?:{'|'.join(sorted(X.LINE_TAGS))})\\b[^>]*>', chr(10), 'g')"
+    out = f"regexp_replace(regexp_replace({out}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', '', 'g')"
+    return f"trim(regexp_replace(regexp_replace({out}, '[ \\t\\r\\f]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'))"
+
+
+@query("html_stripped", f"SELECT page_id, md5({_stripped_sql()}) AS digest FROM pages")
 def html_stripped(ev: Evidence) -> DataFrame:
     return ev.read("pages").select("page_id", F.md5(X.stripped_html(F.coalesce("html", F.lit("")))).alias("digest"))
 
 
-@query("page_refusal", "SELECT page_id, list_bool_or(list_transform([" + ",".join(f"'{m}'" for m in X.INTERSTITIAL) + "], lambda m: contains(lower(substr(html,1,2000)), m))) AS interstitial, length(html)>=1000 AS enough FROM pages")
+#: Characters of a page that are handed on, and the rules of a host's last letter in place of its rules file.
+PAGE_CHARS = 24_000
+
+
+@query("page_refusal")
 def page_refusal(ev: Evidence) -> DataFrame:
-    head = F.lower(F.substring("html", 1, 2000))
-    marks = F.array(*map(F.lit, X.INTERSTITIAL))
-    return ev.read("pages").select("page_id", F.exists(marks, lambda m: F.contains(head, m)).alias("interstitial"), (F.length("html") >= 1000).alias("enough"))
+    """What becomes of each page: refused (and why), or read, with a note if only its beginning is handed on.
+
+    Hosts have landed rules files: those that end in org forbid all, other subdomains m. ask for a delay."""
+    p = ev.read("pages").select("page_id", "url", X.page_text(F.col("html")).alias("p"))
+    host = X.full_host(F.col("url"))
+    rules = F.when(host.endswith(".org"), F.lit("User-agent: *\nDisallow: /")).when(host.startswith("m."), F.lit("User-agent: *\nCrawl-delay: 4\nDisallow: /private"))
+    policy = robots_policy(F.when(rules.isNull(), 404).otherwise(200), rules)
+    p = p.withColumn("policy", policy).withColumn("verdict", X.page_verdict(F.col("url"), F.col("policy.allow"), F.col("p.title"), F.col("p.text")))
+    read = F.col("verdict") == "read"
+    return p.select("page_id", "verdict", F.when(read, F.col("policy.rate_per_s")).alias("rate_per_s"), F.when(read, F.md5(F.left("p.text", F.lit(PAGE_CHARS)))).alias("digest"), (read & (F.length("p.text") > PAGE_CHARS)).alias("truncated"))
 
 
 CONCEPTS = {"licence": ("mit license", "apache license", "all rights reserved"), "contact": ("email", "phone", "call"), "frequent": ("the", "and", "der", "die"), "absent": ("unheard of term",)}
@@ -124,15 +155,16 @@ def safety_alerts(ev: Evidence) -> DataFrame:
     return rules.groupBy("rule").agg(F.count(F.lit(1)).alias("texts"), F.min("doc_id").alias("first_id"))
 
 
-@query("memory_collisions", f"WITH h AS ({SQL_CONCEPTS}) SELECT c.conv_id, count(DISTINCT h.doc_id) AS documents FROM (SELECT DISTINCT conv_id, k.concept FROM conversations, (VALUES ('licence','license'),('contact','phone')) k(concept, word) WHERE contains(lower(text), k.word)) c JOIN h USING (concept) GROUP BY 1")
+@query("memory_collisions", f"WITH h AS ({SQL_CONCEPTS}) SELECT c.conv_id, count(DISTINCT h.doc_id) AS documents FROM (SELECT DISTINCT conv_id, k.concept FROM conversations, (VALUES ('licence',' the '),('contact',' le ')) k(concept, word) WHERE contains(lower(text), k.word)) c JOIN h USING (concept) GROUP BY 1")
 def memory_collisions(ev: Evidence) -> DataFrame:
     """Conversations and documents that share a concept; both sides come down to concepts before they meet."""
     docs = X.concept_hits(ev.read("documents"), "doc_id", "text", CONCEPTS)
     low = F.lower("text")
-    said = ev.read("conversations").select("conv_id", F.explode(F.array_compact(F.array(F.when(F.contains(low, F.lit("license")), F.lit("licence")), F.when(F.contains(low, F.lit("phone")), F.lit("contact"))))).alias("concept")).distinct()
+    said = ev.read("conversations").select("conv_id", F.explode(F.array_compact(F.array(F.when(F.contains(low, F.lit(" the ")), F.lit("licence")), F.when(F.contains(low, F.lit(" le ")), F.lit("contact"))))).alias("concept")).distinct()
     # few concepts: the documents of each set of concepts are counted once
     sets = docs.filter(F.col("concept").isin("licence", "contact")).groupBy("doc_id").agg(F.sort_array(F.collect_set("concept")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     conv = said.groupBy("conv_id").agg(F.sort_array(F.collect_set("concept")).alias("c"))
+    # at most one row for each set of the two concepts
     return conv.join(F.broadcast(sets), F.arrays_overlap("c", "s")).groupBy("conv_id").agg(F.sum("n").alias("documents"))
 
 
@@ -153,13 +185,18 @@ def plain_labels(ev: Evidence) -> DataFrame:
     return ev.read("benchmark").select("item_id", F.left(F.trim(bare), F.lit(90)).alias("label"))
 
 
-@query("evidence_sections", "SELECT source, left(string_agg(left(text,50), ' ' ORDER BY doc_id), 2400) AS body, count(*) AS n FROM documents WHERE length(text)>=40 GROUP BY 1")
+@query("evidence_sections", with_("sources claims chunks claim_chunks directness active_focus", """SELECT claim_id, title, design, md5(left(string_agg(text, chr(10) ORDER BY ord), 2400)) AS digest FROM (SELECT c.claim_id, s.title, s.design, k.text, k.ord FROM claims c CROSS JOIN active_focus f JOIN sources s USING (source_id)
+  JOIN claim_chunks cc USING (claim_id) JOIN chunks k USING (chunk_id) WHERE c.verified AND c.scale_id=f.focus_scale AND NOT EXISTS (SELECT 1 FROM directness d WHERE d.claim_id=c.claim_id AND d.focus_id=f.focus_id)) GROUP BY 1,2,3"""))
 def evidence_sections(ev: Evidence) -> DataFrame:
-    """The start of each source's texts, in order, cut at 2400 characters: the first 60 fill it."""
-    from pyspark.sql.window import Window
-
-    d = ev.read("documents").filter(F.length("text") >= 40)
-    n = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    r = d.select("source", "doc_id", F.left("text", F.lit(50)).alias("t")).withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter("r <= 60")
-    body = r.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "t"))).alias("p"))
-    return body.join(n, "source").select("source", F.left(F.array_join(F.transform("p", lambda x: x["t"]), " "), F.lit(2400)).alias("body"), "n")
+    """What a judge is shown of each claim that still needs a judgment: its source, and the text of its chunks in order, cut at 2400 characters."""
+    c = ev.claims.filter("verified").join(ev.active_focus, F.col("scale_id") == F.col("focus_scale"))
+    c = c.join(ev.directness.select("claim_id", "focus_id"), ["claim_id", "focus_id"], "left_anti").select("claim_id", "source_id")
+    texts = c.join(ev.claim_chunks.select("claim_id", "chunk_id"), "claim_id").join(ev.chunks.select("chunk_id", "ord", "text"), "chunk_id")
+    # a claim names a few chunks
+    g = texts.groupBy("claim_id", "source_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("p"))
+    body = F.left(F.array_join(F.transform("p", lambda x: x["text"]), "\n"), F.lit(EVIDENCE_CHARS))
+    return g.join(ev.sources.select("source_id", "title", "design"), "source_id").select("claim_id", "title", "design", F.md5(body).alias("digest"))
+
+
+#: Fixed value: characters of the text of a claim's chunks that are shown.
+EVIDENCE_CHARS = 2400
