@@ -1,18 +1,26 @@
 """Benchmark decontamination on templates.
 
 Texts become sequences of tokens in which numbers, names and units are typed
-placeholders (slots).  Windows of these templates are hash-joined between
-documents and benchmark items; windows of one occurrence lie on one diagonal
+placeholders (slots): a whole number ('1,200', '4.50', 'twenty-five', '3 million') is
+one token, and so is a run of name words.  Windows of these templates are hash-joined
+between documents and benchmark items; windows of one occurrence lie on one diagonal
 (document position minus item position), and on each diagonal the slot values
-must map consistently from item to document.  So a question asked again with
-other numbers or names is found as well as a copied one.  Items with one such
-window or none (few tokens, or hardly a literal) are also found verbatim: by a
-hash of all their tokens as they are, letters A-Z lower-cased, where characters of scripts
-written without spaces are tokens of their own.
+must map one to one from item to document.  So a question asked again with other
+numbers or names is found as well as a copied one.
+
+A text is seen in two ways.  NAMED: words with a capital inside a sentence are names,
+and so are those that open one if the text has them inside another or a name follows;
+other opening words with a capital may be names, so windows with such words are taken
+both ways.  PLAIN: no names and no case, only numbers and units are placeholders; that
+finds copies in other case.  Windows that are less than half literal have no template;
+in the plain view these are taken literally, so a copied item is found
+whatever it consists of.  Characters of scripts written without spaces are tokens of
+their own.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow_text import combine, flat, ranges, runs, substring_hashes, word_hashes
-from tessera.llm.runtime import small_batches
+from tessera.llm.arrow_text import combine, flat, mix, ranges, word_hashes
+from tessera.llm.runtime import key_filter, may_have, small_batches, trimmed, written
 
 #: Tokens of a template window; items of MIN_TOKENS to WINDOW - 1 tokens are one window.
 WINDOW, MIN_TOKENS = 8, 5
 #: Share of an item's windows that a document must hold.
 COVERAGE = 0.5
-#: Window hashes of the benchmark that are broadcast; a larger benchmark is joined by shuffle.
+#: Window hashes of the benchmark that are broadcast; of a larger one a bitmap of bounded size is, and the join does the rest.
 BROADCAST_WINDOWS = 2_000_000
 
 # Units of measure that become a placeholder after a number.
@@ -35,7 +43,14 @@ UNITS = (
     "kg g mg t lb lbs oz km m cm mm mi ft in l ml h hr hrs hour hours min mins minute minutes s sec second seconds day days week weeks month months "
     "year years percent usd eur dollar dollars euro euros cent cents kmh mph c f k w kw kwh v a hz j kj kcal pa bar"
 ).split()
+# Words for numbers.
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion trillion"
+).split()
+ONES, TENS, POWERS = NUMBER_WORDS[1:10], NUMBER_WORDS[20:28], NUMBER_WORDS[28:]
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
+NAMED, PLAIN = 1, 2
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -51,7 +66,8 @@ def _hash_of(words: list[str]) -> np.ndarray:
     return word_hashes(raw, end - [len(w.encode()) for w in words], end)
 
 
-_UNIT_HASHES = np.sort(_hash_of(UNITS))
+_UNIT_HASHES, _NUMBER_HASHES = np.sort(_hash_of(UNITS)), np.sort(_hash_of(NUMBER_WORDS))
+_ONES, _TENS, _POWERS = (np.sort(_hash_of(w)) for w in (ONES, TENS, POWERS))
 _SLOT_HASH = np.array([0, *(_hash_of(["\x01number", "\x01name", "\x01unit"]))], np.uint64)
 
 
@@ -60,7 +76,7 @@ UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30F
 
 
 def _tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the verbatim tokens: runs of letters and digits, but each character of unspaced scripts alone."""
+    """Bounds of the tokens: runs of letters and digits, but each character of unspaced scripts alone."""
     inside = _LETTER[raw]
     cut = np.zeros(len(raw) + 1, bool)
     cut[offsets] = True
@@ -80,159 +96,250 @@ def _tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.sort(np.concatenate((np.flatnonzero(edge == 1), at))), np.sort(np.concatenate((np.flatnonzero(edge == -1), at)))
 
 
-def _verbatim(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, position in it, and hash of each run of ``width`` verbatim tokens inside one text."""
-    start, end = _tokens(raw, offsets)
-    first = np.searchsorted(start, offsets)
-    h = combine(word_hashes(raw, start, end), width)
-    at = np.arange(len(h))
-    text = np.searchsorted(first, at, "right")
-    ok = text == np.searchsorted(first, at + width - 1, "right")
-    text = text[ok] - 1
-    return text, at[ok] - first[text], h[ok] ^ np.uint64(width) ^ _AS_IS
-
-
-#: Keeps hashes of verbatim tokens apart from those of template windows.
-_AS_IS = np.uint64(0x5851F42D4C957F2D)
-
-
-class Template:
-    """Tokens of many texts: bounds in bytes, kinds, template hashes, first token of each text."""
-
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
-        self.raw = raw
-        inside = _LETTER[raw]
-        start, end = runs(inside)
-        at = offsets[1:-1]
-        at = np.unique(at[(at > 0) & (at < len(raw))])
-        at = at[inside[at] & inside[at - 1]] if len(raw) else at[:0]
-        if len(at):
-            start, end = np.sort(np.concatenate((start, at))), np.sort(np.concatenate((end, at)))
-        self.start, self.end = start, end
+
+def _among(h: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    return sorted_[np.minimum(np.searchsorted(sorted_, h), len(sorted_) - 1)] == h if len(sorted_) else np.zeros(len(h), bool)
+
+
+#: Keep the hashes of the two views, and of literal windows, apart.
+_SEED = {NAMED: np.uint64(0x2545F4914F6CDD1D), PLAIN: np.uint64(0x5851F42D4C957F2D)}
+_AS_IS = np.uint64(0x9E6C63D0876A9A35)
+
+
+class View:
+    """Tokens of many texts in one of the two ways: bounds in bytes, first token of each text, kinds, and which may be names."""
+
+    def __init__(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, offsets: np.ndarray, kind: np.ndarray, maybe: np.ndarray, view: int):
+        self.raw, self.start, self.end, self.kind, self.view = raw, start, end, kind, view
         self.first = np.searchsorted(start, offsets)
-        h = word_hashes(raw, start, end)
-        kind = np.zeros(len(start), np.int8)
-        if len(start):
-            lead = raw[start]
-            number = (lead >= 48) & (lead <= 57)
-            two = np.append(raw, 0)[start + 1]
-            capital = ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (two >= 0x80) & (two <= 0x9E))
-            # a capital means a name only inside a sentence: the last byte before it that
-            # is no gap must be there, in the same text, and be no stop
-            solid = np.maximum.accumulate(np.where(_GAP[raw], -1, np.arange(len(raw))))
-            before = np.where(start > 0, solid[start - 1], -1)
-            opening = offsets[np.searchsorted(offsets, start, "right") - 1]
-            inner = (before >= opening) & ~_STOP[raw[np.maximum(before, 0)]]
-            kind[capital & inner] = NAME
-            kind[number] = NUMBER
-            after = np.append(False, kind[:-1] == NUMBER)
-            after[self.first[:-1][self.first[:-1] < len(start)]] = False
-            spot = np.minimum(np.searchsorted(_UNIT_HASHES, h), len(_UNIT_HASHES) - 1)
-            kind[after & (_UNIT_HASHES[spot] == h) & ~number] = UNIT
-        self.kind = kind
-        self.hashes = np.where(kind > 0, _SLOT_HASH[kind], h)
-        self.literals = np.concatenate(([0], np.cumsum(kind == LITERAL)))
-
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Start tokens and hashes of the windows inside one text, half literal at least."""
-        h = combine(self.hashes, width)
-        at = np.arange(len(h))
-        text = np.searchsorted(self.first, at, "right")
-        ok = (text == np.searchsorted(self.first, at + width - 1, "right")) & (2 * (self.literals[at + width] - self.literals[at]) >= width)
-        return at[ok], h[ok] ^ np.uint64(width)
-
-    def slots(self, token: int, width: int) -> list[str]:
-        return ["%d:%s" % (self.kind[i], self.raw[self.start[i] : self.end[i]].tobytes().decode(errors="replace").lower()) for i in range(token, token + width) if self.kind[i]]
+        self.h = word_hashes(raw, start, end)
+        self.maybe = maybe & (kind == LITERAL)
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start tokens, hashes and variants (0; 1: with the words that may be names; 2: literal) of the windows inside one text."""
+        n = len(self.h) - width + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        at = np.arange(n)
+        inside = np.searchsorted(self.first, at, "right") == np.searchsorted(self.first, at + width - 1, "right")
+        out = []
+
+        def held(mask: np.ndarray) -> np.ndarray:
+            total = np.concatenate(([0], np.cumsum(mask)))
+            return total[at + width] - total[at]
+
+        def take(kind: np.ndarray, ok: np.ndarray, variant: int, seed: np.uint64) -> None:
+            h = combine(np.where(kind > 0, _SLOT_HASH[kind], self.h), width)
+            out.append((at[ok], h[ok] ^ np.uint64(width) ^ seed, np.full(int(ok.sum()), variant)))
+
+        half = 2 * held(self.kind == LITERAL) >= width
+        if width >= MIN_TOKENS:
+            take(self.kind, inside & half, 0, _SEED[self.view])
+        if self.view == NAMED:
+            named = np.where(self.maybe, NAME, self.kind)
+            take(named, inside & (held(self.maybe) > 0) & (2 * held(named == LITERAL) >= width), 1, _SEED[NAMED])
+        else:
+            take(np.zeros(len(self.h), np.int8), inside & (~half if width >= MIN_TOKENS else inside), 2, _AS_IS)
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def slots(self, token: int, width: int, variant: int, places: bool = False) -> list[str]:
+        """Kind and value of the window's slots in order; with ``places`` where they are in the text, too."""
+        kind = self.kind[token : token + width]
+        if variant == 1:
+            kind = np.where(self.maybe[token : token + width], NAME, kind)
+        return [] if variant == 2 else [f"{i}|" * places + "%d:%s" % (k, self.raw[self.start[i] : self.end[i]].tobytes().decode(errors="replace").lower()) for i, k in enumerate(kind.tolist(), token) if k]
+
+
+def views(raw: np.ndarray, offsets: np.ndarray) -> list[View]:
+    """Both views of the texts raw[offsets[i]:offsets[i+1]]."""
+    start, end = _tokens(raw, offsets)
+    if not len(start):
+        none = np.zeros(0, np.int8)
+        return [View(raw, start, end, offsets, none, none.astype(bool), v) for v in (NAMED, PLAIN)]
+    h = word_hashes(raw, start, end)
+
+    def beside(start: np.ndarray, end: np.ndarray, letters: bytes) -> np.ndarray:
+        """Whether a token stands behind the one before, in one text, with just one of these letters between."""
+        text = np.searchsorted(offsets, start, "right")
+        ok = np.zeros(len(start), bool)
+        ok[1:] = (text[1:] == text[:-1]) & (start[1:] - end[:-1] == 1)
+        ok[ok] = np.isin(raw[start[ok] - 1], np.frombuffer(letters, np.uint8))
+        return ok
+
+    def merged(join: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lead = np.flatnonzero(~join)
+        return lead, start[lead], end[np.append(lead[1:], len(join)) - 1]
+
+    # whole numbers
+    digit = (raw[start] >= 48) & (raw[start] <= 57)
+    ends = (raw[end - 1] >= 48) & (raw[end - 1] <= 57)
+    word = _among(h, _NUMBER_HASHES)
+    number = digit | word
+    behind = lambda mask: np.append(False, mask[:-1])
+    power = _among(h, _POWERS)
+    compound = (power & behind(number)) | (_among(h, _ONES) & behind(_among(h, _TENS))) | (word & ~power & behind(power))
+    join = (digit & behind(digit & ends) & beside(start, end, b".,")) | (compound & beside(start, end, b" -"))
+    lead, start, end = merged(join, start, end)
+    number, h = number[lead], word_hashes(raw, start, end)
+    kind = np.where(number, NUMBER, LITERAL).astype(np.int8)
+    text = np.searchsorted(offsets, start, "right") - 1
+    after = np.append(False, number[:-1] & (text[1:] == text[:-1]))
+    kind[after & _among(h, _UNIT_HASHES) & ~number] = UNIT
+    plain = View(raw, start, end, offsets, kind, np.zeros(len(start), bool), PLAIN)
+    # names
+    two = np.append(raw, 0)[start + 1]
+    capital = (((raw[start] >= 65) & (raw[start] <= 90)) | ((raw[start] == 0xC3) & (two >= 0x80) & (two <= 0x9E))) & (kind == LITERAL)
+    # a capital means a name only inside a sentence: the last byte before it that
+    # is no gap must be there, in the same text, and be no stop
+    solid = np.maximum.accumulate(np.where(_GAP[raw], -1, np.arange(len(raw))))
+    last = np.where(start > 0, solid[start - 1], -1)
+    inner = (last >= offsets[text]) & ~_STOP[raw[np.maximum(last, 0)]]
+    name = capital & inner
+    own = mix(h + mix(text.astype(np.uint64)))
+    opening = capital & ~inner
+    name |= opening & _among(own, np.sort(own[name]))
+    blank = beside(start, end, b" ")
+    name |= opening & np.append((name & blank)[1:], False)
+    kind = np.where(name, NAME, kind).astype(np.int8)
+    lead, start, end = merged(name & np.append(False, name[:-1]) & blank, start, end)
+    return [View(raw, start, end, offsets, kind[lead], opening[lead], NAMED), plain]
 
 
 def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string()))
+    names = ["item_id", "view", "width", "item_at", "hash", "item_windows", "item_slots"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = flat(batch.column(1))
             ids, out = batch.column(0).to_pylist(), []
             for i, key in enumerate(ids):
-                t = Template(raw[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
-                width = min(WINDOW, len(t.start))
                 if key is None:
                     continue
-                at, h = t.windows(width) if width >= MIN_TOKENS else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-                if len(at) < 2:  # the first word of a copy may be a name to the document, which is a window lost
-                    part, bounds = raw[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]])
-                    n = len(_tokens(part, bounds)[0])
-                    if n:  # a negative width: all its tokens, verbatim
-                        out.append((key, -n, 0, int(_verbatim(part, bounds, n)[2].view(np.int64)[0]), 1, []))
-                out += [(key, width, a, int(x), len(at), t.slots(a, width)) for a, x in zip(at.tolist(), h.view(np.int64).tolist())]
-            cols = list(zip(*out)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string())))], names=["item_id", "width", "item_at", "hash", "item_windows", "item_slots"])
+                for v in views(raw[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]])):
+                    width = min(WINDOW, len(v.start))
+                    if width >= MIN_TOKENS or width and v.view == PLAIN:
+                        at, h, variant = v.windows(width)
+                        places = len(np.unique(at))
+                        out += [(key, v.view, width, a, x, places, v.slots(a, width, k, places=True)) for a, x, k in zip(at.tolist(), h.view(np.int64).tolist(), variant.tolist())]
+            cols = list(zip(*out)) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=names)
 
-    return benchmark.select(F.col(item_id).cast("long"), F.col(text)).mapInArrow(run, "item_id long, width int, item_at int, hash long, item_windows int, item_slots array<string>")
+    return benchmark.select(F.col(item_id).cast("long"), F.col(text)).mapInArrow(trimmed(run), "item_id long, view int, width int, item_at int, hash long, item_windows int, item_slots array<string>")
 
 
-def _windows(docs: DataFrame, doc_id: str, text: str, widths: list[int], wanted) -> DataFrame:
-    """Template windows of the documents; with ``wanted`` (broadcast sorted hashes) only those."""
+def _windows(docs: DataFrame, doc_id: str, text: str, widths: list[tuple[int, int]], wanted, bitmap: bool) -> DataFrame:
+    """The documents' windows whose hashes are wanted: among broadcast sorted hashes, or (nearly) by a bitmap of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = None if wanted is None else wanted.value
+        some = wanted.value
         for batch in batches:
             raw, offsets = flat(batch.column(1))
-            ids = batch.column(0)
+            ids, texts = batch.column(0), batch.column(2)
             for a, b in ranges(offsets):
-                t = Template(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 rows, tokens, hashes, slots = [], [], [], []
-                for width in widths:
-                    if width < 0:
-                        doc, place, h = _verbatim(t.raw, offsets[a : b + 1] - offsets[a], -width)
-                        at = place
-                    else:
-                        at, h = t.windows(width)
-                        doc = np.searchsorted(t.first, at, "right") - 1
-                        place = at - t.first[doc]
-                    if some is not None:
-                        spot = np.minimum(np.searchsorted(some, h), len(some) - 1)
-                        hit = some[spot] == h
-                        at, h, doc, place = at[hit], h[hit], doc[hit], place[hit]
-                    rows += (doc + a).tolist()
-                    tokens += place.tolist()
-                    hashes += h.view(np.int64).tolist()
-                    slots += [t.slots(i, width) if width > 0 else [] for i in at.tolist()]
+                for v in views(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
+                    for width in (w for view, w in widths if view == v.view):
+                        at, h, variant = v.windows(width)
+                        hit = may_have(some, h) if bitmap else _among(h, some)
+                        at, h, variant = at[hit], h[hit], variant[hit]
+                        doc = np.searchsorted(v.first, at, "right") - 1
+                        rows += (doc + a).tolist()
+                        tokens += (at - v.first[doc]).tolist()
+                        hashes += h.view(np.int64).tolist()
+                        slots += [v.slots(i, width, k) for i, k in zip(at.tolist(), variant.tolist())]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(tokens, pa.int32()), pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.string()))], names=["doc_id", "doc_at", "hash", "doc_slots"])
+                    rows = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([ids.take(rows), texts.take(rows), pa.array(tokens, pa.int32()), pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.string()))], names=["doc_id", "text_no", "doc_at", "hash", "doc_slots"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, doc_at int, hash long, doc_slots array<string>")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("text_no"))
+    return texts.mapInArrow(trimmed(run), "doc_id long, text_no long, doc_at int, hash long, doc_slots array<string>")
+
+
+def consistent(windows: list[tuple[int, int, list[str], list[str]]]) -> tuple[set[int], set[int], int]:
+    """Item places matched by windows (diagonal, place, item's slots, document's slots) with slots that map one to one;
+    those of them on diagonals where no slot changes; most slot values on a diagonal.
+
+    Where a value maps to several, the pair that leaves it as it is stays (a copy with an
+    edit), else the one that more than half of its places have, and windows with
+    another pair are left out; without such a pair the diagonal isn't consistent."""
+    lines: dict[int, list] = {}
+    for diagonal, at, x, y in windows:
+        own = [v.split("|", 1) for v in x]
+        lines.setdefault(diagonal, []).append((at, [v for _, v in own], y, [place for place, _ in own]))
+    matched, same, most = set(), set(), 0
+    for line in lines.values():
+        seen = {(place, *p) for _, x, y, places in line for place, *p in zip(places, x, y)}
+        times = Counter((i, d) for _, i, d in seen)
+        total = [Counter(), Counter()]
+        for p, n in times.items():
+            for side in (0, 1):
+                total[side][p[side]] += n
+        alike = {p[0] for p in times if p[0] == p[1]}
+        kept = {p for p, n in times.items() if all(p[0] == p[1] if p[side] in alike else 2 * n > total[side][p[side]] for side in (0, 1))}
+        if any(len({p[side] for p in times}) > len({p[side] for p in kept}) for side in (0, 1)):
+            settled = [{p[side] for p in kept} for side in (0, 1)]
+            if any(p[0] not in settled[0] and p[1] not in settled[1] for p in times):
+                continue
+        places = {at for at, x, y, _ in line if kept.issuperset(zip(x, y))}
+        if places:
+            used = {p for at, x, y, _ in line if at in places for p in zip(x, y)}
+            matched |= places
+            most = max(most, len(used))
+            if all(x == y for x, y in used):
+                same |= places
+    return matched, same, most
+
+
+FOUND = "doc_id long, item_id long, matched_windows int, item_windows int, slot_values int, exact boolean"
+
+
+def _judged(coverage: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                matched, same, slots = consistent([(w["diagonal"], w["item_at"], w["item_slots"], w["doc_slots"]) for w in r["windows"]])
+                n = r["item_windows"]
+                if matched and len(matched) >= coverage * n:
+                    exact = len(same) >= coverage * n
+                    out.append((r["doc_id"], r["item_id"], len(matched), n, slots, exact))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+            cols = list(zip(*out)) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in FOUND.split(", ")])
+
+    return run
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """One row per document and benchmark item whose template the document holds.
 
     Returns doc_id, item_id, matched_windows, item_windows, coverage, slot_values
-    (distinct slot values that map consistently) and kind: 'exact' where all
-    slots are as in the item, else 'reparameterised'.  A pair counts if at least
-    ``coverage`` of the item's windows occur on diagonals with consistent slots.
-    Items with fewer than MIN_TOKENS tokens, or with one window that is half
-    literal or none, also match where a document holds all their tokens verbatim
-    ('exact', one window); those without a token or with a null id match nothing; rows that share a document id count as one document
-    (null ids as one); null and empty texts hold nothing; other columns are
+    (distinct slot values that map one to one) and kind: 'exact' where slots are as
+    in the item, else 'reparameterised'.  A pair counts if in one view at least
+    ``coverage`` of the item's windows occur on diagonals with consistent slots;
+    windows with a slot that contradicts the others of its diagonal don't count.
+    Items with fewer than MIN_TOKENS tokens match where a document holds all their
+    tokens, whatever the case; those without a token or with a null id match nothing.
+    Texts are judged one by one, and rows that share a document id (null ids too) give
+    the best of their matches; null and empty texts hold nothing; other columns are
     ignored; an empty table on either side gives no rows.
     """
     spark = docs.sparkSession
-    items = _items(benchmark, item_id, item_text).persist()
+    items = written(_items(benchmark, item_id, item_text), "items")
     n = items.count()
-    widths = sorted(r[0] for r in items.select("width").distinct().collect())
-    wanted = None
+    widths = sorted((r[0], r[1]) for r in items.select("view", "width").distinct().collect())  # some ten pairs
     if n <= BROADCAST_WINDOWS:
-        hashes = np.unique(np.array([r[0] for r in items.select("hash").distinct().collect()], np.int64).view(np.uint64))
-        wanted = spark.sparkContext.broadcast(hashes if len(hashes) else np.zeros(1, np.uint64))
-    met = _windows(docs, doc_id, text, widths, wanted).join(items, "hash").withColumn("diagonal", F.col("doc_at") - F.col("item_at"))
-    pairs = F.transform(F.arrays_zip("item_slots", "doc_slots"), lambda x: F.struct(x["item_slots"].alias("i"), x["doc_slots"].alias("d")))
-    met = met.withColumn("pairs", pairs)
-    # each window is consistent in itself, and the windows of a diagonal together
-    spot = met.groupBy("doc_id", "item_id", "diagonal").agg(F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("map"), F.max("item_windows").alias("item_windows"))
-    sources = F.array_distinct(F.transform("map", lambda x: x["i"]))
-    spot = spot.filter(F.size(sources) == F.size("map"))
-    out = spot.groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("matched_windows"), F.max("item_windows").alias("item_windows"),
-        F.max(F.size("map")).alias("slot_values"), F.min(F.size(F.filter("map", lambda x: x["i"] != x["d"]))).alias("changed"),
-    )
+        wanted = spark.sparkContext.broadcast(np.unique(np.array([r[0] for r in items.select("hash").distinct().collect()], np.int64).view(np.uint64)))
+    else:
+        wanted = key_filter(items.select("hash").distinct())
+    met = _windows(docs, doc_id, text, widths, wanted, n > BROADCAST_WINDOWS).join(items, "hash")
+    window = F.struct((F.col("doc_at") - F.col("item_at")).alias("diagonal"), "item_at", "item_slots", "doc_slots")
+    # a row for a text and an item that share a window: no longer than the text
+    pairs = met.groupBy("doc_id", "text_no", "item_id", "view").agg(F.collect_set(window).alias("windows"), F.max("item_windows").alias("item_windows"))
+    found = pairs.select("doc_id", "item_id", "windows", "item_windows").mapInArrow(trimmed(_judged(coverage)), FOUND)
     share = F.col("matched_windows") / F.col("item_windows")
-    return out.filter(share >= coverage).select("doc_id", "item_id", "matched_windows", "item_windows", share.alias("coverage"), "slot_values", F.when(F.col("changed") == 0, "exact").otherwise("reparameterised").alias("kind"))
+    best = F.max(F.struct("exact", share.alias("coverage"), "matched_windows", "item_windows", "slot_values")).alias("b")
+    out = found.groupBy("doc_id", "item_id").agg(best)
+    return out.select("doc_id", "item_id", "b.matched_windows", "b.item_windows", "b.coverage", "b.slot_values", F.when(F.col("b.exact"), "exact").otherwise("reparameterised").alias("kind"))
