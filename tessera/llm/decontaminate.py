@@ -9,7 +9,8 @@ must map one to one from item to document.  So a question asked again with other
 numbers or names is found as well as a copied one.
 
 A text is seen in two ways.  NAMED: words with a capital inside a sentence are names,
-and so are those that open one if the text has them inside another or a name follows;
+and so are those that open one if the text has them inside another or a name follows
+(but for common openers, 'If Alice');
 other opening words with a capital may be names, so windows with such words are taken
 both ways.  PLAIN: no names and no case, only numbers and units are placeholders; that
 finds copies in other case.  Windows that are less than half literal have no template;
@@ -48,6 +49,12 @@ NUMBER_WORDS = (
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
     "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion trillion"
 ).split()
+# Words that open sentences and are no part of a name behind them.
+OPENERS = (
+    "a an and are as at before after because but by did do does during each every for from given has have he her his how however i if in is it its let many most "
+    "my no not now of on once one or our she since so some suppose that the their then there these they this those to today under until was we were what when "
+    "where which while who whose why will with without would yesterday you your"
+).split()
 ONES, TENS, POWERS = NUMBER_WORDS[1:10], NUMBER_WORDS[20:28], NUMBER_WORDS[28:]
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 NAMED, PLAIN = 1, 2
@@ -67,7 +74,7 @@ def _hash_of(words: list[str]) -> np.ndarray:
 
 
 _UNIT_HASHES, _NUMBER_HASHES = np.sort(_hash_of(UNITS)), np.sort(_hash_of(NUMBER_WORDS))
-_ONES, _TENS, _POWERS = (np.sort(_hash_of(w)) for w in (ONES, TENS, POWERS))
+_ONES, _TENS, _POWERS, _OPENERS = (np.sort(_hash_of(w)) for w in (ONES, TENS, POWERS, OPENERS))
 _SLOT_HASH = np.array([0, *(_hash_of(["\x01number", "\x01name", "\x01unit"]))], np.uint64)
 
 
@@ -199,7 +206,7 @@ def views(raw: np.ndarray, offsets: np.ndarray) -> list[View]:
     opening = capital & ~inner
     name |= opening & _among(own, np.sort(own[name]))
     blank = beside(start, end, b" ")
-    name |= opening & np.append((name & blank)[1:], False)
+    name |= opening & np.append((name & blank)[1:], False) & ~_among(h, _OPENERS)
     kind = np.where(name, NAME, kind).astype(np.int8)
     lead, start, end = merged(name & np.append(False, name[:-1]) & blank, start, end)
     return [View(raw, start, end, offsets, kind[lead], opening[lead], NAMED), plain]
@@ -278,10 +285,9 @@ def consistent(windows: list[tuple[int, int, list[str], list[str]]]) -> tuple[se
                 total[side][p[side]] += n
         alike = {p[0] for p in times if p[0] == p[1]}
         kept = {p for p, n in times.items() if all(p[0] == p[1] if p[side] in alike else 2 * n > total[side][p[side]] for side in (0, 1))}
-        if any(len({p[side] for p in times}) > len({p[side] for p in kept}) for side in (0, 1)):
-            settled = [{p[side] for p in kept} for side in (0, 1)]
-            if any(p[0] not in settled[0] and p[1] not in settled[1] for p in times):
-                continue
+        settled = [{p[side] for p in kept} for side in (0, 1)]
+        if any(p[0] not in settled[0] and p[1] not in settled[1] for p in times):
+            continue
         places = {at for at, x, y, _ in line if kept.issuperset(zip(x, y))}
         if places:
             used = {p for at, x, y, _ in line if at in places for p in zip(x, y)}

@@ -87,7 +87,10 @@ def tokens(text):
         between = text[out[-1][1] : a] if out else ""
         if out:
             last = text[out[-1][0] : out[-1][1]]
-            if (w[0].isdigit() and last[0].isdigit() and last[-1].isdigit() and between in (".", ",")) or (w.lower() in D.NUMBER_WORDS and number(out[-1][2]) and between in (" ", "-")):
+            x, y = text[out[-1][0] : out[-1][1]].lower().replace("-", " ").split(" ")[-1], w.lower()
+            power, before = y in D.POWERS, x in D.POWERS
+            compound = (power and number(x)) or (y in D.ONES and x in D.TENS) or (y in D.NUMBER_WORDS and not power and before)
+            if (w[0].isdigit() and last[0].isdigit() and last[-1].isdigit() and between in (".", ",")) or (compound and between in (" ", "-")):
                 out[-1][1], out[-1][2] = b, w
                 continue
         out.append([a, b, w])
@@ -105,7 +108,7 @@ def tokens(text):
 def named(rows):
     """Tokens of the named view: (value, kind, may be a name)."""
     inner = {v for v, _, c, i, _ in rows if c and i}
-    is_name = [c and (i or v in inner or (k + 1 < len(rows) and rows[k + 1][2] and rows[k + 1][3] and rows[k + 1][4] == " ")) for k, (v, _, c, i, _) in enumerate(rows)]
+    is_name = [c and (i or v in inner or (v not in D.OPENERS and k + 1 < len(rows) and rows[k + 1][2] and rows[k + 1][3] and rows[k + 1][4] == " ")) for k, (v, _, c, i, _) in enumerate(rows)]
     out = []
     for k, (v, kind, c, i, gap) in enumerate(rows):
         if is_name[k] and k and is_name[k - 1] and gap == " ":
@@ -169,7 +172,9 @@ def slow(docs, bench):
                                 return False
                         return True
 
-                    good = {at: s for at, s in line if all(stays(i, d) for _, i, d in s)}
+                    kept = {p for p in pairs if stays(*p)}
+                    if any(i not in {k for k, _ in kept} and d not in {k for _, k in kept} for i, d in pairs):
+                        continue
                     good = {at for at, s in line if all(stays(i, d) for _, i, d in s)}
                     matched |= good
                     if all(i == d for at, s in line if at in good and all(stays(a, b) for _, a, b in s) for _, i, d in s):
