@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,7 +67,8 @@ class Lines:
     def windows(self) -> np.ndarray:
         """Bounds (in words) of the windows, which may cross lines but not texts."""
         g = combine(self.h, 3)
-        low = (g & ~np.uint64((1 << 24) - 1)) | np.arange(len(g), dtype=np.uint64)
+        place = np.uint64((1 << max(24, len(g).bit_length())) - 1)  # the least hash's place is in its low bits
+        low = (g & ~place) | np.arange(len(g), dtype=np.uint64)
         have = 1
         while have < WINNOW:
             step = min(have, WINNOW - have)
@@ -75,7 +77,7 @@ class Lines:
         at = np.arange(len(low))
         end = self.first[np.searchsorted(self.first, at, "right")]
         inside = at + WINNOW + 2 <= end
-        start = (low[inside] & np.uint64((1 << 24) - 1)).astype(np.int64)
+        start = (low[inside] & place).astype(np.int64)
         end = end[inside]
         new = np.append(True, start[1:] != start[:-1]) if len(start) else np.zeros(0, bool)
         start, end = start[new], end[new]
@@ -155,41 +157,97 @@ BESIDE = T.StructType([*PLACE.fields[:2], *(T.StructField(n, T.LongType()) for n
 LEFT, RIGHT = 0, 1
 
 
-def _beside(docs: DataFrame, wanted, n_buckets: int) -> DataFrame:
-    """Up to WINNOW - 1 words beside each window asked for: node, doc_id, side, the edge's word and byte, word hashes and byte bounds from the edge outwards.
+#: Places of windows that a task gathers before it sends them.
+GATHERED = 200_000
+
+
+class _Beside:
+    """Words beside windows: node, doc, side, the edge's word and byte, hashes and byte bounds from the edge outwards."""
+
+    def __init__(self, node, doc, side, word, byte, h, at):
+        self.columns = [node, doc, side, word, byte, h, at]
+        self.node, self.doc, self.side, self.word, self.byte, self.h, self.at = self.columns
+
+    def take(self, spots) -> "_Beside":
+        return _Beside(*[c[spots] for c in self.columns])
+
+    @staticmethod
+    def join(parts: list["_Beside"]) -> "_Beside":
+        return _Beside(*[np.concatenate(c) for c in zip(*[p.columns for p in parts])])
 
-    ``wanted`` holds the node where its left side is asked for, its complement for the right side."""
+    def sorted(self) -> "_Beside":
+        """By node, side and words, equal ones by place."""
+        return self.take(np.lexsort((self.word, self.doc, *(self.h[:, k] for k in range(WINNOW - 2, -1, -1)), self.side, self.node)))
+
+    def grown(self, by: np.ndarray) -> list[np.ndarray]:
+        """doc_id, first and last word, first and last byte of what the windows gain by so many words each."""
+        some = by > 0
+        g, by = self.take(some), by[some]
+        last = g.at[np.arange(len(by)), by - 1] if len(by) else g.byte
+        right = g.side == RIGHT
+        return [g.doc, np.where(right, g.word, g.word - by), np.where(right, g.word + by, g.word), np.where(right, g.byte, last), np.where(right, last, g.byte)]
+
+
+def _beside(docs: DataFrame, wanted, n_buckets: int) -> DataFrame:
+    """Up to WINNOW - 1 words beside each window asked for, and what windows gain that a task can tell itself.
+
+    ``wanted`` holds the node where its left side is asked for, its complement for the
+    right side.  Of places with equal words a task sends only its first: the others
+    gain all these words (rows without h), so that a passage that very many places
+    share comes once from each task."""
+    reach = np.arange(WINNOW - 1)
+
+    def read(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Iterator[_Beside]:
+        t = Lines(raw, offsets)
+        spans = t.windows()
+        nodes = t.sums(spans).view(np.int64)
+        for side in (LEFT, RIGHT):
+            ok = may_have(wanted.value, ~nodes if side else nodes)
+            edge, node = spans[ok, side], nodes[ok]
+            doc = np.searchsorted(t.first, spans[ok, 0], "right") - 1
+            n = t.first[doc + 1] - edge if side else edge - t.first[doc]
+            some = n > 0
+            edge, node, doc, n = edge[some], node[some], doc[some], n[some]
+            if not len(node):
+                continue
+            word = edge[:, None] + reach if side else edge[:, None] - 1 - reach
+            held = reach < n[:, None]
+            word = np.where(held, word, 0)
+            base, byte = t.first[doc], t.offsets[doc]
+            h = np.where(held, t.h[word], np.uint64(0))
+            at = np.where(held, (t.end if side else t.start)[word] - byte[:, None], -1)
+            start = t.end[edge - 1] if side else t.start[edge]
+            yield _Beside(node, ids[doc], np.full(len(node), side), edge - base, start - byte, h, at)
+
+    def sent(held: list[_Beside]) -> Iterator[pa.RecordBatch]:
+        b = _Beside.join(held).sorted()
+        new = np.append(True, (b.node[1:] != b.node[:-1]) | (b.side[1:] != b.side[:-1]) | (b.h[1:] != b.h[:-1]).any(1))
+        rest = b.take(~new)
+        doc, w0, w1, b0, b1 = rest.grown((rest.at >= 0).sum(1))
+        none = pa.array([b""] * len(doc), pa.binary())
+        bucket = (mix(doc.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in (w1, doc, b0, w0, b1, bucket)] + [none, none], names=BESIDE.names)
+        b = b.take(new)
+        # only equal first words can go on, so they choose the bucket
+        bucket = (mix(b.node.view(np.uint64) ^ mix(b.h[:, 0] + b.side.astype(np.uint64))) % np.uint64(n_buckets)).astype(np.int64)
+        cols = [pa.array(np.asarray(c, np.int64)) for c in (b.node, b.doc, b.side, b.word, b.byte, bucket)]
+        cols += [pa.array([row.tobytes() for row in m], pa.binary()) for m in (b.h, b.at.astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(cols, names=BESIDE.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = np.arange(WINNOW - 1)
+        held, total = [], 0
         for batch in batches:
             raw, offsets = flat(batch.column(1))
             ids = batch.column(0).to_numpy()
             for a, b in ranges(offsets):
-                t = Lines(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                spans = t.windows()
-                nodes = t.sums(spans).view(np.int64)
-                for side in (LEFT, RIGHT):
-                    ok = may_have(wanted.value, ~nodes if side else nodes)
-                    edge, node = spans[ok, side], nodes[ok]
-                    doc = np.searchsorted(t.first, spans[ok, 0], "right") - 1
-                    n = t.first[doc + 1] - edge if side else edge - t.first[doc]
-                    some = n > 0
-                    edge, node, doc, n = edge[some], node[some], doc[some], n[some]
-                    if not len(node):
-                        continue
-                    word = edge[:, None] + reach if side else edge[:, None] - 1 - reach
-                    held = reach < n[:, None]
-                    word = np.where(held, word, 0)
-                    base, byte = t.first[doc], t.offsets[doc]
-                    h = np.where(held, t.h[word], np.uint64(0))
-                    at = np.where(held, (t.end if side else t.start)[word] - byte[:, None], -1)
-                    # only equal first words can go on, so they choose the bucket
-                    bucket = (mix(node.view(np.uint64) ^ mix(h[:, 0] + np.uint64(side))) % np.uint64(n_buckets)).astype(np.int64)
-                    start = t.end[edge - 1] if side else t.start[edge]
-                    cols = [pa.array(np.asarray(c, np.int64)) for c in (node, ids[doc + a], np.full(len(node), side), edge - base, start - byte, bucket)]
-                    cols += [pa.array([row.tobytes() for row in m], pa.binary()) for m in (h, at.astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(cols, names=BESIDE.names)
+                for part in read(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ids[a:b]):
+                    held.append(part)
+                    total += len(part.node)
+            if total >= GATHERED:
+                yield from sent(held)
+                held, total = [], 0
+        if held:
+            yield from sent(held)
 
     return docs.mapInArrow(trimmed(run), BESIDE)
 
@@ -197,28 +255,27 @@ def _beside(docs: DataFrame, wanted, n_buckets: int) -> DataFrame:
 def _grown(t: pa.Table) -> pa.Table:
     """The words by which each place's window grows: as many as equal those beside an earlier place."""
     t = t.combine_chunks()
+    whole = t.filter(pa.compute.equal(pa.compute.binary_length(t["h"]), 0))  # told by the task: last word, document, first byte, first word, last byte
+    t = t.filter(pa.compute.greater(pa.compute.binary_length(t["h"]), 0)).combine_chunks()
     node, doc, side, word, byte = (t[n].to_numpy() for n in ("node", "doc_id", "side", "word", "byte"))
     h, at = (np.frombuffer(flat(t[n])[0], kind).reshape(len(node), WINNOW - 1) for n, kind in (("h", np.uint64), ("at", np.int64)))
+    b = _Beside(node, doc, side, word, byte, h, at)
     by_place = np.lexsort((word, doc))
     later = (doc[by_place[1:]] != doc[by_place[:-1]]) | (word[by_place[1:]] != word[by_place[:-1]])
     rank = np.empty(len(node), np.int64)
-    rank[by_place] = np.concatenate(([0], np.cumsum(later)))
+    rank[by_place] = np.concatenate(([0], np.cumsum(later))) if len(node) else 0
     order = np.lexsort((*(h[:, k] for k in range(WINNOW - 2, -1, -1)), side, node))
-    node, doc, side, word, byte, h, at, rank = (x[order] for x in (node, doc, side, word, byte, h, at, rank))
-    new = np.append(True, (node[1:] != node[:-1]) | (side[1:] != side[:-1]))
-    grown = np.zeros(len(node), np.int64)
-    for k in range(WINNOW - 1):
-        new[1:] |= h[1:, k] != h[:-1, k]
-        first = np.minimum.reduceat(rank, np.flatnonzero(new))[np.cumsum(new) - 1]
-        grown += (rank > first) & (at[:, k] >= 0)
-    some = grown > 0
-    doc, side, word, byte, grown, at = (x[some] for x in (doc, side, word, byte, grown, at))
-    last = at[np.arange(len(grown)), grown - 1]
-    right = side == RIGHT
-    return pa.table({
-        "doc_id": doc, "first_word": np.where(right, word, word - grown), "last_word": np.where(right, word + grown, word),
-        "first_byte": np.where(right, byte, last), "last_byte": np.where(right, last, byte),
-    })
+    b, rank = b.take(order), rank[order]
+    by = np.zeros(len(node), np.int64)
+    if len(node):
+        new = np.append(True, (b.node[1:] != b.node[:-1]) | (b.side[1:] != b.side[:-1]))
+        for k in range(WINNOW - 1):
+            new[1:] |= b.h[1:, k] != b.h[:-1, k]
+            first = np.minimum.reduceat(rank, np.flatnonzero(new))[np.cumsum(new) - 1]
+            by += (rank > first) & (b.at[:, k] >= 0)
+    told = [whole[n].to_numpy() for n in ("doc_id", "word", "node", "side", "byte")]
+    names = ("doc_id", "first_word", "last_word", "first_byte", "last_byte")
+    return pa.table({n: np.concatenate((x, np.asarray(y, np.int64))) for n, x, y in zip(names, told, b.grown(by))})
 
 
 def _band_entries(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
