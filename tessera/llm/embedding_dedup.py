@@ -2,8 +2,8 @@
 
 A unit vector u is held as q / s with int8 components; e bounds |u - q/s|.  Then
 |<u,v> - <q_u,q_v>/(s_u s_v)| <= e_u |v| + |q_u/s_u| e_v, so only pairs whose
-approximate product plus this bound reaches the threshold are computed in double
-precision.  Products of int8 values are summed exactly in float32 matrix
+approximate product plus this bound reaches the threshold, and minus this bound doesn't,
+are computed in double precision.  Products of int8 values are summed exactly in float32 matrix
 multiplication, which holds integers below 2**24.
 """
 
@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.arrow_text import flat
 from tessera.llm.components import components
-from tessera.llm.runtime import parts, written
+from tessera.llm.runtime import small_batches, trim, trimmed, written
 
 #: Vectors of a block; a task compares two blocks of one label.
 BLOCK = 4096
@@ -41,41 +42,94 @@ def quantised(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, factor, error * (1 + 1e-9) + 1e-12
 
 
-def linked(a: tuple, b: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of two tiles (unit vectors, int8, factors, errors) with cosine >= threshold."""
-    ua, qa, fa, ea = a
-    ub, qb, fb, eb = b
+def judged(a: tuple, b: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of two tiles (int8, factors, errors) which pairs certainly reach the threshold, and which may or may not."""
+    qa, fa, ea = a
+    qb, fb, eb = b
     if qa.shape[1] <= MAX_DIM:
         near = (qa.astype(np.float32) @ qb.astype(np.float32).T).astype(np.float64)
     else:
         near = qa.astype(np.float64) @ qb.astype(np.float64).T
     near *= fa[:, None]
     near *= fb[None, :]
-    bound = ea[:, None] + (1 + ea[:, None]) * eb[None, :]
-    i, j = np.nonzero(near + bound >= threshold - 1e-9)
-    exact = np.einsum("ij,ij->i", ua[i], ub[j])
-    # summation order moves a cosine by no more than this; equal texts of bits count as equal
-    ok = exact >= threshold
-    return i[ok], j[ok]
-
-
-def _spanning(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Links among n nodes that connect what all given links connect."""
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for a, b in zip(i.tolist(), j.tolist()):
-        x, y = root(a), root(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
+    bound = ea[:, None] + (1 + ea[:, None]) * eb[None, :] + 1e-9
+    sure = near - bound >= threshold
+    return sure, (near + bound >= threshold) & ~sure
+
+
+def hooked(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the trees of ``root`` (parents, smaller or equal) along the links i, j."""
+    while len(i):
+        x, y = root[i], root[j]
+        low = np.minimum(x, y)
+        some = x != y
+        if not some.any():
+            return
+        i, j, low, high = i[some], j[some], low[some], np.maximum(x, y)[some]
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def _one_by_one(v: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+    """Unit vectors, int8 components, factors and errors of a list column, row by row: a row gives the same bits in any company."""
+    bounds, values = v.offsets.to_numpy(), v.values.to_numpy(zero_copy_only=False)
+    units = [unit(values[None, a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    each = [quantised(u) for u in units]
+    return [u[0] for u in units], [q[0] for q, _, _ in each], np.array([f[0] for _, f, _ in each]), np.array([e[0] for _, _, e in each])
+
+
+SCHEMA = "kind string, cls long, other long, n long, lo int, hi int"
+COUNT, LINK, ASK = "count", "link", "ask"
+
+
+def _rows(kind: str, cls: np.ndarray, other: np.ndarray, n: np.ndarray, lo: int, hi: int) -> pa.Table:
+    k = len(cls)
+    arrays = [pa.array([kind] * k, pa.string()), *(pa.array(np.broadcast_to(np.asarray(x, np.int64), k)) for x in (cls, other, n)), pa.array(np.full(k, lo, np.int32)), pa.array(np.full(k, hi, np.int32))]
+    return pa.Table.from_arrays(arrays, names=[f.split()[0] for f in SCHEMA.split(", ")])
+
+
+def _block(threshold: float, full: bool):
+    """What the vectors of two blocks tell: numbers of linked rows, links that connect what is connected, and vectors that must be compared in
+    full precision.  With ``full`` these come (as v) and only the pairs that int8 leaves open are compared."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        cls, n, own = (table[c].to_numpy() for c in ("cls", "n", "b"))
+        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+        if full:
+            u, q, factor, error = _one_by_one(table["v"].combine_chunks())
+            u, q = np.stack(u), np.stack(q)
+        else:
+            q = np.frombuffer(flat(table["q"])[0], np.int8).reshape(len(cls), -1)
+            factor, error = table["factor"].to_numpy(), table["error"].to_numpy()
+        one = lo == hi
+        left, right = (np.arange(len(cls)),) * 2 if one else (np.flatnonzero(own == lo), np.flatnonzero(own == hi))
+        links, root, ask = np.zeros(len(cls), np.int64), np.arange(len(cls)), np.zeros(len(cls), bool)
+        for x in range(0, len(left), TILE):
+            a = left[x : x + TILE]
+            for y in range(x if one else 0, len(right), TILE):
+                b = right[y : y + TILE]
+                sure, open_ = judged((q[a], factor[a], error[a]), (q[b], factor[b], error[b]), threshold)
+                if one and x == y:
+                    sure, open_ = np.triu(sure, 1), np.triu(open_, 1)
+                i, j = np.nonzero(open_)
+                if full:
+                    ok = np.einsum("ij,ij->i", u[a[i]], u[b[j]]) >= threshold
+                    hit = np.zeros(open_.shape, bool)
+                    hit[i[ok], j[ok]] = True
+                else:
+                    hit = sure
+                    ask[a[open_.any(1)]] = True
+                    ask[b[open_.any(0)]] = True
+                links[a] += hit @ n[b]
+                links[b] += n[a] @ hit
+                i, j = np.nonzero(hit)
+                hooked(root, a[i], b[j])
+        some, child, asked = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(cls))), np.flatnonzero(ask)
+        return pa.concat_tables([_rows(COUNT, cls[some], 0, links[some], lo, hi), _rows(LINK, cls[child], cls[root[child]], 0, lo, hi), _rows(ASK, cls[asked], own[asked], 0, lo, hi)])
+
+    return run
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -85,65 +139,55 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     (smallest vec_id reachable by links, itself included) and kept (vec_id =
     component_id).  Null, zero and empty vectors and those with null or
     non-finite components link with nothing, nor do rows with a null label or id
-    or vectors of different dimension.  Equal vectors of a label are compared
-    once, as one representative with a count; rows that repeat an id count as
-    copies of it.  Other columns are ignored; an empty table gives no rows.
+    or vectors of different dimension.  Equal vectors of a label are a class that is
+    compared once, with its number of rows; rows that repeat an id are rows of their
+    own, and those with equal vectors and labels are copies.  Other columns are ignored; an empty table gives no rows.
+
+    Tasks get int8 vectors of two blocks of a label, which settle most pairs; of the vectors
+    of pairs within the error bounds the double ones are sent for a second look.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0)
-    rows = written(rows.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumn("v", F.when(F.col("usable"), F.col("v"))), "vectors")
+    rows = rows.withColumn("v", F.when(usable, F.transform("v", lambda x: x + 0.0)))  # -0.0 becomes 0.0
+    rows = written(rows.withColumn("usable", F.col("v").isNotNull()), "vectors")
     classes = rows.filter("usable").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    classes = written(classes, "classes")
-    blocks = classes.groupBy("label", F.size("v").alias("dim")).count().select("label", "dim", F.ceil(F.col("count") / BLOCK).cast("int").alias("g"))
-    dealt = classes.withColumn("dim", F.size("v")).join(blocks, ["label", "dim"]).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("g").cast("long")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    dealt = dealt.withColumn("lo", F.least("b", "other")).withColumn("hi", F.greatest("b", "other"))
-    schema = "kind string, vec_id long, other long, n long"
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(list(batches))
-        if not whole.num_rows:
-            return
-        ids, n = whole["rep"].to_numpy(), whole["n"].to_numpy()
-        one, own = whole["lo"][0].as_py() == whole["hi"][0].as_py(), whole["b"].to_numpy()
-        u = unit(whole["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1))
-        q, factor, error = quantised(u)
-        left = np.arange(len(ids)) if one else np.flatnonzero(own == own.min())
-        right = left if one else np.flatnonzero(own != own.min())
-        links, pairs = np.zeros(len(ids), np.int64), []
-        for x in range(0, len(left), TILE):
-            a = left[x : x + TILE]
-            for y in range(x if one else 0, len(right), TILE):
-                b = right[y : y + TILE]
-                i, j = linked((u[a], q[a], factor[a], error[a]), (u[b], q[b], factor[b], error[b]), threshold)
-                if one and x == y:
-                    i, j = i[i < j], j[i < j]
-                i, j = a[i], b[j]
-                np.add.at(links, i, n[j])
-                np.add.at(links, j, n[i])
-                pairs += _spanning(i, j, len(ids))
-        pairs = np.array(_spanning(*np.array(pairs, np.int64).T, len(ids)) if pairs else [], np.int64).reshape(-1, 2)
-        hit = np.flatnonzero(links)
-        k, m = len(hit), len(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(["count"] * k + ["link"] * m, pa.string()), pa.array(np.concatenate((ids[hit], ids[pairs[:, 0]]))), pa.array(np.concatenate((np.zeros(k, np.int64), ids[pairs[:, 1]]))), pa.array(np.concatenate((links[hit], np.zeros(m, np.int64))))], names=["kind", "vec_id", "other", "n"])
-
-    found = written(dealt.groupBy("label", "dim", "lo", "hi").applyInArrow(_whole(compare), schema), "compared")
-    counts = found.filter("kind = 'count'").groupBy(F.col("vec_id").alias("rep")).agg(F.sum("n").alias("linked"))
-    linked_to = components(found.filter("kind = 'link'"), "vec_id", "other")
-    reps = classes.join(counts, "rep", "left").join(linked_to, classes["rep"] == linked_to["node"], "left")
-    reps = reps.select("label", "v", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(reps, (rows["label"] == reps["label"]) & (rows["v"] == reps["v"]), "left")
+    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "classes")
+
+    def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, q, factor, error = _one_by_one(batch.column(1))
+            arrays = [batch.column(0), pa.array([x.tobytes() for x in q], pa.binary()), pa.array(factor, pa.float64()), pa.array(error, pa.float64()), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["cls", "q", "factor", "error", "label", "dim", "n"])
+
+    kind = rows.schema["label"].dataType.simpleString()
+    held = classes.select("cls", "v", "label", "dim", "n").mapInArrow(trimmed(quantise), f"cls long, q binary, factor double, error double, label {kind}, dim int, n long")
+    blocks = classes.groupBy("label", "dim").count().select("label", "dim", F.ceil(F.col("count") / BLOCK).cast("int").alias("g"))
+    dealt = held.join(blocks, ["label", "dim"]).withColumn("b", F.pmod(F.xxhash64("cls"), F.col("g").cast("long")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumn("lo", F.least("b", "other")).withColumn("hi", F.greatest("b", "other"))
+    tiles = dealt.groupBy("label", "dim", "lo", "hi")
+    first = written(tiles.applyInArrow(_trimmed_table(_block(threshold, False)), SCHEMA), "compared")
+    asked = first.filter(F.col("kind") == ASK).select("cls", F.col("other").cast("int").alias("b"), "lo", "hi").join(classes.select("cls", "label", "dim", "n", "v"), "cls")
+    second = written(asked.groupBy("label", "dim", "lo", "hi").applyInArrow(_trimmed_table(_block(threshold, True)), SCHEMA), "compared")
+    found = first.unionByName(second)
+    counts = found.filter(F.col("kind") == COUNT).groupBy("cls").agg(F.sum("n").alias("linked"))
+    linked_to = components(found.filter(F.col("kind") == LINK), "cls", "other").select(F.col("node").alias("cls"), "component")
+    reps = classes.join(counts, "cls", "left").join(linked_to, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    smallest = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
+    reps = reps.join(smallest, "component").select("label", "v", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    out = rows.join(reps, ["label", "v"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def _whole(f):
-    """An applyInArrow function from a table, for a function over batches."""
+def _trimmed_table(f):
+    """An applyInArrow function that gives memory back."""
 
     def call(table: pa.Table) -> pa.Table:
-        out = list(f(iter(table.to_batches())))
-        return pa.Table.from_batches(out) if out else pa.table({"kind": pa.array([], pa.string()), "vec_id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        out = f(table)
+        trim()
+        return out
 
     return call

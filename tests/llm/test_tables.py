@@ -34,7 +34,10 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("block,tile", [(4096, 512), (17, 5)])
+def test_embeddings(spark, monkeypatch, block, tile):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "TILE", tile)
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 16))
     rows = []
@@ -64,6 +67,13 @@ def test_embeddings(spark):
             assert r.component_id == min(seen) and r.kept == (i == min(seen))
 
 
+def test_embeddings_that_repeat_an_id(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 0), (2, [1.0, 0.01, 0.0], 0), (1, [0.0, 0.0, 1.0], 1), (3, [0.0, 0.0, 1.0], 1), (3, [0.0, 0.0, 1.0], 1), (4, [-0.0, 1.0, 0.0], 2), (5, [0.0, 1.0, 0.0], 2)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False), (4, 1, 4, True), (5, 1, 4, False)]
+    assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(0)
     u = embedding_dedup.unit(rng.normal(size=(200, 64)) * 10.0 ** rng.integers(-100, 100, (200, 1)))
