@@ -3,12 +3,15 @@
 Symbols of many distinct words lie in one flat array.  In each round every
 neighbouring pair inside a word is looked up by binary search over the sorted
 pair keys; the pairs that have the lowest rank of their word are merged, and the
-array is packed.  A worker keeps the words it has encoded in a bounded table.
+array is packed.  Very long words are merged one by one: their pairs lie in bins by
+rank, so that a round touches only the places of its rank.  A worker keeps the words
+it has encoded in a bounded table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -23,8 +26,10 @@ from tessera.llm.runtime import small_batches
 
 # Fixed value: the split pattern that byte-level vocabularies of this kind are made for.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct words that a worker keeps.
-KEPT_WORDS = 300_000
+#: Distinct words that a worker keeps, and their characters.
+KEPT_WORDS, KEPT_CHARS = 300_000, 1 << 24
+#: Bytes from which on a word is merged by itself, and ranks that one of its bins holds.
+LONG_WORD, BIN = 4096, 256
 NONE = np.int64(1 << 40)
 
 #: In texts without these characters the standard library's classes agree with SPLIT's.
@@ -37,9 +42,11 @@ class Words(dict):
 
     def __init__(self) -> None:
         self.new: list[str] = []
+        self.chars = 0
 
     def __missing__(self, word: str) -> int:
         self.new.append(word)
+        self.chars += len(word)
         i = self[word] = len(self)
         return i
 
@@ -144,10 +151,80 @@ class Bpe:
         order = np.argsort(owner, kind="stable")
         return ids[order], np.bincount(owner, minlength=len(sizes))
 
+    def merge_long(self, sym: np.ndarray) -> np.ndarray:
+        """Token ids of one word given as byte symbols.
+
+        Neighbours are linked; places wait in bins of BIN ranks, and those of the lowest
+        bin in lists by rank.  A place is looked at once for each rank that its pair gets."""
+        n = len(sym)
+        sym, after, before = sym.copy(), np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank, into = np.full(n, NONE), np.zeros(n, np.int64)
+        rank[:-1], into[:-1] = self.rank(sym[:-1], sym[1:])
+        bins: dict[int, list[np.ndarray]] = {}
+        lists: dict[int, list[np.ndarray]] = {}
+        order: list[int] = []  # heap of the ranks in lists
+        now = -1
+
+        def parts(places: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+            by = np.argsort(keys, kind="stable")
+            places, keys = places[by], keys[by]
+            edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            for x, y in zip(edge.tolist(), [*edge[1:].tolist(), len(keys)]):
+                yield int(keys[x]), places[x:y]
+
+        def wait(places: np.ndarray) -> None:
+            places = places[rank[places] < NONE]
+            if len(places):
+                soon = rank[places] // BIN <= now
+                for key, group in parts(places[soon], rank[places[soon]]) if soon.any() else ():
+                    if key not in lists:
+                        heapq.heappush(order, key)
+                    lists.setdefault(key, []).append(group)
+                for key, group in parts(places[~soon], rank[places[~soon]] // BIN) if not soon.all() else ():
+                    bins.setdefault(key, []).append(group)
+
+        wait(np.arange(n - 1))
+        while bins or order:
+            if not order:
+                now = min(bins)
+                wait(np.concatenate(bins.pop(now)))
+                continue
+            lowest = heapq.heappop(order)
+            run = np.unique(np.concatenate(lists.pop(lowest)))
+            run = run[rank[run] == lowest]
+            if not len(run):
+                continue
+            # of overlapping equal pairs every second one counts, from the left
+            fresh = np.append(True, after[run[:-1]] != run[1:])
+            base = np.maximum.accumulate(np.where(fresh, np.arange(len(run)), 0))
+            run = run[(np.arange(len(run)) - base) % 2 == 0]
+            gone = after[run]
+            sym[run] = into[run]
+            rank[gone] = NONE
+            after[run] = after[gone]
+            after[gone] = -1
+            right = after[run]
+            inside = right < n
+            before[right[inside]] = run[inside]
+            rank[run[~inside]] = NONE
+            stale = np.unique(np.concatenate((run[inside], before[run][before[run] >= 0])))
+            rank[stale], into[stale] = self.rank(sym[stale], sym[after[stale]])
+            wait(stale)
+        return sym[after >= 0]
+
     def learn(self) -> None:
         blobs = [w.encode("utf-8", "surrogatepass") for w in self.known.new]
-        data = np.frombuffer(b"".join(blobs), np.uint8)
-        self._grow(*self.merge(self.first[data], np.fromiter(map(len, blobs), np.int64, len(blobs))))
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs))
+        long = np.flatnonzero(size >= LONG_WORD).tolist()
+        apart = {k: self.merge_long(self.first[np.frombuffer(blobs[k], np.uint8)]) for k in long}
+        size[long] = 0
+        data = np.frombuffer(b"".join(b for k, b in enumerate(blobs) if k not in apart), np.uint8)
+        ids, counts = self.merge(self.first[data], size)
+        if apart:
+            at = np.cumsum(counts) - counts
+            ids = np.insert(ids, np.repeat(at[long], [len(apart[k]) for k in long]), np.concatenate([apart[k] for k in long]))
+            counts[long] = [len(apart[k]) for k in long]
+        self._grow(ids, counts)
 
     def words(self, text: str) -> list[str]:
         split = self.split if ODD.search(text) else PLAIN_SPLIT
@@ -163,7 +240,7 @@ class Bpe:
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Token ids of each text."""
-        if len(self.known) > KEPT_WORDS:
+        if len(self.known) > KEPT_WORDS or self.known.chars > KEPT_CHARS:
             self.forget()
         pieces = [self.words(t) for t in texts]
         known = self.known.__getitem__

@@ -257,7 +257,9 @@ def linked_components(found: DataFrame, sets_of: Callable[[DataFrame], DataFrame
         short = met.select("a", "b")
     often = long.join(lists.select("node", "lists"), "node")
     heads = often.groupBy("key").agg(F.max(F.struct("lists", F.xxhash64("node").alias("x"), "node", "size")).alias("h"))
-    members = often.join(heads.select("key", F.col("h.node").alias("head"), F.col("h.size").alias("head_size")), "key").filter("node <> head")
+    # written, so that the join by key has no grouping in its stage and Spark can split a long list
+    heads = written(heads.select("key", F.col("h.node").alias("head"), F.col("h.size").alias("head_size")), "heads")
+    members = often.join(heads, "key").filter("node <> head")
     members = written(members.select("head", "node", "size", "head_size").distinct(), "members")
     star = members.filter(100 * F.least("size", "head_size") >= percent * F.greatest("size", "head_size"))
     pairs = written(short.unionByName(star.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))).distinct(), "pairs")
@@ -270,6 +272,7 @@ def linked_components(found: DataFrame, sets_of: Callable[[DataFrame], DataFrame
     placed = placed.select("head", "node", (F.coalesce("x", "node") != F.coalesce("y", "head")).alias("outside"))
     placed = written(placed, "placed")
     mixed = placed.groupBy("head").agg(F.max("outside").alias("mixed"), F.count(F.lit(1)).alias("n")).filter("mixed").select("head", "n")
+    mixed = written(mixed, "mixed-heads")
     asked = written(placed.join(mixed, "head"), "mixed")
     if asked.isEmpty():
         return parts_

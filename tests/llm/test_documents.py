@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -231,6 +232,27 @@ def test_bpe_round_trip(docs, empty):
     assert bpe.encode_decode(empty, path).count() == 0
 
 
+def test_bpe_on_very_long_words(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = bpe.default_vocabulary()
+    t, own, rng = tokenizers.Tokenizer.from_file(path), bpe.Bpe(path), random.Random(21)
+    monkeypatch.setattr(bpe, "LONG_WORD", 64)
+    letters = ["the", "ing", "a", "aa", "tion", "é", "ß", "x", "ABC", "日本"]
+    texts = ["a" * 5001, "ab" * 3000, "".join(rng.choice(letters) for _ in range(9000)), "x " + "aaa" * 700 + " y " + "b" * 64 + "c" * 63, "=" * 3000 + "-" * 100, "word " * 50]
+    texts += ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(60, 400))) for _ in range(40)]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_time_follows_the_length():
+    """One word of ten million letters takes seconds, not hours."""
+    own, rng = bpe.Bpe(bpe.default_vocabulary()), np.random.default_rng(3)
+    word = rng.integers(97, 123, 10_000_000).astype(np.uint8).tobytes().decode()
+    began = time.process_time()
+    (ids,) = own.encode([word])
+    assert own.decode(ids).decode() == word and time.process_time() - began < 120
+
+
 def test_bpe_against_library_on_odd_text():
     tokenizers = pytest.importorskip("tokenizers")
     path = bpe.default_vocabulary()
