@@ -61,7 +61,9 @@ def expand(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
 
 
 def parse(examples: DataFrame) -> DataFrame:
-    """Read examples back: adds turns (role and text, unescaped) and loss_text."""
+    """Read examples back: adds turns (role and text, unescaped) and loss_text.
+
+    An example without a loss span has an empty loss_text; columns beside those of ``expand`` stay; an empty table gives no rows."""
     pieces = F.split("example", r" </turn>\n")
     pieces = F.slice(pieces, 1, F.size(pieces) - 1)
 
@@ -77,7 +79,9 @@ def parse(examples: DataFrame) -> DataFrame:
 
 
 def digests(examples: DataFrame) -> DataFrame:
-    """Per conversation, from its examples: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples."""
+    """Per conversation, from its examples: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples.
+
+    Null ids are one conversation, as in ``expand``; one without a reply has no loss (0 characters, the digest of nothing); an empty table gives no rows."""
     said = F.sha2(joined(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))), 256)
     rows = parse(examples).select("conv_id", "example_no", F.size("turns").cast("long").alias("n"), said.alias("said"), F.coalesce("loss_text", F.lit("")).alias("loss"), F.length("example").cast("long").alias("chars"))
     return rows.groupBy("conv_id").agg(

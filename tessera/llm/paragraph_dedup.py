@@ -361,7 +361,10 @@ def repeats(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col
 
 
 def without(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the spans cut out of their texts; nothing else changes."""
+    """The documents with the spans cut out of their texts; nothing else changes.
+
+    Rows without spans stay as they are, null and empty texts too; all rows of a repeated id are cut
+    alike, those of a null id never; columns may have any names; an empty table on either side is as it says."""
     key, held = (next(n for n in (f"{stem}_{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for stem in ("span_key", "span_cuts"))
     cuts = spans.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("first_byte", "last_byte"))).alias(held))
     joined = docs.join(cuts.hint("shuffle_hash"), F.col(id_col) == F.col(key), "left").drop(key)

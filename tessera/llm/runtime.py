@@ -52,20 +52,53 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch unless the session already has a smaller bound."""
+    """Bound the rows of an Arrow batch unless the session already has a smaller bound.
+
+    The setting is the session's: plans are run after an operator has returned, so it can't be put back here.
+    It only makes batches smaller and changes no result."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
+    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+#: Folders written so far, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back; cuts lineage and survives executors."""
+    """Write a table into the shared folder and read it back; cuts lineage and survives executors.
+
+    ``clear`` deletes the folders when what was made from them is used up."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def written_so_far(spark: SparkSession) -> int:
+    """The number of folders that this application has written and not cleared."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def clear(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> int:
+    """Delete what this application has written but for the first ``since`` folders and those that ``but`` reads; the number of folders that stay.
+
+    Results of operators are lazy: clear only when they are written or no longer wanted."""
+    held = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    read = but.inputFiles() if but is not None else []
+    kept = held[:since]
+    for at in held[since:]:
+        name = at.rsplit("/", 1)[1]
+        if any(f"/{name}/" in f for f in read):
+            kept.append(at)
+        else:
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    held[:] = kept
+    return len(kept)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

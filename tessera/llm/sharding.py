@@ -118,19 +118,21 @@ def minimax_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
     law ('bytes'), shard, slot (numbers the rows of a shard from 0 without gaps)
     and grown_shard (null: this law moves rows when a shard is added).  A null
     text counts as an empty one and groups with it.  Null and repeated ids are
-    kept as rows; a group larger than the mean gets a shard of its own; with
+    kept as rows (other columns are ignored); a group larger than the mean gets a shard of its own; with
     fewer groups than shards some stay empty; an empty table gives no rows.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = written(docs.select(F.col(id_col).alias(id_col), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("group_key")), "rows")
+    rows = written(docs.select(F.col(id_col).alias(id_col), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("group_key"), F.monotonically_increasing_id().alias("row_no")), "rows")
     groups = rows.groupBy("group_key").agg(F.sum("size").alias("group_size"), F.count(F.lit(1)).alias("group_rows"))
     groups = written(groups, "groups")
-    found = groups.groupBy("group_size").count().collect()  # a row for each distinct size
-    found.sort(key=lambda r: -r[0])
-    runs = Runs([r[0] for r in found], [r[1] for r in found])
+    # a row of two numbers for each distinct size: k sizes need k * k / 2 bytes of text, so 100 TB have 14 million at most
+    found = groups.groupBy("group_size").count().toArrow()
+    sizes, number = found["group_size"].to_numpy(), found["count"].to_numpy()
+    order = np.argsort(-sizes)
+    runs = Runs(sizes[order], number[order])
     bounds: list[tuple[int, int]] = []
-    for at in cuts(runs, shards) if found else []:
+    for at in cuts(runs, shards) if len(sizes) else []:
         if at < runs.groups:
             r = int(np.searchsorted(runs.group_at, at, "right")) - 1
             bounds.append((int(runs.size[r]), int(at - runs.group_at[r])))
@@ -141,7 +143,7 @@ def minimax_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
         shard = shard + past.cast("int")
     copied = groups.filter("group_rows > 1").select("group_key", F.col("group_size").alias("copies_size"))
     placed = rows.join(copied, "group_key", "left").withColumn("group_size", F.coalesce("copies_size", "size"))
-    placed = placed.withColumn("shard", shard).withColumn("part", F.pmod(F.xxhash64(id_col, "group_key"), F.lit(SLOT_PARTS)).cast("int"))
+    placed = placed.withColumn("shard", shard).withColumn("part", F.pmod(F.xxhash64(id_col, "group_key", F.when(F.col("copies_size").isNotNull(), F.col("row_no"))), F.lit(SLOT_PARTS)).cast("int"))
     placed = written(placed.select(id_col, "size", "text_crc32", "shard", "part"), "placed")
     counts = {(r[0], r[1]): r[2] for r in placed.groupBy("shard", "part").count().collect()}  # shards x SLOT_PARTS rows at most
     offsets = []

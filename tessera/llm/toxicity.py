@@ -323,13 +323,20 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Lexicon and model from labelled rows outside the held-out remainder.
 
     FIT_IDS labelled ids at most, those with the smallest hashes, bound the fit
-    whatever the size of the tables."""
+    whatever the size of the tables, and LEARNT_ENTRIES the learnt part of the lexicon (those
+    of the highest log-odds; TERMS come on top).  Half of the ids give the lexicon, the
+    other half the model.  With fewer than five toxic texts in the first half nothing is
+    learnt but TERMS; with fewer than ten rows of a class in the second the fixed
+    coefficients PRIOR take the model's place, which every table of some size has rows enough to avoid.
+    Null labels and ids take no part; an id that labels repeat is toxic if one says so;
+    of rows that share an id one is used; null and empty texts are texts without words;
+    empty tables give TERMS and PRIOR."""
     ids = labels.filter(F.col("toxic").isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
     ids = ids.filter(F.crc32(F.col("id").cast("string")) % 4 != held_out_remainder)
     picked = ids.orderBy(F.xxhash64("id"), "id").limit(FIT_IDS).collect()
     spark = docs.sparkSession
     chosen = spark.createDataFrame([tuple(r) for r in picked], ids.schema)
-    sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["id"])  # FIT_IDS rows
     sample = sample.withColumn("half", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2))).persist()
     lex = learn_lexicon(sample.filter("half = 0"))
 
@@ -368,7 +375,9 @@ def score(docs: DataFrame, lex: Lexicon, doc_id: str = "doc_id", text: str = "te
 
 
 def not_toxic(docs: DataFrame, lex: Lexicon, text: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose texts score below the threshold."""
+    """The rows, with all their columns, whose texts score below the threshold.
+
+    Null and empty texts have no hits and stay; ids aren't looked at, so null and repeated ones change nothing; an empty table gives no rows."""
     small_batches(docs.sparkSession)
     spot = docs.columns.index(text)
 

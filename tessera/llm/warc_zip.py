@@ -153,7 +153,8 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
 
     Returns a lazy table of archive URI, bytes and records.  A task names its
     archives by its partition and renames each into place when complete, so a
-    task that runs again replaces what it wrote before."""
+    task that runs again replaces what it wrote before.  Null addresses are written as empty ones, null and
+    empty payloads as empty records; rows may repeat; other columns are ignored; an empty table gives no archives."""
     schema = T.StructType([T.StructField("archive", T.StringType()), T.StructField("archive_bytes", T.LongType()), T.StructField("records", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +192,9 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
 
 
 def locate_records(archives: DataFrame) -> DataFrame:
-    """Byte ranges of the records of each archive, in blocks: archive, starts, lengths."""
+    """Byte ranges of the records of each archive, in blocks: archive, starts, lengths.
+
+    An archive without records gives no rows, as does an empty table; archives that are listed twice are read twice."""
     schema = "archive string, starts array<long>, lengths array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +217,8 @@ def read_records(ranges: DataFrame, with_payload: bool = False) -> DataFrame:
     """Read the records of the ranges: page_id (text), record_type, refers_to (text),
     payload_bytes, payload_digest, and the payload if asked for (null for a revisit).
 
-    A response whose payload doesn't have its digest raises an error."""
+    A response whose payload doesn't have its digest raises an error.  Ids and what they refer to are null where the record
+    names none; an empty table gives no rows."""
     import hashlib
 
     schema = T.StructType([T.StructField(n, t) for n, t in (("page_key", T.StringType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("record_type", T.StringType()), ("refers_key", T.StringType()), *[("payload", T.BinaryType())] * with_payload)])

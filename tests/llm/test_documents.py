@@ -300,6 +300,31 @@ def test_shards(docs, empty, texts):
     assert sharding.minimax_shards(empty, 5).count() == 0
 
 
+def test_shards_are_minimax(spark):
+    """The largest shard is as small as any cut of the ordered groups allows; ids may be called as columns of the result are."""
+    rng = random.Random(12)
+    for shards in (1, 3, 7):
+        texts = ["x" * rng.randint(0, 300) for _ in range(40)] + ["same text " * rng.randint(1, 20)] * rng.randint(1, 9) + [None] * 3
+        rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0])] * 5 + [(None, "same")] * 4
+        got = sharding.minimax_shards(spark.createDataFrame(rows, "shard_id long, size string"), shards, id_col="shard_id", text_col="size").collect()
+        assert len(got) == len(rows)
+        groups = collections.Counter()
+        for _, t in rows:
+            groups[t or ""] += len(t or "") + 16
+        order = sorted(groups.values(), reverse=True)
+        at = np.concatenate(([0], np.cumsum(order)))
+        best = {(0, 0): 0}
+        for k in range(1, shards + 1):  # least largest part of the first j groups in k shards
+            for j in range(len(order) + 1):
+                best[k, j] = min(max(best[k - 1, i], int(at[j] - at[i])) for i in range(j + 1) if (k - 1, i) in best)
+        held, slots = collections.Counter(), collections.defaultdict(list)
+        for r in got:
+            held[r.shard] += r[1]
+            slots[r.shard].append(r.slot)
+        assert max(held.values()) == best[shards, len(order)]
+        assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(6)
     rows, labels = [], []

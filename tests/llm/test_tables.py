@@ -117,6 +117,11 @@ def test_warc_round_trip(spark, monkeypatch):
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_key) == (len(b), hashlib.sha256(b).hexdigest(), "revisit" if revisit else "response", "4" if revisit else None)
         assert revisit or bytes(r.payload) == b
     assert warc_zip.marked(pages.limit(0)).count() == 0
+    none = written(warc_zip.write_archives(warc_zip.marked(pages.limit(0)), f"{shared_dir(spark)}/warc-none"), "archives")
+    assert none.count() == 0 == warc_zip.read_records(warc_zip.locate_records(none)).count()
+    # a page that is listed twice is written and read twice
+    twice = written(warc_zip.write_archives(warc_zip.marked(pages.filter("page_id = 5").union(pages.filter("page_id = 5"))), f"{shared_dir(spark)}/warc-twice"), "archives")
+    assert [(r.page_key, r.record_type) for r in warc_zip.read_records(warc_zip.locate_records(twice)).collect()] == [("5", "response")] * 2
 
 
 def test_chat(spark):
@@ -151,11 +156,21 @@ def test_pipeline(spark):
             assert kept.count() <= before.count() and kept.filter("doc_id is null or doc_id > 10000").count() == 3
     assert kept.count() > 0
     empty = odd.limit(0)
-    for name, stage in corpus_pipeline.STAGES[1:]:
+    for name, stage in corpus_pipeline.STAGES:
         empty = written(stage(spark, empty, "/root/testdata/sf0.001"), name)
     assert empty.count() == 0
 
 
+def test_pipeline_run_leaves_only_its_result(spark):
+    import corpus_pipeline
+    from tessera.llm import runtime
+
+    before = runtime.written_so_far(spark)
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0 and runtime.written_so_far(spark) == before + 1
+    assert runtime.clear(spark, before) == before
+
+
 def test_queries_are_registered():
     names = queries.queries()
     assert {k.split("_")[0] for k in names} == {f"op{i}" for i in range(1, 11)} and len(names) == 10
