@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, jaccard_join, paragraph_dedup, toxicity
-from tessera.llm.runtime import table, written
+from tessera.llm.runtime import clear, table, written, written_so_far
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the toxicity model rejects (score >= 0.3); all others stay as they are."""
+    """Drop documents that the toxicity model rejects (score >= 0.3); all others stay as they are.
+
+    Null and empty texts have no hits and stay, as do rows with null or repeated ids; an empty table stays empty."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.not_toxic(docs, model)
 
@@ -48,7 +50,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Token counts and digests of what is left: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    One row for each row of documents; a null text counts as an empty one; an empty table gives no rows."""
     return bpe.encode_decode(docs, bpe.default_vocabulary())
 
 
@@ -65,8 +69,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written and read again; what a stage has written for itself goes with it."""
+    docs, before = table(spark, sf_dir, "documents"), written_so_far(spark)
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        clear(spark, before, docs)
     return docs
