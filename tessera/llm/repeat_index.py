@@ -8,7 +8,8 @@ number of places is indexed; classes are indexed by anchor in blocks.  A
 multi-string BWT is built and held as runs with the suffix array sampled at the
 run ends, and matching statistics are streamed along the text from these samples
 (inside a run they fall by one from each position to the next); a string with
-several copies also matches its copies up to its end.  Positions with a match of
+several copies also matches its copies up to its end.  Neighbouring segments of a text that only
+their own copies share anchors with are indexed as one string.  Positions with a match of
 200 bytes elsewhere are marked, in all places of the class.
 
 An anchor with very many classes is split: strings whose bytes to the left of
@@ -42,6 +43,8 @@ PLACE_BITS = np.uint64(24)
 SLICE = 8 << 20
 #: Bytes of the segments that one index is built over.
 BLOCK_BYTES = 1 << 20
+#: Bytes of a text whose neighbouring segments may be indexed as one string.
+STRETCH = 1 << 14
 #: Classes of one anchor or core from which on it is split by finer cores, and the widths of these.
 HOT_CLASSES, WIDTHS = 4_000, (34, 8, 1)
 
@@ -189,19 +192,29 @@ def _spans_of(ok: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _index_block(length: int):
-    """Runs of string starts (first, last) of the classes of a block that occur elsewhere."""
+    """Runs of string starts (first, last; from a class' first start) of the classes of a block that occur elsewhere.
+
+    A row is a text with one class or several neighbouring ones: keys, classes and their first starts in the text."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
         # rows that are equal throughout give their classes more than once
-        pairs = np.stack((table["key"].to_numpy(), table["cls"].to_numpy()), 1)
+        keys, classes, starts = (table[c].combine_chunks() for c in ("keys", "classes", "starts"))
+        lead = keys.offsets.to_numpy()[:-1]
+        pairs = np.stack((keys.values.to_numpy()[lead], classes.values.to_numpy()[lead]), 1)
         table = table.take(pa.array(np.sort(np.unique(pairs, axis=0, return_index=True)[1])))
         index = RunIndex([b.as_buffer().to_pybytes() for b in table["segment"]], table["n"].to_numpy())
-        ms = index.matching_statistics() >= length
-        edge = np.diff(np.concatenate(([0], ms.astype(np.int8), [0])))  # runs end with strings, whose last bytes match less
-        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        of = np.searchsorted(index.at, first, "right") - 1
-        out = pa.table({"key": table["key"].combine_chunks().take(pa.array(of)), "cls": table["cls"].combine_chunks().take(pa.array(of)), "first": first - index.at[of], "last": last - index.at[of]})
-        del index, ms, edge
+        keys, classes, starts = (table[c].combine_chunks() for c in ("keys", "classes", "starts"))
+        count = np.diff(keys.offsets.to_numpy())
+        begin = np.repeat(index.at, count) + starts.flatten().to_numpy()
+        ms = index.matching_statistics() >= length  # never behind a string's last start, whose bytes end there
+        cut = np.zeros(len(ms) + 1, bool)
+        cut[begin] = True
+        first = np.flatnonzero(ms & (cut[:-1] | ~np.append(False, ms[:-1])))
+        last = np.flatnonzero(ms & (cut[1:] | ~np.append(ms[1:], False))) + 1
+        of = np.searchsorted(begin, first, "right") - 1
+        out = pa.table({"key": keys.flatten().take(pa.array(of)), "cls": classes.flatten().take(pa.array(of)), "first": first - begin[of], "last": last - begin[of]})
+        del index, ms, cut
         trim()
         return out
 
@@ -209,10 +222,10 @@ def _index_block(length: int):
 
 
 def _in_blocks(classes: DataFrame, length: int) -> DataFrame:
-    """key, cls, first, last: runs of string starts of the classes (key, cls, n, own, segment) that occur elsewhere among their key's."""
+    """key, cls, first, last: runs of string starts of the classes (keys, classes, starts, n, segment) that occur elsewhere among their key's."""
     total = classes.agg(F.sum(F.length("segment"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    return classes.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).select("block", "key", "cls", "n", "segment").groupBy("block").applyInArrow(_index_block(length), "key long, cls long, first long, last long")
+    return classes.withColumn("block", F.pmod(F.xxhash64(F.element_at("keys", 1)), F.lit(blocks))).select("block", "keys", "classes", "starts", "n", "segment").groupBy("block").applyInArrow(_index_block(length), "key long, cls long, first long, last long")
 
 
 PART = "key long, cls long, old_key long, old_cls long, shift long, n long, own int, segment binary"
@@ -294,19 +307,31 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             w = batch.column(1)
             owner = np.repeat(np.arange(len(w)), np.diff(w.offsets.to_numpy()))
             got = pa.RecordBatch.from_struct_array(w.flatten())
-            first, last = got["first"].to_numpy(), got["last"].to_numpy()
-            blobs = [raw[offsets[o] + a : offsets[o] + b + length].tobytes() for o, a, b in zip(owner.tolist(), first.tolist(), last.tolist())]
-            yield pa.RecordBatch.from_arrays([got["anchor"], got["seg"], got["n"], got["classes"], got["own"], pa.array(blobs, pa.binary())], names=["key", "cls", "n", "classes", "own", "segment"])
+            order = np.lexsort((got["first"].to_numpy(), owner))
+            owner, got = owner[order], got.take(pa.array(order))
+            first, last, n, several = (got[c].to_numpy() for c in ("first", "last", "n", "classes"))
+            # neighbours with no classes but their own copies stay together
+            alone = (several == 1) & (n > 1)
+            lead = np.ones(len(first), bool)
+            lead[1:] = ~(alone[1:] & alone[:-1] & (owner[1:] == owner[:-1]) & (first[1:] == last[:-1] + 1) & (first[1:] // STRETCH == first[:-1] // STRETCH))
+            a = np.flatnonzero(lead)
+            b = np.append(a[1:], len(first))
+            blobs = [raw[offsets[o] + x : offsets[o] + y + length].tobytes() for o, x, y in zip(owner[a].tolist(), first[a].tolist(), last[b - 1].tolist())]
+            starts = first - np.repeat(first[a], b - a)
+            bounds = pa.array(np.append(a, len(first)), pa.int32())
+            lists = [pa.ListArray.from_arrays(bounds, x) for x in (got["anchor"], got["seg"], pa.array(starts))]
+            lowest = np.minimum.reduceat(n, a) if len(a) else n
+            yield pa.RecordBatch.from_arrays([*lists, pa.array(lowest), pa.array(several[a]), got["own"].take(pa.array(a)), pa.array(blobs, pa.binary())], names=["keys", "classes", "starts", "n", "rivals", "own", "segment"])
 
     texts = docs.select("row", "text", F.xxhash64("row").alias("key")).mapInArrow(trimmed(some), "row binary, text string")
     # rows that share a key have one text, so any of them will do; a class that is fetched twice is a class once
     met_rows = texts.join(by_row.hint("shuffle_hash"), "row").select("text", "w")
-    classes = written(met_rows.mapInArrow(trimmed(fetch), "key long, cls long, n long, classes long, own int, segment binary"), "classes")
-    cool, hot = F.col("classes") <= HOT_CLASSES, F.col("classes") > HOT_CLASSES
+    classes = written(met_rows.mapInArrow(trimmed(fetch), "keys array<long>, classes array<long>, starts array<long>, n long, rivals long, own int, segment binary"), "classes")
+    cool, hot = F.col("rivals") <= HOT_CLASSES, F.col("rivals") > HOT_CLASSES
     marks = _in_blocks(classes.filter(cool), length).withColumnsRenamed({"key": "anchor", "cls": "seg"})
     members = None
     for width in WIDTHS:
-        classes = classes.filter(hot).dropDuplicates(["key", "cls"])
+        classes = classes.filter(hot).withColumn("key", F.element_at("keys", 1)).withColumn("cls", F.element_at("classes", 1)).dropDuplicates(["key", "cls"])
         if classes.isEmpty():
             break
         parts_ = written(_split(classes, width, length), "parts")
@@ -318,8 +343,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             own = own.join(old, ["old_key", "old_cls"]).select("key", "cls", "anchor", "seg", (F.col("shift") + F.col("before")).alias("shift"))
         members = written(own, "members")
         classes = parts_.groupBy("key", "cls").agg(F.sum("n").alias("n"), F.min("own").alias("own"), F.min("segment").alias("segment"))
-        often = classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("places")).filter("places > 1").drop("places")
-        classes = written(classes.join(often, "key"), "classes")
+        often = classes.groupBy("key").agg(F.count(F.lit(1)).alias("rivals"), F.sum("n").alias("places")).filter("places > 1").drop("places")
+        one = [F.array("key").alias("keys"), F.array("cls").alias("classes"), F.array(F.lit(0).cast("long")).alias("starts")]
+        classes = written(classes.join(often, "key").select(*one, "n", "rivals", "own", "segment"), "classes")
         found = _in_blocks(classes.filter(cool if width > 1 else F.lit(True)), length).join(members, ["key", "cls"])
         marks = marks.unionByName(found.select("anchor", "seg", (F.col("first") + F.col("shift")).alias("first"), (F.col("last") + F.col("shift")).alias("last")))
     marks = written(marks, "marks")
