@@ -15,6 +15,7 @@ from tessera.functions import levels
 
 ACTIVE_FOCUS = 1
 QUESTION_KINDS = ["factual", "synthesis", "context", "preference", "methodological", "factual"]
+MEMORY_KINDS = ["constraint", "preference", "fact", "pattern", "dead_end", "search_lesson", "source_lesson"]
 #: Characters of a chunk, and the room for the numbers of a source's chunks.
 CHUNK, CHUNKS = 1200, 1_000_000
 
@@ -169,6 +170,39 @@ class Evidence:
             F.when(k % 4 != 0, k % 3).alias("annihilated"), F.when(k % 4 != 0, k % 2).alias("sterile"), F.when(k % 10 == 0, "log").otherwise("run").alias("origin"),
         )
 
+    @cached_property
+    def memories(self) -> DataFrame:
+        """What is remembered: from people (chat, answer, manual), from research, and from the web (recon)."""
+        k = F.col("c_custkey")
+        kind = F.when((k % 5 == 4) & (k % 97 != 0), "fact").otherwise(choose(MEMORY_KINDS, k % 7))
+        text = F.when(k % 3 == 0, F.concat(F.lit("Lesson "), (k % 60).cast("string"))).when(k % 3 == 1, F.concat(F.lit(" LESSON  "), (k % 60).cast("string"))).otherwise(F.concat(F.lit("lesson "), (k % 60).cast("string"), F.lit(" ")))
+        return self.read("customer").select(
+            k.alias("memory_id"), text.alias("text"), kind.alias("kind"), choose(["chat", "answer", "manual", "research", "recon"], k % 5).alias("source"), (k % 4 != 0).alias("confirmed"), (k % 3 != 0).alias("active"),
+            (k % 6 == 3).alias("retired"), F.when(k % 5 == 4, (1 + k % 2).cast("int")).alias("focus_id"), F.concat(F.lit("["), (k % 100).cast("string"), F.lit(","), (k * 7 % 100).cast("string"), F.lit("]")).alias("claim_ids"),
+            F.when(k % 11 != 0, F.concat(F.lit("lesson "), (k % 60).cast("string"))).alias("text_key"),
+        )
+
+    @cached_property
+    def proposals(self) -> DataFrame:
+        """What a round of research proposes to remember."""
+        k = F.col("item_id")
+        return self.read("benchmark").select(
+            k.alias("proposal_id"), F.concat(F.lit("LESSON "), (k % 90).cast("string")).alias("text"), choose(["pattern", "dead_end", "bogus", None], k % 4).alias("kind"),
+            F.concat(F.lit("["), (k % 50).cast("string"), F.lit(","), (k * 3 % 50).cast("string"), F.lit("]")).alias("claim_ids"), (1 + k % 2).cast("int").alias("focus_id"),
+        )
+
+    @cached_property
+    def discoveries(self) -> DataFrame:
+        """What was found on the web and waits for a decision."""
+        k = F.col("page_id")
+        kind = choose(["source", "lead", "observation"], k % 3)
+        lead_kind = F.when((k % 3 == 1) & (k % 29 != 0), choose(["pubmed", "doi"], k % 2))
+        lead_id = F.when(k % 31 == 0, F.concat(F.lit("bad id "), k.cast("string"))).when(k % 2 == 0, (k * 7919).cast("string")).otherwise(F.concat(F.lit("10.1234/x."), k.cast("string")))
+        return self.read("pages").select(
+            k.alias("discovery_id"), kind.alias("kind"), choose(["pending", "approved", "rejected", "pending"], k % 4).alias("status"), (1 + k % 2).cast("int").alias("focus_id"),
+            lead_kind.alias("lead_kind"), F.when(lead_kind.isNotNull(), lead_id).alias("lead_external_id"), "url", (k % 40).cast("int").alias("days"),
+        )
+
 
 def _choose_sql(values: list[str | None], index: str) -> str:
     return "[" + ",".join("NULL" if v is None else f"'{v}'" for v in values) + f"][1 + ({index})]"
@@ -215,6 +249,15 @@ def ctes(active: str = str(ACTIVE_FOCUS)) -> dict[str, str]:
         "runs": """runs AS (SELECT doc_id AS run_id, doc_id AS source_id, 3+doc_id%5 AS proposed, greatest(0, 2+doc_id%5-toxic) AS anchored, greatest(0, 2+doc_id%5-toxic)*quality AS verified,
             CASE WHEN doc_id%4<>0 THEN doc_id%3 END AS annihilated, CASE WHEN doc_id%4<>0 THEN doc_id%2 END AS sterile, CASE WHEN doc_id%10=0 THEN 'log' ELSE 'run' END AS origin
             FROM (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id))""",
+        "memories": f"""memories AS (SELECT c_custkey AS memory_id, CASE c_custkey%3 WHEN 0 THEN 'Lesson '||(c_custkey%60) WHEN 1 THEN ' LESSON  '||(c_custkey%60) ELSE 'lesson '||(c_custkey%60)||' ' END AS text,
+            CASE WHEN c_custkey%5=4 AND c_custkey%97<>0 THEN 'fact' ELSE {_choose_sql(MEMORY_KINDS, 'c_custkey%7')} END AS kind, {_choose_sql(['chat', 'answer', 'manual', 'research', 'recon'], 'c_custkey%5')} AS source,
+            c_custkey%4<>0 AS confirmed, c_custkey%3<>0 AS active, c_custkey%6=3 AS retired, CASE WHEN c_custkey%5=4 THEN 1+c_custkey%2 END AS focus_id, '['||(c_custkey%100)||','||(c_custkey*7%100)||']' AS claim_ids,
+            CASE WHEN c_custkey%11<>0 THEN 'lesson '||(c_custkey%60) END AS text_key FROM customer)""",
+        "proposals": f"""proposals AS (SELECT item_id AS proposal_id, 'LESSON '||(item_id%90) AS text, {_choose_sql(['pattern', 'dead_end', 'bogus', None], 'item_id%4')} AS kind,
+            '['||(item_id%50)||','||(item_id*3%50)||']' AS claim_ids, 1+item_id%2 AS focus_id FROM benchmark)""",
+        "discoveries": f"""discoveries AS (SELECT page_id AS discovery_id, {_choose_sql(['source', 'lead', 'observation'], 'page_id%3')} AS kind, {_choose_sql(['pending', 'approved', 'rejected', 'pending'], 'page_id%4')} AS status, 1+page_id%2 AS focus_id,
+            lead_kind, CASE WHEN lead_kind IS NOT NULL THEN CASE WHEN page_id%31=0 THEN 'bad id '||page_id WHEN page_id%2=0 THEN (page_id*7919)::VARCHAR ELSE '10.1234/x.'||page_id END END AS lead_external_id, url, page_id%40 AS days
+            FROM (SELECT *, CASE WHEN page_id%3=1 AND page_id%29<>0 THEN {_choose_sql(['pubmed', 'doi'], 'page_id%2')} END AS lead_kind FROM pages))""",
     }
 
 
