@@ -129,7 +129,7 @@ def page_refusal(ev: Evidence) -> DataFrame:
     p = ev.read("pages").select("page_id", "url", X.page_text(F.col("html")).alias("p"))
     host = X.full_host(F.col("url"))
     rules = F.when(host.endswith(".org"), F.lit("User-agent: *\nDisallow: /")).when(host.startswith("m."), F.lit("User-agent: *\nCrawl-delay: 4\nDisallow: /private"))
-    policy = robots_policy(F.when(rules.isNull(), 404).otherwise(200), rules)
+    policy = robots_policy(F.when(rules.isNull(), 404).otherwise(200), rules, F.col("url"))
     p = p.withColumn("policy", policy).withColumn("verdict", X.page_verdict(F.col("url"), F.col("policy.allow"), F.col("p.title"), F.col("p.text")))
     read = F.col("verdict") == "read"
     return p.select("page_id", "verdict", F.when(read, F.col("policy.rate_per_s")).alias("rate_per_s"), F.when(read, F.md5(F.left("p.text", F.lit(PAGE_CHARS)))).alias("digest"), (read & (F.length("p.text") > PAGE_CHARS)).alias("truncated"))

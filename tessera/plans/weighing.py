@@ -195,6 +195,18 @@ COUNTS = (
 )
 
 
+@query("gap_queries_default", "SELECT 'what is new in the field' AS text")
+def gap_queries_default(ev: Evidence) -> DataFrame:
+    """Without coverage, as without an active focus, there is one general query."""
+    return or_default(gap_queries(replace(ev, active="none")).filter("text like 'conflict%'"), "what is new in the field")
+
+
+def or_default(queries: DataFrame, text: str) -> DataFrame:
+    """The queries (a handful), or the one text if there are none."""
+    n = queries.agg(F.count(F.lit(1)).alias("n"))
+    return queries.unionByName(n.filter("n = 0").select(F.lit(text).alias("text")))
+
+
 @query("corpus_counts", with_("sources chunks claims hypotheses links questions tasks runs", " UNION ALL ".join(f"SELECT '{w}' AS what, count(*) AS n FROM {t} WHERE {c}" for w, t, c in COUNTS)))
 def corpus_counts(ev: Evidence) -> DataFrame:
     """Rows of the tables and of parts of them; each table is read once."""

@@ -17,12 +17,12 @@ NOW, SINCE = "2024-01-30 00:00:00", "2024-01-20 00:00:00"
 
 
 @query("usage_summary", with_("calls", """SELECT label, count(*) AS n, count(*) FILTER (NOT ok) AS failures, CAST(sum(repairs) AS BIGINT) AS repairs, round(avg(prompt_tokens),6) AS avg_prompt, max(prompt_tokens) AS max_prompt,
-  round(avg(completion_tokens),6) AS avg_completion, round(avg(elapsed),6) AS avg_elapsed, round(max(elapsed),6) AS max_elapsed, CAST(sum(coalesce(prompt_tokens,0)+coalesce(completion_tokens,0)) AS BIGINT) AS tokens FROM calls GROUP BY 1"""))
+  round(avg(completion_tokens),6) AS avg_completion, round(avg(elapsed),6) AS avg_elapsed, round(max(elapsed),6) AS max_elapsed, round(sum(elapsed),4) AS total_elapsed, CAST(sum(coalesce(prompt_tokens,0)+coalesce(completion_tokens,0)) AS BIGINT) AS tokens FROM calls GROUP BY 1"""))
 def usage_summary(ev: Evidence) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0))
     return ev.calls.groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), count_if(~F.col("ok")).alias("failures"), F.sum("repairs").alias("repairs"), F.round(F.avg("prompt_tokens"), 6).alias("avg_prompt"), F.max("prompt_tokens").alias("max_prompt"),
-        F.round(F.avg("completion_tokens"), 6).alias("avg_completion"), F.round(F.avg("elapsed"), 6).alias("avg_elapsed"), F.round(F.max("elapsed"), 6).alias("max_elapsed"), F.sum(zero("prompt_tokens") + zero("completion_tokens")).alias("tokens"),
+        F.round(F.avg("completion_tokens"), 6).alias("avg_completion"), F.round(F.avg("elapsed"), 6).alias("avg_elapsed"), F.round(F.max("elapsed"), 6).alias("max_elapsed"), F.round(F.sum("elapsed"), 4).alias("total_elapsed"), F.sum(zero("prompt_tokens") + zero("completion_tokens")).alias("tokens"),
     )
 
 
@@ -147,6 +147,13 @@ def history_budget(ev: Evidence) -> DataFrame:
     return K.within_budget(m, "conv_id", F.col("key"), F.length("text"), 600).select("conv_id", "turn")
 
 
+@query("history_oldest", with_("messages", "SELECT conv_id, turn FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS r FROM messages) WHERE r=1 OR used<=600"))
+def history_oldest(ev: Evidence) -> DataFrame:
+    """The same from the beginning: the first messages while they fit."""
+    m = ev.messages.withColumn("key", F.struct("turn", "role", "text"))
+    return K.within_budget(m, "conv_id", F.col("key"), F.length("text"), 600).select("conv_id", "turn")
+
+
 SEEN = "event_id%3=0"
 
 
@@ -173,6 +180,13 @@ def mark_reconcile(ev: Evidence) -> DataFrame:
     return g.select("user_id", kept.cast("long").alias("kept"))
 
 
+@query("mark_minimum", f"SELECT user_id, event_type AS kind, least(count(*), count(*) FILTER ({SEEN})) AS n FROM events GROUP BY 1,2")
+def mark_minimum(ev: Evidence) -> DataFrame:
+    """After a notice that wasn't delivered a mark holds, of each kind, the lesser of what it had and what there is."""
+    g = ev.read("events").groupBy("user_id", F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("now"), count_if(F.col("event_id") % 3 == 0).alias("seen"))
+    return g.select("user_id", "kind", F.least("now", "seen").alias("n"))
+
+
 @query("upsert_sources", with_("sources", "SELECT source_id, coalesce(n.title, s.title) AS title, coalesce(n.year, s.year) AS year FROM sources s FULL JOIN (SELECT item_id*2 AS source_id, CASE WHEN item_id%2=0 THEN left(text,20) END AS title, 2024 AS year FROM benchmark) n USING (source_id)"))
 def upsert_sources(ev: Evidence) -> DataFrame:
     i = F.col("item_id")
@@ -201,8 +215,11 @@ def cascade_delete(ev: Evidence) -> DataFrame:
     return ev.directness.join(claims, "claim_id", "left_semi").agg(F.count(F.lit(1)).alias("judgments"))
 
 
-@query("validate_constraints", with_("claims scale_levels directness", """SELECT 'confidence' AS rule, count(*) FILTER (NOT confidence BETWEEN 0 AND 1) AS broken FROM claims UNION ALL SELECT 'direction', count(*) FILTER (direction NOT IN ('positive','negative','null','mixed')) FROM claims
-  UNION ALL SELECT 'grade', count(*) FROM claims WHERE grade NOT IN (SELECT value FROM scale_levels WHERE axis='grade') UNION ALL SELECT 'one_judgment', count(*) FROM (SELECT 1 FROM directness GROUP BY claim_id, focus_id HAVING count(*)>1)
+@query("validate_constraints", with_("claims scale_levels directness sources links hypotheses", """SELECT 'confidence' AS rule, count(*) FILTER (NOT confidence BETWEEN 0 AND 1) AS broken FROM claims UNION ALL SELECT 'direction', count(*) FILTER (direction NOT IN ('positive','negative','null','mixed')) FROM claims
+  UNION ALL SELECT 'grade', count(*) FROM claims WHERE grade NOT IN (SELECT value FROM scale_levels WHERE axis='grade') UNION ALL SELECT 'directness', count(*) FROM directness WHERE directness NOT IN (SELECT value FROM scale_levels WHERE axis='directness') UNION ALL
+  SELECT 'source', count(*) FROM claims WHERE source_id NOT IN (SELECT source_id FROM sources) UNION ALL SELECT 'judged_claim', count(*) FROM directness WHERE claim_id NOT IN (SELECT claim_id FROM claims) UNION ALL SELECT 'linked_claim', count(*) FROM links WHERE claim_id NOT IN (SELECT claim_id FROM claims) UNION ALL
+  SELECT 'one_link', count(*) FROM (SELECT 1 FROM links GROUP BY claim_id, hypothesis_id HAVING count(*)>1) UNION ALL SELECT 'one_identity', count(*) FROM (SELECT 1 FROM sources GROUP BY kind, external_id HAVING count(*)>1) UNION ALL SELECT 'one_doi', count(*) FROM (SELECT 1 FROM sources WHERE doi IS NOT NULL GROUP BY trim(lower(doi)) HAVING count(*)>1) UNION ALL
+  SELECT 'modulator', count(*) FILTER (NOT modulator BETWEEN 0 AND 1) FROM links UNION ALL SELECT 'novelty', count(*) FILTER (NOT novelty BETWEEN 0 AND 1) FROM hypotheses UNION ALL SELECT 'tier', count(*) FILTER (tier NOT IN ('speculative','supported','rejected')) FROM hypotheses UNION ALL SELECT 'one_judgment', count(*) FROM (SELECT 1 FROM directness GROUP BY claim_id, focus_id HAVING count(*)>1)
   UNION ALL SELECT 'intervention', count(*) FILTER (trim(coalesce(intervention,''))='') FROM claims"""))
 def validate_constraints(ev: Evidence) -> DataFrame:
     """Broken rows by rule: ranges, vocabularies, references and uniqueness."""
@@ -210,15 +227,26 @@ def validate_constraints(ev: Evidence) -> DataFrame:
     in_row = c.agg(
         count_if(~F.col("confidence").between(0, 1)).alias("confidence"), count_if(~F.col("direction").isin("positive", "negative", "null", "mixed")).alias("direction"), count_if(F.trim(F.coalesce("intervention", F.lit(""))) == "").alias("intervention")
     )
-    grades = ev.levels.filter("axis = 'grade'").select(F.col("value").alias("grade")).distinct()
-    more = c.join(F.broadcast(grades), "grade", "left_anti").agg(F.count(F.lit(1)).alias("grade")).crossJoin(ev.directness.groupBy("claim_id", "focus_id").count().filter("count > 1").agg(F.count(F.lit(1)).alias("one_judgment")))
-    return in_row.crossJoin(more).unpivot([], ["confidence", "direction", "intervention", "grade", "one_judgment"], "rule", "broken")
-
-
-@query("gate_funnel", with_("runs", """SELECT origin, count(*) AS n, CAST(sum(proposed) AS BIGINT) AS proposed, CAST(sum(anchored) AS BIGINT) AS anchored, CAST(sum(verified) AS BIGINT) AS verified, CAST(sum(annihilated) AS BIGINT) AS annihilated, count(*)-count(annihilated) AS unknown,
+    words = lambda axis: ev.levels.filter(F.col("axis") == axis).select(F.col("value").alias(axis)).distinct()
+    missing = lambda df, other, key: df.join(other.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("broken"))
+    repeated = lambda df, *key: df.groupBy(*key).count().filter("count > 1").agg(F.count(F.lit(1)).alias("broken"))
+    s, d, k, h = ev.sources, ev.directness, ev.links, ev.hypotheses
+    across = {
+        "grade": missing(c, words("grade"), "grade"), "directness": missing(d, words("directness"), "directness"), "source": missing(c, s, "source_id"), "judged_claim": missing(d, c, "claim_id"), "linked_claim": missing(k, c, "claim_id"),
+        "one_judgment": repeated(d, "claim_id", "focus_id"), "one_link": repeated(k, "claim_id", "hypothesis_id"), "one_identity": repeated(s, "kind", "external_id"), "one_doi": repeated(s.filter("doi is not null"), F.trim(F.lower("doi"))),
+        "modulator": k.agg(F.coalesce(count_if(~F.col("modulator").between(0, 1)), F.lit(0)).alias("broken")), "novelty": h.agg(F.coalesce(count_if(~F.col("novelty").between(0, 1)), F.lit(0)).alias("broken")),
+        "tier": h.agg(F.coalesce(count_if(~F.col("tier").isin("speculative", "supported", "rejected")), F.lit(0)).alias("broken")),
+    }
+    out = in_row.unpivot([], ["confidence", "direction", "intervention"], "rule", "broken")
+    for rule, n in across.items():
+        out = out.unionByName(n.select(F.lit(rule).alias("rule"), "broken"))
+    return out
+
+
+@query("gate_funnel", with_("runs", """SELECT origin, count(*) AS n, CAST(sum(proposed) AS BIGINT) AS proposed, CAST(sum(anchored) AS BIGINT) AS anchored, CAST(sum(verified) AS BIGINT) AS verified, CAST(sum(annihilated) AS BIGINT) AS annihilated, CAST(sum(sterile) AS BIGINT) AS sterile, count(*)-count(annihilated) AS unknown,
   round(coalesce(sum(anchored)/sum(proposed),0),9) AS anchor_rate FROM runs GROUP BY 1"""))
 def gate_funnel(ev: Evidence) -> DataFrame:
-    g = ev.runs.groupBy("origin").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).cast("long").alias(c) for c in ("proposed", "anchored", "verified", "annihilated")], count_if(F.col("annihilated").isNull()).alias("unknown"))
+    g = ev.runs.groupBy("origin").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).cast("long").alias(c) for c in ("proposed", "anchored", "verified", "annihilated", "sterile")], count_if(F.col("annihilated").isNull()).alias("unknown"))
     return g.withColumn("anchor_rate", F.round(ratio(F.col("anchored"), F.col("proposed")), 9))
 
 

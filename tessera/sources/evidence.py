@@ -68,7 +68,7 @@ class Evidence:
         direction = F.when(k % 10 == 3, "null").when(status == "F", "positive").when(status == "O", "negative").otherwise("mixed")
         return o.crossJoin(F.broadcast(n)).select(
             k.alias("claim_id"), (k % F.col("n_docs")).alias("source_id"), intervention.alias("intervention"), direction.alias("direction"),
-            choose([g for g, _ in levels.GRADES], k % 9).alias("grade"), ((k % 10 + 1) / F.lit(10.0)).alias("confidence"), (k % 7 != 0).alias("verified"),
+            choose([g for g, _ in levels.GRADES], k % 9).alias("grade"), ((k % 10 + 1) / F.lit(10.0)).alias("confidence"), ((k % 7 != 0) & (k % F.col("n_docs") % 50 != 7)).alias("verified"),
             (F.lit(1) + (k % 13 == 0).cast("int")).alias("scale_id"), F.col("o_orderdate").alias("extracted_at"),
             F.concat(F.lit("Claim "), k.cast("string")).alias("statement"),
             F.when(k % 19 == 0, "[]").otherwise(F.concat(F.lit("["), ((k % F.col("n_docs")) * CHUNKS + k % 3).cast("string"), F.lit(", "), ((k % F.col("n_docs")) * CHUNKS + k % 7).cast("string"), F.lit("]"))).alias("chunk_ids"),
@@ -101,7 +101,7 @@ class Evidence:
         p, k = self.read("part"), F.col("p_partkey")
         return p.select(
             k.alias("hypothesis_id"), (F.lit(1) + (k % 4 == 0).cast("int")).alias("focus_id"), F.col("p_name").alias("statement"), choose(["speculative", "supported", "rejected"], k % 3).alias("tier"),
-            F.when(k % 3 == 0, None).otherwise((k % 3 == 1)).alias("survives"), ((F.col("p_size") % 10) / F.lit(10.0)).alias("novelty"), F.when(k % 6 != 0, (k * 7 % 50)).alias("regrounded"),
+            F.when(k % 6 == 0, None).otherwise((k % 3 == 1)).alias("survives"), ((F.col("p_size") % 10) / F.lit(10.0)).alias("novelty"), F.when(k % 6 != 0, (k * 7 % 50)).alias("regrounded"),
         )
 
     @cached_property
@@ -222,7 +222,7 @@ def ctes(active: str = str(ACTIVE_FOCUS)) -> dict[str, str]:
         "claims": f"""claims AS (SELECT o_orderkey AS claim_id, o_orderkey % n_docs AS source_id,
             CASE WHEN o_orderkey%23=0 THEN NULL WHEN o_orderkey%29=0 THEN '  ' WHEN o_orderkey%2=0 THEN 'AGENT '||(o_custkey%40) ELSE 'Agent '||(o_custkey%40)||' ' END AS intervention,
             CASE WHEN o_orderkey%10=3 THEN 'null' WHEN o_orderstatus='F' THEN 'positive' WHEN o_orderstatus='O' THEN 'negative' ELSE 'mixed' END AS direction,
-            {_choose_sql(g, 'o_orderkey%9')} AS grade, (o_orderkey%10+1)/10.0::DOUBLE AS confidence, o_orderkey%7<>0 AS verified, 1+(o_orderkey%13=0)::INT AS scale_id,
+            {_choose_sql(g, 'o_orderkey%9')} AS grade, (o_orderkey%10+1)/10.0::DOUBLE AS confidence, o_orderkey%7<>0 AND o_orderkey%n_docs%50<>7 AS verified, 1+(o_orderkey%13=0)::INT AS scale_id,
             o_orderdate AS extracted_at, 'Claim '||o_orderkey AS statement,
             CASE WHEN o_orderkey%19=0 THEN '[]' ELSE '['||(o_orderkey%n_docs*{CHUNKS}+o_orderkey%3)||', '||(o_orderkey%n_docs*{CHUNKS}+o_orderkey%7)||']' END AS chunk_ids FROM orders, n)""",
         "chunks": f"""chunks AS (SELECT doc_id*{CHUNKS}+i AS chunk_id, doc_id AS source_id, i AS ord, substr(text, i*{CHUNK}+1, {CHUNK}) AS text
@@ -231,7 +231,7 @@ def ctes(active: str = str(ACTIVE_FOCUS)) -> dict[str, str]:
         "directness": f"""directness AS (SELECT o_orderkey AS claim_id, 1 AS focus_id, {_choose_sql(d, 'o_orderkey%4')} AS directness, o_orderkey%17=0 AS out_of_scope FROM orders WHERE o_orderkey%5<>0
             UNION ALL SELECT o_orderkey, 2, {_choose_sql(d, 'o_orderkey%4')}, FALSE FROM orders WHERE o_orderkey%3=0)""",
         "hypotheses": f"""hypotheses AS (SELECT p_partkey AS hypothesis_id, 1+(p_partkey%4=0)::INT AS focus_id, p_name AS statement, {_choose_sql(['speculative', 'supported', 'rejected'], 'p_partkey%3')} AS tier,
-            CASE WHEN p_partkey%3=0 THEN NULL ELSE p_partkey%3=1 END AS survives, (p_size%10)/10.0::DOUBLE AS novelty, CASE WHEN p_partkey%6<>0 THEN p_partkey*7%50 END AS regrounded FROM part)""",
+            CASE WHEN p_partkey%6=0 THEN NULL ELSE p_partkey%3=1 END AS survives, (p_size%10)/10.0::DOUBLE AS novelty, CASE WHEN p_partkey%6<>0 THEN p_partkey*7%50 END AS regrounded FROM part)""",
         "chain": """chain AS (SELECT hypothesis_id, step, (hypothesis_id+step)%3<>0 AS supported,
             CASE (hypothesis_id+step)%5 WHEN 0 THEN NULL WHEN 1 THEN 'PMID: '||((hypothesis_id*31+step*7)%(2*n_docs)) WHEN 2 THEN '' ELSE ((hypothesis_id*31+step*7)%(2*n_docs))::VARCHAR END AS evidence
             FROM (SELECT hypothesis_id, unnest(range(1, 2+hypothesis_id%4)) AS step FROM hypotheses WHERE hypothesis_id%5<>0), n)""",

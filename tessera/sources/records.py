@@ -8,7 +8,9 @@ from __future__ import annotations
 import re
 import tomllib
 from pathlib import Path
+from urllib.robotparser import RobotFileParser
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,11 +95,23 @@ def crawl_delay(rules: Column) -> Column:
     return F.when(found != "", found.try_cast("double"))
 
 
-def robots_policy(status: Column, rules: Column) -> Column:
-    """allow, rate: no rules file (404, 410) allows, any other failure forbids, a delay limits the rate."""
-    shut = F.regexp_like(rules, F.lit(r"(?im)^\s*disallow\s*:\s*/\s*$"))
-    allow = F.when(status.isin(404, 410), True).when(status != 200, False).otherwise(~F.coalesce(shut, F.lit(False)))
-    return F.struct(allow.alias("allow"), F.try_divide(F.lit(1.0), crawl_delay(rules)).alias("rate_per_s"))
+def robots_policy(status: Column, rules: Column, url: Column | None = None, agent: str = "tessera") -> Column:
+    """allow, rate_per_s: no rules file (404, 410) allows, any other failure forbids; else the rules for
+    the agent decide about the address (the host's root if none is given), and a delay limits the rate."""
+
+    @F.pandas_udf("boolean")
+    def allowed(rules: pd.Series, url: pd.Series) -> pd.Series:
+        out, parsed = [], {}
+        for text, at in zip(rules, url):
+            text = text or ""
+            if text not in parsed:
+                parsed[text] = RobotFileParser()
+                parsed[text].parse(text.splitlines())
+            out.append(parsed[text].can_fetch(agent, at or "/"))
+        return pd.Series(out)
+
+    allow = F.when(status.isin(404, 410), True).when(status != 200, False).otherwise(allowed(rules, F.lit("/") if url is None else url))
+    return F.struct(F.coalesce(allow, F.lit(False)).alias("allow"), F.try_divide(F.lit(1.0), crawl_delay(rules)).alias("rate_per_s"))
 
 
 def load_profile(folder: str) -> dict:
