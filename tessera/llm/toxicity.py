@@ -44,6 +44,7 @@ QUOTES = "\"'“”„‟«»‘’‹›"
 
 
 def allowed_edits(term: str) -> int:
+    """Edits of a hit.  Short terms have common words one edit away ('have' of 'hate'), so they must be exact."""
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 

@@ -418,3 +418,13 @@ def test_jaccard_many_near_copies(spark, monkeypatch, tile):
     assert 0.05 < linked.mean() < 0.6 and len(set(want.tolist())) > 20
     got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(spark.createDataFrame(rows_of(rows), SCHEMA)).collect()}
     assert got == {i + 1: int(c) + 1 for i, c in enumerate(want)}
+
+
+def test_toxicity_on_held_out_documents(spark):
+    """Whole table, fitted on what is not held out."""
+    at = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels)).filter("held_out").join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    bad, good = [r for r in scored if r.toxic == 1], [r for r in scored if r.toxic == 0]
+    auc = sum((b.score > g.score) + 0.5 * (b.score == g.score) for b in bad for g in good) / (len(bad) * len(good))
+    assert auc > 0.95 and sum(r.predicted for r in bad) >= 0.75 * len(bad) and sum(r.predicted for r in good) <= 0.04 * len(good)

@@ -1,6 +1,8 @@
 """Repeated passages go whole, by comparison with brute force over all earlier places."""
 
+import collections
 import random
+import re
 
 from tessera.llm import paragraph_dedup
 
@@ -73,3 +75,71 @@ def test_short_neighbouring_lines_are_one_paragraph():
     sums = t.sums(t.para)
     assert sums[0] == sums[2] == sums[3] != sums[1]
     assert paragraph_dedup.Lines(np.zeros(0, np.uint8), np.zeros(1, np.int64)).para.shape == (0, 2)
+
+
+def shingles(w):
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def paragraphs(text):
+    """(first word, words) of lines of twenty words or more, and of shorter neighbouring ones together."""
+    out, held, at = [], [], 0
+    for line in [*text.split("\n"), ""]:
+        w = re.findall(r"[^\x20\x09-\x0D]+", line.translate(LOWER))
+        if 0 < len(w) < 20:
+            held += w
+            at += len(w)
+            continue
+        if held:
+            out.append((at - len(held), held))
+            held = []
+        if w:
+            out.append((at, w))
+        at += len(w)
+    return [(a, w) for a, w in out if len(w) >= 20]
+
+
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def test_like_all_paragraphs_against_all(spark):
+    """Over whole texts: what has an earlier paragraph of a similarity of 0.8 goes; nothing goes that has neither that nor an equal run of words elsewhere."""
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect())
+    docs = spark.createDataFrame(rows, SCHEMA)
+    spans = paragraph_dedup.repeats(docs).collect()
+    words_of = {i: [(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t.encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))))] for i, t in rows}
+    gone = {i: set() for i, _ in rows}
+    for s in spans:
+        gone[s.doc_id] |= {k for k, (a, b, _) in enumerate(words_of[s.doc_id]) if a >= s.first_byte and b <= s.last_byte}
+    paras = [(i, a, len(w), shingles(w)) for i, t in rows for a, w in paragraphs(t)]
+    root = list(range(len(paras)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    by_shingle = {}
+    for k, (*_, s) in enumerate(paras):
+        for x in s:
+            by_shingle.setdefault(x, []).append(k)
+    for k, (*_, s) in enumerate(paras):
+        shared = collections.Counter(o for x in s for o in by_shingle[x] if o < k)
+        for o, n in shared.items():
+            if n >= 0.8 * (len(s) + len(paras[o][3]) - n):
+                a, b = sorted((top(o), top(k)))
+                root[b] = a
+    sizes = collections.Counter(top(k) for k in range(len(paras)))
+    must = [p for k, p in enumerate(paras) if top(k) != k]
+    found = sum(set(range(a, a + n)) <= gone[i] for i, a, n, _ in must)
+    assert len(must) > 20 and found >= 0.99 * len(must)
+    may = {i: set() for i, _ in rows}
+    for k, (i, a, n, _) in enumerate(paras):
+        if sizes[top(k)] > 1:
+            may[i] |= set(range(a, a + n))
+    runs = collections.Counter(tuple(x for *_, x in w[k : k + 20]) for w in words_of.values() for k in range(len(w) - 19))
+    for i, w in words_of.items():
+        for k in range(len(w) - 19):
+            if runs[tuple(x for *_, x in w[k : k + 20])] > 1:
+                may[i] |= set(range(k, k + 20))
+    assert all(gone[i] <= may[i] for i in gone)
