@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from tessera.sources import shared
 
 
-def run_available(frame: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_available(frame: DataFrame, name: str, mode: str = "append", at: str | None = None) -> DataFrame:
     """Run a streaming frame over all that is available and read what it wrote.
 
     In update mode each batch is written by its number, so a batch that runs again
-    replaces itself; the last state of a key is the one of the last batch."""
+    replaces itself; the last state of a key is the one of the last batch.  ``at`` is a
+    folder that a later run goes on from (its results and its state); without it there is a new one."""
     spark = frame.sparkSession
-    out, state = shared.folder(spark, name), shared.folder(spark, f"{name}-state")
+    at = at or shared.folder(spark, name)
+    out, state = f"{at}/out", f"{at}/state"
     if mode == "append":
         frame.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(frame.schema).parquet(out)
@@ -31,18 +33,18 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/events.parquet*")
 
 
-def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily_counts(spark: SparkSession, sf_dir: str, at: str | None = None) -> DataFrame:
     """Events by UTC day and type, kept up to date; late events count on their day."""
     g = event_stream(spark, sf_dir).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    rows = run_available(g.select(F.to_date("w.start").alias("day"), "event_type", "n"), "daily", "update")
+    rows = run_available(g.select(F.to_date("w.start").alias("day"), "event_type", "n"), "daily", "update", at)
     return rows.groupBy("day", "event_type").agg(F.max_by("n", "batch_no").alias("n"))
 
 
-def first_seen(spark: SparkSession, sf_dir: str, late: str = "2 days") -> DataFrame:
+def first_seen(spark: SparkSession, sf_dir: str, late: str = "2 days", at: str | None = None) -> DataFrame:
     """The keys user, type and hour, each once, across restarts of the stream.
 
     Keys are forgotten when the watermark has passed their hour by ``late``, so the
     state holds no more than the keys of that time; events that come later still are
     left out by the stream, as their key can't be told from one that was seen."""
     e = event_stream(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "ts")).withWatermark("hour", late)
-    return run_available(e.select("user_id", "event_type", "hour").dropDuplicates(["user_id", "event_type", "hour"]), "seen")
+    return run_available(e.select("user_id", "event_type", "hour").dropDuplicates(["user_id", "event_type", "hour"]), "seen", at=at)
