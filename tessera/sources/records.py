@@ -48,15 +48,23 @@ def dig(payload: Column, path: str) -> Column:
 
 def search_ids(spark: SparkSession, path: str, id_path: str = "esearchresult.idlist") -> DataFrame:
     """Identifiers listed in stored search responses, each file one response."""
-    raw = spark.read.text(path, wholetext=True)
+    return ids_in(spark.read.text(path, wholetext=True), id_path)
+
+
+def ids_in(responses: DataFrame, id_path: str = "esearchresult.idlist") -> DataFrame:
+    """external_id of all that responses (value) list, each once; null and malformed responses list nothing."""
     ids = F.from_json(dig(F.col("value"), id_path), "array<string>")
-    return raw.select(F.explode(ids).alias("external_id")).distinct()
+    return responses.select(F.explode(ids).alias("external_id")).distinct()
 
 
 def fetched(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
     """One row for each stored JSON response, with the fields that a declaration names by path."""
-    raw = spark.read.text(path, wholetext=True)
-    return raw.select(*[dig(F.col("value"), p).alias(n) for n, p in fields.items()])
+    return fields_of(spark.read.text(path, wholetext=True), fields)
+
+
+def fields_of(responses: DataFrame, fields: dict[str, str], *keep: str) -> DataFrame:
+    """The declared fields of responses (value), beside the columns to keep; null where a path leads nowhere."""
+    return responses.select(*keep, *[dig(F.col("value"), p).alias(n) for n, p in fields.items()])
 
 
 def articles(spark: SparkSession, path: str) -> DataFrame:
@@ -64,7 +72,11 @@ def articles(spark: SparkSession, path: str) -> DataFrame:
 
     Articles that can't be parsed or have no abstract are left out; the design is
     the strongest grade of the publication types."""
-    raw = spark.read.format("xml").option("rowTag", "PubmedArticle").option("mode", "DROPMALFORMED").schema(ARTICLE).load(path)
+    return articles_in(spark.read.format("xml").option("rowTag", "PubmedArticle").option("mode", "DROPMALFORMED").schema(ARTICLE).load(path))
+
+
+def articles_in(raw: DataFrame) -> DataFrame:
+    """The same from parsed articles (columns of ARTICLE)."""
     a, issue = "MedlineCitation.Article", "MedlineCitation.Article.Journal.JournalIssue.PubDate"
     rank = {g: i for i, (g, _) in enumerate(GRADES)}
     types = F.col(f"{a}.PublicationTypeList.PublicationType")
@@ -81,8 +93,16 @@ def articles(spark: SparkSession, path: str) -> DataFrame:
 
 def web_results(spark: SparkSession, path: str, limit: int = 10) -> DataFrame:
     """Hits of stored web searches: response, position, title, url, text; hits without an address are left out."""
-    schema = "web struct<results: array<struct<title: string, url: string, description: string, extra_snippets: array<string>>>>"
-    raw = spark.read.schema(schema).json(path, multiLine=True).select(F.input_file_name().alias("response"), F.posexplode("web.results").alias("place", "hit"))
+    raw = spark.read.schema(HITS).json(path, multiLine=True).select(F.input_file_name().alias("response"), "web")
+    return hits_in(raw, limit)
+
+
+HITS = "web struct<results: array<struct<title: string, url: string, description: string, extra_snippets: array<string>>>>"
+
+
+def hits_in(responses: DataFrame, limit: int = 10) -> DataFrame:
+    """The same from parsed responses (response, web)."""
+    raw = responses.select("response", F.posexplode("web.results").alias("place", "hit"))
     hits = raw.filter(F.coalesce(F.trim("hit.url"), F.lit("")) != "")
     text = F.concat_ws(" ", F.col("hit.description"), F.array_join(F.coalesce(F.col("hit.extra_snippets"), F.array()), " "))
     ranked = hits.withColumn("position", F.row_number().over(Window.partitionBy("response").orderBy("place"))).filter(F.col("position") <= limit)
