@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import guarding, landing, registry, remembering, retrieving, screening, texts, weighing, working  # noqa: F401
+from tessera.plans import delivering, guarding, landing, registry, remembering, retrieving, screening, texts, weighing, working  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

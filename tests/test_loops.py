@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import deliver as D
 from tessera.operators import guard as G
 from tessera.operators import memory as M
 from tessera.operators import screen as S
@@ -122,3 +123,20 @@ def test_views_fail_closed(spark):
     now = spark.createDataFrame([(1,)], "focus_id int")
     assert {tuple(r) for r in M.views(m, now).collect()} == {("recon", 1), ("user", 3), ("declined", 5), ("research", 6)}
     assert {tuple(r) for r in M.views(m, now.limit(0)).collect()} == {("user", 3), ("declined", 5), ("research", 6)}
+
+
+def test_templates_are_strict(spark):
+    with pytest.raises(ValueError, match="no value"):
+        D.render("a $b $c", {"b": F.lit(1)})
+    with pytest.raises(ValueError, match="no placeholder"):
+        D.render("a $b", {"b": F.lit(1), "x": F.lit(2)})
+    assert spark.range(1).select(D.render("$a$b.", {"a": F.lit(1), "b": F.lit(None)})).first()[0] == "1."
+
+
+def test_paced_like_a_loop(spark):
+    rows = [(h, i, float(t)) for h, times in ((1, [0, 0, 0, 5, 5, 100]), (2, [7])) for i, t in enumerate(times)]
+    got = {(r.h, r.i): round(r.starts, 9) for r in D.paced(spark.createDataFrame(rows, "h int, i int, t double"), "h", "t", "i", 0.5).collect()}
+    want, last = {}, {}
+    for h, i, t in rows:
+        want[h, i] = last[h] = max(t, last.get(h, -1e9) + 2)
+    assert got == want
