@@ -50,6 +50,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
+def _settled(e: DataFrame) -> bool:
+    """Whether the links (u, v), v < u, are stars: each u has one v, and no v is a u.
+
+    Links of a component always connect all of it, so each star then is a whole one around its smallest node."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    held = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return held.filter("up > 1 or (up > 0 and down > 0)").agg(F.count(F.lit(1))).first()[0] == 0
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """node and component (its smallest node) of every node that has a link.
 
@@ -61,13 +70,6 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = written(e.mapInArrow(trimmed(_forest), "u long, v long"), "links")
 
-    def state() -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-
-    now = state()
-    while now[0]:
-        before, e = now, written(_star(_star(e, True), False), "links")
-        now = state()
-        if now == before:
-            break
+    while not _settled(e):
+        e = written(_star(_star(e, True), False), "links")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

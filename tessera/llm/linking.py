@@ -281,4 +281,6 @@ def linked_components(found: DataFrame, sets_of: Callable[[DataFrame], DataFrame
     pairs = written(met.filter(F.col("kind") == PAIR).select("a", "b").distinct(), "pairs")
     tiled = met.filter(F.col("kind") == MEMBER).groupBy(F.col("b").alias("head"), F.col("a").alias("node")).agg(F.bit_or("flag").alias("role"), F.max("size").alias("size"))
     more = written(count(pairs, sets, percent).unionByName(_in_tiles(written(tiled, "tiled"), sets, percent)), "counted")
-    return parts_ if more.isEmpty() else components(links.unionByName(more), "a", "b")
+    if more.isEmpty():
+        return parts_
+    return components(parts_.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
