@@ -42,11 +42,11 @@ PLACE_BITS = np.uint64(24)
 #: Longer texts are hashed in slices of so many bytes (that overlap by LENGTH - 1).
 SLICE = 8 << 20
 #: Bytes of the segments that one index is built over.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: Bytes of a text whose neighbouring segments may be indexed as one string.
 STRETCH = 1 << 14
 #: Classes of one anchor or core from which on it is split by finer cores, and the widths of these.
-HOT_CLASSES, WIDTHS = 4_000, (34, 8, 1)
+HOT_CLASSES, WIDTHS = 2_000, (34, 8, 1)
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -203,8 +203,11 @@ def _index_block(length: int):
         lead = keys.offsets.to_numpy()[:-1]
         pairs = np.stack((keys.values.to_numpy()[lead], classes.values.to_numpy()[lead]), 1)
         table = table.take(pa.array(np.sort(np.unique(pairs, axis=0, return_index=True)[1])))
-        index = RunIndex([b.as_buffer().to_pybytes() for b in table["segment"]], table["n"].to_numpy())
+        blobs, n = [b.as_buffer().to_pybytes() for b in table["segment"]], table["n"].to_numpy()
         keys, classes, starts = (table[c].combine_chunks() for c in ("keys", "classes", "starts"))
+        del table
+        index = RunIndex(blobs, n)
+        del blobs
         count = np.diff(keys.offsets.to_numpy())
         begin = np.repeat(index.at, count) + starts.flatten().to_numpy()
         ms = index.matching_statistics() >= length  # never behind a string's last start, whose bytes end there
