@@ -108,6 +108,22 @@ def _among(h: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, h), len(sorted_) - 1)] == h if len(sorted_) else np.zeros(len(h), bool)
 
 
+#: Bits of the leading part of a hash that a table says to be wanted or not, before hashes are looked up.
+LEAD_BITS = 22
+
+
+def _leads(sorted_: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << LEAD_BITS, bool)
+    out[(sorted_ >> np.uint64(64 - LEAD_BITS)).astype(np.int64)] = True
+    return out
+
+
+def _among_few(h: np.ndarray, sorted_: np.ndarray, leads: np.ndarray) -> np.ndarray:
+    ok = leads[(h >> np.uint64(64 - LEAD_BITS)).astype(np.int64)]
+    ok[ok] = _among(h[ok], sorted_)
+    return ok
+
+
 #: Keep the hashes of the two views, and of literal windows, apart.
 _SEED = {NAMED: np.uint64(0x2545F4914F6CDD1D), PLAIN: np.uint64(0x5851F42D4C957F2D)}
 _AS_IS = np.uint64(0x9E6C63D0876A9A35)
@@ -119,6 +135,7 @@ class View:
     def __init__(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, offsets: np.ndarray, kind: np.ndarray, maybe: np.ndarray, view: int):
         self.raw, self.start, self.end, self.kind, self.view = raw, start, end, kind, view
         self.first = np.searchsorted(start, offsets)
+        self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
         self.h = word_hashes(raw, start, end)
         self.maybe = maybe & (kind == LITERAL)
 
@@ -127,17 +144,22 @@ class View:
         n = len(self.h) - width + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        at = np.arange(n)
-        inside = np.searchsorted(self.first, at, "right") == np.searchsorted(self.first, at + width - 1, "right")
-        out = []
+        inside = self.text[:n] == self.text[width - 1 :]
 
         def held(mask: np.ndarray) -> np.ndarray:
             total = np.concatenate(([0], np.cumsum(mask)))
-            return total[at + width] - total[at]
+            return total[width:] - total[:-width]
+
+        out = []
 
-        def take(kind: np.ndarray, ok: np.ndarray, variant: int, seed: np.uint64) -> None:
-            h = combine(np.where(kind > 0, _SLOT_HASH[kind], self.h), width)
-            out.append((at[ok], h[ok] ^ np.uint64(width) ^ seed, np.full(int(ok.sum()), variant)))
+        def take(kind: np.ndarray | None, ok: np.ndarray, variant: int, seed: np.uint64) -> None:
+            at = np.flatnonzero(ok)
+            values = self.h if kind is None else np.where(kind > 0, _SLOT_HASH[kind], self.h)
+            if 3 * len(at) > n:
+                h = combine(values, width)[at]
+            else:  # a few windows: only their tokens
+                h = combine(values[(at[:, None] + np.arange(width)).ravel()], width)[::width]
+            out.append((at, h ^ np.uint64(width) ^ seed, np.full(len(at), variant)))
 
         half = 2 * held(self.kind == LITERAL) >= width
         if width >= MIN_TOKENS:
@@ -146,7 +168,7 @@ class View:
             named = np.where(self.maybe, NAME, self.kind)
             take(named, inside & (held(self.maybe) > 0) & (2 * held(named == LITERAL) >= width), 1, _SEED[NAMED])
         else:
-            take(np.zeros(len(self.h), np.int8), inside & (~half if width >= MIN_TOKENS else inside), 2, _AS_IS)
+            take(None, inside & ~half if width >= MIN_TOKENS else inside, 2, _AS_IS)
         return tuple(np.concatenate(x) for x in zip(*out))
 
     def slots(self, token: int, width: int, variant: int, places: bool = False) -> list[str]:
@@ -248,7 +270,7 @@ def _windows(docs: DataFrame, doc_id: str, text: str, widths: list[tuple[int, in
                 for v in views(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
                     for width in (w for view, w in widths if view == v.view):
                         at, h, variant = v.windows(width)
-                        hit = may_have(some, h) if bitmap else _among(h, some)
+                        hit = may_have(some, h) if bitmap else _among_few(h, *some)
                         at, h, variant = at[hit], h[hit], variant[hit]
                         doc = np.searchsorted(v.first, at, "right") - 1
                         rows += (doc + a).tolist()
@@ -337,7 +359,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     n = items.count()
     widths = sorted((r[0], r[1]) for r in items.select("view", "width").distinct().collect())  # some ten pairs
     if n <= BROADCAST_WINDOWS:
-        wanted = spark.sparkContext.broadcast(np.unique(np.array([r[0] for r in items.select("hash").distinct().collect()], np.int64).view(np.uint64)))
+        hashes = np.unique(np.array([r[0] for r in items.select("hash").distinct().collect()], np.int64).view(np.uint64))
+        wanted = spark.sparkContext.broadcast((hashes, _leads(hashes)))
     else:
         wanted = key_filter(items.select("hash").distinct())
     met = _windows(docs, doc_id, text, widths, wanted, n > BROADCAST_WINDOWS).join(items, "hash")
