@@ -158,7 +158,7 @@ LEFT, RIGHT = 0, 1
 
 
 #: Places of windows that a task gathers before it sends them.
-GATHERED = 200_000
+GATHERED = 80_000
 
 
 class _Beside:
