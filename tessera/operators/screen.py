@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from tessera.functions.semantics import any_of
 from tessera.operators.text import term_pattern
 
-# Kinds of texts in which a term behind a negation isn't one; words that negate, up to 40 characters before in the same sentence; forms that don't count in a person's own text; order of severity.
+# Kinds of texts in which a term behind a negation isn't one; words that negate, up to 40 characters before in the same sentence; order of severity.
 NEGATION_AWARE = ("user", "memory", "evidence")
 NEGATORS = (r"não", r"nao", r"nunca", r"jamais", r"sem", r"suspend\w{0,20}", r"interromp\w{0,20}", r"never", r"denies", r"denied", r"without", r"no longer")
-AMBIGUOUS = frozenset({"lithium"})
 SEVERITY = {"high": 0, "medium": 1}
 
 
@@ -41,17 +40,17 @@ def held(text: Column, aware: Column, terms: tuple[str, ...], discontinuation: b
     return F.when(aware, any_of([unnegated(text, t) for t in terms])).otherwise(anywhere)
 
 
-def alerts(segments: DataFrame, rules: tuple[Rule, ...], turn: str) -> DataFrame:
+def alerts(segments: DataFrame, rules: tuple[Rule, ...], turn: str, ambiguous: frozenset[str] = frozenset()) -> DataFrame:
     """turn, rule, severity, place and refs (the texts that set it off, sorted) of every alert, worst first.
 
     segments: turn, kind, ref, text.  A person's own text doesn't count for ambiguous
-    forms.  Co-terms may be in another text of the turn; negations count for them only
+    forms, such as a name that the system itself has.  Co-terms may be in another text of the turn; negations count for them only
     if they do for every text of the turn.  A term that begins in one text and ends in the next isn't found."""
     aware = F.col("kind").isin(*NEGATION_AWARE)
     s = segments.withColumn("aware", aware)
     text, columns = F.col("text"), []
     for i, r in enumerate(rules):
-        own = tuple(t for t in r.terms if t not in AMBIGUOUS)
+        own = tuple(t for t in r.terms if t not in ambiguous)
         found = F.when(F.col("kind") == "user", held(text, F.col("aware"), own, r.discontinuation) if own else F.lit(False)).otherwise(held(text, F.col("aware"), r.terms, r.discontinuation))
         columns.append(F.coalesce(found, F.lit(False)).alias(f"t{i}"))
         for name, only in (("c", True), ("a", False)):

@@ -10,7 +10,9 @@ from tessera.plans.registry import query
 from tessera.sources.evidence import Evidence
 
 #: Rules on words that the texts have.
-RULES = (S.Rule("both", "medium", ("le", "the"), ("que", "and"), True), S.Rule("alone", "high", ("der", "lithium"), (), True), S.Rule("never", "high", ("unheard of",), (), True), S.Rule("odd", "low", ("los", "el"), ("de",), True))
+RULES = (S.Rule("both", "medium", ("le", "the"), ("que", "and"), True), S.Rule("alone", "high", ("der",), (), True), S.Rule("never", "high", ("unheard of",), (), True), S.Rule("odd", "low", ("los", "el"), ("de",), True))
+#: Forms that don't count in what a person says.
+AMBIGUOUS = frozenset({"los"})
 SEGMENTS = "seg AS (SELECT conv_id, CASE WHEN role='assistant' THEN 'reply' WHEN turn%3=0 THEN 'evidence' ELSE 'user' END AS kind, conv_id||':'||turn AS ref, coalesce(text,'') AS text FROM conversations)"
 
 
@@ -19,7 +21,7 @@ def _has(terms: tuple[str, ...]) -> str:
 
 
 def _alerts_sql() -> str:
-    rows = " UNION ALL ".join(f"SELECT conv_id, '{r.key}' AS rule, '{r.severity}' AS severity, {S.SEVERITY.get(r.severity, 9)} AS severity_rank, ref FROM seg WHERE {_has(r.terms)} AND (kind<>'user' OR {_has(tuple(t for t in r.terms if t not in S.AMBIGUOUS))})" + (f" AND conv_id IN (SELECT conv_id FROM seg WHERE {_has(r.co_terms)})" if r.co_terms else "") for r in RULES)
+    rows = " UNION ALL ".join(f"SELECT conv_id, '{r.key}' AS rule, '{r.severity}' AS severity, {S.SEVERITY.get(r.severity, 9)} AS severity_rank, ref FROM seg WHERE {_has(r.terms)} AND (kind<>'user' OR {_has(tuple(t for t in r.terms if t not in AMBIGUOUS))})" + (f" AND conv_id IN (SELECT conv_id FROM seg WHERE {_has(r.co_terms)})" if r.co_terms else "") for r in RULES)
     return f"WITH {SEGMENTS} SELECT conv_id, rule, severity, severity_rank, count(DISTINCT ref) AS texts, min(ref) AS first_ref FROM ({rows}) GROUP BY ALL"
 
 
@@ -28,7 +30,7 @@ def turn_alerts(ev: Evidence) -> DataFrame:
     """Alerts of every conversation; all rules here are about stopping, so negations don't silence them (see the tests for those that are not)."""
     kind = F.when(F.col("role") == "assistant", "reply").when(F.col("turn") % 3 == 0, "evidence").otherwise("user")
     seg = ev.read("conversations").select("conv_id", kind.alias("kind"), F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("ref"), F.coalesce("text", F.lit("")).alias("text"))
-    return S.alerts(seg, RULES, "conv_id")
+    return S.alerts(seg, RULES, "conv_id", AMBIGUOUS)
 
 
 FORMS = {"first": ("le",), "second": ("der", "die"), "third": ("nothing like it",)}

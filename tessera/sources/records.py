@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.levels import GRADES
+from tessera.operators.screen import Rule
 
 # Publication types of articles and the evidence grades that they stand for.
 TYPE_GRADES = {
@@ -134,26 +135,80 @@ def robots_policy(status: Column, rules: Column, url: Column | None = None, agen
     return F.struct(F.coalesce(allow, F.lit(False)).alias("allow"), F.try_divide(F.lit(1.0), crawl_delay(rules)).alias("rate_per_s"))
 
 
+def _table(path: Path) -> dict:
+    return tomllib.loads(path.read_text(encoding="utf-8")) if path.exists() else {}
+
+
+#: Texts of a profile that must each name one of its standing risks.
+BOUND_TEXTS = ("extract_bind", "question_bind", "speculation_bind")
+
+
+def _risk_problems(focus: dict) -> list[str]:
+    """What is wrong with the standing risks: patterns that miss their own prose or hit a counter-example, and texts that name no risk."""
+    out, patterns = [], []
+    for risk in focus.get("standing_risks", []):
+        try:
+            patterns.append(pattern := re.compile(risk["pattern"], re.IGNORECASE))
+        except re.error as e:
+            out.append(f"risk {risk['name']}: the pattern is none ({e})")
+            continue
+        if not pattern.search(" ".join(risk.get("prose", "").split())):
+            out.append(f"risk {risk['name']}: the pattern misses its own prose")
+        out += [f"risk {risk['name']}: the pattern hits {x!r}" for x in risk.get("must_not_match", []) if pattern.search(x)]
+    if patterns:
+        out += [f"{name} names no standing risk" for name in BOUND_TEXTS if name in focus and not any(p.search(" ".join(focus[name].split())) for p in patterns)]
+    return out
+
+
+def _safety_problems(safety: dict) -> list[str]:
+    """What is wrong with the rules: unknown concepts, and rules that nothing can set off."""
+    known = {c["key"] for c in safety.get("concepts", [])}
+    out = [] if known else ["safety: no concepts"]
+    for rule in safety.get("rules", []):
+        if extra := sorted(set(rule.get("concepts", [])) - known):
+            out.append(f"rule {rule['key']}: unknown concepts {extra}")
+        if not rule.get("concepts") and not rule.get("terms"):
+            out.append(f"rule {rule['key']}: neither concepts nor terms")
+    return out
+
+
 def load_profile(folder: str) -> dict:
-    """A focus profile from its TOML files, checked: slug, four directness levels, risk patterns and their counter-examples."""
+    """A focus profile from its TOML files focus, strategies, taxonomy and safety, checked; every problem is named in one error.
+
+    The slug is the folder's name, a target is given, the four directness levels are there and no
+    other, risks tell their prose from their counter-examples, bound texts name a risk, rules point at concepts
+    that exist; a copy that nobody has gone over yet (scaffold_pending) is refused. safety = false in focus.toml does without rules."""
     root = Path(folder)
-    focus = tomllib.loads((root / "focus.toml").read_text())
-    strategies = tomllib.loads(p.read_text()).get("strategies", []) if (p := root / "strategies.toml").exists() else []
-    problems = []
+    focus, problems = _table(root / "focus.toml"), []
+    if focus.get("scaffold_pending"):
+        problems.append("the profile is still a copy of another (scaffold_pending)")
     if focus.get("slug") != root.name:
         problems.append("the slug differs from the folder's name")
     if not str(focus.get("target", "")).strip():
         problems.append("the target is blank")
     if set(focus.get("directness", {})) != {"direct", "partial", "indirect", "extrapolated"}:
         problems.append("directness needs its four levels")
-    for risk in focus.get("standing_risks", []):
-        pattern = re.compile(risk["pattern"], re.IGNORECASE)
-        if not pattern.search(risk.get("prose", "")):
-            problems.append(f"risk {risk['name']}: the pattern misses its own prose")
-        problems += [f"risk {risk['name']}: the pattern hits {x!r}" for x in risk.get("must_not_match", []) if pattern.search(x)]
+    problems += _risk_problems(focus)
+    safety = {} if focus.get("safety") is False else _table(root / (focus["safety"] if isinstance(focus.get("safety"), str) else "safety.toml"))
+    problems += _safety_problems(safety) if safety else []
     if problems:
         raise ValueError("; ".join(problems))
-    return {**focus, "strategies": strategies}
+    return {**focus, "strategies": _table(root / "strategies.toml").get("strategies", []), "classes": _table(root / "taxonomy.toml").get("classes", []), "safety": safety}
+
+
+def rules_of(profile: dict) -> tuple[Rule, ...]:
+    """The rules of a profile for ``screen.alerts``: their terms and the forms of their concepts."""
+    forms = {c["key"]: tuple(c.get("forms", ())) for c in profile["safety"].get("concepts", [])}
+    return tuple(
+        Rule(r["key"], r.get("severity", "medium"), (*r.get("terms", ()), *(f for c in r.get("concepts", ()) for f in forms[c])), tuple(r.get("co_terms", ())), bool(r.get("discontinuation")))
+        for r in profile["safety"].get("rules", [])
+    )
+
+
+def classes_of(spark: SparkSession, profile: dict) -> DataFrame:
+    """label and keyword of the classes of a profile's taxonomy."""
+    rows = [(c["label"], k) for c in profile["classes"] for k in c.get("keywords", [])]
+    return spark.createDataFrame(rows, "label string, keyword string")
 
 
 def search_specs(spark: SparkSession, profile: dict) -> DataFrame:
@@ -162,10 +217,21 @@ def search_specs(spark: SparkSession, profile: dict) -> DataFrame:
     return spark.createDataFrame(rows, "strategy string, expected_directness string, priority double, limit int, query string")
 
 
-def load_cases(path: str, keys: frozenset[str] = frozenset({"id", "question", "expect", "why", "must_cite", "requires"})) -> list[dict]:
-    """Cases of a gold set; unknown keys are an error."""
-    cases = tomllib.loads(Path(path).read_text()).get("cases", [])
+CASE_KEYS = frozenset({"id", "question", "expect", "why", "must_cite", "requires"})
+REQUIRED = frozenset({"min_sources", "max_sources", "design", "text"})
+
+
+def load_cases(path: str, keys: frozenset[str] = CASE_KEYS) -> list[dict]:
+    """Cases of a gold set. Unknown keys, repeated ids, other expectations than answerable and unanswerable, and preconditions with unknown keys are errors."""
+    cases, seen = _table(Path(path)).get("cases", []), set()
     for c in cases:
         if extra := set(c) - keys:
             raise ValueError(f"case {c.get('id')}: unknown keys {sorted(extra)}")
+        if c.get("id") in seen:
+            raise ValueError(f"case {c.get('id')}: the id repeats")
+        seen.add(c.get("id"))
+        if c.get("expect", "answerable") not in ("answerable", "unanswerable"):
+            raise ValueError(f"case {c.get('id')}: expect {c['expect']!r}")
+        if extra := set(c.get("requires", {})) - REQUIRED:
+            raise ValueError(f"case {c.get('id')}: unknown preconditions {sorted(extra)}")
     return cases

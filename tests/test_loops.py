@@ -72,12 +72,12 @@ def test_page_queries(spark):
 
 @pytest.mark.parametrize("kind,text,discontinuation,fires", [
     ("user", "I take valproate", False, True), ("user", "I never took valproate", False, False), ("user", "never. I take valproate", False, True), ("reply", "never valproate", False, True),
-    ("user", "no longer on valproate, but valproate helped once and " + "x" * 50 + " valproate", False, True), ("user", "I run lithium here", False, False), ("evidence", "lithium levels", False, True), ("user", "suspendi valproate", True, True),
+    ("user", "no longer on valproate, but valproate helped once and " + "x" * 50 + " valproate", False, True), ("user", "I run aurora here", False, False), ("evidence", "aurora levels", False, True), ("user", "suspendi valproate", True, True),
     ("evidence", "the patient denies valproate use", False, False), ("user", None, False, False),
 ])
 def test_screen_terms(spark, kind, text, discontinuation, fires):
     seg = spark.createDataFrame([(1, kind, "r1", text)], "turn int, kind string, ref string, text string")
-    assert (S.alerts(seg, (S.Rule("k", "high", ("valproate", "lithium"), (), discontinuation),), "turn").count() == 1) is fires
+    assert (S.alerts(seg, (S.Rule("k", "high", ("valproate", "aurora"), (), discontinuation),), "turn", frozenset({"aurora"})).count() == 1) is fires
 
 
 def test_screen_co_terms_are_of_the_turn(spark):

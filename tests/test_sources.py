@@ -55,3 +55,35 @@ def test_profile(spark, tmp_path):
     (tmp_path / "g.toml").write_text("[[cases]]\nid='a'\nodd=1\n")
     with pytest.raises(ValueError, match="odd"):
         S.load_cases(str(tmp_path / "g.toml"))
+
+
+def test_profile_checks(spark, tmp_path):
+    from tessera.operators.screen import alerts
+
+    root = tmp_path / "demo"
+    root.mkdir()
+    levels = "\n".join(f"[directness.{x}]\nprose='p'" for x in ("direct", "partial", "indirect", "extrapolated"))
+    risk = "[[standing_risks]]\nname='r'\npattern='harm'\nprose='may\\n harm'\n"
+    (root / "focus.toml").write_text("slug='demo'\ntarget='t'\nextract_bind='mind the harm'\n" + risk.replace("'may\\n harm'", '"may\\n harm"') + levels)
+    (root / "taxonomy.toml").write_text("[[classes]]\nlabel='l'\nkeywords=['a','b']\n")
+    (root / "safety.toml").write_text("[[concepts]]\nkey='c'\nforms=['form one']\n[[rules]]\nkey='k'\nseverity='high'\nconcepts=['c']\n")
+    p = S.load_profile(str(root))
+    assert sorted(r.keyword for r in S.classes_of(spark, p).collect()) == ["a", "b"]
+    seg = spark.createDataFrame([(1, "reply", "x", "a Form  one here"), (2, "reply", "y", "none")], "turn int, kind string, ref string, text string")
+    assert [(r.turn, r.rule, r.severity) for r in alerts(seg, S.rules_of(p), "turn").collect()] == [(1, "k", "high")]
+    (root / "safety.toml").write_text("[[concepts]]\nkey='c'\n[[rules]]\nkey='k'\nconcepts=['d']\n[[rules]]\nkey='m'\n")
+    (root / "focus.toml").write_text("slug='demo'\ntarget='t'\nscaffold_pending=true\nextract_bind='nothing'\n[[standing_risks]]\nname='r'\npattern='harm'\nprose='no'\nmust_not_match=['harmless']\n[[standing_risks]]\nname='q'\npattern='('\n" + levels)
+    with pytest.raises(ValueError) as e:
+        S.load_profile(str(root))
+    for part in ("scaffold_pending", "misses its own prose", "hits 'harmless'", "risk q: the pattern is none", "extract_bind names no", "unknown concepts ['d']", "rule m: neither"):
+        assert part in str(e.value)
+
+
+@pytest.mark.parametrize("case,problem", [("id='a'\n[[cases]]\nid='a'", "repeats"), ("id='a'\nexpect='maybe'", "maybe"), ("id='a'\n[cases.requires]\nmin_source=1", "min_source"), ("id='a'\nexpect='answerable'\n[cases.requires]\nmin_sources=1", None)])
+def test_cases_are_strict(tmp_path, case, problem):
+    (tmp_path / "g.toml").write_text("[[cases]]\n" + case)
+    if problem:
+        with pytest.raises(ValueError, match=problem):
+            S.load_cases(str(tmp_path / "g.toml"))
+    else:
+        assert len(S.load_cases(str(tmp_path / "g.toml"))) == 1
