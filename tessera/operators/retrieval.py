@@ -15,6 +15,8 @@ from tessera.functions.semantics import tokens
 from tessera.sources import shared
 
 K1, B = 1.2, 0.75
+#: Distinct tokens of all queries together up to which they are broadcast (some 40 bytes each).
+BROADCAST_TERMS = 200_000
 
 
 def ranked(df: DataFrame, by: str, score: Column, *ties: str) -> DataFrame:
@@ -42,7 +44,9 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     df = p.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     terms = asked.filter("token <> ''").join(df, "token").crossJoin(F.broadcast(size))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    met = p.join(terms, "token")
+    # rows of a document stay together, so that scores need no shuffle where the queries' terms are few enough to be sent
+    few = asked.count() <= BROADCAST_TERMS
+    met = p.filter("token <> ''").repartition("doc_id").join(F.broadcast(terms), "token") if few else p.join(terms, "token")
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return met.groupBy("query_id", "doc_id").agg(F.sum(gain).alias("score"))
 
