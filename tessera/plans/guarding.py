@@ -45,13 +45,14 @@ def round_outcome(ev: Evidence) -> DataFrame:
     return q.select("question_id", action.alias("action"), rounds.alias("rounds"), F.when(action == "escalate", F.coalesce(blocked, F.lit("insufficient_evidence"))).alias("reason"))
 
 
-@query("answer_rounds", with_("questions claims", "SELECT question_id, rounds+1 AS round, count(claim_id) AS claims, md5(coalesce(string_agg(claim_id::VARCHAR, ',' ORDER BY claim_id), '')) AS fingerprint FROM questions LEFT JOIN claims ON claims.source_id=question_id AND verified WHERE status='open' GROUP BY 1,2"))
+@query("answer_rounds", with_("questions claims", "SELECT question_id, rounds+1 AS round, count(claim_id) AS claims, md5(count(claim_id)||':'||coalesce(bit_xor(('0x'||left(md5(claim_id::VARCHAR),12))::BIGINT),0)||':'||coalesce(sum(('0x'||left(md5(claim_id::VARCHAR),12))::BIGINT),0)) AS fingerprint FROM questions LEFT JOIN claims ON claims.source_id=question_id AND verified WHERE status='open' GROUP BY 1,2"))
 def answer_rounds(ev: Evidence) -> DataFrame:
-    """A row of the log for each round, with a fingerprint of the claims that it saw."""
-    c = K.first_n(ev.claims.filter("verified"), ["source_id"], [F.col("claim_id")], 1000).select(F.col("source_id").alias("question_id"), "claim_id")
+    """A row of the log for each round, with a fingerprint of the set of claims that it saw."""
+    c = ev.claims.filter("verified").select(F.col("source_id").alias("question_id"), "claim_id")
+    h = F.conv(F.left(F.md5(F.col("claim_id").cast("string")), F.lit(12)), 16, 10).cast("long")
     g = ev.questions.filter("status = 'open'").join(c, "question_id", "left").groupBy("question_id", (F.col("rounds") + 1).alias("round"))
-    g = g.agg(F.count("claim_id").alias("claims"), F.array_sort(F.collect_list("claim_id")).alias("ids"))
-    return g.select("question_id", "round", "claims", F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")).alias("fingerprint"))
+    g = g.agg(F.count("claim_id").alias("claims"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("x"), F.coalesce(F.sum(h), F.lit(0)).alias("s"))
+    return g.select("question_id", "round", "claims", F.md5(F.concat_ws(":", "claims", "x", "s")).alias("fingerprint"))
 
 
 @query("call_pressure", with_("calls", "SELECT label, count(*) FILTER (call_id%17=0 OR call_id%400+200=429 OR call_id%400+200>=500) AS pressed, count(*) AS n FROM calls WHERE NOT ok GROUP BY 1"))
