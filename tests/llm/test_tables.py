@@ -174,3 +174,27 @@ def test_pipeline_run_leaves_only_its_result(spark):
 def test_queries_are_registered():
     names = queries.queries()
     assert {k.split("_")[0] for k in names} == {f"op{i}" for i in range(1, 11)} and len(names) == 10
+
+
+def test_pipeline_stage_by_stage(spark):
+    """Each stage's decisions on what the stage before has kept, against brute force: links of all pairs, removals as subsequences, tokens of the library."""
+    import corpus_pipeline
+    import public_tokenizers
+    from test_documents import components_of, shingles
+
+    tokenizers = pytest.importorskip("tokenizers")
+    at = "/root/testdata/sf0.001"
+    kept, seen = spark.read.parquet(f"{at}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        kept = written(stage(spark, kept, at), name)
+        seen[name] = kept.collect()
+    texts = {name: {r.doc_id: r.text or "" for r in rows} for name, rows in seen.items() if name != "bpe"}
+    root = components_of({i: shingles(t) for i, t in texts["toxicity"].items()})
+    assert set(texts["jaccard_join"]) == {i for i in root if root[i] == i} and all(texts["jaccard_join"][i] == texts["toxicity"][i] for i in texts["jaccard_join"])
+    assert set(texts["paragraph_dedup"]) == set(texts["jaccard_join"]) and sum(map(len, texts["paragraph_dedup"].values())) < sum(map(len, texts["jaccard_join"].values()))
+    for i, t in texts["paragraph_dedup"].items():
+        rest = iter(texts["jaccard_join"][i].split())
+        assert all(w in rest for w in t.split())
+    assert set(texts["decontaminate"]) < set(texts["paragraph_dedup"])
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {r.doc_id: r.n_tokens for r in seen["bpe"]} == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in texts["decontaminate"].items()}
