@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, embedding_dedup, jaccard_join, paragraph_dedup, repeat_index, sharding, toxicity, warc_zip
+from tessera.llm import bpe, chat, decontaminate, embedding_dedup, filter_audit, jaccard_join, paragraph_dedup, repeat_index, sharding, toxicity, warc_zip
 from tessera.llm.runtime import parts, shared_dir, table, written
 
 
@@ -65,6 +65,10 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.repeats(table(spark, sf_dir, "documents"), percent=80)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -95,5 +99,19 @@ OP8 = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(tra
   SELECT s.doc_id, len(s) AS n_shingles, c.m AS component_id FROM s JOIN (SELECT a, min(b) AS m FROM reach GROUP BY 1) c ON c.a=s.doc_id"""
 
 
+OP11 = """WITH l AS (SELECT doc_id, coalesce(bool_or(quality=1), FALSE) AS good, coalesce(bool_or(toxic=1), FALSE) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+  t AS (SELECT doc_id, coalesce(source,'') AS part, coalesce(text,'') AS t, list_filter(string_split_regex(coalesce(text,''), '[\\x20\\x09-\\x0D]+'), lambda x: x<>'') AS w, min(doc_id) OVER (PARTITION BY coalesce(text,'')) AS least FROM documents),
+  m AS (SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic, (len(w)<200)::INT + 2*(100*len(list_distinct(w))<50*len(w))::INT + 4*(100*length(regexp_replace(t,'[^A-Z]+','','g'))>2*length(t))::INT
+    + 8*regexp_matches(t,'[#$%&*|]')::INT + 16*coalesce(doc_id>least, FALSE)::INT AS mask FROM t LEFT JOIN l USING (doc_id)),
+  c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM m GROUP BY 1, 2),
+  f AS (SELECT * FROM (VALUES ('A',1),('B',2),('C',4),('D',8),('E',16)) v(f, b)),
+  o AS (SELECT a.f||b.f||c.f||d.f||e.f AS filter_order FROM f a, f b, f c, f d, f e WHERE a.b|b.b|c.b|d.b|e.b=31),
+  s AS (SELECT filter_order, k AS step, b, f, (SELECT sum(v.b) FROM f v WHERE instr(filter_order, v.f)<k) AS before FROM o, range(1, 6) r(k), f WHERE f=filter_order[k]),
+  r AS (SELECT part, filter_order, step, f, sum(n) FILTER (mask & (b+coalesce(before,0))=0) AS kept, sum(n) FILTER (mask & b<>0 AND mask & coalesce(before,0)=0) AS removed, sum(n) FILTER (mask & b<>0 AND mask & coalesce(before,0)<>0) AS redundant,
+    sum(n) FILTER (mask=b) AS unique_fails, sum(g) FILTER (mask & b<>0 AND mask & coalesce(before,0)=0) AS good_lost, sum(x) FILTER (mask & b<>0 AND mask & coalesce(before,0)=0) AS toxic_lost FROM c, s GROUP BY 1, 2, 3, 4)
+  SELECT part, filter_order, step::INT AS step, coalesce(kept,0)::BIGINT AS kept, coalesce(removed,0)::BIGINT AS removed, coalesce(redundant,0)::BIGINT AS redundant, coalesce(unique_fails,0)::BIGINT AS unique_fails, coalesce(good_lost,0)::BIGINT AS good_lost,
+    coalesce(toxic_lost,0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, f),0)::BIGINT AS shapley FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": OP2, "op3_warc": OP3, "op4_chat": OP4, "op8_jaccard_join": OP8}
+    return {"op2_embedding_dedup": OP2, "op3_warc": OP3, "op4_chat": OP4, "op8_jaccard_join": OP8, "op11_filter_audit": OP11}
