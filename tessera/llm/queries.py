@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, embedding_dedup, filter_audit, jaccard_join, paragraph_dedup, repeat_index, sharding, toxicity, warc_zip
+from tessera.llm import bpe, chat, decontaminate, embedding_dedup, filter_audit, jaccard_join, paragraph_dedup, permutation_index, repeat_index, sharding, toxicity, warc_zip
 from tessera.llm.runtime import parts, shared_dir, table, written
 
 
@@ -69,6 +69,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return permutation_index.search(permutation_index.build(rows), rows.filter("vec_id % 100 = 0"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
