@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, embedding_dedup, filter_audit, jaccard_join, paragraph_dedup, permutation_index, repeat_index, sharding, toxicity, warc_zip
+from tessera.llm import bpe, chat, decontaminate, embedding_dedup, filter_audit, hard_negatives, jaccard_join, paragraph_dedup, permutation_index, repeat_index, sharding, toxicity, warc_zip
 from tessera.llm.runtime import parts, shared_dir, table, written
 
 
@@ -74,6 +74,11 @@ def op12_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.search(permutation_index.build(rows), rows.filter("vec_id % 100 = 0"), k=10)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return hard_negatives.mine(rows, anchors="vec_id % 100 = 0")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -118,5 +123,12 @@ OP11 = """WITH l AS (SELECT doc_id, coalesce(bool_or(quality=1), FALSE) AS good,
     coalesce(toxic_lost,0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, f),0)::BIGINT AS shapley FROM r"""
 
 
+OP13 = """WITH v AS (SELECT vec_id, CASE WHEN vec_id%7=0 THEN (label+1)%10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256*x::DOUBLE)) AS q FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding)>0 AND NOT list_bool_or(list_transform(embedding, lambda x: coalesce(NOT isfinite(x), TRUE)))),
+  s AS (SELECT a.vec_id AS a, c.vec_id AS c, a.label=c.label AS same, list_inner_product(a.q, c.q)::BIGINT AS s FROM v a JOIN v c ON a.vec_id%100=0 AND a.vec_id<>c.vec_id AND len(a.q)=len(c.q)),
+  p AS (SELECT a, c, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, c)<=5)
+  SELECT p.a AS anchor_id, p.c AS positive_id, (row_number() OVER (PARTITION BY p.a, p.c ORDER BY s.s DESC, s.c))::INT AS rank, s.c AS negative_id, p.s AS positive_score, s.s AS negative_score FROM p JOIN s ON s.a=p.a AND NOT s.same AND 100*s.s BETWEEN 30*p.s AND 90*p.s QUALIFY rank<=10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": OP2, "op3_warc": OP3, "op4_chat": OP4, "op8_jaccard_join": OP8, "op11_filter_audit": OP11}
+    return {"op2_embedding_dedup": OP2, "op3_warc": OP3, "op4_chat": OP4, "op8_jaccard_join": OP8, "op11_filter_audit": OP11, "op13_hard_negatives": OP13}
