@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow_text import combine, flat, mix, ranges, word_hashes
@@ -39,23 +39,42 @@ COVERAGE = 0.5
 #: Window hashes of the benchmark that are broadcast; of a larger one a bitmap of bounded size is, and the join does the rest.
 BROADCAST_WINDOWS = 2_000_000
 
-# Units of measure that become a placeholder after a number.
-UNITS = (
-    "kg g mg t lb lbs oz km m cm mm mi ft in l ml h hr hrs hour hours min mins minute minutes s sec second seconds day days week weeks month months "
-    "year years percent usd eur dollar dollars euro euros cent cents kmh mph c f k w kw kwh v a hz j kj kcal pa bar"
+# Measures with prefixes: words take all of them, signs the short ones; words also end in s or n for several.
+PREFIXES, SIGNS = "deca hecto kilo mega giga tera deci centi milli micro nano kiló hectó kilò déca dezi zenti mikro".split(), "k m c d h n g t u µ μ".split()
+MEASURES = (
+    "meter metre mètre metro gram gramm gramme gramo liter litre litro watt vatio joule julio volt voltio volte amp ampere ampère amperio hertz hercio pascal "
+    "newton byte bit octet calorie kalorie caloría second seconde tonne mol"
 ).split()
-# Words for numbers.
+MEASURE_SIGNS = "m g l w j v a hz b pa n s wh cal bar bit m2 m3 m² m³".split()
+# Other units, in four languages, without the s for several.
+OTHER_UNITS = (
+    "lb oz mi ft in t h hr min sec y yr mph kmh c f k pc pct usd eur gbp chf kcal ha ml ph psi rpm dpi px "
+    "mile yard foot feet inch inches pound ounce stone ton gallon quart pint cup teaspoon tablespoon acre hectare degree celsius fahrenheit kelvin "
+    "hour minute second day week month year decade century centuries percent dollar euro cent pound franc yen penny pence dozen mole knot "
+    "meile meilen zoll fuß pfund unze unzen tonnen morgen hektar grad stunde stunden minuten sekunde sekunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren jahrzehnt jahrhundert prozent franken dutzend "
+    "mille pied pouce livre once acre degré heure jour semaine mois an année décennie siècle pourcent sou douzaine "
+    "milla pie pulgada libra onza tonelada hectárea grado hora minuto segundo día semana mes meses año década siglo porciento dólar dólares céntimo peso docena"
+).split()
+# Words for numbers: English ones in order, then those of other languages (no articles, no words that mean something else in English).
 NUMBER_WORDS = (
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
     "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion trillion"
 ).split()
+ONES = [*NUMBER_WORDS[1:10], *"deux trois quatre cinq six sept huit neuf dos tres cuatro cinco seis siete ocho nueve".split()]
+TENS = [*NUMBER_WORDS[20:28], *"vingt trente quarante cinquante soixante treinta cuarenta cincuenta sesenta setenta ochenta noventa".split()]
+POWERS = [*NUMBER_WORDS[28:], *"hundert tausend millionen milliarden mille millions milliard milliards mil millones".split()]
+_ZWEI, _ZWANZIG = "ein zwei drei vier fünf sechs sieben acht neun".split(), "zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig".split()
+NUMBER_WORDS += [
+    *ONES[9:], *TENS[8:], *POWERS[5:], *_ZWEI[1:], *_ZWANZIG, *(f"{one}und{ten}" for one in _ZWEI for ten in _ZWANZIG), *"null zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn".split(),
+    *"zéro dix onze douze treize quatorze quinze seize".split(), *"cero diez doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte cien ciento".split(), *(f"veinti{one}" for one in "uno dós trés cuatro cinco séis siete ocho nueve".split()),
+]
+UNITS = sorted({*(f"{prefix}{word}{several}" for prefix in ["", *PREFIXES] for word in MEASURES for several in ("", "s", "n")), *(f"{sign}{unit}" for sign in ["", *SIGNS] for unit in MEASURE_SIGNS), *(f"{word}{several}" for word in OTHER_UNITS for several in ("", "s"))} - {*NUMBER_WORDS, "as", "an", "us", "once"})
 # Words that open sentences and are no part of a name behind them.
 OPENERS = (
     "a an and are as at before after because but by did do does during each every for from given has have he her his how however i if in is it its let many most "
     "my no not now of on once one or our she since so some suppose that the their then there these they this those to today under until was we were what when "
     "where which while who whose why will with without would yesterday you your"
 ).split()
-ONES, TENS, POWERS = NUMBER_WORDS[1:10], NUMBER_WORDS[20:28], NUMBER_WORDS[28:]
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 NAMED, PLAIN = 1, 2
 
@@ -257,6 +276,24 @@ def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     return benchmark.select(F.col(item_id).cast("long"), F.col(text)).mapInArrow(trimmed(run), "item_id long, view int, width int, item_at int, hash long, item_windows int, item_slots array<string>")
 
 
+def text_key(text) -> Column:
+    """What tells texts apart: 128 bits of their hash; a null text is an empty one."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def _probes(items: DataFrame, coverage: float) -> DataFrame:
+    """hash, item_id, view: of each item's places the rarest, so many that a text which holds enough of them holds one of these.
+
+    A place is as frequent as the items that have its windows.  Windows that very many items share, a common preamble, are no probes
+    unless an item has hardly any others."""
+    spread = items.groupBy("hash").agg(F.count(F.lit(1)).alias("often"))
+    places = items.join(spread, "hash").groupBy("item_id", "view", "item_at").agg(F.sum("often").alias("often"), F.max("item_windows").alias("n"))
+    item = Window.partitionBy("item_id", "view")
+    places = places.withColumn("nth", F.row_number().over(item.orderBy("often", "item_at"))).withColumn("all", F.count(F.lit(1)).over(item)).withColumn("n", F.max("n").over(item))
+    rare = places.filter(F.col("nth") <= F.col("all") - F.ceil(F.col("n") * coverage) + 1).select("item_id", "view", "item_at")
+    return items.join(rare, ["item_id", "view", "item_at"]).select("hash", "item_id", "view").distinct()
+
+
 def _windows(docs: DataFrame, doc_id: str, text: str, widths: list[tuple[int, int]], wanted, bitmap: bool) -> DataFrame:
     """The documents' windows whose hashes are wanted: among broadcast sorted hashes, or (nearly) by a bitmap of them."""
 
@@ -279,11 +316,11 @@ def _windows(docs: DataFrame, doc_id: str, text: str, widths: list[tuple[int, in
                         slots += [v.slots(i, width, k) for i, k in zip(at.tolist(), variant.tolist())]
                 if rows:
                     rows = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([ids.take(rows), texts.take(rows), pa.array(tokens, pa.int32()), pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.string()))], names=["doc_id", "text_no", "doc_at", "hash", "doc_slots"])
+                    yield pa.RecordBatch.from_arrays([ids.take(rows), texts.take(rows), pa.array(tokens, pa.int32()), pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.string()))], names=["doc_id", "text_key", "doc_at", "hash", "doc_slots"])
 
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("text_no"))
-    return texts.mapInArrow(trimmed(run), "doc_id long, text_no long, doc_at int, hash long, doc_slots array<string>")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).select("doc_id", "text", text_key("text").alias("text_key"))
+    return texts.mapInArrow(trimmed(run), "doc_id long, text_key binary, doc_at int, hash long, doc_slots array<string>")
 
 
 def consistent(windows: list[tuple[int, int, list[str], list[str]]]) -> tuple[set[int], set[int], int]:
@@ -320,7 +357,7 @@ def consistent(windows: list[tuple[int, int, list[str], list[str]]]) -> tuple[se
     return matched, same, most
 
 
-FOUND = "doc_id long, item_id long, matched_windows int, item_windows int, slot_values int, exact boolean"
+FOUND = "text_key binary, item_id long, matched_windows int, item_windows int, slot_values int, exact boolean"
 
 
 def _judged(coverage: float):
@@ -332,8 +369,8 @@ def _judged(coverage: float):
                 n = r["item_windows"]
                 if matched and len(matched) >= coverage * n:
                     exact = len(same) >= coverage * n
-                    out.append((r["doc_id"], r["item_id"], len(matched), n, slots, exact))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+                    out.append((r["text_key"], r["item_id"], len(matched), n, slots, exact))
+            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
             cols = list(zip(*out)) if out else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in FOUND.split(", ")])
 
@@ -344,14 +381,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """One row per document and benchmark item whose template the document holds.
 
     Returns doc_id, item_id, matched_windows, item_windows, coverage, slot_values
-    (distinct slot values that map one to one) and kind: 'exact' where slots are as
-    in the item, else 'reparameterised'.  A pair counts if in one view at least
+    (distinct slot values that map one to one), kind: 'exact' where slots are as
+    in the item, else 'reparameterised', and text_key (a hash of the text, as rows may share an id).  A pair counts if in one view at least
     ``coverage`` of the item's windows occur on diagonals with consistent slots;
     windows with a slot that contradicts the others of its diagonal don't count.
     Items with fewer than MIN_TOKENS tokens match where a document holds all their
     tokens, whatever the case; those without a token or with a null id match nothing.
-    Texts are judged one by one, and rows that share a document id (null ids too) give
-    the best of their matches; null and empty texts hold nothing; other columns are
+    Texts are judged one by one, equal ones once; rows that share a document id (null ids too) and have different
+    texts are documents of their own; null and empty texts hold nothing; other columns are
     ignored; an empty table on either side gives no rows.
     """
     spark = docs.sparkSession
@@ -363,12 +400,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         wanted = spark.sparkContext.broadcast((hashes, _leads(hashes)))
     else:
         wanted = key_filter(items.select("hash").distinct())
-    met = _windows(docs, doc_id, text, widths, wanted, n > BROADCAST_WINDOWS).join(items, "hash")
+    met = written(_windows(docs, doc_id, text, widths, wanted, n > BROADCAST_WINDOWS), "windows")
+    texts = written(met.select("text_key", "doc_at", "hash", "doc_slots").distinct(), "text-windows")
+    probes = written(_probes(items, coverage), "probes")
+    # texts and items that can share enough windows; a window that many items share brings none of them together
+    near = written(texts.select("text_key", "hash").join(probes, "hash").select("text_key", "item_id", "view").distinct(), "candidates")
     window = F.struct((F.col("doc_at") - F.col("item_at")).alias("diagonal"), "item_at", "item_slots", "doc_slots")
-    # a row for a text and an item that share a window: no longer than the text
-    pairs = met.groupBy("doc_id", "text_no", "item_id", "view").agg(F.collect_set(window).alias("windows"), F.max("item_windows").alias("item_windows"))
-    found = pairs.select("doc_id", "item_id", "windows", "item_windows").mapInArrow(trimmed(_judged(coverage)), FOUND)
+    # a row for a text and an item: no longer than the text
+    pairs = near.join(items, ["item_id", "view"]).join(texts, ["text_key", "hash"]).groupBy("text_key", "item_id", "view").agg(F.collect_set(window).alias("windows"), F.max("item_windows").alias("item_windows"))
+    found = written(pairs.select("text_key", "item_id", "windows", "item_windows").mapInArrow(trimmed(_judged(coverage)), FOUND), "found")
     share = F.col("matched_windows") / F.col("item_windows")
-    best = F.max(F.struct("exact", share.alias("coverage"), "matched_windows", "item_windows", "slot_values")).alias("b")
-    out = found.groupBy("doc_id", "item_id").agg(best)
-    return out.select("doc_id", "item_id", "b.matched_windows", "b.item_windows", "b.coverage", "b.slot_values", F.when(F.col("b.exact"), "exact").otherwise("reparameterised").alias("kind"))
+    best = found.groupBy("text_key", "item_id").agg(F.max(F.struct("exact", share.alias("coverage"), "matched_windows", "item_windows", "slot_values")).alias("b"))
+    out = met.select("doc_id", "text_key").distinct().join(best, "text_key")
+    return out.select("doc_id", "item_id", "b.matched_windows", "b.item_windows", "b.coverage", "b.slot_values", F.when(F.col("b.exact"), "exact").otherwise("reparameterised").alias("kind"), "text_key")

@@ -79,7 +79,7 @@ def boundary(sizes: dict[int, int], percent: int = 80, list_cost: float = 4.0) -
 
 
 def _summary(docs: DataFrame) -> DataFrame:
-    """Rows of documents (doc_id, n, node) and of shingles that a run of documents has often (node, n)."""
+    """Rows of documents (doc_id, text_no, n, node) and of shingles that a run of documents has often (node, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -89,7 +89,7 @@ def _summary(docs: DataFrame) -> DataFrame:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             ok = counts >= max(3, FREQUENT * texts)
             values, counts = values[ok].view(np.int64), counts[ok]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(values), pa.int64()), pa.array(counts, pa.int64()), pa.array(values), pa.array(np.ones(len(values), np.int32))], names=["doc_id", "n", "node", "kind"])
+            return pa.RecordBatch.from_arrays([pa.nulls(len(values), pa.int64()), pa.nulls(len(values), pa.int64()), pa.array(counts, pa.int64()), pa.array(values), pa.array(np.ones(len(values), np.int32))], names=["doc_id", "text_no", "n", "node", "kind"])
 
         for batch in batches:
             n, node = [], []
@@ -102,11 +102,11 @@ def _summary(docs: DataFrame) -> DataFrame:
                 if total >= COUNTED:
                     yield frequent()
                     held, texts, total = [], 0, 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(np.zeros(len(n), np.int32))], names=["doc_id", "n", "node", "kind"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(np.zeros(len(n), np.int32))], names=["doc_id", "text_no", "n", "node", "kind"])
         if held:
             yield frequent()
 
-    return docs.mapInArrow(trimmed(run), "doc_id long, n long, node long, kind int")
+    return docs.mapInArrow(trimmed(run), "doc_id long, text_no long, n long, node long, kind int")
 
 
 def _send(bound: int, frequent, percent: int):
@@ -158,8 +158,8 @@ def _send(bound: int, frequent, percent: int):
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Link all documents whose sets of 5-word shingles have a Jaccard similarity of at least percent / 100.
 
-    Returns per row doc_id, n_shingles and component_id (smallest doc_id that
-    links reach, itself included).  Texts with fewer than five words have one
+    Returns per row doc_id, text_no (xxhash64 of the text, as rows may share an id), n_shingles and component_id
+    (smallest doc_id that links reach, itself included).  Texts with fewer than five words have one
     shingle; null, empty and blank texts have none and link with nothing.  Equal
     sets are one node, so copies aren't compared; a set is known by the 64-bit
     hash of its 64-bit shingle hashes.  Rows with a null id take no part in
@@ -168,9 +168,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_no", F.xxhash64("text"))
     summary = written(_summary(texts), "shingled")
-    rows = summary.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node")
+    rows = summary.filter("kind = 0").select("doc_id", "text_no", F.col("n").alias("n_shingles"), "node")
     linking = rows.filter("doc_id is not null and n_shingles > 0")
     total = rows.count()
     often = [r[0] for r in summary.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(3.0, FREQUENT * total)).select("node").collect()]
@@ -201,4 +201,4 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     named = named.join(smallest, "component").select("node", "component_id")
     out = rows.join(named, "node", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    return out.select("doc_id", "text_no", "n_shingles", own.alias("component_id"))

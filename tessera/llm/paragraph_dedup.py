@@ -43,7 +43,7 @@ BANDS, ROWS = 10, 3
 _RNG = np.random.default_rng(77)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.int64).astype(np.uint64)
-PLACE = T.StructType([T.StructField(n, T.LongType()) for n in ("node", "doc_id", "first_word", "last_word", "first_byte", "last_byte")])
+PLACE = T.StructType([T.StructField(n, T.LongType()) for n in ("node", "doc_id", "text_no", "first_word", "last_word", "first_byte", "last_byte")])
 
 
 class Lines:
@@ -131,12 +131,12 @@ def _repeated(e: np.ndarray) -> pa.Table:
 
 
 def _places(docs: DataFrame, wanted) -> DataFrame:
-    """Where each paragraph and window is whose hash may be in ``wanted``: node (hash of its words), doc_id, words and bytes within the text."""
+    """Where each paragraph and window is whose hash may be in ``wanted``: node (hash of its words), doc_id, text_no, words and bytes within the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = flat(batch.column(1))
-            ids = batch.column(0).to_numpy()
+            ids, numbers = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for a, b in ranges(offsets):
                 t = Lines(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 spans = t.spans()
@@ -147,13 +147,13 @@ def _places(docs: DataFrame, wanted) -> DataFrame:
                     continue
                 doc = np.searchsorted(t.first, spans[:, 0], "right") - 1
                 base, byte = t.first[doc], t.offsets[doc]
-                cols = [node, ids[doc + a], spans[:, 0] - base, spans[:, 1] - base, t.start[spans[:, 0]] - byte, t.end[spans[:, 1] - 1] - byte]
+                cols = [node, ids[doc + a], numbers[doc + a], spans[:, 0] - base, spans[:, 1] - base, t.start[spans[:, 0]] - byte, t.end[spans[:, 1] - 1] - byte]
                 yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in cols], names=PLACE.names)
 
     return docs.mapInArrow(trimmed(run), PLACE)
 
 
-BESIDE = T.StructType([*PLACE.fields[:2], *(T.StructField(n, T.LongType()) for n in ("side", "word", "byte", "bucket")), T.StructField("h", T.BinaryType()), T.StructField("at", T.BinaryType())])
+BESIDE = T.StructType([*PLACE.fields[:3], *(T.StructField(n, T.LongType()) for n in ("side", "word", "byte", "bucket")), T.StructField("h", T.BinaryType()), T.StructField("at", T.BinaryType())])
 LEFT, RIGHT = 0, 1
 
 
@@ -162,11 +162,11 @@ GATHERED = 80_000
 
 
 class _Beside:
-    """Words beside windows: node, doc, side, the edge's word and byte, hashes and byte bounds from the edge outwards."""
+    """Words beside windows: node, doc and text, side, the edge's word and byte, hashes and byte bounds from the edge outwards."""
 
-    def __init__(self, node, doc, side, word, byte, h, at):
-        self.columns = [node, doc, side, word, byte, h, at]
-        self.node, self.doc, self.side, self.word, self.byte, self.h, self.at = self.columns
+    def __init__(self, node, doc, text, side, word, byte, h, at):
+        self.columns = [node, doc, text, side, word, byte, h, at]
+        self.node, self.doc, self.text, self.side, self.word, self.byte, self.h, self.at = self.columns
 
     def take(self, spots) -> "_Beside":
         return _Beside(*[c[spots] for c in self.columns])
@@ -177,15 +177,15 @@ class _Beside:
 
     def sorted(self) -> "_Beside":
         """By node, side and words, equal ones by place."""
-        return self.take(np.lexsort((self.word, self.doc, *(self.h[:, k] for k in range(WINNOW - 2, -1, -1)), self.side, self.node)))
+        return self.take(np.lexsort((self.word, self.text, self.doc, *(self.h[:, k] for k in range(WINNOW - 2, -1, -1)), self.side, self.node)))
 
     def grown(self, by: np.ndarray) -> list[np.ndarray]:
-        """doc_id, first and last word, first and last byte of what the windows gain by so many words each."""
+        """doc_id, text_no, first and last word, first and last byte of what the windows gain by so many words each."""
         some = by > 0
         g, by = self.take(some), by[some]
         last = g.at[np.arange(len(by)), by - 1] if len(by) else g.byte
         right = g.side == RIGHT
-        return [g.doc, np.where(right, g.word, g.word - by), np.where(right, g.word + by, g.word), np.where(right, g.byte, last), np.where(right, last, g.byte)]
+        return [g.doc, g.text, np.where(right, g.word, g.word - by), np.where(right, g.word + by, g.word), np.where(right, g.byte, last), np.where(right, last, g.byte)]
 
 
 def _beside(docs: DataFrame, wanted, n_buckets: int) -> DataFrame:
@@ -197,7 +197,7 @@ def _beside(docs: DataFrame, wanted, n_buckets: int) -> DataFrame:
     share comes once from each task."""
     reach = np.arange(WINNOW - 1)
 
-    def read(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Iterator[_Beside]:
+    def read(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, numbers: np.ndarray) -> Iterator[_Beside]:
         t = Lines(raw, offsets)
         spans = t.windows()
         nodes = t.sums(spans).view(np.int64)
@@ -217,20 +217,20 @@ def _beside(docs: DataFrame, wanted, n_buckets: int) -> DataFrame:
             h = np.where(held, t.h[word], np.uint64(0))
             at = np.where(held, (t.end if side else t.start)[word] - byte[:, None], -1)
             start = t.end[edge - 1] if side else t.start[edge]
-            yield _Beside(node, ids[doc], np.full(len(node), side), edge - base, start - byte, h, at)
+            yield _Beside(node, ids[doc], numbers[doc], np.full(len(node), side), edge - base, start - byte, h, at)
 
     def sent(held: list[_Beside]) -> Iterator[pa.RecordBatch]:
         b = _Beside.join(held).sorted()
         new = np.append(True, (b.node[1:] != b.node[:-1]) | (b.side[1:] != b.side[:-1]) | (b.h[1:] != b.h[:-1]).any(1))
         rest = b.take(~new)
-        doc, w0, w1, b0, b1 = rest.grown((rest.at >= 0).sum(1))
+        doc, text, w0, w1, b0, b1 = rest.grown((rest.at >= 0).sum(1))
         none = pa.array([b""] * len(doc), pa.binary())
         bucket = (mix(doc.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in (w1, doc, b0, w0, b1, bucket)] + [none, none], names=BESIDE.names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in (w1, doc, text, b0, w0, b1, bucket)] + [none, none], names=BESIDE.names)
         b = b.take(new)
         # only equal first words can go on, so they choose the bucket
         bucket = (mix(b.node.view(np.uint64) ^ mix(b.h[:, 0] + b.side.astype(np.uint64))) % np.uint64(n_buckets)).astype(np.int64)
-        cols = [pa.array(np.asarray(c, np.int64)) for c in (b.node, b.doc, b.side, b.word, b.byte, bucket)]
+        cols = [pa.array(np.asarray(c, np.int64)) for c in (b.node, b.doc, b.text, b.side, b.word, b.byte, bucket)]
         cols += [pa.array([row.tobytes() for row in m], pa.binary()) for m in (b.h, b.at.astype(np.int64))]
         yield pa.RecordBatch.from_arrays(cols, names=BESIDE.names)
 
@@ -238,9 +238,9 @@ def _beside(docs: DataFrame, wanted, n_buckets: int) -> DataFrame:
         held, total = [], 0
         for batch in batches:
             raw, offsets = flat(batch.column(1))
-            ids = batch.column(0).to_numpy()
+            ids, numbers = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for a, b in ranges(offsets):
-                for part in read(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ids[a:b]):
+                for part in read(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ids[a:b], numbers[a:b]):
                     held.append(part)
                     total += len(part.node)
             if total >= GATHERED:
@@ -255,13 +255,13 @@ def _beside(docs: DataFrame, wanted, n_buckets: int) -> DataFrame:
 def _grown(t: pa.Table) -> pa.Table:
     """The words by which each place's window grows: as many as equal those beside an earlier place."""
     t = t.combine_chunks()
-    whole = t.filter(pa.compute.equal(pa.compute.binary_length(t["h"]), 0))  # told by the task: last word, document, first byte, first word, last byte
+    whole = t.filter(pa.compute.equal(pa.compute.binary_length(t["h"]), 0))  # told by the task: last word, document and text, first byte, first word, last byte
     t = t.filter(pa.compute.greater(pa.compute.binary_length(t["h"]), 0)).combine_chunks()
-    node, doc, side, word, byte = (t[n].to_numpy() for n in ("node", "doc_id", "side", "word", "byte"))
+    node, doc, text, side, word, byte = (t[n].to_numpy() for n in ("node", "doc_id", "text_no", "side", "word", "byte"))
     h, at = (np.frombuffer(flat(t[n])[0], kind).reshape(len(node), WINNOW - 1) for n, kind in (("h", np.uint64), ("at", np.int64)))
-    b = _Beside(node, doc, side, word, byte, h, at)
-    by_place = np.lexsort((word, doc))
-    later = (doc[by_place[1:]] != doc[by_place[:-1]]) | (word[by_place[1:]] != word[by_place[:-1]])
+    b = _Beside(node, doc, text, side, word, byte, h, at)
+    by_place = np.lexsort((word, text, doc))
+    later = (doc[by_place[1:]] != doc[by_place[:-1]]) | (text[by_place[1:]] != text[by_place[:-1]]) | (word[by_place[1:]] != word[by_place[:-1]])
     rank = np.empty(len(node), np.int64)
     rank[by_place] = np.concatenate(([0], np.cumsum(later))) if len(node) else 0
     order = np.lexsort((*(h[:, k] for k in range(WINNOW - 2, -1, -1)), side, node))
@@ -273,8 +273,8 @@ def _grown(t: pa.Table) -> pa.Table:
             new[1:] |= b.h[1:, k] != b.h[:-1, k]
             first = np.minimum.reduceat(rank, np.flatnonzero(new))[np.cumsum(new) - 1]
             by += (rank > first) & (b.at[:, k] >= 0)
-    told = [whole[n].to_numpy() for n in ("doc_id", "word", "node", "side", "byte")]
-    names = ("doc_id", "first_word", "last_word", "first_byte", "last_byte")
+    told = [whole[n].to_numpy() for n in ("doc_id", "text_no", "word", "node", "side", "byte")]
+    names = ("doc_id", "text_no", "first_word", "last_word", "first_byte", "last_byte")
     return pa.table({n: np.concatenate((x, np.asarray(y, np.int64))) for n, x, y in zip(names, told, b.grown(by))})
 
 
@@ -294,25 +294,25 @@ def _band_entries(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 def repeats(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The spans to remove: one row per removed run of words.
 
-    Returns doc_id, first_byte and last_byte (bounds in the UTF-8 text), n_words
-    and kept_doc_id (smallest document that keeps a copy of part of the run).  Of
-    each cluster the place with the smallest (doc_id, position) stays, so every
+    Returns doc_id, text_no (a hash of the text, as rows may share an id), first_byte and last_byte (bounds in
+    the UTF-8 text), n_words and kept_doc_id (smallest document that keeps a copy of part of the run).  Of
+    each cluster the place with the smallest (doc_id, text_no, position) stays, so every
     repeated text keeps one copy.  Rows with a null id take no part; rows that
-    share an id count as one document; null, empty and short texts have no
+    share an id and have different texts are documents of their own, those with equal ones count as one; null, empty and short texts have no
     paragraphs; other columns are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_no", F.xxhash64("text"))
     body = texts.select("text")
     repeated = written(exchange(body, _count_entries, _repeated, "node long", add=True), "repeated")
     found = written(exchange(body, _band_entries, receive(percent, counted=False), FOUND), "collisions")
     colliding = found.select(F.col("a").alias("node")).union(found.filter("kind < 2").select("b"))
     places = written(_places(texts, key_filter(repeated.union(colliding))), "places")
-    nodes = written(places.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "first_word", "last_word")).alias("home")), "nodes")
+    nodes = written(places.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_no", "first_word", "last_word")).alias("home")), "nodes")
 
     def sets_of(asked: DataFrame) -> DataFrame:
         asked = asked.join(nodes, "node")
-        asked = written(asked.groupBy(F.col("home.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("node", "home.first_word", "home.last_word")).alias("asked")), "asked")
+        asked = written(asked.groupBy(F.col("home.doc_id").alias("doc_id"), F.col("home.text_no").alias("text_no")).agg(F.collect_list(F.struct("node", "home.first_word", "home.last_word")).alias("asked")), "asked")
         wanted = key_filter(asked.select("doc_id"))
 
         def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,7 +331,7 @@ def repeats(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col
                         packed.append(t.shingles((w["first_word"], w["last_word"])).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(packed, pa.binary())], names=["node", "s"])
 
-        met = texts.mapInArrow(some, texts.schema).join(asked.hint("shuffle_hash"), "doc_id").select("text", "asked")
+        met = texts.mapInArrow(some, texts.schema).join(asked.hint("shuffle_hash"), ["doc_id", "text_no"]).select("text", "asked")
         return written(met.mapInArrow(trimmed(run), "node long, s binary"), "sets")
 
     linked = linked_components(found, sets_of, percent, counted=False)
@@ -339,35 +339,35 @@ def repeats(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col
     again = written(again.select("node", "cluster", "home"), "repeated")
     homes = again.groupBy("cluster").agg(F.min("home").alias("home"))
     marked = places.join(again.select("node", "cluster").join(homes, "cluster"), "node")
-    marked = marked.filter((F.col("doc_id") != F.col("home.doc_id")) | (F.col("first_word") != F.col("home.first_word")))
-    marked = written(marked.select("node", "doc_id", "first_word", "last_word", "first_byte", "last_byte", F.col("home.doc_id").alias("kept_doc_id")), "marked")
+    marked = marked.filter((F.col("doc_id") != F.col("home.doc_id")) | (F.col("text_no") != F.col("home.text_no")) | (F.col("first_word") != F.col("home.first_word")))
+    marked = written(marked.select("node", "doc_id", "text_no", "first_word", "last_word", "first_byte", "last_byte", F.col("home.doc_id").alias("kept_doc_id")), "marked")
 
     def in_runs(spans: DataFrame) -> DataFrame:
         """Adjoining and overlapping removals of a document become one run."""
-        order = Window.partitionBy("doc_id").orderBy("first_word", "last_word")
+        order = Window.partitionBy("doc_id", "text_no").orderBy("first_word", "last_word")
         before = F.max("last_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
         return spans.withColumn("new", F.coalesce(F.col("first_word") > before, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order))
 
-    run = Window.partitionBy("doc_id", "run")
+    run = Window.partitionBy("doc_id", "text_no", "run")
     outer = in_runs(marked).select("node", "first_word", "last_word", F.min("first_word").over(run).alias("a"), F.max("last_word").over(run).alias("b"))
     outer = outer.filter(F.col("last_word") - F.col("first_word") == WINDOW_WORDS)
     left, right = outer.filter(F.col("first_word") - F.col("a") < WINNOW - 1), outer.filter(F.col("b") - F.col("last_word") < WINNOW - 1)
     asked_sides = written(left.select("node").union(right.select(F.bitwise_not("node"))).distinct(), "sides")
     beside = _beside(texts, key_filter(asked_sides), 4 * parts(docs.sparkSession))
-    grown = beside.groupBy("bucket").applyInArrow(_grown, "doc_id long, first_word long, last_word long, first_byte long, last_byte long")
+    grown = beside.groupBy("bucket").applyInArrow(_grown, "doc_id long, text_no long, first_word long, last_word long, first_byte long, last_byte long")
     joined = in_runs(marked.drop("node").unionByName(grown, allowMissingColumns=True))
-    out = joined.groupBy("doc_id", "run").agg(F.min("first_byte").alias("first_byte"), F.max("last_byte").alias("last_byte"), (F.max("last_word") - F.min("first_word")).alias("n_words"), F.min("kept_doc_id").alias("kept_doc_id"))
+    out = joined.groupBy("doc_id", "text_no", "run").agg(F.min("first_byte").alias("first_byte"), F.max("last_byte").alias("last_byte"), (F.max("last_word") - F.min("first_word")).alias("n_words"), F.min("kept_doc_id").alias("kept_doc_id"))
     return out.filter(F.col("n_words") >= LEAST_REMOVED).drop("run")
 
 
 def without(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the spans cut out of their texts; nothing else changes.
 
-    Rows without spans stay as they are, null and empty texts too; all rows of a repeated id are cut
-    alike, those of a null id never; columns may have any names; an empty table on either side is as it says."""
-    key, held = (next(n for n in (f"{stem}_{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for stem in ("span_key", "span_cuts"))
-    cuts = spans.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("first_byte", "last_byte"))).alias(held))
-    joined = docs.join(cuts.hint("shuffle_hash"), F.col(id_col) == F.col(key), "left").drop(key)
+    Rows without spans stay as they are, null and empty texts too; of rows that share an id those with the text that the
+    spans are of are cut, rows of a null id never; columns may have any names; an empty table on either side is as it says."""
+    key, number, held = (next(n for n in (f"{stem}_{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for stem in ("span_key", "span_text", "span_cuts"))
+    cuts = spans.groupBy(F.col("doc_id").alias(key), F.col("text_no").alias(number)).agg(F.array_sort(F.collect_list(F.struct("first_byte", "last_byte"))).alias(held))
+    joined = docs.join(cuts.hint("shuffle_hash"), (F.col(id_col) == F.col(key)) & (F.xxhash64(text_col) == F.col(number)), "left").drop(key, number)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

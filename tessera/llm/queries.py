@@ -54,7 +54,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), percent=80)
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), percent=80).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_repeat_index(spark: SparkSession, sf_dir: str) -> DataFrame:

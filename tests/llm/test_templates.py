@@ -9,6 +9,7 @@ from tessera.llm import decontaminate as D
 
 NAMES = "Alice Bob Carol Dave Erin Frank Grace Heidi Ivan Judy".split()
 UNITS = ["kg", "days", "dollars", "km"]
+OTHER_UNITS = "miles kilometers kilometres meters pounds grams kilograms inches feet foot inch liters millilitres gallons degrees hours Stunden Kilometer heures kilomètres metros horas mph kWh kN µg".split()
 FILL = "then how many of the apples does she still keep when all her friends have gone home with what they were given on that long walk".split()
 
 
@@ -44,6 +45,7 @@ EDITS = {
     "lower case and other numbers": lambda r, t: re.sub("[0-9]+", lambda m: str(int(m[0]) + 100), t.lower()),
     "grouped and decimal numbers": lambda r, t: re.sub("[0-9]+", lambda m: r.choice([f"{m[0]},{r.randint(100, 999)}", f"{m[0]}.50"]), t),
     "number words": lambda r, t: re.sub("[0-9]+", lambda m: spelled(m[0]), t),
+    "other units": lambda r, t: re.sub("[0-9]+ (" + "|".join(UNITS) + ")", lambda m: m[0].split()[0] + " " + r.choice(OTHER_UNITS), t),
     "names of several words": lambda r, t: re.sub("|".join(NAMES), lambda m: m[0] + " Van Helsing", t),
     "one mention changed": lambda r, t: t[: t.rindex(next(n for n in NAMES if t.count(n) > 1))] + "Zoe" + t[t.rindex(next(n for n in NAMES if t.count(n) > 1)) + len(next(n for n in NAMES if t.count(n) > 1)) :],
 }
@@ -67,6 +69,26 @@ def test_recall_on_edits(spark, bench_items):
     assert wrong <= 0.02 * len(rows)
 
 
+def test_units_and_number_words():
+    assert {"miles", "kilometers", "pounds", "kilograms", "feet", "stunden", "heures", "kilómetros", "dezigramm", "ms", "kwh"} <= set(D.UNITS)
+    assert {"veinte", "fünfundzwanzig", "trente", "twenty", "veintitrés"} <= set(D.NUMBER_WORDS) and not {"as", "once", "six"} & set(D.UNITS)
+
+
+def test_a_preamble_of_all_items_brings_no_pairs(spark):
+    """Items that begin alike, documents with that beginning: windows that all items share bring none together."""
+    rng = random.Random(21)
+    opening = "Read the following short story with great care and then answer the question below in one full sentence please."
+    items = [opening + " " + item(rng) for _ in range(300)]
+    rows = [(i, opening + " " + " ".join(rng.choice(FILL) for _ in range(40))) for i in range(700)] + [(1000 + i, "x " + t.replace("apples", "pears")) for i, t in enumerate(items[:5])]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(docs, bench, coverage=0.6).collect()}
+    assert {(1000 + i, i) for i in range(5)} <= got and not any(d < 1000 for d, _ in got)
+    items = D._items(bench, "item_id", "text")
+    shared = items.groupBy("hash").count().filter("count > 250")
+    assert shared.count() >= 5 and D._probes(items, 0.6).join(shared, "hash").count() == 0
+
+
 def test_short_items_with_a_name_that_opens_them(spark):
     bench = spark.createDataFrame([(1, "Alice has 7 apples today"), (2, "Berlin is the capital of Germany")], "item_id long, text string")
     rows = [(1, "Carol has 9 apples today"), (2, "So: carol has 9 pears today. Erin has 12,000 apples today."), (3, "alice HAS 7 apples today"), (4, "Paris is the capital of France"), (5, "has 9 apples today")]
