@@ -27,10 +27,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates keep the document with the smallest id.
 
-    Rows that repeat an id stay together; rows with a null id stay."""
+    Rows that repeat an id go one by one, as their texts have it; copies under the smallest id, and rows with a null id, stay."""
     found = jaccard_join.near_duplicates(docs, percent=80)
-    gone = written(found.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    gone = written(found.filter("component_id <> doc_id").select("doc_id", "text_no").distinct(), "gone")
+    return docs.join(gone.hint("shuffle_hash"), (docs["doc_id"] == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_no"]), "left_anti")
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +43,10 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold the template of a benchmark item; rows with a null id stay."""
+    """Drop documents that hold the template of a benchmark item; of rows that repeat an id those whose text does; rows with a null id stay."""
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    leaks = written(found.filter("doc_id is not null").select("doc_id").distinct(), "leaks")
-    return docs.join(leaks.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    leaks = written(found.filter("doc_id is not null").select("doc_id", "text_key").distinct(), "leaks")
+    return docs.join(leaks.hint("shuffle_hash"), (docs["doc_id"] == leaks["doc_id"]) & (decontaminate.text_key(docs["text"]) == leaks["text_key"]), "left_anti")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
