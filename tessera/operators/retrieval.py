@@ -11,103 +11,107 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import levels as L
-from tessera.functions.semantics import tokens
 from tessera.sources import shared
 
-K1, B = 1.2, 0.75
-#: Distinct tokens of all queries together up to which they are broadcast (some 40 bytes each).
-BROADCAST_TERMS = 200_000
-
 
 def ranked(df: DataFrame, by: str, score: Column, *ties: str) -> DataFrame:
     """rank (from 1) within each ``by``, best score first; ids decide ties."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(score, *ties)))
 
 
-def postings(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """doc_id, dl (tokens of the document), token and tf of the tokens asked for, written for use in several places.
-
-    One pass over the texts; each document also has a row of the token "", so that
-    the counts of the whole table come from the same rows."""
-    t = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    # explode_outer: no filter on the tokens is inferred that would work them out again
-    t = t.select("doc_id", F.size("t").alias("dl"), F.explode_outer(F.concat(F.array(F.lit("")), "t")).alias("token"))
-    wanted = asked.select("token").unionByName(asked.sparkSession.createDataFrame([("",)], "token string")).distinct()
-    return shared.written(t.join(wanted, "token", "left_semi").groupBy("doc_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf")), "postings")
-
-
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, doc_id and score of every document that has a token of the query."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    p = postings(docs, asked)
-    size = p.filter("token = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = p.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    terms = asked.filter("token <> ''").join(df, "token").crossJoin(F.broadcast(size))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # rows of a document stay together, so that scores need no shuffle where the queries' terms are few enough to be sent
-    few = asked.count() <= BROADCAST_TERMS
-    met = p.filter("token <> ''").repartition("doc_id").join(F.broadcast(terms), "token") if few else p.join(terms, "token")
-    gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return met.groupBy("query_id", "doc_id").agg(F.sum(gain).alias("score"))
-
-
-#: Queries whose vectors are sent to the tasks at once.
-QUERY_BLOCK = 2_048
-
-
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Vectors of one length scaled to length 1; what is null, of another length or without a length becomes zeros."""
-    lists = column.to_pylist()
-    out = np.zeros((len(lists), dim))
-    for i, v in enumerate(lists):
-        if v is not None and len(v) == dim and None not in v:
-            out[i] = v
-    n = np.sqrt((out * out).sum(1))
-    n[~(n > 0) | ~np.isfinite(n)] = np.inf
-    return np.where(np.isfinite(n)[:, None], out, 0) / n[:, None]
-
-
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids: list[int] = []
-    rows: list[list[float]] = []
-    for r in queries.select("query_id", "embedding").filter("embedding is not null").toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == QUERY_BLOCK:
-            yield np.array(ids, np.int64), _matrix(pa.array(rows), len(rows[0]))
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids, np.int64), _matrix(pa.array(rows), len(rows[0]))
-
-
-def _by_blocks(vectors: DataFrame, queries: DataFrame, pick: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """query_id, doc_id and cosine of what ``pick`` takes from each product of a batch of vectors and a block of queries.
-
-    A stated query set against all rows: the queries go to the tasks in blocks of QUERY_BLOCK, each block in one pass over the vectors."""
-    schema = "query_id long, doc_id long, cosine double"
-    out = None
-
-    def product(asked: np.ndarray, q: np.ndarray):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column(0).to_numpy()
-                cosine = _matrix(batch.column(1), q.shape[1]) @ q.T
-                row, column = pick(ids, cosine)
-                yield pa.RecordBatch.from_arrays([pa.array(asked[column]), pa.array(ids[row]), pa.array(cosine[row, column])], names=["query_id", "doc_id", "cosine"])
-
-        return run
-
-    v = vectors.select(F.col("doc_id").cast("long"), "embedding").filter("doc_id is not null")
-    for asked, q in _query_blocks(queries):
-        part = v.mapInArrow(product(asked, q), schema)
-        out = part if out is None else out.unionByName(part)
-    return vectors.sparkSession.createDataFrame([], schema) if out is None else out
+#: Rows of a block, and the most cells that blocks are cut from.
+BLOCK, CELLS = 4_096, 256
+#: Cosines are ranked by nine decimals; bounds leave room for that and for roundings.
+MARGIN = 1e-8
+UNITS = "id long, dim int, u binary"
+
+
+def _units(rows: DataFrame, id_col: str) -> DataFrame:
+    """Vectors scaled to length 1, packed; rows without an id, null, empty and zero vectors and those with a null or non-finite component are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            at, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            ids, dims, packed = [], [], []
+            for i, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                u = values[a:b] / np.abs(values[a:b]).max()  # squares can't overflow
+                ids.append(i)
+                dims.append(b - a)
+                packed.append((u / np.sqrt((u * u).sum())).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(packed, pa.binary())], names=["id", "dim", "u"])
+
+    v = rows.select(F.col(id_col).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    usable = F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0)
+    return v.filter(usable).mapInArrow(run, UNITS)
+
+
+def _vectors(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table["u"].to_pylist()), np.float64).reshape(len(table), -1)
+
+
+def _ball(table: pa.Table) -> pa.Table:
+    """Centre, radius and size of a block."""
+    u = _vectors(table)
+    centre = u.mean(axis=0)
+    radius = np.sqrt(((u - centre) ** 2).sum(axis=1).max())
+    return pa.table({"dim": table["dim"][:1].combine_chunks(), "block": table["block"][:1].combine_chunks(), "centre": pa.array([centre.tolist()]), "radius": pa.array([float(radius)]), "n": pa.array([len(u)], pa.int64())})
+
+
+def _dealt(units: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """Rows with ``block``: near ones share a cell (that of the nearest pivot), and cells are cut by counts, so that no block holds much more than BLOCK rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, cell = batch.column(1).to_numpy(), np.zeros(len(batch), np.int32)
+            for d in np.unique(dims).tolist():
+                if d in pivots:
+                    at = np.flatnonzero(dims == d)
+                    cell[at] = (_vectors(pa.table({"u": batch.column(2).take(pa.array(at))})) @ pivots[d].T).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["id", "dim", "u", "cell"])
+
+    cells = shared.written(units.mapInArrow(run, UNITS + ", cell int"), "cells")
+    sizes = shared.written(cells.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")), "sizes")
+    part = F.pmod(F.xxhash64("id", "u"), "parts")
+    return shared.written(cells.join(sizes, ["dim", "cell"]).select("id", "dim", "u", (F.shiftleft(F.col("cell").cast("long"), 32) + part).alias("block")), "blocks")
+
+
+def _meetings(vectors: DataFrame, queries: DataFrame, keep: Callable[[DataFrame], DataFrame], pick: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """query_id, doc_id and cosine of what ``pick`` takes from the products of the pairs of blocks that ``keep`` leaves.
+
+    Both sides are dealt into blocks, of which centre and radius are known.  Pairs of blocks come with ``most`` and ``least``, between which all
+    their cosines are (triangle inequality of the distances of unit vectors); pairs that ``keep`` leaves out never meet."""
+    v, q = shared.written(_units(vectors, "doc_id"), "vectors"), shared.written(_units(queries, "query_id"), "queries")
+    n = v.count()
+    sample = v.orderBy(F.xxhash64("u"), "id").limit(min(CELLS, max(1, n // BLOCK * 4))).collect()  # CELLS vectors at most
+    pivots = {d: np.stack([np.frombuffer(r.u) for r in sample if r.dim == d]) for d in {r.dim for r in sample}}
+    v, q = _dealt(v, pivots), _dealt(q, pivots)
+    ball = "dim int, block long, centre array<double>, radius double, n long"
+    balls = [shared.written(side.groupBy("dim", "block").applyInArrow(_ball, ball), "balls").toDF("dim", *(f"{name}_{c}" for c in ("block", "centre", "radius", "n"))) for side, name in ((v, "v"), (q, "q"))]
+    # a row stands for thousands of vectors: pairs of these are few beside the products that follow
+    pairs = balls[0].join(balls[1], "dim")
+    between = F.sqrt(F.aggregate(F.zip_with("v_centre", "q_centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    near, far = F.greatest(between - F.col("v_radius") - F.col("q_radius"), F.lit(0.0)), between + F.col("v_radius") + F.col("q_radius")
+    pairs = pairs.select("dim", "v_block", "q_block", "v_n", (1 - near * near / 2).alias("most"), (1 - far * far / 2).alias("least"))
+    pairs = shared.written(keep(pairs).select("dim", "v_block", "q_block"), "pairs")
+    sides = [side.join(pairs, (side["dim"] == pairs["dim"]) & (side["block"] == pairs[f"{name}_block"])).select(side["dim"], "v_block", "q_block", "id", "u", F.lit(name == "q").alias("asks")) for side, name in ((v, "v"), (q, "q"))]
+
+    def product(table: pa.Table) -> pa.Table:
+        asks, ids, u = table["asks"].to_numpy(), table["id"].to_numpy(), _vectors(table)
+        docs, asked = ids[~asks], ids[asks]
+        cosine = u[~asks] @ u[asks].T
+        row, column = pick(docs, cosine)
+        return pa.table({"query_id": pa.array(asked[column]), "doc_id": pa.array(docs[row]), "cosine": pa.array(cosine[row, column])})
+
+    return sides[0].unionByName(sides[1]).groupBy("dim", "v_block", "q_block").applyInArrow(product, "query_id long, doc_id long, cosine double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, doc_id, cosine and rank of the k nearest vectors of each query; ids decide ties of nine decimals.
 
-    Each batch keeps its k best of every query, so what is ranked in the end is small."""
+    A block of queries meets the blocks that may hold one of its k nearest: those as near as the k vectors that are certainly not farther.
+    Each pair of blocks keeps its k best of every query.  Rows that ``_units`` leaves out take no part, and vectors of different length don't meet."""
 
     def best(ids: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         value = np.round(cosine, 9)
@@ -117,14 +121,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             some = np.flatnonzero(v >= np.partition(v, len(v) - k)[len(v) - k]) if len(v) > k else np.arange(len(v))
             rows.append(some[np.lexsort((ids[some], -v[some]))[:k]])
             columns.append(np.full(len(rows[-1]), j))
-        return np.concatenate(rows), np.concatenate(columns)
+        return np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate([np.zeros(0, np.int64), *columns])
+
+    def near_enough(pairs: DataFrame) -> DataFrame:
+        surest = Window.partitionBy("dim", "q_block").orderBy(F.desc("least"), "v_block").rowsBetween(Window.unboundedPreceding, 0)
+        have = pairs.withColumn("have", F.sum("v_n").over(surest))
+        bound = have.filter(F.col("have") >= k).groupBy("dim", "q_block").agg(F.max("least").alias("bound"))
+        return pairs.join(bound, ["dim", "q_block"], "left").filter(F.col("bound").isNull() | (F.col("most") >= F.col("bound") - MARGIN))
 
-    return ranked(_by_blocks(vectors, queries, best), "query_id", F.desc(F.round("cosine", 9)), "doc_id").filter(F.col("rank") <= k)
+    return ranked(_meetings(vectors, queries, near_enough, best), "query_id", F.desc(F.round("cosine", 9)), "doc_id").filter(F.col("rank") <= k)
 
 
 def close_pairs(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
-    """query_id, doc_id and cosine of the pairs with a cosine of at least ``least``."""
-    return _by_blocks(vectors, queries, lambda ids, cosine: np.nonzero(cosine >= least))
+    """query_id, doc_id and cosine of the pairs with a cosine of at least ``least``; blocks too far apart for one don't meet."""
+    return _meetings(vectors, queries, lambda pairs: pairs.filter(F.col("most") >= least - MARGIN), lambda ids, cosine: np.nonzero(cosine >= least))
 
 
 def fuse(rankings: DataFrame, k: int = L.RRF_K) -> DataFrame:

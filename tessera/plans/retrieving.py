@@ -8,10 +8,12 @@ from pyspark.sql.window import Window
 
 from tessera.functions import levels as L
 from tessera.functions.semantics import tokens
+from tessera.operators import inverted as I
 from tessera.operators import retrieval as R
 from tessera.operators import weight as W
 from tessera.plans.registry import query
 from tessera.plans.weighing import BASE, CW
+from tessera.sources import shared
 from tessera.sources.evidence import CHUNKS, Evidence, with_
 
 TOKEN = "regexp_extract_all(lower(text), '[a-zà-ÿ0-9][a-zà-ÿ0-9\\-]*')"
@@ -38,9 +40,14 @@ def vectors(ev: Evidence) -> DataFrame:
     return ev.read("embeddings").select((F.col("vec_id") * CHUNKS).alias("doc_id"), "embedding")
 
 
+def chunk_index(ev: Evidence) -> I.Index:
+    """The stored index of the chunks, built when an application first asks for it and again when the documents' files change."""
+    docs = ev.read("documents")
+    return shared.kept(docs, "chunk-index", lambda: I.build(ev.chunks.select(F.col("chunk_id").alias("doc_id"), "text")))
+
+
 def by_text(ev: Evidence, k: int) -> DataFrame:
-    s = R.bm25(ev.chunks.select(F.col("chunk_id").alias("doc_id"), "text"), questions(ev))
-    return R.ranked(s, "query_id", F.desc(F.round("score", 6)), "doc_id").filter(F.col("rank") <= k)
+    return R.ranked(I.search(chunk_index(ev), questions(ev), k).rows, "query_id", F.desc(F.round("score", 6)), "doc_id")
 
 
 def by_vector(ev: Evidence, k: int) -> DataFrame:
@@ -58,6 +65,17 @@ def bm25_topk(ev: Evidence) -> DataFrame:
     return by_text(ev, 10).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
 
 
+LEFT = BM.replace("FROM chunks)", "FROM chunks WHERE source_id%10<>9)")
+
+
+@query("bm25_after_removal", with_("chunks", "SELECT query_id, doc_id, rank, round(score,5) AS score FROM bmr WHERE rank<=10", LEFT))
+def bm25_after_removal(ev: Evidence) -> DataFrame:
+    """The index without the chunks of sources that aren't approved, as after their deletion."""
+    index = I.removed(chunk_index(ev), ev.chunks.filter("source_id % 10 = 9").select(F.col("chunk_id").alias("doc_id")))
+    found = R.ranked(I.search(index, questions(ev), 10).rows, "query_id", F.desc(F.round("score", 6)), "doc_id")
+    return found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
+
+
 @query("vector_topk", f"WITH {VEC} SELECT query_id, doc_id, rank, round(1-cosine,6) AS distance FROM vr WHERE rank<=20")
 def vector_topk(ev: Evidence) -> DataFrame:
     return by_vector(ev, 20).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round(1 - F.col("cosine"), 6).alias("distance"))

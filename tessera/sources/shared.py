@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +26,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     at = folder(df.sparkSession, name)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+Made = TypeVar("Made")
+#: What applications have stored so far, by application, name and the state of the files that it comes from.
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(source: DataFrame, name: str, make: Callable[[], Made]) -> Made:
+    """What ``make`` stores, made once for an application and the files of ``source`` as they are (paths, lengths, times)."""
+    spark = source.sparkSession
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    states = []
+    for at in sorted(source.inputFiles()):
+        file = path(at)
+        status = file.getFileSystem(conf).getFileStatus(file)
+        states.append((at, status.getLen(), status.getModificationTime()))
+    key = (spark.sparkContext.applicationId, name, tuple(states))
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
