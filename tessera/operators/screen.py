@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.semantics import any_of
-from tessera.operators.text import term_pattern
+from tessera.operators.spotting import plain, spotted
+from tessera.sources import shared
 
 # Kinds of texts in which a term behind a negation isn't one; words that negate, up to 40 characters before in the same sentence; order of severity.
 NEGATION_AWARE = ("user", "memory", "evidence")
@@ -25,52 +26,46 @@ class Rule:
     discontinuation: bool = False
 
 
-def unnegated(text: Column, term: str) -> Column:
-    """Whether a term stands in a text somewhere without a negator before it."""
-    plain = term_pattern(term)
-    flags, bare = plain[: plain.index(")") + 1], plain[plain.index(")") + 1 :]
-    return text.rlike(flags + r"(?<!\b(?:" + "|".join(NEGATORS) + r")\b[^.;!?]{0,40})" + bare)
+def rule_tables(spark: SparkSession, rules: Iterable[Rule]) -> tuple[DataFrame, DataFrame]:
+    """Rules as tables: (rule, severity, severity_rank, discontinuation, paired) and their terms (rule, role, term, found); found is the term as it is spotted."""
+    rules = list(rules)
+    heads = [(r.key, r.severity, SEVERITY.get(r.severity, 9), r.discontinuation, bool(r.co_terms)) for r in rules]
+    terms = {(r.key, role, t, plain(t)) for r in rules for role, some in (("term", r.terms), ("co", r.co_terms)) for t in some}
+    return (
+        spark.createDataFrame(heads, "rule string, severity string, severity_rank int, discontinuation boolean, paired boolean"),
+        spark.createDataFrame(sorted(terms), "rule string, role string, term string, found string"),
+    )
 
 
-def held(text: Column, aware: Column, terms: tuple[str, ...], discontinuation: bool) -> Column:
-    """Whether one of the terms counts in a text: of an aware text only outside of negations, unless the rule is about stopping."""
-    anywhere = any_of([text.rlike(term_pattern(t)) for t in terms])
-    if discontinuation:
-        return anywhere
-    return F.when(aware, any_of([unnegated(text, t) for t in terms])).otherwise(anywhere)
+def alerts(segments: DataFrame, rules: tuple[Rule, ...] | tuple[DataFrame, DataFrame], turn: str, ambiguous: frozenset[str] = frozenset(), negators: tuple[str, ...] = NEGATORS) -> DataFrame:
+    """turn, rule, severity, severity_rank, texts (how many set it off) and first_ref (the least of them) of every alert.
 
-
-def alerts(segments: DataFrame, rules: tuple[Rule, ...], turn: str, ambiguous: frozenset[str] = frozenset()) -> DataFrame:
-    """turn, rule, severity, place and refs (the texts that set it off, sorted) of every alert, worst first.
-
-    segments: turn, kind, ref, text.  A person's own text doesn't count for ambiguous
+    segments: turn, kind, ref, text; rules: as such or as ``rule_tables``.  A term of an aware text (NEGATION_AWARE) counts only outside of
+    negations, unless the rule is about stopping.  A person's own text doesn't count for ambiguous
     forms, such as a name that the system itself has.  Co-terms may be in another text of the turn; negations count for them only
-    if they do for every text of the turn.  A term that begins in one text and ends in the next isn't found."""
-    aware = F.col("kind").isin(*NEGATION_AWARE)
-    s = segments.withColumn("aware", aware)
-    text, columns = F.col("text"), []
-    for i, r in enumerate(rules):
-        own = tuple(t for t in r.terms if t not in ambiguous)
-        found = F.when(F.col("kind") == "user", held(text, F.col("aware"), own, r.discontinuation) if own else F.lit(False)).otherwise(held(text, F.col("aware"), r.terms, r.discontinuation))
-        columns.append(F.coalesce(found, F.lit(False)).alias(f"t{i}"))
-        for name, only in (("c", True), ("a", False)):
-            co = held(text, F.lit(only), r.co_terms, r.discontinuation) if r.co_terms else F.lit(True)
-            columns.append(F.coalesce(co, F.lit(False)).alias(f"{name}{i}"))
-    marked = s.select(turn, "ref", "aware", *columns)
-    per_turn = marked.groupBy(turn).agg(F.min("aware").alias("all_aware"), *[F.max(f"{n}{i}").alias(f"{n}{i}") for i in range(len(rules)) for n in "ca"])
-    hit = F.array_compact(F.array(*[F.when(F.col(f"t{i}"), F.lit(i)) for i in range(len(rules))]))
-    fired = marked.select(turn, "ref", F.explode(hit).alias("i")).distinct().join(per_turn, turn)
-    both = any_of([(F.col("i") == i) & F.when(F.col("all_aware"), F.col(f"c{i}")).otherwise(F.col(f"a{i}")) for i in range(len(rules))])
-    named = lambda f: F.element_at(F.array(*[F.lit(f(r)) for r in rules]), F.col("i") + 1)
-    out = fired.filter(both).groupBy(turn, "i").agg(F.count(F.lit(1)).alias("texts"), F.min("ref").alias("first_ref"))
-    rank = named(lambda r: SEVERITY.get(r.severity, 9))
-    return out.select(turn, named(lambda r: r.key).alias("rule"), named(lambda r: r.severity).alias("severity"), rank.alias("severity_rank"), "texts", "first_ref")
-
-
-def implicated(texts: DataFrame, key: str, forms: dict[str, tuple[str, ...]], properties: dict[str, tuple[str, ...]], phrases: dict[str, tuple[str, ...]]) -> DataFrame:
-    """key and concept of texts that name a concept by one of its forms, or a property that it has by one of the property's phrases."""
-    text, found = F.col("text"), []
-    for concept, own in forms.items():
-        more = tuple(p for prop in properties.get(concept, ()) for p in phrases.get(prop, ()))
-        found.append(F.when(any_of([text.rlike(term_pattern(t)) for t in (*own, *more)]), F.lit(concept)))
-    return texts.select(key, F.explode(F.array_compact(F.array(*found))).alias("concept"))
+    if they do for every text of the turn.  A term that begins in one text and ends in the next isn't found.
+
+    Texts are read once whatever the rules are; what is found meets the rules in joins."""
+    spark = segments.sparkSession
+    heads, terms = rules if rules and isinstance(rules[0], DataFrame) else rule_tables(spark, rules)
+    aware = F.coalesce(F.col("kind").isin(*NEGATION_AWARE), F.lit(False))
+    own = F.col("kind") == "user"
+    s = segments.select(F.col(turn).alias("turn"), F.col("ref").alias("ref"), aware.alias("aware"), F.coalesce(own, F.lit(False)).alias("own"), "text")
+    hits = spotted(s, terms.select("term"), ["turn", "ref", "aware", "own"], negators).withColumnRenamed("term", "found")
+    barred = terms.select("rule", "role", "found", F.col("term").isin(*ambiguous).alias("ambiguous")) if ambiguous else terms.select("rule", "role", "found", F.lit(False).alias("ambiguous"))
+    met = shared.written(hits.join(barred, "found").join(heads.select("rule", "discontinuation"), "rule"), "hits")
+    fired = met.filter((F.col("role") == "term") & ~(F.col("own") & F.col("ambiguous")) & (F.col("free") | ~F.col("aware") | F.col("discontinuation")))
+    fired = fired.groupBy("turn", "rule").agg(F.count_distinct(F.coalesce("ref", F.lit(""))).alias("texts"), F.min("ref").alias("first_ref"))
+    turns = s.groupBy("turn").agg(F.min("aware").alias("all_aware"))
+    beside = met.filter("role = 'co'").groupBy("turn", "rule").agg(F.max(F.col("free") | F.col("discontinuation")).alias("plain"))
+    out = fired.join(heads, "rule").join(beside, ["turn", "rule"], "left").join(turns, "turn")
+    out = out.filter(~F.col("paired") | (F.col("plain").isNotNull() & (F.col("plain") | ~F.col("all_aware"))))
+    return out.select(F.col("turn").alias(turn), "rule", "severity", "severity_rank", "texts", "first_ref")
+
+
+def implicated(texts: DataFrame, key: str, forms: dict[str, tuple[str, ...]], properties: dict[str, tuple[str, ...]], phrases: dict[str, tuple[str, ...]], negators: tuple[str, ...] = ()) -> DataFrame:
+    """key and concept of texts that name a concept by one of its forms, or a property that it has by one of the property's phrases; with negators only outside of negations."""
+    names = {(concept, form) for concept, own in forms.items() for form in (*own, *(p for prop in properties.get(concept, ()) for p in phrases.get(prop, ())))}
+    table = texts.sparkSession.createDataFrame(sorted((c, t, plain(t)) for c, t in names), "concept string, term string, found string")
+    hits = spotted(texts.select(F.col(key).alias("key"), "text"), table.select("term"), ["key"], negators).filter("free")
+    return hits.withColumnRenamed("term", "found").join(table, "found").select(F.col("key").alias(key), "concept").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.semantics import text_key
+from tessera.operators import screen as S
 from tessera.operators import text as X
 from tessera.plans.registry import query
 from tessera.sources.evidence import Evidence, with_
@@ -170,7 +171,7 @@ def memory_collisions(ev: Evidence) -> DataFrame:
 
 @query("negation_scope")
 def negation_scope(ev: Evidence) -> DataFrame:
-    return X.concept_hits(ev.read("documents"), "doc_id", "text", {"and": ("and",), "der": ("der",)}, ("not", "no", "of", r"nicht\w{0,10}"))
+    return S.implicated(ev.read("documents").select("doc_id", "text"), "doc_id", {"and": ("and",), "der": ("der",)}, {}, {}, ("not", "no", "of", r"nicht\w{0,10}"))
 
 
 @query("query_normalised", "SELECT item_id, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 240) AS q, length(text)//4 AS tokens FROM benchmark")
