@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import levels as L
 from tessera.functions.semantics import count_if
+from tessera.operators import reground as G
 from tessera.operators import weight as W
 from tessera.operators.text import pmid
 from tessera.plans.registry import query
@@ -91,10 +92,59 @@ def refuted_hypotheses(ev: Evidence) -> DataFrame:
     return ev.hypotheses.filter("tier = 'speculative' and survives = false").orderBy(F.desc("hypothesis_id")).limit(10).select("hypothesis_id", "statement")
 
 
-@query("pending_reground", with_("hypotheses active_focus", "SELECT hypothesis_id, regrounded FROM hypotheses JOIN active_focus USING (focus_id) WHERE tier<>'rejected' ORDER BY coalesce(regrounded,-1), hypothesis_id LIMIT 10"))
+BOARD = PL + """, board AS (SELECT pl.*, pursued_at, regrounded_at FROM pl JOIN active_focus USING (focus_id) LEFT JOIN pursuits USING (hypothesis_id) WHERE tier='speculative' AND survives)"""
+
+
+def surviving(ev: Evidence) -> DataFrame:
+    """Speculative hypotheses of the active focus that have survived criticism, with their chains' scores and pursuits."""
+    b = W.chain_scores(ev).join(ev.active_focus, "focus_id").filter("tier = 'speculative' and survives")
+    return b.join(ev.pursuits, "hypothesis_id", "left")
+
+
+@query("pending_pursuit", with_("hypotheses chain active_focus pursuits", "SELECT hypothesis_id, round(plausibility*coalesce(novelty,0),9) AS promise FROM board WHERE pursued_at IS NULL ORDER BY promise DESC, hypothesis_id LIMIT 3", BOARD))
+def pending_pursuit(ev: Evidence) -> DataFrame:
+    """The most promising hypotheses that no search has been made for."""
+    promise = F.round(F.col("plausibility") * F.coalesce("novelty", F.lit(0.0)), 9)
+    return surviving(ev).filter("pursued_at is null").select("hypothesis_id", promise.alias("promise")).orderBy(F.desc("promise"), "hypothesis_id").limit(3)
+
+
+@query("pending_reground", with_("hypotheses chain active_focus pursuits", "SELECT hypothesis_id, steps-anchored AS assumed, regrounded_at FROM board WHERE pursued_at IS NOT NULL AND anchored<steps ORDER BY regrounded_at NULLS FIRST, hypothesis_id LIMIT 5", BOARD))
 def pending_reground(ev: Evidence) -> DataFrame:
-    h = ev.hypotheses.join(ev.active_focus, "focus_id").filter("tier <> 'rejected'")
-    return h.orderBy(F.coalesce("regrounded", F.lit(-1)), "hypothesis_id").limit(10).select("hypothesis_id", "regrounded")
+    """Pursued hypotheses with a step that is still assumed, those never or longest ago grounded anew first."""
+    b = surviving(ev).filter("pursued_at is not null and anchored < steps")
+    return b.select("hypothesis_id", (F.col("steps") - F.col("anchored")).alias("assumed"), "regrounded_at").orderBy(F.asc_nulls_first("regrounded_at"), "hypothesis_id").limit(5)
+
+
+#: Claims that an answer is given as evidence.
+SHOWN = 12
+
+
+def shown_evidence(ev: Evidence) -> DataFrame:
+    """hypothesis_id and ids: the sources of the claims that support a hypothesis most."""
+    l = ev.links.filter("polarity = 'supports'").join(ev.claims.select("claim_id", "source_id"), "claim_id")
+    first = Window.partitionBy("hypothesis_id").orderBy(F.desc("modulator"), "claim_id")
+    l = l.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SHOWN)
+    return l.groupBy("hypothesis_id").agg(F.collect_set(F.col("source_id").cast("string")).alias("ids"))
+
+
+REGROUND = f"""ids AS (SELECT DISTINCT hypothesis_id, source_id FROM (SELECT hypothesis_id, source_id, row_number() OVER (PARTITION BY hypothesis_id ORDER BY modulator DESC, claim_id) AS n FROM links JOIN claims USING (claim_id) WHERE polarity='supports') WHERE n<={SHOWN}),
+  spec AS (SELECT p_partkey AS hypothesis_id, p_size%7<>0 AS readable FROM part WHERE p_partkey%3=0), steps AS (SELECT chain.* FROM chain JOIN spec USING (hypothesis_id)),
+  said AS (SELECT l_partkey AS hypothesis_id, l_linenumber-1 AS step, o_orderkey%n_docs AS source_id, l_orderkey, l_linenumber FROM lineitem JOIN orders ON o_orderkey=l_orderkey JOIN spec ON hypothesis_id=l_partkey, n
+    WHERE l_linenumber<7 AND l_returnflag<>'N' AND readable),
+  took AS (SELECT a.*, i.source_id IS NOT NULL AS ok FROM said a JOIN steps s ON s.hypothesis_id=a.hypothesis_id AND s.step=a.step AND NOT s.supported LEFT JOIN ids i ON i.hypothesis_id=a.hypothesis_id AND i.source_id=a.source_id WHERE a.hypothesis_id IN (SELECT hypothesis_id FROM ids)),
+  last AS (SELECT hypothesis_id, step, max_by(source_id, l_orderkey*10+l_linenumber) AS source_id FROM took WHERE ok GROUP BY 1, 2),
+  cnt AS (SELECT hypothesis_id, count(*) FILTER (ok) AS anchored, count(*) FILTER (NOT ok) AS refused FROM took GROUP BY 1),
+  new AS (SELECT s.hypothesis_id, s.step, s.supported OR l.source_id IS NOT NULL AS supported, CASE WHEN l.source_id IS NOT NULL THEN 'PMID:'||l.source_id ELSE s.evidence END AS evidence, s.supported AS was FROM steps s LEFT JOIN last l USING (hypothesis_id, step))"""
+
+
+@query("regrounded_chains", with_("chain links claims", """SELECT hypothesis_id, to_json(list({'claim': 'step '||step, 'supported': supported, 'evidence': evidence} ORDER BY step))::VARCHAR AS chain_json, coalesce(any_value(anchored),0) AS anchored, coalesce(any_value(refused),0) AS refused,
+  bool_or(NOT was) AND (hypothesis_id NOT IN (SELECT hypothesis_id FROM ids) OR (any_value(readable) AND hypothesis_id IN (SELECT l_partkey FROM lineitem WHERE l_linenumber<7))) AS marked, count(*) FILTER (supported AND coalesce(evidence,'')<>'') AS supported_links
+  FROM new LEFT JOIN cnt USING (hypothesis_id) JOIN spec USING (hypothesis_id) GROUP BY 1""", REGROUND))
+def regrounded_chains(ev: Evidence) -> DataFrame:
+    """Chains of speculative hypotheses after an answer about the evidence that was shown; what can't be read or names other evidence changes nothing."""
+    chains = ev.chain_texts.join(ev.hypotheses.filter("tier = 'speculative'").select("hypothesis_id"), "hypothesis_id", "left_semi")
+    out = G.reground(chains, ev.answers, shown_evidence(ev))
+    return out.withColumn("supported_links", G.anchored_steps(G.steps(F.col("chain_json"))))
 
 
 REF = "nullif(regexp_extract(evidence, '(?i)(?:^|[^0-9A-Za-z_.])(?:pmid[:\\s]*)?([0-9]{1,8})(?:[^0-9A-Za-z_.]|$)', 1), '')"
@@ -278,11 +328,20 @@ def strongest_design(ev: Evidence) -> DataFrame:
     return ev.sources.join(lv, "design").groupBy("lang").agg(F.min_by("design", "rank").alias("strongest"), F.count(F.lit(1)).alias("n"))
 
 
-@query("goldset_preconditions", with_("sources", """SELECT g.case_id, count(*) FILTER (s.source_id IS NOT NULL) AS found, count(s.source_id) BETWEEN min_n AND max_n AS holds FROM g LEFT JOIN sources s ON (g.design IS NULL OR s.design=g.design) AND contains(lower(s.title), g.word) GROUP BY g.case_id, min_n, max_n""",
-  "g(case_id, design, word, min_n, max_n) AS (VALUES ('a','rct','the',1,100000),('b',NULL,'zzzz',1,10),('c',NULL,' de ',0,100000),('d','cohort','en',100000,200000))"))
+#: What the cases of a gold set presuppose: sources of a design, with a word in the title, with a word in the text of a chunk, and how many.
+CASES = [("a", "rct", "the", None, 1, 100000), ("b", None, "zzzz", None, 1, 10), ("c", None, " de ", None, 0, 100000), ("d", "cohort", "en", None, 100000, 200000), ("e", None, None, "nicht", 1, 100000), ("f", "rct", None, " the ", 1, 3), ("g", None, "le", " que ", 0, 100000), ("h", None, None, "nowhere at all", 0, 0)]
+CASE_ROWS = ",".join("(" + ",".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in c) + ")" for c in CASES)
+
+
+@query("goldset_preconditions", with_("sources chunks", """SELECT g.case_id, count(s.source_id) AS found, count(s.source_id) BETWEEN min_n AND max_n AS holds FROM g LEFT JOIN sources s ON (g.design IS NULL OR s.design=g.design) AND (g.word IS NULL OR contains(lower(s.title), g.word))
+  AND (g.inside IS NULL OR EXISTS (SELECT 1 FROM chunks c WHERE c.source_id=s.source_id AND contains(lower(c.text), g.inside))) GROUP BY g.case_id, min_n, max_n""", f"g(case_id, design, word, inside, min_n, max_n) AS (VALUES {CASE_ROWS})"))
 def goldset_preconditions(ev: Evidence) -> DataFrame:
-    g = ev.spark.createDataFrame([("a", "rct", "the", 1, 100000), ("b", None, "zzzz", 1, 10), ("c", None, " de ", 0, 100000), ("d", "cohort", "en", 100000, 200000)], "case_id string, want string, word string, min_n long, max_n long")
-    s = ev.sources.select("source_id", "design", "title")
-    met = F.broadcast(g).join(s, (F.col("want").isNull() | (F.col("want") == F.col("design"))) & F.contains(F.lower("title"), F.col("word"))).groupBy("case_id").agg(F.count("source_id").alias("found"))
-    out = g.join(met, "case_id", "left").fillna(0, ["found"])
+    """How many sources each case finds, and whether that is as many as it presupposes; texts are looked for in the chunks, and a source counts once."""
+    g = ev.spark.createDataFrame(CASES, "case_id string, want string, word string, inside string, min_n long, max_n long")
+    few = F.broadcast(g)  # the cases of a gold set, a file that people write
+    holds = ev.chunks.select("source_id", F.lower("text").alias("low")).join(few.filter("inside is not null").select("case_id", "inside"), F.contains("low", F.col("inside"))).select("source_id", "case_id").distinct()
+    s = ev.sources.select("source_id", "design", F.lower("title").alias("title"))
+    met = few.join(s, (F.col("want").isNull() | (F.col("want") == F.col("design"))) & (F.col("word").isNull() | F.contains("title", F.col("word"))))
+    met = met.filter("inside is null").select("case_id", "source_id").unionByName(met.filter("inside is not null").select("case_id", "source_id").join(holds, ["case_id", "source_id"], "left_semi"))
+    out = g.join(met.groupBy("case_id").agg(F.count("source_id").alias("found")), "case_id", "left").fillna(0, ["found"])
     return out.select("case_id", "found", F.col("found").between(F.col("min_n"), F.col("max_n")).alias("holds"))

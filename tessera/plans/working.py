@@ -135,10 +135,11 @@ def fresh_ids(ev: Evidence) -> DataFrame:
     return ids.join(ev.sources.filter("kind = 'doc' and approved").select("external_id"), "external_id", "left_anti")
 
 
-@query("approved_sources", with_("sources", "SELECT source_id, registry FROM sources WHERE approved AND registry IN (SELECT registry FROM sources GROUP BY 1 HAVING count(*)>=20)"))
+@query("approved_sources", with_("sources registries", "SELECT source_id, s.registry FROM sources s WHERE s.approved AND EXISTS (SELECT 1 FROM registries r WHERE r.registry=s.registry AND r.approved AND r.yields_evidence)"))
 def approved_sources(ev: Evidence) -> DataFrame:
-    big = ev.sources.groupBy("registry").count().filter("count >= 20").select("registry")
-    return ev.sources.filter("approved").join(big, "registry", "left_semi").select("source_id", "registry")
+    """Sources whose texts may become claims: approved, of an approved registry that yields evidence; an unknown registry doesn't."""
+    gate = ev.registries.filter("approved and yields_evidence").select("registry")
+    return ev.sources.filter("approved").join(gate, "registry", "left_semi").select("source_id", "registry")
 
 
 @query("history_budget", with_("messages", "SELECT conv_id, turn FROM (SELECT *, row_number() OVER w AS r, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text ROWS UNBOUNDED PRECEDING) AS used FROM messages WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC, role, text)) WHERE r=1 OR used<=600"))
@@ -250,12 +251,16 @@ def gate_funnel(ev: Evidence) -> DataFrame:
     return g.withColumn("anchor_rate", F.round(ratio(F.col("anchored"), F.col("proposed")), 9))
 
 
-@query("chunk_outcomes", with_("claims", """SELECT source_id, count(DISTINCT chunk) AS proposed_chunks, count(DISTINCT CASE WHEN verified THEN chunk END) AS yielding, count(DISTINCT chunk)-count(DISTINCT CASE WHEN verified THEN chunk END) AS annihilated,
-  greatest(0, 6-count(DISTINCT chunk)) AS sterile FROM (SELECT source_id, verified, claim_id%8 AS chunk FROM claims) GROUP BY 1"""))
+@query("chunk_outcomes", with_("claims chunks claim_chunks", """SELECT source_id, count(*) AS seen, count(*) FILTER (good) AS yielding, count(*) FILTER (lost AND NOT good) AS annihilated, count(*) FILTER (NOT good AND NOT coalesce(refused, FALSE)) AS sterile FROM
+  (SELECT k.source_id, k.chunk_id, coalesce(bool_or(verified), FALSE) AS good, bool_or(NOT verified) AS refused, coalesce(bool_or(NOT verified AND direction<>'null'), FALSE) AS lost FROM chunks k LEFT JOIN claim_chunks cc USING (chunk_id) LEFT JOIN claims c ON c.claim_id=cc.claim_id GROUP BY 1, 2) GROUP BY 1"""))
 def chunk_outcomes(ev: Evidence) -> DataFrame:
-    """Of six chunks seen: annihilated are those whose proposals all failed, sterile those without any."""
-    c = ev.claims.select("source_id", "verified", (F.col("claim_id") % 8).alias("chunk")).groupBy("source_id").agg(F.collect_set("chunk").alias("p"), F.collect_set(F.when(F.col("verified"), F.col("chunk"))).alias("y"))
-    return c.select("source_id", F.size("p").cast("long").alias("proposed_chunks"), F.size("y").cast("long").alias("yielding"), F.size(F.array_except("p", "y")).cast("long").alias("annihilated"), F.greatest(F.lit(0), 6 - F.size("p")).cast("long").alias("sterile"))
+    """Per source: chunks seen; yielding with a claim that holds; annihilated: proposed and lost all (errors, here claims without a direction, aside); sterile: nothing was proposed."""
+    good, lost = F.col("verified"), ~F.col("verified")
+    told = ev.claim_chunks.select("claim_id", "chunk_id").join(ev.claims.select("claim_id", "verified", "direction"), "claim_id")
+    told = told.groupBy("chunk_id").agg(F.max(good).alias("good"), F.max(lost).alias("refused"), F.max(lost & (F.col("direction") != "null")).alias("lost"))
+    c = ev.chunks.select("source_id", "chunk_id").join(told, "chunk_id", "left").fillna(False, ["good", "refused", "lost"])
+    g, r = F.col("good"), F.col("refused")
+    return c.groupBy("source_id").agg(F.count(F.lit(1)).alias("seen"), count_if(g).alias("yielding"), count_if(F.col("lost") & ~g).alias("annihilated"), count_if(~g & ~r).alias("sterile"))
 
 
 @query("answer_decision", with_("questions", f"""SELECT question_id, CASE WHEN question_id%7=0 THEN 'search_again' WHEN question_id%5=4 THEN 'search_again' WHEN question_id%2=0 AND question_id%4>=2 THEN 'answer'

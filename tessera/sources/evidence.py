@@ -101,7 +101,7 @@ class Evidence:
         p, k = self.read("part"), F.col("p_partkey")
         return p.select(
             k.alias("hypothesis_id"), (F.lit(1) + (k % 4 == 0).cast("int")).alias("focus_id"), F.col("p_name").alias("statement"), choose(["speculative", "supported", "rejected"], k % 3).alias("tier"),
-            F.when(k % 6 == 0, None).otherwise((k % 3 == 1)).alias("survives"), ((F.col("p_size") % 10) / F.lit(10.0)).alias("novelty"), F.when(k % 6 != 0, (k * 7 % 50)).alias("regrounded"),
+            F.when(F.col("p_size") % 5 != 0, F.col("p_size") % 2 == 0).alias("survives"), ((F.col("p_size") % 10) / F.lit(10.0)).alias("novelty"), F.when(k % 6 != 0, (k * 7 % 50)).alias("regrounded"),
         )
 
     @cached_property
@@ -115,6 +115,39 @@ class Evidence:
         evidence = F.when(kind == 0, None).when(kind == 1, F.concat(F.lit("PMID: "), ref.cast("string"))).when(kind == 2, F.lit("")).otherwise(ref.cast("string"))
         return steps.crossJoin(F.broadcast(n)).select("hypothesis_id", "step", ((k + i) % 3 != 0).alias("supported"), evidence.alias("evidence"))
 
+    @cached_property
+    def pursuits(self) -> DataFrame:
+        """When searches for a hypothesis were made, and when its chain was last grounded anew; none for those never pursued."""
+        li = self.read("lineitem").filter("l_linenumber = 7")
+        return li.groupBy(F.col("l_partkey").alias("hypothesis_id")).agg(F.min("l_shipdate").alias("pursued_at"), F.max(F.when(F.col("l_returnflag") == "R", F.col("l_shipdate"))).alias("regrounded_at"))
+
+    @cached_property
+    def chain_texts(self) -> DataFrame:
+        """Chains of reasoning as JSON."""
+        step = F.struct("step", F.concat(F.lit("step "), F.col("step").cast("string")).alias("claim"), "supported", "evidence")
+        # a chain has a few steps
+        c = self.chain.groupBy("hypothesis_id").agg(F.array_sort(F.collect_list(step)).alias("s"))
+        return c.select("hypothesis_id", F.to_json(F.transform("s", lambda x: F.struct(x["claim"].alias("claim"), x["supported"].alias("supported"), x["evidence"].alias("evidence"))), {"ignoreNullFields": "false"}).alias("chain_json"))
+
+    @cached_property
+    def answers(self) -> DataFrame:
+        """What a model says about the steps of a chain, as JSON; answers of some hypotheses are cut off."""
+        li = self.read("lineitem").filter("l_linenumber < 7").join(self.claims.select(F.col("claim_id").alias("l_orderkey"), "source_id"), "l_orderkey")
+        name = F.concat(F.when(F.col("l_linestatus") == "O", "PMID:").otherwise(" PMID: "), F.col("source_id").cast("string"))
+        link = F.struct("l_orderkey", "l_linenumber", F.struct((F.col("l_linenumber") - 1).alias("index"), (F.col("l_returnflag") != "N").alias("now_supported"), name.alias("evidence")).alias("link"))
+        # an answer has some tens of links
+        a = li.groupBy(F.col("l_partkey").alias("hypothesis_id")).agg(F.array_sort(F.collect_list(link)).alias("a")).select("hypothesis_id", F.to_json(F.transform("a", lambda x: x["link"])).alias("whole"))
+        cut = self.read("part").select(F.col("p_partkey").alias("hypothesis_id"), (F.col("p_size") % 7 == 0).alias("cut"))
+        return a.join(cut, "hypothesis_id").select("hypothesis_id", F.when(F.col("cut"), F.expr("left(whole, length(whole) - 2)")).otherwise(F.col("whole")).alias("answer_json"))
+
+    @cached_property
+    def registries(self) -> DataFrame:
+        """Registries of sources: approved, and whether they publish what can become evidence (a study that readers have called good)."""
+        good = self.read("labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+        d = self.read("documents").select("doc_id", F.col("source").alias("registry"), "lang").join(good, "doc_id", "left")
+        per = d.groupBy("registry").agg(F.max(F.coalesce("quality", F.lit(0))).alias("best"), F.count_distinct("lang").alias("langs"))
+        return per.select("registry", (F.col("langs") > 1).alias("approved"), (F.col("best") == 1).alias("yields_evidence"))
+
     @cached_property
     def links(self) -> DataFrame:
         """One link for a claim and a hypothesis, from the first line that has it."""
@@ -231,10 +264,12 @@ def ctes(active: str = str(ACTIVE_FOCUS)) -> dict[str, str]:
         "directness": f"""directness AS (SELECT o_orderkey AS claim_id, 1 AS focus_id, {_choose_sql(d, 'o_orderkey%4')} AS directness, o_orderkey%17=0 AS out_of_scope FROM orders WHERE o_orderkey%5<>0
             UNION ALL SELECT o_orderkey, 2, {_choose_sql(d, 'o_orderkey%4')}, FALSE FROM orders WHERE o_orderkey%3=0)""",
         "hypotheses": f"""hypotheses AS (SELECT p_partkey AS hypothesis_id, 1+(p_partkey%4=0)::INT AS focus_id, p_name AS statement, {_choose_sql(['speculative', 'supported', 'rejected'], 'p_partkey%3')} AS tier,
-            CASE WHEN p_partkey%6=0 THEN NULL ELSE p_partkey%3=1 END AS survives, (p_size%10)/10.0::DOUBLE AS novelty, CASE WHEN p_partkey%6<>0 THEN p_partkey*7%50 END AS regrounded FROM part)""",
+            CASE WHEN p_size%5<>0 THEN p_size%2=0 END AS survives, (p_size%10)/10.0::DOUBLE AS novelty, CASE WHEN p_partkey%6<>0 THEN p_partkey*7%50 END AS regrounded FROM part)""",
         "chain": """chain AS (SELECT hypothesis_id, step, (hypothesis_id+step)%3<>0 AS supported,
             CASE (hypothesis_id+step)%5 WHEN 0 THEN NULL WHEN 1 THEN 'PMID: '||((hypothesis_id*31+step*7)%(2*n_docs)) WHEN 2 THEN '' ELSE ((hypothesis_id*31+step*7)%(2*n_docs))::VARCHAR END AS evidence
             FROM (SELECT hypothesis_id, unnest(range(1, 2+hypothesis_id%4)) AS step FROM hypotheses WHERE hypothesis_id%5<>0), n)""",
+        "pursuits": "pursuits AS (SELECT l_partkey AS hypothesis_id, min(l_shipdate) AS pursued_at, max(l_shipdate) FILTER (l_returnflag='R') AS regrounded_at FROM lineitem WHERE l_linenumber=7 GROUP BY 1)",
+        "registries": """registries AS (SELECT d.source AS registry, count(DISTINCT lang)>1 AS approved, coalesce(bool_or(quality=1), FALSE) AS yields_evidence FROM documents d LEFT JOIN labels USING (doc_id) GROUP BY 1)""",
         "links": """links AS (SELECT l_orderkey AS claim_id, l_partkey AS hypothesis_id, CASE WHEN l_returnflag='R' THEN 'contradicts' ELSE 'supports' END AS polarity, 1-l_discount AS modulator
             FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_returnflag, l_discount) AS rn FROM lineitem) WHERE rn=1)""",
         "calls": """calls AS (SELECT event_id AS call_id, event_type AS label, ts AS created_at, event_type<>'error' AS ok, k%3 AS repairs, CASE WHEN k%11<>0 THEN k*10+5 END AS prompt_tokens,
