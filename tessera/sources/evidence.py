@@ -118,8 +118,8 @@ class Evidence:
     @cached_property
     def pursuits(self) -> DataFrame:
         """When searches for a hypothesis were made, and when its chain was last grounded anew; none for those never pursued."""
-        li = self.read("lineitem").filter("l_linenumber = 7")
-        return li.groupBy(F.col("l_partkey").alias("hypothesis_id")).agg(F.min("l_shipdate").alias("pursued_at"), F.max(F.when(F.col("l_returnflag") == "R", F.col("l_shipdate"))).alias("regrounded_at"))
+        li = self.read("lineitem").filter("l_linenumber = 7 and l_returnflag = 'A'")
+        return li.groupBy(F.col("l_partkey").alias("hypothesis_id")).agg(F.min("l_shipdate").alias("pursued_at"), F.max(F.when(F.col("l_linestatus") == "F", F.col("l_shipdate"))).alias("regrounded_at"))
 
     @cached_property
     def chain_texts(self) -> DataFrame:
@@ -142,11 +142,10 @@ class Evidence:
 
     @cached_property
     def registries(self) -> DataFrame:
-        """Registries of sources: approved, and whether they publish what can become evidence (a study that readers have called good)."""
-        good = self.read("labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-        d = self.read("documents").select("doc_id", F.col("source").alias("registry"), "lang").join(good, "doc_id", "left")
-        per = d.groupBy("registry").agg(F.max(F.coalesce("quality", F.lit(0))).alias("best"), F.count_distinct("lang").alias("langs"))
-        return per.select("registry", (F.col("langs") > 1).alias("approved"), (F.col("best") == 1).alias("yields_evidence"))
+        """Registries of sources: approved (few of their texts are toxic), and whether they yield evidence (readers call most of their texts good); without labels neither."""
+        told = self.read("labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+        per = self.read("documents").select("doc_id", F.col("source").alias("registry")).join(told, "doc_id", "left").groupBy("registry").agg(F.avg("quality").alias("good"), F.avg("toxic").alias("toxic"))
+        return per.select("registry", F.coalesce(F.col("toxic") <= 0.12, F.lit(False)).alias("approved"), F.coalesce(F.col("good") >= 0.75, F.lit(False)).alias("yields_evidence"))
 
     @cached_property
     def links(self) -> DataFrame:
@@ -268,8 +267,9 @@ def ctes(active: str = str(ACTIVE_FOCUS)) -> dict[str, str]:
         "chain": """chain AS (SELECT hypothesis_id, step, (hypothesis_id+step)%3<>0 AS supported,
             CASE (hypothesis_id+step)%5 WHEN 0 THEN NULL WHEN 1 THEN 'PMID: '||((hypothesis_id*31+step*7)%(2*n_docs)) WHEN 2 THEN '' ELSE ((hypothesis_id*31+step*7)%(2*n_docs))::VARCHAR END AS evidence
             FROM (SELECT hypothesis_id, unnest(range(1, 2+hypothesis_id%4)) AS step FROM hypotheses WHERE hypothesis_id%5<>0), n)""",
-        "pursuits": "pursuits AS (SELECT l_partkey AS hypothesis_id, min(l_shipdate) AS pursued_at, max(l_shipdate) FILTER (l_returnflag='R') AS regrounded_at FROM lineitem WHERE l_linenumber=7 GROUP BY 1)",
-        "registries": """registries AS (SELECT d.source AS registry, count(DISTINCT lang)>1 AS approved, coalesce(bool_or(quality=1), FALSE) AS yields_evidence FROM documents d LEFT JOIN labels USING (doc_id) GROUP BY 1)""",
+        "pursuits": "pursuits AS (SELECT l_partkey AS hypothesis_id, min(l_shipdate) AS pursued_at, max(l_shipdate) FILTER (l_linestatus='F') AS regrounded_at FROM lineitem WHERE l_linenumber=7 AND l_returnflag='A' GROUP BY 1)",
+        "registries": """registries AS (SELECT d.source AS registry, coalesce(avg(toxic)<=0.12, FALSE) AS approved, coalesce(avg(quality)>=0.75, FALSE) AS yields_evidence
+            FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) USING (doc_id) GROUP BY 1)""",
         "links": """links AS (SELECT l_orderkey AS claim_id, l_partkey AS hypothesis_id, CASE WHEN l_returnflag='R' THEN 'contradicts' ELSE 'supports' END AS polarity, 1-l_discount AS modulator
             FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_returnflag, l_discount) AS rn FROM lineitem) WHERE rn=1)""",
         "calls": """calls AS (SELECT event_id AS call_id, event_type AS label, ts AS created_at, event_type<>'error' AS ok, k%3 AS repairs, CASE WHEN k%11<>0 THEN k*10+5 END AS prompt_tokens,
