@@ -13,6 +13,8 @@ from tessera.operators import work as K
 from tessera.plans.registry import query
 from tessera.plans.weighing import BASE, CW
 from tessera.sources.evidence import Evidence, with_
+from tessera.streaming import deltas, marks
+from tessera.streaming import queue as Q
 
 NOW = "2024-01-30 00:00:00"
 
@@ -149,6 +151,35 @@ def queue_replay(ev: Evidence) -> DataFrame:
     return G.queue_state(log, F.lit(NOW).cast(log.schema["at"].dataType), 86_400, 3)
 
 
+QUEUE = Q.Rules(lease_s=86_400, backoff_s=3_600, most=2)
+STEP = f"""RECURSIVE log AS (SELECT user_id AS task_id, epoch(date_trunc('second', ts))::BIGINT AS s, {LOG} AS verb, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('second', ts), event_id) AS i FROM events),
+  st AS (SELECT DISTINCT task_id, 0::BIGINT AS i, NULL::VARCHAR AS state, 0 AS attempts, NULL::BIGINT AS due, NULL::BIGINT AS lease, 0 AS orphaned, 0 AS ignored FROM log UNION ALL
+    SELECT task_id, i, CASE act WHEN 'queue' THEN 'pending' WHEN 'claim' THEN 'running' WHEN 'end' THEN 'done' WHEN 'die' THEN 'dead' WHEN 'again' THEN 'pending' ELSE state END, (attempts+(act='claim')::INT)::INT,
+      CASE act WHEN 'queue' THEN s WHEN 'again' THEN s+{QUEUE.backoff_s}*(2**(attempts-1))::BIGINT ELSE due END, CASE WHEN act='claim' THEN s+{QUEUE.lease_s} WHEN act IN ('end','die','again') THEN NULL ELSE lease END, orphaned, (ignored+(act='none')::INT)::INT FROM
+    (SELECT *, CASE WHEN verb='queued' AND state IS NULL THEN 'queue' WHEN verb='claimed' AND state='pending' AND due<=s THEN 'claim' WHEN verb='done' AND state='running' THEN 'end' WHEN verb='failed' AND state='running' THEN CASE WHEN attempts>={QUEUE.most} THEN 'die' ELSE 'again' END ELSE 'none' END AS act FROM
+    (SELECT task_id, i, s, verb, attempts, CASE WHEN lost THEN 'pending' ELSE state END AS state, CASE WHEN lost THEN lease ELSE due END AS due, CASE WHEN lost THEN NULL ELSE lease END AS lease, (orphaned+lost::INT)::INT AS orphaned, ignored FROM
+    (SELECT st.task_id, l.i, l.s, l.verb, state, attempts, due, lease, orphaned, ignored, coalesce(state='running' AND l.s>lease, FALSE) AS lost FROM st JOIN log l ON l.task_id=st.task_id AND l.i=st.i+1))))"""
+
+
+@query("queue_stream", f"""WITH {STEP} SELECT task_id, CASE WHEN gone THEN 'pending' ELSE state END AS state, attempts, (orphaned+gone::INT)::INT AS orphaned, ignored, i AS entries FROM
+  (SELECT *, coalesce(state='running' AND lease<epoch(TIMESTAMP '{NOW}')::BIGINT, FALSE) AS gone FROM st QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY i DESC)=1)""")
+def queue_stream(ev: Evidence) -> DataFrame:
+    """Every task as a stream of its log leaves it, with leases, retries and what was ignored, at a time of reading."""
+    e = deltas.event_stream(ev.spark, ev.sf_dir)
+    log = e.select(F.col("user_id").alias("task_id"), F.date_trunc("second", "ts").alias("at"), F.col("event_id").alias("entry_id"), F.expr(LOG).alias("verb"))
+    states = Q.at_time(Q.queue_states(log, QUEUE), F.lit(NOW).cast("timestamp"))
+    return states.select("task_id", "state", "attempts", "orphaned", "ignored", F.col("entries").cast("long").alias("entries"))
+
+
+@query("report_marks", "SELECT event_type AS what, count(*) AS events, (SELECT max(ts) FROM events) AS until FROM events GROUP BY 1")
+def report_marks(ev: Evidence) -> DataFrame:
+    """What all reports of a stream say together, and the mark that the last one has left."""
+    e = deltas.event_stream(ev.spark, ev.sf_dir).select("ts", F.col("event_type").alias("what"))
+    rows = marks.reported(e)
+    last = rows.agg(F.max("until").alias("until"))
+    return rows.groupBy("what").agg(F.sum(F.col("n") + F.col("late")).alias("events")).crossJoin(F.broadcast(last))  # one row
+
+
 @query("scale_guard", with_("focuses claims active_focus", "SELECT f.focus_id, EXISTS (SELECT 1 FROM claims c WHERE c.scale_id=f.scale_id) AS scale_in_use, f.focus_id IS NOT DISTINCT FROM (SELECT focus_id FROM active_focus) AS active, f.retired FROM focuses f"))
 def scale_guard(ev: Evidence) -> DataFrame:
     """Of each focus: whether claims are graded on its scale (then it stays as it is), and whether it is the active one (then it can't retire)."""
