@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def spaces_collapsed(c: Column) -> Column:
@@ -18,6 +21,20 @@ def text_key(c: Column) -> Column:
     return F.lower(spaces_collapsed(c))
 
 
+@F.pandas_udf(T.StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    """Unicode's composed form (NFC) without case; only texts that need it come here, all others are null."""
+    return texts.map(lambda t: unicodedata.normalize("NFC", t).casefold(), na_action="ignore")
+
+
+def folded_key(c: Column) -> Column:
+    """Key under which equal texts meet whatever their form: composed characters, full case folding ('ß' is 'ss'), white space collapsed.
+
+    Texts of ASCII stay in the engine; the others are handed to Python in batches."""
+    other = c.rlike(r"[^\x00-\x7F]")
+    return spaces_collapsed(F.coalesce(_composed(F.when(other, c)), F.lower(c)))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(F.trim(c) != "", c)
 

@@ -31,6 +31,29 @@ def parsed_answers(answers: DataFrame, body: str, schema: str, rules: dict[str,
     return parsed.withColumn("refused", why).withColumn("answer", F.when(F.col("refused").isNull(), F.col("answer")))
 
 
+#: Times that an answer may be asked for again.
+REPAIRS = 2
+
+
+def repaired_answers(attempts: DataFrame, request: str, attempt: str, body: str, schema: str, rules: dict[str, Column], most: int = REPAIRS) -> DataFrame:
+    """What becomes of each request whose answer is asked for again when it doesn't hold: request, outcome, attempts (used), answer, refused.
+
+    attempts: one row for each try (from 0).  The first try that holds is the answer ('valid'); a blank one ends the request, as the same
+    budget gives the same ('truncated'); after ``most`` repairs a request is 'invalid', before that it is 'open'.  Of what isn't valid ``refused``
+    keeps why the last try was refused and ``said`` its text, as quarantine.  Tries after the end are ignored, and so are rows without a number."""
+    tried = parsed_answers(attempts.filter(F.col(attempt).between(0, most)), body, schema, rules)
+    n, blank = F.col(attempt), F.trim(F.coalesce(body, F.lit(""))) == ""
+    g = tried.groupBy(request).agg(
+        F.min(F.when(F.col("refused").isNull(), n)).alias("good"), F.min(F.when(blank, n)).alias("blank"), F.max(n).alias("last"), F.min_by("answer", F.when(F.col("refused").isNull(), n)).alias("answer"),
+        F.max_by(F.struct("refused", F.col(body).alias("said")), n).alias("end"), F.min_by(F.struct("refused", F.col(body).alias("said")), F.when(blank, n)).alias("stop"),
+    )
+    stopped = F.coalesce(F.col("blank") < F.coalesce("good", F.lit(most + 1)), F.lit(False))
+    outcome = F.when(stopped, "truncated").when(F.col("good").isNotNull(), "valid").when(F.col("last") >= most, "invalid").otherwise("open")
+    valid, why = outcome == "valid", F.when(stopped, F.col("stop")).otherwise(F.col("end"))
+    used = 1 + F.when(stopped, F.col("blank")).otherwise(F.coalesce("good", "last"))
+    return g.select(request, outcome.alias("outcome"), used.alias("attempts"), F.when(valid, F.col("answer")).alias("answer"), F.when(~valid, why["refused"]).alias("refused"), F.when(~valid, why["said"]).alias("said"))
+
+
 def paced(requests: DataFrame, by: str, at: str, order: str, rate_per_s: float) -> DataFrame:
     """Adds starts: seconds at which each request of a group may start, no two closer than 1 / rate.
 

@@ -31,6 +31,19 @@ def model_answers(ev: Evidence) -> DataFrame:
     return a.groupBy(F.coalesce("refused", F.lit("taken")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.sum("answer.n").alias("total"))
 
 
+@query("repaired_answers", """WITH t AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id)-1 AS n, event_type='error' AS cut, event_type='signup' AS none, CAST(props->>'$.k' AS BIGINT) AS k FROM events),
+  g AS (SELECT user_id, day, min(n) FILTER (NOT cut AND NOT none AND k<=50) AS good, min(n) FILTER (none) AS none, max(n) AS last, max_by(CASE WHEN none OR cut THEN 'truncated' ELSE 'range' END, n) AS why FROM t WHERE n<=2 GROUP BY 1, 2),
+  o AS (SELECT *, CASE WHEN none<coalesce(good, 3) THEN 'truncated' WHEN good IS NOT NULL THEN 'valid' WHEN last>=2 THEN 'invalid' ELSE 'open' END AS outcome FROM g)
+  SELECT outcome, 1+CASE WHEN outcome='truncated' THEN none ELSE coalesce(good, last) END AS attempts, CASE outcome WHEN 'valid' THEN NULL WHEN 'truncated' THEN 'truncated' ELSE why END AS refused, count(*) AS requests FROM o GROUP BY 1, 2, 3""")
+def repaired_answers(ev: Evidence) -> DataFrame:
+    """Requests by outcome and by the tries that they took: a user's answers of a day are tries at one request, some cut off, some blank."""
+    nth = F.row_number().over(Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")) - 1
+    said = F.when(F.col("event_type") == "signup", " ").when(F.col("event_type") == "error", F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    tries = ev.read("events").select(F.struct("user_id", F.to_date("ts").alias("day")).alias("request"), nth.alias("attempt"), said.alias("body"))
+    out = D.repaired_answers(tries, "request", "attempt", "body", "k bigint", {"range": F.col("answer.k") <= 50})
+    return out.groupBy("outcome", F.col("attempts").cast("long").alias("attempts"), "refused").agg(F.count(F.lit(1)).alias("requests"))
+
+
 @query("paced_requests", """SELECT user_id, count(*) AS n, round(max(starts-t), 3) AS longest_wait FROM (SELECT *, max(t-place*600.0::DOUBLE) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)+place*600.0::DOUBLE AS starts
   FROM (SELECT user_id, event_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS place FROM (SELECT user_id, event_id, floor(epoch(ts))::DOUBLE AS t FROM events))) GROUP BY 1""")
 def paced_requests(ev: Evidence) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions import levels as L
 from tessera.functions.semantics import count_if
@@ -224,6 +227,50 @@ def planned_metrics(ev: Evidence) -> DataFrame:
     return shares.unionByName(mass).unionByName(promoted)
 
 
+LESSONS = """lg AS (SELECT user_id AS lesson, ts, event_id, event_type='purchase' AS alive FROM events WHERE event_type IN ('purchase', 'error')),
+  turns AS (SELECT * FROM lg QUALIFY alive IS DISTINCT FROM lag(alive, 1, FALSE) OVER (PARTITION BY lesson ORDER BY ts, event_id)),
+  lives AS (SELECT lesson, alive, ts, lead(ts) OVER w AS gone, row_number() OVER w AS n FROM turns WINDOW w AS (PARTITION BY lesson ORDER BY ts, event_id))"""
+DESIGNED = """des AS (SELECT cw.weight, g.rank>d.rank AS promoted, d.rank=(SELECT min(rank) FROM scale_levels x WHERE x.axis='grade' AND x.scale_id=cw.scale_id) AS lowest FROM cw JOIN sources s USING (source_id) JOIN scale_levels d ON d.scale_id=cw.scale_id AND d.axis='grade' AND d.value=s.design
+  JOIN scale_levels g ON g.scale_id=cw.scale_id AND g.axis='grade' AND g.value=cw.grade WHERE verified)"""
+FLOOR = "fl AS (SELECT r.source_id, max(l.quality)=1 AS judged, count(DISTINCT c.intervention) FILTER (c.verified)>=2 AS enough FROM runs r JOIN labels l ON l.doc_id=r.source_id LEFT JOIN claims c ON c.source_id=r.source_id GROUP BY 1)"
+
+
+@query("growth_metrics", with_(BASE + " sources runs", """SELECT 'statement_length_median' AS metric, round(median(length(statement)), 6) AS value FROM claims WHERE verified UNION ALL SELECT 'promoted_mass', round(coalesce(sum(weight) FILTER (promoted), 0), 6) FROM des
+  UNION ALL SELECT 'promoted_share', round(count(*) FILTER (promoted)/count(*), 9) FROM des UNION ALL SELECT 'lowered_share', round(count(*) FILTER (NOT promoted AND NOT lowest)/count(*) FILTER (NOT lowest), 9) FROM des
+  UNION ALL SELECT 'addressable_share', round(count(*) FILTER (regexp_matches(lower(trim(intervention)), '(^|[^\\w-])agent (1|2|3)($|[^\\w-])'))/count(*), 9) FROM claims WHERE trim(intervention)<>'' UNION ALL SELECT 'approved_below_floor', round(count(*) FILTER (judged)/count(*), 9) FROM fl WHERE NOT enough
+  UNION ALL SELECT 'lesson_survival', round(count(*) FILTER (gone IS NULL)/count(*), 9) FROM lives WHERE alive UNION ALL SELECT 'lesson_days_median', round(median((epoch(gone)-epoch(ts))/86400), 6) FROM lives WHERE alive AND gone IS NOT NULL
+  UNION ALL SELECT 'lessons_reinserted', count(*) FROM lives WHERE alive AND n>1""", ", ".join((CW, DESIGNED, FLOOR, LESSONS))))
+def growth_metrics(ev: Evidence) -> DataFrame:
+    """What tells growth from delusion: grades above and below what an index says of the design (below is impossible for the lowest), interventions
+    that a taxonomy knows, approvals where too few articles are there, and how long lessons live until a person retires them, open lives included."""
+    def one(name: str, df: DataFrame, value) -> DataFrame:
+        return df.agg(value.cast("double").alias("value")).select(F.lit(name).alias("metric"), "value")
+
+    share = lambda c, among: F.round(count_if(c & among) / count_if(among), 9)
+    yes, rank = F.lit(True), ev.levels.filter("axis = 'grade'").select("scale_id", "value", "rank")
+    lowest = rank.groupBy("scale_id").agg(F.min("rank").alias("floor"))
+    d = W.claim_weight(ev).filter("verified").select("source_id", "grade", "weight", "scale_id").join(ev.sources.select("source_id", "design"), "source_id")
+    d = d.join(rank.toDF("scale_id", "design", "dr"), ["scale_id", "design"]).join(rank.toDF("scale_id", "grade", "gr"), ["scale_id", "grade"]).join(lowest, "scale_id")
+    up, low = F.col("gr") > F.col("dr"), F.col("dr") == F.col("floor")
+    said = ev.claims.filter("trim(intervention) <> ''")
+    known = F.lower(F.trim("intervention")).rlike(r"(?<![\w-])agent (1|2|3)(?![\w-])")
+    floor = ev.claims.filter("verified").groupBy("source_id").agg(F.count_distinct("intervention").alias("articles"))
+    judged = ev.read("labels").groupBy(F.col("doc_id").alias("source_id")).agg(F.max("quality").alias("quality"))
+    rounds = ev.runs.select("source_id").join(judged, "source_id").join(floor, "source_id", "left").filter("coalesce(articles, 0) < 2")
+    w = Window.partitionBy("lesson").orderBy("ts", "event_id")
+    log = ev.read("events").filter("event_type in ('purchase', 'error')").select(F.col("user_id").alias("lesson"), "ts", "event_id", (F.col("event_type") == "purchase").alias("alive"))
+    turns = log.withColumn("before", F.lag("alive", 1, False).over(w)).filter("alive <> before")
+    lives = turns.withColumn("gone", F.lead("ts").over(w)).withColumn("n", F.row_number().over(w)).filter("alive")
+    days = (F.col("gone").cast("timestamp").cast("double") - F.col("ts").cast("timestamp").cast("double")) / 86400
+    rows = [
+        one("statement_length_median", ev.claims.filter("verified"), F.round(F.percentile(F.length("statement"), F.lit(0.5)), 6)),
+        one("promoted_mass", d, F.round(F.coalesce(F.sum(F.when(up, F.col("weight"))), F.lit(0.0)), 6)), one("promoted_share", d, share(up, yes)), one("lowered_share", d, share(~up, ~low)),
+        one("addressable_share", said, share(known, yes)), one("approved_below_floor", rounds, share(F.col("quality") == 1, yes)),
+        one("lesson_survival", lives, share(F.col("gone").isNull(), yes)), one("lesson_days_median", lives.filter("gone is not null"), F.round(F.percentile(days, F.lit(0.5)), 6)), one("lessons_reinserted", lives, count_if(F.col("n") > 1)),
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query("absence_statement", with_(BASE, """SELECT (SELECT count(*) FROM cw WHERE verified) AS weighted, (SELECT count(*) FROM claims c CROSS JOIN active_focus f WHERE verified AND NOT EXISTS (SELECT 1 FROM cw WHERE cw.claim_id=c.claim_id)) AS unweighted,
   (SELECT count(*) FROM cw WHERE direction IN ('negative','null')) AS contra""", CW))
 def absence_statement(ev: Evidence) -> DataFrame:

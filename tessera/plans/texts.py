@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.semantics import text_key
+from tessera.functions.semantics import folded_key, text_key
 from tessera.operators import screen as S
 from tessera.operators import text as X
 from tessera.plans.registry import query
@@ -15,10 +15,13 @@ from tessera.sources.records import robots_policy
 KEY = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
 
 
-@query("text_key_dedup", f"SELECT doc_id, min(doc_id) OVER (PARTITION BY {KEY.format('text')}) AS first_id FROM documents QUALIFY first_id<>doc_id")
+FORM = "replace(" + KEY.format("nfc_normalize(text)") + ", 'ß', 'ss')"
+
+
+@query("text_key_dedup", f"SELECT doc_id, min(doc_id) OVER (PARTITION BY {FORM}) AS first_id FROM documents QUALIFY first_id<>doc_id")
 def text_key_dedup(ev: Evidence) -> DataFrame:
     """Rows whose text is that of an earlier row; keys are summed up before they meet."""
-    d = ev.read("documents").select("doc_id", F.sha2(text_key(F.col("text")), 256).alias("key"))
+    d = ev.read("documents").select("doc_id", F.sha2(folded_key(F.col("text")), 256).alias("key"))
     first = d.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     return d.join(first, "key").filter("doc_id <> first_id").select("doc_id", "first_id")
 

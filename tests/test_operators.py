@@ -2,12 +2,14 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import levels as L
-from tessera.functions.semantics import cosine, marker_to_null, text_key, tokens
+from tessera.functions.semantics import cosine, folded_key, marker_to_null, text_key, tokens
+from tessera.operators import deliver as D
 from tessera.operators import retrieval as R
 from tessera.operators import text as X
 from tessera.operators import weight as W
@@ -207,3 +209,32 @@ def test_evidence_is_unchanged_by_more_conversations(spark):
     ev = Evidence(spark, SF)
     plan = W.claim_weight(ev)._jdf.queryExecution().toString()
     assert "conversations" not in plan
+
+
+def test_folded_keys_meet_in_every_form(spark):
+    rows = ["Straße  é", "STRASSE é", " strasse É ", "strasse e", "ASCII only", "ascii  ONLY ", None, "", "ﬁn", "FIN"]
+    got = [r.k for r in spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").orderBy("i").select(folded_key(F.col("t")).alias("k")).collect()]
+    assert got[0] == got[1] == got[2] == "strasse é" and got[3] == "strasse e" and got[4] == got[5] == "ascii only" and got[6] is None and got[7] == "" and got[8] == got[9] == "fin"
+
+
+def test_repairs_are_bounded(spark):
+    good, bad = '{"k": 1}', '{"k": 99}'
+    tries = {1: [good], 2: [bad, good], 3: [bad, "{oops", good], 4: [bad, bad, bad, good], 5: [bad], 6: [bad, " ", good], 7: [good, ""], 8: ['{"k": 1', bad], 9: [None]}
+    rows = [(i, n, b, 7) for i, bs in tries.items() for n, b in enumerate(bs)] + [(1, None, bad, 7), (10, 5, good, 7)]
+    df = spark.createDataFrame(rows, "request int, attempt int, body string, last int").drop("last")
+    got = {r.request: (r.outcome, r.attempts, r.refused, r.said) for r in D.repaired_answers(df, "request", "attempt", "body", "k bigint", {"range": F.col("answer.k") <= 50}).collect()}
+    assert got == {
+        1: ("valid", 1, None, None), 2: ("valid", 2, None, None), 3: ("valid", 3, None, None), 4: ("invalid", 3, "range", bad), 5: ("open", 1, "range", bad), 6: ("truncated", 2, "truncated", " "),
+        7: ("valid", 1, None, None), 8: ("open", 2, "range", bad), 9: ("truncated", 1, "truncated", None),
+    }
+
+
+def test_chunks_of_a_long_text_take_time_in_proportion(spark):
+    def seconds(n):
+        df = spark.range(1).select(F.repeat(F.lit("A sentence of some length that ends here. "), n).alias("t"))
+        began = time.time()
+        assert df.select(F.size(X.packed_chunks(F.col("t")))).first()[0] > n / 60
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(40_000) < 60  # 1.7 MB
