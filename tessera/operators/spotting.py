@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of the terms that are sent to the tasks at once.
-SLICE = 4_000_000
+SLICE = 1_000_000
 #: Characters that may be between a negator and a term.
 REACH = 40
 _STOP = re.compile(r"[.;!?]")
@@ -81,12 +81,10 @@ def spotted(texts: DataFrame, terms: DataFrame, keys: list[str], negators: tuple
     Terms come back as ``plain`` has them.  Null and empty texts have none, null and blank terms are nowhere; with no terms there are no rows."""
     spark = texts.sparkSession
     held = terms.select("term").filter("term is not null").distinct()
-    slices = max(1, -(-(held.agg(F.sum(F.length("term"))).first()[0] or 0) // SLICE))
     rows = texts.select(*keys, "text")
     schema = rows.drop("text").schema.add("term", "string").add("free", "boolean")
 
-    def one(number: int) -> DataFrame:
-        part = held if slices == 1 else held.filter(F.pmod(F.xxhash64("term"), F.lit(slices)) == number)
+    def one(part: DataFrame) -> DataFrame:
         words = spark.sparkContext.broadcast(sorted({p for r in part.toLocalIterator() if (p := plain(r[0]))}))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,4 +101,42 @@ def spotted(texts: DataFrame, terms: DataFrame, keys: list[str], negators: tuple
 
         return rows.mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionByName, map(one, range(slices)))
+    return reduce(DataFrame.unionByName, map(one, _slices(held, "term")))
+
+
+def _slices(strings: DataFrame, name: str) -> list[DataFrame]:
+    """The rows in parts of SLICE characters, about."""
+    n = max(1, -(-(strings.agg(F.sum(F.length(name))).first()[0] or 0) // SLICE))
+    return [strings] if n == 1 else [strings.filter(F.pmod(F.xxhash64(name), F.lit(n)) == i) for i in range(n)]
+
+
+def holding(texts: DataFrame, quotes: DataFrame) -> DataFrame:
+    """item_id and doc_id where a quotation (item_id, q) stands in a text (doc_id, t), letter by letter, each pair once.
+
+    All quotations of a slice are found in one pass over the texts; what they have in common, with each other or with very many texts, costs
+    nothing more and nothing is shuffled.  Null and empty ones stand nowhere."""
+    spark = texts.sparkSession
+    asked = quotes.select(F.col("item_id").cast("long").alias("item_id"), "q").filter("q <> ''").distinct()
+
+    def one(part: DataFrame) -> DataFrame:
+        items: dict[str, list[int]] = {}
+        for r in part.toLocalIterator():
+            items.setdefault(r.q, []).append(r.item_id)
+        sent = spark.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machine = ahocorasick.Automaton()
+            for q, ids in sent.value.items():
+                machine.add_word(q, (q, ids))
+            machine.make_automaton()
+            for batch in batches:
+                item, row = [], []
+                for i, text in enumerate(batch.column(1).to_pylist() if len(machine) else []):
+                    for ids in {q: ids for _, (q, ids) in machine.iter(text or "")}.values():
+                        item += ids
+                        row += [i] * len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), batch.column(0).take(pa.array(row, pa.int64()))], names=["item_id", "doc_id"])
+
+        return texts.select(F.col("doc_id").cast("long").alias("doc_id"), "t").mapInArrow(run, "item_id long, doc_id long")
+
+    return reduce(DataFrame.unionByName, map(one, _slices(asked, "q")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.semantics import folded_key, text_key
 from tessera.operators import screen as S
+from tessera.operators import spotting as P
 from tessera.operators import text as X
 from tessera.plans.registry import query
 from tessera.sources.evidence import Evidence, with_
@@ -38,21 +39,13 @@ def chunk_pack(ev: Evidence) -> DataFrame:
     return d.select("doc_id", "ord", F.length("chunk").alias("chars"), F.floor(F.length("chunk") / 4).alias("tokens"), F.md5("chunk").alias("digest"))
 
 
-#: Quotations without a whole word inside that are looked for in one pass over the texts.
-SHORT_QUOTES = 500
-
-
 @query("quote_anchor", "SELECT item_id, doc_id FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT 1000000+item_id, split_part(trim(text), ' ', 2) FROM benchmark WHERE item_id%50=0) b JOIN documents d ON trim(b.text)<>'' AND (contains(d.text, b.text) OR contains(" + KEY.format("d.text") + ", " + KEY.format("b.text") + "))")
 def quote_anchor(ev: Evidence) -> DataFrame:
-    """Documents that hold a benchmark text, or the second word of some of them.
-
-    From its second word to the last but one a quotation is whole words wherever it
-    stands, so it shares a run of up to six words with its document; only such pairs
-    are compared.  Quotations of one or two words go over the texts in blocks."""
+    """Documents that hold a benchmark text, or the second word of some of them, but for case and white space."""
     b = ev.read("benchmark").select("item_id", "text")
     word = b.filter("item_id % 50 = 0").select((F.col("item_id") + 1_000_000).alias("item_id"), F.split_part(F.trim("text"), F.lit(" "), F.lit(2)).alias("text"))
     q = b.unionByName(word).select("item_id", text_key(F.col("text")).alias("q")).filter("q <> ''")
-    return X.anchors(q, ev.read("documents").select("doc_id", text_key(F.col("text")).alias("t")), SHORT_QUOTES)
+    return P.holding(ev.read("documents").select("doc_id", text_key(F.col("text")).alias("t")), q)
 
 
 @query("pmid_extract", "SELECT doc_id, pmid FROM (SELECT doc_id, nullif(regexp_extract(text, '(?i)(?:^|[^0-9A-Za-z_.])(?:pmid[:\\s]*)?([0-9]{1,8})(?:[^0-9A-Za-z_.]|$)', 1), '') AS pmid FROM documents) WHERE pmid IS NOT NULL")

@@ -40,11 +40,30 @@ def daily_counts(spark: SparkSession, sf_dir: str, at: str | None = None) -> Dat
     return rows.groupBy("day", "event_type").agg(F.max_by("n", "batch_no").alias("n"))
 
 
-def first_seen(spark: SparkSession, sf_dir: str, late: str = "2 days", at: str | None = None) -> DataFrame:
-    """The keys user, type and hour, each once, across restarts of the stream.
-
-    Keys are forgotten when the watermark has passed their hour by ``late``, so the
-    state holds no more than the keys of that time; events that come later still are
-    left out by the stream, as their key can't be told from one that was seen."""
-    e = event_stream(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "ts")).withWatermark("hour", late)
-    return run_available(e.select("user_id", "event_type", "hour").dropDuplicates(["user_id", "event_type", "hour"]), "seen", at=at)
+def first_seen(spark: SparkSession, sf_dir: str, at: str | None = None) -> DataFrame:
+    """The keys user, type and hour, each once, across restarts of the stream and however late they come.
+
+    Keys that were seen are a table by day, not state: each batch takes out what is there for its own days (other folders aren't read)
+    and adds the rest under its number, so a batch that runs again replaces itself.  Rows without a time have no key."""
+    at = at or shared.folder(spark, "seen")
+    out = f"{at}/out"
+    keys = event_stream(spark, sf_dir).filter("ts is not null").select("user_id", "event_type", F.date_trunc("hour", "ts").cast("timestamp").alias("hour"))
+    schema = keys.schema.add("batch_no", "integer").add("day", "date")
+
+    def seen(session: SparkSession) -> DataFrame:
+        path = session._jvm.org.apache.hadoop.fs.Path(out)
+        there = path.getFileSystem(session._jsc.hadoopConfiguration()).exists(path)
+        return session.read.schema(schema).parquet(out) if there else session.createDataFrame([], schema)
+
+    def write(batch: DataFrame, number: int) -> None:
+        new = batch.distinct().withColumn("day", F.to_date("hour")).persist()
+        try:
+            days = [r[0] for r in new.select("day").distinct().collect()]  # the days of one batch
+            old = seen(batch.sparkSession).filter((F.col("batch_no") < number) & F.col("day").isin(days)).select("user_id", "event_type", "hour")
+            same = (new["user_id"].eqNullSafe(old["user_id"])) & (new["event_type"].eqNullSafe(old["event_type"])) & (new["hour"] == old["hour"])
+            new.join(old, same, "left_anti").write.mode("overwrite").partitionBy("day").parquet(f"{out}/batch_no={number}")
+        finally:
+            new.unpersist()
+
+    keys.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return seen(spark).select("user_id", "event_type", "hour")

@@ -43,3 +43,15 @@ def test_slices_of_the_terms(spark, monkeypatch, slice_):
     got = {(r.id, r.term, r.free) for r in P.spotted(df, spark.createDataFrame([(t,) for t in terms], "term string"), ["id"], NEGATORS).collect()}
     assert got == {(1, "term 7", True), (1, "term 9", False), (1, "term 99", False), (None, "term 1", True)}
     assert P.spotted(df, spark.createDataFrame([], "term string"), ["id"]).count() == 0
+
+
+@pytest.mark.parametrize("slice_", [1_000_000, 40])
+def test_quotations_in_texts(spark, monkeypatch, slice_):
+    monkeypatch.setattr(P, "SLICE", slice_)
+    rng = random.Random(4)
+    word = lambda: rng.choice(["the", "a", "of", "lithium", "é", "日本", "x-y"])
+    texts = [(i, " ".join(word() for _ in range(rng.randint(0, 30)))) for i in range(80)] + [(90, None), (91, "the " * 50_000), (0, "the same id again")]
+    quotes = [(i, " ".join(word() for _ in range(rng.randint(1, 4)))) for i in range(60)] + [(70, "he of"), (71, "t"), (72, ""), (73, None), (0, "lithium"), (5, "a of")]
+    got = sorted(tuple(r) for r in P.holding(spark.createDataFrame([(*t, 1) for t in texts], "doc_id long, t string, item_id int"), spark.createDataFrame([(*q, 1) for q in quotes], "item_id long, q string, doc_id int")).distinct().collect())
+    assert got == sorted({(i, d) for i, q in quotes for d, t in texts if q and t and q in t})
+    assert P.holding(spark.createDataFrame(texts, "doc_id long, t string"), spark.createDataFrame([], "item_id long, q string")).count() == 0

@@ -27,6 +27,8 @@ def test_keys_are_seen_once_across_restarts(spark, tmp_path):
     at = f"file://{tmp_path}/stream"
     put(spark, tmp_path, 1, [(1, "2024-01-05 10:00:00", 1, "view"), (2, "2024-01-05 10:30:00", 1, "view"), (3, "2024-01-05 11:00:00", 1, "view")])
     deltas.first_seen(spark, str(tmp_path), at=at)
-    put(spark, tmp_path, 2, [(4, "2024-01-05 10:45:00", 1, "view"), (5, "2024-01-05 12:00:00", 1, "view"), (6, "2024-01-01 01:00:00", 1, "view")])  # one seen, one new, one behind the watermark
+    put(spark, tmp_path, 2, [(4, "2024-01-05 10:45:00", 1, "view"), (5, "2024-01-05 12:00:00", 1, "view"), (6, "2024-01-01 01:00:00", 1, "view"), (7, "2024-01-01 01:30:00", None, "view")])  # one seen, one new, two very late
     got = [str(r.hour) for r in deltas.first_seen(spark, str(tmp_path), at=at).collect()]
-    assert sorted(got) == ["2024-01-05 10:00:00", "2024-01-05 11:00:00", "2024-01-05 12:00:00"]
+    assert sorted(got) == ["2024-01-01 01:00:00"] * 2 + ["2024-01-05 10:00:00", "2024-01-05 11:00:00", "2024-01-05 12:00:00"]
+    put(spark, tmp_path, 3, [(8, "2024-01-01 01:50:00", None, "view"), (9, "2024-01-01 01:55:00", 1, "view")])
+    assert sorted(str(r.hour) for r in deltas.first_seen(spark, str(tmp_path), at=at).collect()) == sorted(got)  # late ones are seen once, too
