@@ -21,6 +21,26 @@ def entailed(follows: Column, exceeds: Column, contradicts: Column, restates: Co
     return F.coalesce(follows & ~exceeds & ~contradicts & ~restates, F.lit(False))
 
 
+# How sure an answer is where its sources agree, and else; characters of a page that are read at least, and those around it in a prompt.
+AGREED, DIVIDED, LEAST_READ, PROMPT_CHARS = 0.8, 0.5, 2_000, 1_500
+
+
+def confidence(agree: Column) -> Column:
+    """How sure an answer is: less where its sources don't agree, or nobody says."""
+    return F.when(agree, AGREED).otherwise(DIVIDED)
+
+
+def read_chars(n_ctx: Column, max_tokens: int = 256) -> Column:
+    """Characters of a page that a model's window has room for beside the prompt and the answer."""
+    room = F.greatest(n_ctx.cast("long") - (BUDGET_MARGIN + max_tokens), F.lit(0))
+    return F.greatest(room * CHARS_PER_TOKEN - PROMPT_CHARS, F.lit(LEAST_READ))
+
+
+def capped_text(body: Column, most: int) -> Column:
+    """The text of a body's first bytes; a character that the cut goes through, or that isn't UTF-8, becomes a replacement character."""
+    return F.make_valid_utf8(F.substring(body, 1, most).cast("string"))
+
+
 def is_pressure(status: Column, unavailable: Column) -> Column:
     """Whether a failure means that a resource is short: the model is down, too many requests, or a server's error."""
     return F.coalesce(unavailable | (status == 429) | ((status >= 500) & (status < 600)), unavailable, F.lit(False))

@@ -69,3 +69,12 @@ def implicated(texts: DataFrame, key: str, forms: dict[str, tuple[str, ...]], pr
     table = texts.sparkSession.createDataFrame(sorted((c, t, plain(t)) for c, t in names), "concept string, term string, found string")
     hits = spotted(texts.select(F.col(key).alias("key"), "text"), table.select("term"), ["key"], negators).filter("free")
     return hits.withColumnRenamed("term", "found").join(table, "found").select(F.col("key").alias(key), "concept").distinct()
+
+
+def probed(spark: SparkSession, probes: list[dict], rules: Iterable[Rule], ambiguous: frozenset[str] = frozenset()) -> DataFrame:
+    """probe, missing (rules that must fire and don't) and wrong (rules that must not and do) of every probe; a rule that doesn't exist is missing."""
+    segments = spark.createDataFrame([(p["id"], s.get("kind", "user"), s.get("ref", ""), s["text"]) for p in probes for s in p["segments"]], "probe string, kind string, ref string, text string")
+    fired = alerts(segments, tuple(rules), "probe", ambiguous).groupBy("probe").agg(F.collect_set("rule").alias("fired"))
+    asked = spark.createDataFrame([(p["id"], list(p["must_fire"]), list(p["must_not_fire"])) for p in probes], "probe string, must array<string>, never array<string>")
+    a = asked.join(fired, "probe", "left").withColumn("fired", F.coalesce("fired", F.array().cast("array<string>")))
+    return a.select("probe", F.array_except("must", "fired").alias("missing"), F.array_intersect("never", "fired").alias("wrong"))

@@ -22,32 +22,38 @@ from tessera.streaming import queue as Q
 NOW = "2024-01-30 00:00:00"
 
 
-@query("pattern_entailed", with_("hypotheses", "SELECT hypothesis_id, hypothesis_id%3<>0 AND NOT hypothesis_id%5=0 AND NOT hypothesis_id%7=0 AND NOT hypothesis_id%11=0 AS entailed FROM hypotheses"))
+@query("pattern_entailed", with_("hypotheses entailments", "SELECT hypothesis_id, follows IS TRUE AND exceeds IS FALSE AND contradicts IS FALSE AND restates IS FALSE AS entailed FROM hypotheses LEFT JOIN entailments USING (hypothesis_id)"))
 def pattern_entailed(ev: Evidence) -> DataFrame:
-    k = F.col("hypothesis_id")
-    return ev.hypotheses.select("hypothesis_id", G.entailed(k % 3 != 0, k % 5 == 0, k % 7 == 0, k % 11 == 0).alias("entailed"))
+    """Whether a pattern follows from what it cites; a judge that leaves out an answer, or says nothing, says no."""
+    v = ev.hypotheses.select("hypothesis_id").join(ev.entailments, "hypothesis_id", "left")
+    return v.select("hypothesis_id", G.entailed(*map(F.col, ("follows", "exceeds", "contradicts", "restates"))).alias("entailed"))
 
 
-@query("sufficiency", with_("questions", "SELECT question_id, coalesce(question_id%5<>4 AND question_id%2=0 AND question_id%4>=2 AND question_id%6<>0, FALSE) AS sufficient, coalesce(question_id%5<>4 AND question_id%2=0 AND question_id%4>=2 AND question_id%6<>0 AND question_id%8>=2, FALSE) AS answerable FROM questions"))
+OK = "enough IS TRUE AND on_target IS TRUE AND sources>=2 AND blocked IS NULL"
+
+
+@query("sufficiency", with_("questions verdicts", f"""SELECT question_id, coalesce({OK}, FALSE) AS sufficient, coalesce({OK} AND articles>={L.MIN_ARTICLES}, FALSE) AS answerable, CASE WHEN {OK} AND articles>={L.MIN_ARTICLES} THEN CASE WHEN agree THEN 0.8 ELSE 0.5 END::DOUBLE END AS confidence
+  FROM questions LEFT JOIN verdicts USING (question_id)"""))
 def sufficiency(ev: Evidence) -> DataFrame:
-    """The judge's four answers, and the floor of two distinct articles."""
-    k = F.col("question_id")
-    yes = G.sufficient(k % 5 != 4, k % 2 == 0, k % 4, F.when(k % 6 == 0, "needs a person"))
-    return ev.questions.select("question_id", yes.alias("sufficient"), (yes & (k % 8 >= L.MIN_ARTICLES)).alias("answerable"))
+    """The judge's four answers, the floor of two distinct articles, and how sure an answer is."""
+    v = ev.questions.select("question_id").join(ev.verdicts, "question_id", "left")
+    yes = G.sufficient(*map(F.col, ("enough", "on_target", "sources", "blocked")))
+    can = yes & F.coalesce(F.col("articles") >= L.MIN_ARTICLES, F.lit(False))
+    return v.select("question_id", yes.alias("sufficient"), can.alias("answerable"), F.when(can, G.confidence(F.col("agree"))).alias("confidence"))
 
 
-@query("round_outcome", with_("questions", f"""SELECT question_id, CASE WHEN question_id%10=0 THEN 'search_again' WHEN question_id%5=4 THEN 'search_again' WHEN ok AND question_id%8>=2 THEN 'answer' WHEN question_id%6=0 OR rounds+1>={L.MAX_ROUNDS} THEN 'escalate' ELSE 'search_again' END AS action,
-  CASE WHEN question_id%10=0 THEN rounds ELSE rounds+1 END AS rounds, CASE WHEN NOT (question_id%10=0 OR question_id%5=4 OR (ok AND question_id%8>=2)) AND (question_id%6=0 OR rounds+1>={L.MAX_ROUNDS}) THEN CASE WHEN question_id%6=0 THEN 'needs a person' ELSE 'insufficient_evidence' END END AS reason
-  FROM (SELECT *, question_id%2=0 AND question_id%4>=2 AND question_id%6<>0 AS ok FROM questions) WHERE status='open'"""))
+@query("round_outcome", with_("questions verdicts", f"""SELECT question_id, action, CASE WHEN coalesce(unchanged, FALSE) THEN rounds ELSE rounds+1 END AS rounds, CASE WHEN action='escalate' THEN coalesce(blocked, 'insufficient_evidence') END AS reason FROM
+  (SELECT *, CASE WHEN coalesce(unchanged, TRUE) THEN 'search_again' WHEN {OK} AND articles>={L.MIN_ARTICLES} THEN 'answer' WHEN blocked IS NOT NULL OR rounds+1>={L.MAX_ROUNDS} THEN 'escalate' ELSE 'search_again' END AS action
+  FROM questions LEFT JOIN verdicts USING (question_id) WHERE status='open')"""))
 def round_outcome(ev: Evidence) -> DataFrame:
     """What a round of answering leads to: unchanged evidence costs no round; no verdict searches again; else answer, escalate or search again."""
-    k, q = F.col("question_id"), ev.questions.filter("status = 'open'")
-    same, silent, blocked = k % 10 == 0, k % 5 == 4, F.when(k % 6 == 0, "needs a person")
-    ok = G.sufficient(F.lit(True), k % 2 == 0, k % 4, blocked) & (k % 8 >= L.MIN_ARTICLES)
-    rounds = F.when(same, F.col("rounds")).otherwise(F.col("rounds") + 1)
-    over = blocked.isNotNull() | (F.col("rounds") + 1 >= L.MAX_ROUNDS)
+    q = ev.questions.filter("status = 'open'").join(ev.verdicts, "question_id", "left")
+    ok = G.sufficient(*map(F.col, ("enough", "on_target", "sources", "blocked"))) & F.coalesce(F.col("articles") >= L.MIN_ARTICLES, F.lit(False))
+    silent, same = F.col("unchanged").isNull(), F.coalesce("unchanged", F.lit(False))
+    over = F.col("blocked").isNotNull() | (F.col("rounds") + 1 >= L.MAX_ROUNDS)
     action = F.when(same | silent, "search_again").when(ok, "answer").when(over, "escalate").otherwise("search_again")
-    return q.select("question_id", action.alias("action"), rounds.alias("rounds"), F.when(action == "escalate", F.coalesce(blocked, F.lit("insufficient_evidence"))).alias("reason"))
+    rounds = F.when(same, F.col("rounds")).otherwise(F.col("rounds") + 1)
+    return q.select("question_id", action.alias("action"), rounds.alias("rounds"), F.when(action == "escalate", F.coalesce("blocked", F.lit("insufficient_evidence"))).alias("reason"))
 
 
 @query("answer_rounds", with_("questions claims", "SELECT question_id, rounds+1 AS round, count(claim_id) AS claims, md5(count(claim_id)||':'||coalesce(bit_xor(('0x'||left(md5(claim_id::VARCHAR),12))::BIGINT),0)||':'||coalesce(sum(('0x'||left(md5(claim_id::VARCHAR),12))::BIGINT),0)) AS fingerprint FROM questions LEFT JOIN claims ON claims.source_id=question_id AND verified WHERE status='open' GROUP BY 1,2"))
@@ -290,12 +296,27 @@ def sources_waiting(ev: Evidence) -> DataFrame:
     return first.select("source_id", F.row_number().over(Window.orderBy("approved", F.col("doi").isNull(), "source_id")).cast("long").alias("position"))  # fifty rows
 
 
-@query("source_decisions", with_("sources", "SELECT source_id, CASE WHEN source_id%9=0 THEN 'revoked' WHEN approved AND source_id%4<>0 THEN 'active' WHEN approved THEN 'approved, no evidence' ELSE 'proposed' END AS state FROM sources"))
+@query("source_decisions", with_("sources decisions", """SELECT source_id, CASE WHEN approve>coalesce(revoke, 0) AND evidence>coalesce(revoke, 0) THEN 'active' WHEN approve>coalesce(revoke, 0) THEN 'approved, no evidence' WHEN revoke IS NOT NULL THEN 'revoked' ELSE 'proposed' END AS state
+  FROM (SELECT s.source_id, max(n) FILTER (decision='approve') AS approve, max(n) FILTER (decision='evidence') AS evidence, max(n) FILTER (decision='revoke') AS revoke FROM sources s LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY at_time, entry_id) AS n FROM decisions) d USING (source_id) GROUP BY 1)"""))
 def source_decisions(ev: Evidence) -> DataFrame:
-    """State of a source: that it is approved and that it counts as evidence are two decisions, and revoking ends both."""
-    k = F.col("source_id")
-    state = F.when(k % 9 == 0, "revoked").when(F.col("approved") & (k % 4 != 0), "active").when(F.col("approved"), "approved, no evidence").otherwise("proposed")
-    return ev.sources.select("source_id", state.alias("state"))
+    """State of a source by its log: that it is approved and that it counts as evidence are two decisions, and revoking ends both."""
+    when = F.struct("at", "entry_id")
+    last = ev.decisions.groupBy("source_id").agg(*(F.max(F.when(F.col("decision") == d, when)).alias(d) for d in ("approve", "evidence", "revoke")))
+    holds = lambda d: F.col(d).isNotNull() & (F.col("revoke").isNull() | (F.col(d) > F.col("revoke")))
+    state = F.when(holds("approve") & holds("evidence"), "active").when(holds("approve"), "approved, no evidence").when(F.col("revoke").isNotNull(), "revoked").otherwise("proposed")
+    return ev.sources.select("source_id").join(last, "source_id", "left").select("source_id", state.alias("state"))
+
+
+#: A model's window, and what is kept of a page's body.
+WINDOW_TOKENS, BODY_BYTES = 8192, 2_000_000
+
+
+@query("page_budget", f"SELECT page_id, least(strlen(coalesce(html,'')), {BODY_BYTES})::BIGINT AS body_bytes, strlen(coalesce(html,''))>{BODY_BYTES} AS capped, greatest(2000, ({WINDOW_TOKENS}-256-256)*4-1500)::BIGINT AS budget, md5(left(coalesce(html,''), {(WINDOW_TOKENS - 512) * 4 - 1500})) AS digest FROM pages")
+def page_budget(ev: Evidence) -> DataFrame:
+    """What is read of each page's body: so many bytes at most, and of these the characters that a model's window has room for."""
+    body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    room = G.read_chars(F.lit(WINDOW_TOKENS))
+    return ev.read("pages").select("page_id", F.least(F.length(body), F.lit(BODY_BYTES)).cast("long").alias("body_bytes"), (F.length(body) > BODY_BYTES).alias("capped"), room.alias("budget"), F.md5(F.left(G.capped_text(body, BODY_BYTES), room.cast("int"))).alias("digest"))
 
 
 @query("task_keys", with_("tasks", "SELECT kind, left(sha256(kind||':'||user_id),6) AS key, count(*) AS n FROM tasks GROUP BY 1, kind||':'||user_id, 2"))

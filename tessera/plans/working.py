@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -207,13 +209,15 @@ def retention_purge(ev: Evidence) -> DataFrame:
     return ev.tasks.filter(~old | F.col("finished_at").isNull()).groupBy("status").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query("cascade_delete", with_("claims directness sources", "SELECT count(*) AS judgments FROM directness WHERE claim_id IN (SELECT claim_id FROM claims JOIN sources USING (source_id) WHERE approved)"))
+@query("cascade_delete", with_("claims directness sources links chunks claim_chunks", """, left_ AS (SELECT claim_id, source_id FROM claims WHERE source_id IN (SELECT source_id FROM sources WHERE approved)) SELECT 'claims' AS what, count(*) AS n FROM left_ UNION ALL SELECT 'judgments', count(*) FROM directness WHERE claim_id IN (SELECT claim_id FROM left_)
+  UNION ALL SELECT 'links', count(*) FROM links WHERE claim_id IN (SELECT claim_id FROM left_) UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE source_id IN (SELECT source_id FROM sources WHERE approved) UNION ALL SELECT 'named chunks', count(*) FROM claim_chunks WHERE claim_id IN (SELECT claim_id FROM left_)"""))
 def cascade_delete(ev: Evidence) -> DataFrame:
-    """Judgments left when unapproved sources go with their claims."""
+    """What is left when unapproved sources go: with their claims go judgments, links and the chunks that claims name, and with the sources their chunks (of the index: ``bm25_after_removal``)."""
     gone = ev.sources.filter("not approved").select("source_id")
-    claims = ev.claims.join(gone, "source_id", "left_anti").select("claim_id", "source_id")
-    claims = claims.join(ev.sources.select("source_id"), "source_id", "left_semi")
-    return ev.directness.join(claims, "claim_id", "left_semi").agg(F.count(F.lit(1)).alias("judgments"))
+    claims = ev.claims.select("claim_id", "source_id").join(gone, "source_id", "left_anti").join(ev.sources.select("source_id"), "source_id", "left_semi")
+    with_claims = {"judgments": ev.directness, "links": ev.links, "named chunks": ev.claim_chunks}
+    left = {"claims": claims, "chunks": ev.chunks.select("source_id").join(gone, "source_id", "left_anti"), **{name: t.join(claims, "claim_id", "left_semi") for name, t in with_claims.items()}}
+    return reduce(DataFrame.unionByName, (t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n") for name, t in left.items()))
 
 
 @query("validate_constraints", with_("claims scale_levels directness sources links hypotheses", """SELECT 'confidence' AS rule, count(*) FILTER (NOT confidence BETWEEN 0 AND 1) AS broken FROM claims UNION ALL SELECT 'direction', count(*) FILTER (direction NOT IN ('positive','negative','null','mixed')) FROM claims

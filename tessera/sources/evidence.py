@@ -147,6 +147,29 @@ class Evidence:
         per = self.read("documents").select("doc_id", F.col("source").alias("registry")).join(told, "doc_id", "left").groupBy("registry").agg(F.avg("quality").alias("good"), F.avg("toxic").alias("toxic"))
         return per.select("registry", F.coalesce(F.col("toxic") <= 0.12, F.lit(False)).alias("approved"), F.coalesce(F.col("good") >= 0.75, F.lit(False)).alias("yields_evidence"))
 
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        """What a judge says of the evidence for a question: enough, on its target, in agreement, sources, articles, what blocks it, and whether nothing is new; none for many questions."""
+        li = self.read("lineitem").filter("l_linenumber = 1")
+        return li.groupBy(F.col("l_partkey").alias("question_id")).agg(
+            F.max(F.col("l_returnflag") == "A").alias("enough"), F.max(F.col("l_linestatus") == "F").alias("on_target"), (F.min("l_quantity") >= 5).alias("agree"), F.count_distinct(F.col("l_suppkey") % 3).alias("sources"),
+            F.count_distinct("l_suppkey").alias("articles"), F.when(F.max("l_tax") >= 0.08, "needs a person").alias("blocked"), (F.max("l_discount") <= 0.06).alias("unchanged"),
+        )
+
+    @cached_property
+    def entailments(self) -> DataFrame:
+        """What a judge says of a pattern and what it cites: it follows, claims more, is contradicted, or only says the same; null answers are missing."""
+        li = self.read("lineitem").filter("l_linenumber = 2")
+        return li.groupBy(F.col("l_partkey").alias("hypothesis_id")).agg(
+            F.max(F.col("l_returnflag") == "A").alias("follows"), (F.max("l_quantity") >= 49).alias("exceeds"), F.when(F.max("l_tax") >= 0.03, F.min(F.col("l_returnflag") == "R")).alias("contradicts"), (F.min("l_discount") == 0).alias("restates"),
+        )
+
+    @cached_property
+    def decisions(self) -> DataFrame:
+        """Decisions on sources in order: source_id, decision (propose, approve, evidence, revoke), at, entry_id."""
+        verb = F.create_map(*[F.lit(x) for x in ("signup", "propose", "click", "approve", "purchase", "evidence", "error", "revoke")])[F.col("event_type")]
+        return self.read("events").select(F.col("user_id").alias("source_id"), verb.alias("decision"), F.col("ts").alias("at"), F.col("event_id").alias("entry_id")).filter("decision is not null")
+
     @cached_property
     def links(self) -> DataFrame:
         """One link for a claim and a hypothesis, from the first line that has it."""
@@ -267,6 +290,12 @@ def ctes(active: str = str(ACTIVE_FOCUS)) -> dict[str, str]:
         "chain": """chain AS (SELECT hypothesis_id, step, (hypothesis_id+step)%3<>0 AS supported,
             CASE (hypothesis_id+step)%5 WHEN 0 THEN NULL WHEN 1 THEN 'PMID: '||((hypothesis_id*31+step*7)%(2*n_docs)) WHEN 2 THEN '' ELSE ((hypothesis_id*31+step*7)%(2*n_docs))::VARCHAR END AS evidence
             FROM (SELECT hypothesis_id, unnest(range(1, 2+hypothesis_id%4)) AS step FROM hypotheses WHERE hypothesis_id%5<>0), n)""",
+        "verdicts": """verdicts AS (SELECT l_partkey AS question_id, bool_or(l_returnflag='A') AS enough, bool_or(l_linestatus='F') AS on_target, min(l_quantity)>=5 AS agree, count(DISTINCT l_suppkey%3) AS sources, count(DISTINCT l_suppkey) AS articles,
+            CASE WHEN max(l_tax)>=0.08 THEN 'needs a person' END AS blocked, max(l_discount)<=0.06 AS unchanged FROM lineitem WHERE l_linenumber=1 GROUP BY 1)""",
+        "entailments": """entailments AS (SELECT l_partkey AS hypothesis_id, bool_or(l_returnflag='A') AS follows, max(l_quantity)>=49 AS exceeds, CASE WHEN max(l_tax)>=0.03 THEN bool_and(l_returnflag='R') END AS contradicts, min(l_discount)=0 AS restates
+            FROM lineitem WHERE l_linenumber=2 GROUP BY 1)""",
+        "decisions": """decisions AS (SELECT user_id AS source_id, CASE event_type WHEN 'signup' THEN 'propose' WHEN 'click' THEN 'approve' WHEN 'purchase' THEN 'evidence' WHEN 'error' THEN 'revoke' END AS decision, ts AS at_time, event_id AS entry_id
+            FROM events WHERE event_type IN ('signup','click','purchase','error'))""",
         "pursuits": "pursuits AS (SELECT l_partkey AS hypothesis_id, min(l_shipdate) AS pursued_at, max(l_shipdate) FILTER (l_linestatus='F') AS regrounded_at FROM lineitem WHERE l_linenumber=7 AND l_returnflag='A' GROUP BY 1)",
         "registries": """registries AS (SELECT d.source AS registry, coalesce(avg(toxic)<=0.12, FALSE) AS approved, coalesce(avg(quality)>=0.75, FALSE) AS yields_evidence
             FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) USING (doc_id) GROUP BY 1)""",

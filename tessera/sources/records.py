@@ -235,3 +235,22 @@ def load_cases(path: str, keys: frozenset[str] = CASE_KEYS) -> list[dict]:
         if extra := set(c.get("requires", {})) - REQUIRED:
             raise ValueError(f"case {c.get('id')}: unknown preconditions {sorted(extra)}")
     return cases
+
+
+PROBE_KEYS, SEGMENT_KEYS = frozenset({"id", "why", "must_fire", "must_not_fire", "segments"}), frozenset({"kind", "text", "ref"})
+
+
+def load_probes(path: str) -> list[dict]:
+    """Probes of a rule set: turns with the rules that must fire on them and those that must not. A probe needs both lists, and segments; unknown keys and repeated ids are errors."""
+    probes, seen = _table(Path(path)).get("probes", []), set()
+    for p in probes:
+        if extra := set(p) - PROBE_KEYS:
+            raise ValueError(f"probe {p.get('id')}: unknown keys {sorted(extra)}")
+        if missing := {"id", "must_fire", "must_not_fire"} - set(p):
+            raise ValueError(f"probe {p.get('id')}: {sorted(missing)} missing")
+        if p["id"] in seen:
+            raise ValueError(f"probe {p['id']}: the id repeats")
+        seen.add(p["id"])
+        if not p.get("segments") or any(set(s) - SEGMENT_KEYS or "text" not in s for s in p["segments"]):
+            raise ValueError(f"probe {p['id']}: segments need a kind and a text and nothing else")
+    return probes

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import levels as L
 from tessera.functions.semantics import cosine, folded_key, marker_to_null, text_key, tokens
 from tessera.operators import deliver as D
+from tessera.operators import guard as G
 from tessera.operators import retrieval as R
 from tessera.operators import text as X
 from tessera.operators import weight as W
@@ -238,3 +239,12 @@ def test_chunks_of_a_long_text_take_time_in_proportion(spark):
 
     seconds(100)
     assert seconds(40_000) < 60  # 1.7 MB
+
+
+def test_reading_budget_and_cut_bodies(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(G.read_chars(F.lit(n))) for n in (8192, 512, 0, 2048)] == [29220, 2000, 2000, 4644]
+    assert [one(G.confidence(F.lit(x).cast("boolean"))) for x in (True, False, None)] == [0.8, 0.5, 0.5]
+    body = F.encode(F.lit("aé日😀b"), "UTF-8")
+    assert [one(G.capped_text(body, n)) for n in (1, 3, 6, 10, 11, 99)] == ["a", "aé", "aé日", "aé日😀", "aé日😀b", "aé日😀b"]
+    assert all(one(G.capped_text(body, n)).startswith("a") and "�" in one(G.capped_text(body, n)) for n in (2, 4, 5, 7, 8, 9)) and one(G.capped_text(F.lit(None).cast("binary"), 5)) is None

@@ -87,3 +87,42 @@ def test_cases_are_strict(tmp_path, case, problem):
             S.load_cases(str(tmp_path / "g.toml"))
     else:
         assert len(S.load_cases(str(tmp_path / "g.toml"))) == 1
+
+
+def test_probes(spark, tmp_path):
+    import pytest
+
+    from tessera.operators.screen import Rule, probed
+    from tessera.sources.records import load_probes
+
+    good = """
+[[probes]]
+id = "alone"
+why = "the reason"
+must_fire = ["mono"]
+must_not_fire = ["other"]
+[[probes.segments]]
+kind = "evidence"
+text = "Sertraline was added."
+[[probes]]
+id = "denied"
+must_fire = []
+must_not_fire = ["mono", "other"]
+[[probes.segments]]
+kind = "user"
+text = "I never took sertraline"
+[[probes]]
+id = "fails"
+must_fire = ["other", "gone"]
+must_not_fire = ["mono"]
+segments = [{kind = "reply", text = "sertraline"}]
+"""
+    at = tmp_path / "probes.toml"
+    at.write_text(good)
+    rules = (Rule("mono", "high", ("sertraline",)), Rule("other", "low", ("lithium",)))
+    got = {r.probe: (sorted(r.missing), r.wrong) for r in probed(spark, load_probes(str(at)), rules).collect()}
+    assert got == {"alone": ([], []), "denied": ([], []), "fails": (["gone", "other"], ["mono"])}
+    for bad in (good.replace("why =", "reason ="), good.replace('id = "denied"', 'id = "alone"'), good.replace("must_fire = []\n", ""), good.replace("segments = [", "x = ["), good.replace('segments = [{kind = "reply", text = "sertraline"}]', "segments = []")):
+        at.write_text(bad)
+        with pytest.raises(ValueError):
+            load_probes(str(at))
