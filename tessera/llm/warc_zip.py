@@ -152,8 +152,8 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
     """Write the rows of ``marked`` as archives below ``folder`` (a URI that all executors share).
 
     Returns a lazy table of archive URI, bytes and records.  A task names its
-    archives by its partition and renames each into place when complete, so a
-    task that runs again replaces what it wrote before.  Null addresses are written as empty ones, null and
+    archives by its partition and attempt and renames each into place when complete: an attempt that runs again or beside another, and may get
+    its rows in another order, touches no archive of the other, and only those of the attempt that counts are listed.  An empty table may come before or behind ``marked``.  Null addresses are written as empty ones, null and
     empty payloads as empty records; rows may repeat; other columns are ignored; an empty table gives no archives."""
     schema = T.StructType([T.StructField("archive", T.StringType()), T.StructField("archive_bytes", T.LongType()), T.StructField("records", T.LongType())])
 
@@ -167,9 +167,9 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
             nonlocal data, index, number
             if not index:
                 return
-            name = f"pages-{task.partitionId():06d}-{number:04d}.wacz"
+            name = f"pages-{task.partitionId():06d}-{task.taskAttemptId()}-{number:04d}.wacz"
             whole = zip_bytes([("datapackage.json", json.dumps({"profile": "data-package", "records": len(index)}).encode()), (DATA, data.getvalue()), (INDEX, "".join(index).encode())])
-            spare = f"{root}/.{name}.{task.taskAttemptId()}"
+            spare = f"{root}/.{name}"
             with fs.open_output_stream(spare) as f:
                 f.write(whole)
             fs.move(spare, f"{root}/{name}")

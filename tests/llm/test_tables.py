@@ -101,6 +101,19 @@ def test_zip_directories():
         warc_zip.members(io.BytesIO(b"no zip"), 6)
 
 
+def test_attempts_leave_each_others_archives_alone(spark, monkeypatch):
+    """Two attempts at the same rows in different orders: what either has listed reads back whole."""
+    monkeypatch.setattr(warc_zip, "ARCHIVE_BYTES", 1500)
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"page {i} " * 30) for i in range(60)], "page_id long, url string, html string")
+    folder = f"{shared_dir(spark)}/warc-attempts"
+    rows = warc_zip.marked(pages).coalesce(1)
+    one, two = (written(warc_zip.write_archives(rows.sortWithinPartitions(order), folder), "archives") for order in ("page_id", "digest"))
+    for listed in (one, two):
+        got = warc_zip.read_records(warc_zip.locate_records(listed), with_payload=True).collect()
+        assert sorted((int(r.page_key), bytes(r.payload).decode()) for r in got) == [(i, f"page {i} " * 30) for i in range(60)]
+    assert one.join(two, "archive").count() == 0 and warc_zip.marked(pages.limit(0)).count() == 0
+
+
 def test_warc_round_trip(spark, monkeypatch):
     monkeypatch.setattr(warc_zip, "ARCHIVE_BYTES", 2000)
     long = "<p>é" + "x" * 300
