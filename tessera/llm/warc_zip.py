@@ -153,7 +153,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
 
     Returns a lazy table of archive URI, bytes and records.  A task names its
     archives by its partition and attempt and renames each into place when complete: an attempt that runs again or beside another, and may get
-    its rows in another order, touches no archive of the other, and only those of the attempt that counts are listed.  An empty table may come before or behind ``marked``.  Null addresses are written as empty ones, null and
+    its rows in another order, touches no archive of the other, and only those of the attempt that counts are listed.  Null addresses are written as empty ones, null and
     empty payloads as empty records; rows may repeat; other columns are ignored; an empty table gives no archives."""
     schema = T.StructType([T.StructField("archive", T.StringType()), T.StructField("archive_bytes", T.LongType()), T.StructField("records", T.LongType())])
 

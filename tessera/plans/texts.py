@@ -176,10 +176,29 @@ def query_normalised(ev: Evidence) -> DataFrame:
     return ev.read("benchmark").select("item_id", F.left(one, F.lit(240)).alias("q"), F.floor(F.length("text") / 4).alias("tokens"))
 
 
-@query("plain_labels", "SELECT item_id, left(trim(regexp_replace(regexp_replace(text, '[\\[\\](){}0-9]', '', 'g'), '\\s+', ' ', 'g')), 90) AS label FROM benchmark")
+SAID = "CASE WHEN item_id%3=0 THEN 'step 3 of sigma-1 [12] ' ELSE '' END || text"
+PLAIN = f"left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({SAID}, '[\\[\\]]', '', 'g'), '(^|[^\\w-])\\d+([^\\w-]|$)', '\\1\\2', 'g'), '(^|[^\\w-])\\d+([^\\w-]|$)', '\\1\\2', 'g'), '\\s+', ' ', 'g')), 90)"
+
+
+@query("plain_labels", f"SELECT item_id, {PLAIN} AS label, coalesce(nullif(rtrim(regexp_replace('spec:'||item_id||CASE WHEN item_id%2=0 THEN ' round' ELSE '' END, '[0-9]+', '', 'g'), ':-_'), ''), '?') AS search FROM benchmark")
 def plain_labels(ev: Evidence) -> DataFrame:
-    bare = F.regexp_replace(F.regexp_replace("text", r"[\[\](){}0-9]", ""), r"\s+", " ")
-    return ev.read("benchmark").select("item_id", F.left(F.trim(bare), F.lit(90)).alias("label"))
+    """Texts and names of searches without anything that could be read as the number of a reference."""
+    k = F.col("item_id")
+    said = F.concat(F.when(k % 3 == 0, "step 3 of sigma-1 [12] ").otherwise(""), "text")
+    search = F.concat(F.lit("spec:"), k.cast("string"), F.when(k % 2 == 0, " round").otherwise(""))
+    return ev.read("benchmark").select("item_id", X.plain_label(said).alias("label"), X.search_label(search).alias("search"))
+
+
+@query("resolved_references", with_("memories", """SELECT item_id, list_reduce(list_transform(range(1, len(p)+1), lambda i: p[i] || CASE WHEN i<=len(k) THEN coalesce(m[TRY_CAST(k[i] AS INT)], '['||k[i]||']') ELSE '' END), lambda a, b: a||b) AS said FROM
+  (SELECT item_id, string_split_regex(t, '\\[\\d{1,4}\\]') AS p, regexp_extract_all(t, '\\[(\\d{1,4})\\]', 1) AS k FROM (SELECT item_id, 'seen ['||(item_id%12)||'][0'||(item_id%5)||'] and [99999] of '||left(text, 60) AS t FROM benchmark)),
+  (SELECT map_from_entries(list((memory_id::INT, text))) AS m FROM memories WHERE memory_id BETWEEN 1 AND 8 AND trim(text)<>'')"""))
+def resolved_references(ev: Evidence) -> DataFrame:
+    """Texts in which the numbers of what was shown are the labels of that; other numbers stay as they are."""
+    k = F.col("item_id")
+    said = F.concat(F.lit("seen ["), (k % 12).cast("string"), F.lit("][0"), (k % 5).cast("string"), F.lit("] and [99999] of "), F.left("text", F.lit(60)))
+    shown = ev.memories.filter("memory_id between 1 and 8").select(F.col("memory_id").cast("int").alias("k"), F.col("text").alias("label"))
+    refs = shown.agg(F.map_from_entries(F.collect_list(F.struct("k", "label"))).alias("refs"))  # what one prompt has shown
+    return ev.read("benchmark").crossJoin(F.broadcast(refs)).select("item_id", X.resolved(said, F.col("refs")).alias("said"))
 
 
 @query("evidence_sections", with_("sources claims chunks claim_chunks directness active_focus", """SELECT claim_id, title, design, md5(left(string_agg(text, chr(10) ORDER BY ord), 2400)) AS digest FROM (SELECT c.claim_id, s.title, s.design, k.text, k.ord FROM claims c CROSS JOIN active_focus f JOIN sources s USING (source_id)

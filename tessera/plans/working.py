@@ -255,6 +255,18 @@ def gate_funnel(ev: Evidence) -> DataFrame:
     return g.withColumn("anchor_rate", F.round(ratio(F.col("anchored"), F.col("proposed")), 9))
 
 
+@query("gate_report", with_("runs", """SELECT count(*) AS n, CAST(coalesce(sum(proposed), 0) AS BIGINT) AS proposed, CAST(coalesce(sum(anchored), 0) AS BIGINT) AS anchored, CAST(coalesce(sum(verified), 0) AS BIGINT) AS verified, CAST(sum(annihilated) AS BIGINT) AS annihilated, CAST(sum(sterile) AS BIGINT) AS sterile,
+  count(*) FILTER (annihilated IS NULL) AS unknown, count(*) FILTER (origin='log') AS second_hand, round(sum(anchored)/sum(proposed)*100, 1) AS anchored_pct, round(sum(verified)/sum(anchored)*100, 1) AS verified_pct FROM runs"""))
+def gate_report(ev: Evidence) -> DataFrame:
+    """Both gates over all runs: what is unknown stays unknown in the sums of chunks, and runs read from a log are second-hand."""
+    g = ev.runs.agg(
+        F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("proposed", "anchored", "verified")), *(F.sum(c).cast("long").alias(c) for c in ("annihilated", "sterile")),
+        count_if(F.col("annihilated").isNull()).alias("unknown"), count_if(F.col("origin") == "log").alias("second_hand"),
+    )
+    pct = lambda a, b: F.round(F.try_divide(F.col(a), F.col(b)) * 100, 1)
+    return g.withColumn("anchored_pct", pct("anchored", "proposed")).withColumn("verified_pct", pct("verified", "anchored"))
+
+
 @query("chunk_outcomes", with_("claims chunks claim_chunks", """SELECT source_id, count(*) AS seen, count(*) FILTER (good) AS yielding, count(*) FILTER (lost AND NOT good) AS annihilated, count(*) FILTER (NOT good AND NOT coalesce(refused, FALSE)) AS sterile FROM
   (SELECT k.source_id, k.chunk_id, coalesce(bool_or(verified), FALSE) AS good, bool_or(NOT verified) AS refused, coalesce(bool_or(NOT verified AND direction<>'null'), FALSE) AS lost FROM chunks k LEFT JOIN claim_chunks cc USING (chunk_id) LEFT JOIN claims c ON c.claim_id=cc.claim_id GROUP BY 1, 2) GROUP BY 1"""))
 def chunk_outcomes(ev: Evidence) -> DataFrame:

@@ -248,3 +248,13 @@ def test_reading_budget_and_cut_bodies(spark):
     body = F.encode(F.lit("aé日😀b"), "UTF-8")
     assert [one(G.capped_text(body, n)) for n in (1, 3, 6, 10, 11, 99)] == ["a", "aé", "aé日", "aé日😀", "aé日😀b", "aé日😀b"]
     assert all(one(G.capped_text(body, n)).startswith("a") and "�" in one(G.capped_text(body, n)) for n in (2, 4, 5, 7, 8, 9)) and one(G.capped_text(F.lit(None).cast("binary"), 5)) is None
+
+
+def test_labels_and_references(spark):
+    rows = ["step 3 of [12] sigma-1, 5-HT1A", "7", "  a\n\t b 10 ", "x" * 200, None, ""]
+    got = [r.k for r in spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").orderBy("i").select(X.plain_label(F.col("t")).alias("k")).collect()]
+    assert got == ["step of sigma-1, 5-HT1A", "", "a b", "x" * 90, None, ""]
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(X.search_label(F.lit(t).cast("string"))) for t in ("spec:41", "41", "a-1-b", None)] == ["spec", "?", "a--b", "?"]
+    refs = F.create_map(F.lit(1), F.lit("see [2] there"), F.lit(2), F.lit(""), F.lit(7), F.lit("seven"))
+    assert [one(X.resolved(F.lit(t).cast("string"), refs)) for t in ("[1][7]", "a [2] b [3] c [07]", "[12345]", "", "plain", None)] == ["see [2] thereseven", "a [2] b [3] c seven", "[12345]", "", "plain", None]
