@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,7 +96,19 @@ def secret_redaction(ev: Evidence) -> DataFrame:
     return d.filter("r <> text").select("doc_id", F.md5("r").alias("digest"))
 
 
-@query("html_text")
+def _page_sql() -> str:
+    """Title and text of pages by patterns, for pages whose dropped tags are closed and not within each other: scripts go without a trace, other dropped tags end a line, line tags too."""
+    out = "coalesce(html,'')"
+    for t in sorted(X.DROPPED_TAGS):
+        out = f"regexp_replace({out}, '(?is)<{t}\\b[^>]*>.*?</{t}\\s*>', {'chr(10)' if t not in ('script', 'style') else repr('')}, 'g')"
+    out = f"regexp_replace(regexp_replace({out}, '(?s)<!--.*?-->', '', 'g'), '(?i)</?({'|'.join(sorted(X.LINE_TAGS))})\\b[^>]*>', chr(10), 'g')"
+    plain = lambda x: reduce(lambda y, e: f"regexp_replace({y}, '&{e[0]};?', '{e[1]}', 'g')", (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")), f"regexp_replace({x}, '<[/a-zA-Z!][^>]*>', '', 'g')")
+    lines = f"list_filter(list_transform(string_split({plain('h')}, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: length(x)>={X.LEAST_LINE})"
+    title = f"trim(regexp_replace({plain(chr(39) + chr(39) + ' || regexp_extract(h, ' + chr(39) + '(?is)<title[^>]*>(.*?)</title' + chr(39) + ', 1)')}, '\\s+', ' ', 'g'))"
+    return f"page AS (SELECT page_id, url, {title} AS title, array_to_string({lines}, chr(10)) AS text FROM (SELECT page_id, url, {out} AS h FROM pages))"
+
+
+@query("html_text", f"WITH {_page_sql()} SELECT page_id, title, length(text) AS chars, md5(text) AS digest FROM page")
 def html_text(ev: Evidence) -> DataFrame:
     p = ev.read("pages").select("page_id", X.page_text(F.col("html")).alias("p"))
     return p.select("page_id", "p.title", F.length("p.text").alias("chars"), F.md5("p.text").alias("digest"))
@@ -118,7 +132,12 @@ def html_stripped(ev: Evidence) -> DataFrame:
 PAGE_CHARS = 24_000
 
 
-@query("page_refusal")
+REFUSED = " OR ".join(f"contains(probe, '{m}')" for m in X.INTERSTITIAL)
+
+
+@query("page_refusal", f"""WITH {_page_sql()}, v AS (SELECT page_id, text, host, CASE WHEN host IN ({','.join(f"'{d}'" for d in X.EVIDENCE_DOMAINS)}) THEN 'evidence' WHEN host LIKE '%.org' THEN 'robots' WHEN {REFUSED} THEN 'interstitial' WHEN length(text)<{X.LEAST_PAGE} THEN 'short' ELSE 'read' END AS verdict
+  FROM (SELECT *, lower(title||' '||left(text, {X.PROBED_CHARS})) AS probe, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host FROM page))
+  SELECT page_id, verdict, CASE WHEN verdict='read' AND host LIKE 'm.%' THEN 0.25::DOUBLE END AS rate_per_s, CASE WHEN verdict='read' THEN md5(left(text, {PAGE_CHARS})) END AS digest, verdict='read' AND length(text)>{PAGE_CHARS} AS truncated FROM v""")
 def page_refusal(ev: Evidence) -> DataFrame:
     """What becomes of each page: refused (and why), or read, with a note if only its beginning is handed on.
 
