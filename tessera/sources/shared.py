@@ -36,10 +36,10 @@ _KEPT: dict[tuple, object] = {}
 def kept(source: DataFrame, name: str, make: Callable[[], Made]) -> Made:
     """What ``make`` stores, made once for an application and the files of ``source`` as they are (paths, lengths, times)."""
     spark = source.sparkSession
-    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    conf, path, uri = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path, spark._jvm.java.net.URI
     states = []
     for at in sorted(source.inputFiles()):
-        file = path(at)
+        file = path(uri(at))  # names come encoded
         status = file.getFileSystem(conf).getFileStatus(file)
         states.append((at, status.getLen(), status.getModificationTime()))
     key = (spark.sparkContext.applicationId, name, tuple(states))

@@ -83,3 +83,17 @@ def test_empty_tables(spark):
     assert I.search(none, asked, 3).rows.count() == 0
     some = I.build(spark.createDataFrame([(1, "a b"), (None, "a")], "doc_id long, text string"))
     assert I.search(some, asked.limit(0), 3).rows.count() == 0 and [r.doc_id for r in I.search(some, asked, 3).rows.collect()] == [1]
+
+
+def test_index_is_kept_until_files_change(spark, tmp_path):
+    from tessera.sources import shared
+
+    at, made = f"{tmp_path}/a folder with é and %20", []
+
+    def asked():
+        return shared.kept(spark.read.schema("id long").parquet(at), "numbers", lambda: made.append(1) or len(made))
+
+    spark.range(3).write.parquet(at)
+    assert [asked(), asked()] == [1, 1]
+    spark.range(1).write.mode("append").parquet(at)
+    assert [asked(), asked()] == [2, 2]
