@@ -4,12 +4,16 @@ The responses are texts as a harvester stores them, made here from the tables.""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import query
 from tessera.sources import records as S
+from tessera.sources import shared
 from tessera.sources.evidence import Evidence
+from tessera.sources.landed import landed
 
 
 @query("landed_ids", "SELECT DISTINCT (item_id%70)::VARCHAR AS external_id FROM benchmark WHERE item_id%9<>0")
@@ -29,6 +33,18 @@ def landed_fields(ev: Evidence) -> DataFrame:
     return out.select("event_id", "number", "second_name", F.col("nothing").cast("string").alias("nothing"))
 
 
+@query("landed_source", "SELECT user_id::VARCHAR AS asker, event_type AS second_name, count(*) AS n, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS total FROM events WHERE event_type IN ('click', 'error') GROUP BY 1, 2")
+def landed_source(ev: Evidence) -> DataFrame:
+    """Responses that have landed as files, by kind, read through the data source: of two kinds only the files are read."""
+    e = ev.read("events")
+    body = F.to_json(F.struct(F.struct("user_id").alias("by"), F.from_json("props", "k bigint").alias("given"), F.array(F.lit("x"), F.col("event_type")).alias("names")))
+    at = shared.folder(ev.spark, "landed")
+    e.select(body.alias("value"), F.col("event_type").alias("kind")).write.partitionBy("kind").text(at)
+    fields = {"asker": "by.user_id", "k": "given.k", "second_name": "names.1"}
+    rows = reduce(DataFrame.unionByName, (landed(ev.spark, at, fields).filter(F.col("file").startswith(f"kind={kind}/")) for kind in ("click", "error")))
+    return rows.groupBy("asker", "second_name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("k").cast("long")).alias("total"))
+
+
 TYPES = list(S.TYPE_GRADES)
 GRADE_SQL = "[" + ",".join(f"'{g}'" for g in S.TYPE_GRADES.values()) + "]"
 
