@@ -97,3 +97,24 @@ def test_index_is_kept_until_files_change(spark, tmp_path):
     assert [asked(), asked()] == [1, 1]
     spark.range(1).write.mode("append").parquet(at)
     assert [asked(), asked()] == [2, 2]
+
+
+def test_frequent_words_bring_no_pairs(spark, docs, monkeypatch):
+    """Queries of frequent words alone: what a search writes doesn't grow with documents that have a word, and parts and groups of queries give the same."""
+    index = I.build(spark.createDataFrame(docs, "doc_id long, text string"), block=500)
+    rows, written = [], I.shared.written
+    monkeypatch.setattr(I.shared, "written", lambda df, name: (rows.append(out.count()), out)[1] if (out := written(df, name)) is not None else None)
+    monkeypatch.setattr(I, "ASKED", 7)
+    rng = random.Random(5)
+    asked = [(i, " ".join(rng.sample(STOP, 5))) for i in range(20)]
+    same(found(I.search(index, spark.createDataFrame(asked, "query_id int, text string"), 10)), brute(docs, asked, 10))
+    assert sum(rows) < 1000, rows  # 20 queries meet 80,000 documents
+
+
+def test_repeated_ids_count_as_in_sql(spark):
+    """Rows that share an id count one by one; those alike in length too are one document of a token."""
+    docs = [(1, "a b c"), (1, "a b c"), (1, "a d"), (2, "a"), (3, ""), (4, "b b e")]
+    index = I.build(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert (index.n, index.length) == (6, 12) and {r.token: r.df for r in index.terms.collect()} == {"a": 3, "b": 2, "c": 1, "d": 1, "e": 1}
+    left = I.removed(index, spark.createDataFrame([(1,)], "doc_id long"))
+    assert (left.n, left.length) == (3, 4) and {r.token: r.df for r in left.terms.collect()} == {"a": 1, "b": 1, "e": 1}
