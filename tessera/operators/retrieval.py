@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,13 +22,18 @@ def ranked(df: DataFrame, by: str, score: Column, *ties: str) -> DataFrame:
 
 #: Rows of a block, and the most cells that blocks are cut from.
 BLOCK, CELLS = 4_096, 256
+#: Queries that a block of vectors meets at a time, and those of one product.
+ASKED, TILE = 16_384, 512
 #: Cosines are ranked by nine decimals; bounds leave room for that and for roundings.
 MARGIN = 1e-8
-UNITS = "id long, dim int, u binary"
+UNITS = "id long, dim int, u binary, within string, target string"
+NAMES = ["id", "dim", "u", "within", "target"]
 
 
 def _units(rows: DataFrame, id_col: str) -> DataFrame:
-    """Vectors scaled to length 1, packed; rows without an id, null, empty and zero vectors and those with a null or non-finite component are left out."""
+    """Vectors scaled to length 1, packed; rows without an id, null, empty and zero vectors and those with a null or non-finite component are left out.
+
+    within and target (see ``first_close``) are null where there are no such columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -39,9 +45,10 @@ def _units(rows: DataFrame, id_col: str) -> DataFrame:
                 ids.append(i)
                 dims.append(b - a)
                 packed.append((u / np.sqrt((u * u).sum())).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(packed, pa.binary())], names=["id", "dim", "u"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(packed, pa.binary()), batch.column(2), batch.column(3)], names=NAMES)
 
-    v = rows.select(F.col(id_col).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    said = (F.col(c).cast("string").alias(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("within", "target"))
+    v = rows.select(F.col(id_col).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), *said)
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     usable = F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0)
     return v.filter(usable).mapInArrow(run, UNITS)
@@ -69,19 +76,20 @@ def _dealt(units: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                 if d in pivots:
                     at = np.flatnonzero(dims == d)
                     cell[at] = (_vectors(pa.table({"u": batch.column(2).take(pa.array(at))})) @ pivots[d].T).argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["id", "dim", "u", "cell"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*NAMES, "cell"])
 
     cells = shared.written(units.mapInArrow(run, UNITS + ", cell int"), "cells")
     sizes = shared.written(cells.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")), "sizes")
     part = F.pmod(F.xxhash64("id", "u"), "parts")
-    return shared.written(cells.join(sizes, ["dim", "cell"]).select("id", "dim", "u", (F.shiftleft(F.col("cell").cast("long"), 32) + part).alias("block")), "blocks")
+    return shared.written(cells.join(sizes, ["dim", "cell"]).select(*NAMES, (F.shiftleft(F.col("cell").cast("long"), 32) + part).alias("block")), "blocks")
 
 
-def _meetings(vectors: DataFrame, queries: DataFrame, keep: Callable[[DataFrame], DataFrame], pick: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def _meetings(vectors: DataFrame, queries: DataFrame, keep: Callable[[DataFrame], DataFrame], pick: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], asked: int = ASKED) -> DataFrame:
     """query_id, doc_id and cosine of what ``pick`` takes from the products of the pairs of blocks that ``keep`` leaves.
 
     Both sides are dealt into blocks, of which centre and radius are known.  Pairs of blocks come with ``most`` and ``least``, between which all
-    their cosines are (triangle inequality of the distances of unit vectors); pairs that ``keep`` leaves out never meet."""
+    their cosines are (triangle inequality of the distances of unit vectors); pairs that ``keep`` leaves out never meet.  A block of vectors meets its
+    blocks of queries together, about ``asked`` queries at a time, so it is sent once for these and not once for each block."""
     v, q = shared.written(_units(vectors, "doc_id"), "vectors"), shared.written(_units(queries, "query_id"), "queries")
     n = v.count()
     sample = v.orderBy(F.xxhash64("u"), "id").limit(min(CELLS, max(1, n // BLOCK * 4))).collect()  # CELLS vectors at most
@@ -93,18 +101,30 @@ def _meetings(vectors: DataFrame, queries: DataFrame, keep: Callable[[DataFrame]
     pairs = balls[0].join(balls[1], "dim")
     between = F.sqrt(F.aggregate(F.zip_with("v_centre", "q_centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     near, far = F.greatest(between - F.col("v_radius") - F.col("q_radius"), F.lit(0.0)), between + F.col("v_radius") + F.col("q_radius")
-    pairs = pairs.select("dim", "v_block", "q_block", "v_n", (1 - near * near / 2).alias("most"), (1 - far * far / 2).alias("least"))
-    pairs = shared.written(keep(pairs).select("dim", "v_block", "q_block"), "pairs")
-    sides = [side.join(pairs, (side["dim"] == pairs["dim"]) & (side["block"] == pairs[f"{name}_block"])).select(side["dim"], "v_block", "q_block", "id", "u", F.lit(name == "q").alias("asks")) for side, name in ((v, "v"), (q, "q"))]
+    pairs = pairs.select("dim", "v_block", "q_block", "v_n", "q_n", (1 - near * near / 2).alias("most"), (1 - far * far / 2).alias("least"))
+    pairs = shared.written(keep(pairs).select("dim", "v_block", "q_block", "q_n"), "pairs")
+    before = Window.partitionBy("dim", "v_block").orderBy("q_block").rowsBetween(Window.unboundedPreceding, -1)
+    turns = pairs.withColumn("turn", F.floor(F.coalesce(F.sum("q_n").over(before), F.lit(0)) / asked))
+    v = v.join(turns.select("dim", "v_block", "turn").distinct().withColumnRenamed("v_block", "block"), ["dim", "block"]).withColumnRenamed("block", "v_block")
+    q = q.join(turns.withColumnRenamed("q_block", "block"), ["dim", "block"])
+    sides = [side.select("v_block", "turn", *NAMES, F.lit(asks).alias("asks")) for side, asks in ((v, False), (q, True))]
+    keyed = "within" in queries.columns
 
     def product(table: pa.Table) -> pa.Table:
         asks, ids, u = table["asks"].to_numpy(), table["id"].to_numpy(), _vectors(table)
-        docs, asked = ids[~asks], ids[asks]
-        cosine = u[~asks] @ u[asks].T
-        row, column = pick(docs, cosine)
-        return pa.table({"query_id": pa.array(asked[column]), "doc_id": pa.array(docs[row]), "cosine": pa.array(cosine[row, column])})
+        within, target = (pc.fill_null(table[c].combine_chunks().dictionary_encode().indices, -1).to_numpy() for c in ("within", "target"))
+        docs, asked, of, wanted = ids[~asks], ids[asks], within[asks], target[asks]
+        found, vectors = [], u[~asks]
+        for at in range(0, len(asked), TILE):
+            tile = slice(at, at + TILE)
+            cosine = vectors @ u[asks][tile].T
+            if keyed:
+                cosine[(within[~asks][:, None] != of[tile]) | ((wanted[tile] >= 0) & (target[~asks][:, None] != wanted[tile]))] = -np.inf
+            row, column = pick(docs, cosine)
+            found.append(pa.table({"query_id": pa.array(asked[tile][column]), "doc_id": pa.array(docs[row]), "cosine": pa.array(cosine[row, column])}))
+        return pa.concat_tables(found) if found else pa.table({"query_id": ids[:0], "doc_id": ids[:0], "cosine": np.zeros(0)})
 
-    return sides[0].unionByName(sides[1]).groupBy("dim", "v_block", "q_block").applyInArrow(product, "query_id long, doc_id long, cosine double")
+    return sides[0].unionByName(sides[1]).groupBy("dim", "v_block", "turn").applyInArrow(product, "query_id long, doc_id long, cosine double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -137,6 +157,21 @@ def close_pairs(vectors: DataFrame, queries: DataFrame, least: float) -> DataFra
     return _meetings(vectors, queries, lambda pairs: pairs.filter(F.col("most") >= least - MARGIN), lambda ids, cosine: np.nonzero(cosine >= least))
 
 
+def first_close(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """query_id and the smallest doc_id with a cosine of at least ``least`` and the query's ``within``, and its ``target`` where the query has one; queries without any are left out.
+
+    A pair of blocks hands on one row a query, however many vectors are close to it."""
+
+    def smallest(ids: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(ids, kind="stable")
+        close = cosine[order] >= least
+        columns = np.flatnonzero(close.any(axis=0))
+        return order[close[:, columns].argmax(axis=0)], columns
+
+    found = _meetings(vectors, queries, lambda pairs: pairs.filter(F.col("most") >= least - MARGIN), smallest)
+    return found.groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
+
+
 def fuse(rankings: DataFrame, k: int = L.RRF_K) -> DataFrame:
     """Weighted reciprocal-rank fusion of rows (query_id, doc_id, rank, share)."""
     return rankings.groupBy("query_id", "doc_id").agg(F.sum(F.col("share") / (k + F.col("rank"))).alias("fused"), F.max("semantic").alias("semantic"))

@@ -146,12 +146,11 @@ AGAIN = 10_000_000
   AND (trim(coalesce(a.target,''))='' OR lower(trim(a.target))=lower(trim(b.target))) AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])>=0.78 WHERE a.question_id%10=0 AND a.status<>'parked' GROUP BY 1"""))
 def semantic_dedup(ev: Evidence) -> DataFrame:
     """Questions that are proposed (some of those there are, asked again) and close to one of the same focus and target (any target where none is given)."""
-    q = ev.questions.select("question_id", "focus_id", F.coalesce(F.lower(F.trim("target")), F.lit("")).alias("t"), "embedding", "status")
-    new = q.filter("question_id % 10 = 0 and status <> 'parked'").withColumn("query_id", F.col("question_id") + AGAIN)
-    near = R.close_pairs(q.select(F.col("question_id").alias("doc_id"), "embedding"), new, 0.78)
-    met = near.join(new.select("query_id", "focus_id", "t"), "query_id").join(q.select(F.col("question_id").alias("doc_id"), F.col("focus_id").alias("f2"), F.col("t").alias("t2")), "doc_id")
-    met = met.filter((F.col("focus_id") == F.col("f2")) & ((F.col("t") == "") | (F.col("t") == F.col("t2"))))
-    return met.groupBy(F.col("query_id").alias("question_id")).agg(F.min("doc_id").alias("duplicate_of"))
+    target = F.coalesce(F.lower(F.trim("target")), F.lit(""))
+    q = ev.questions.select("question_id", F.col("focus_id").alias("within"), target.alias("target"), "embedding", "status")
+    new = q.filter("question_id % 10 = 0 and status <> 'parked'").withColumn("query_id", F.col("question_id") + AGAIN).withColumn("target", F.nullif("target", F.lit("")))
+    near = R.first_close(q.withColumnRenamed("question_id", "doc_id"), new, 0.78)
+    return near.select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("duplicate_of"))
 
 
 GAPS = 5

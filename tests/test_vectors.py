@@ -49,3 +49,39 @@ def test_many_queries_and_far_blocks(spark, monkeypatch):
     assert rows == 10_000 and got.filter("query_id div 1000 <> doc_id div 1000").count() == 0
     blocks, asking, pairs = (d.count() for d in met)
     assert pairs < 0.25 * blocks * asking, (pairs, blocks, asking)
+
+
+def test_vectors_are_sent_once_for_many_blocks_of_queries(spark, monkeypatch):
+    """Blocks of queries that meet the same block of vectors do so together: vectors aren't sent to each."""
+    monkeypatch.setattr(R, "BLOCK", 300)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 16))
+    v, q = frames(spark, [(i, u.tolist()) for i, u in enumerate(x)], [(i, x[i].tolist()) for i in range(0, 3000, 30)])
+    sent = []
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    for asked in (1, 40, 1000):
+        got = R._meetings(v, q, lambda pairs: pairs, lambda ids, cosine: np.nonzero(cosine >= 0.5), asked)
+        assert {(r.query_id, r.doc_id) for r in got.collect()} == {(i, int(j)) for i in range(0, 3000, 30) for j in np.flatnonzero(unit @ unit[i] >= 0.5)}
+        groups = R._meetings(v, q, lambda pairs: pairs, lambda ids, cosine: (np.array([0]), np.array([0])), asked).count()
+        sent.append(groups)
+    blocks = R._meetings(v, q.limit(1), lambda pairs: pairs, lambda ids, cosine: (np.array([0]), np.array([0]))).count()
+    assert sent[0] > 4 * blocks and sent[1] <= 4 * blocks and sent[2] == blocks, (sent, blocks)
+
+
+def test_first_close_hands_on_one_row_a_query(spark, monkeypatch):
+    """The smallest id of all that are close, of the same group, and of the target where there is one."""
+    monkeypatch.setattr(R, "BLOCK", 100)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(5, 8))[rng.integers(0, 5, 900)] + 0.05 * rng.normal(size=(900, 8))
+    docs = [(i, v.tolist(), i % 3, f"t{i % 4}" if i % 4 else "") for i, v in enumerate(x)]
+    v = spark.createDataFrame(docs, "doc_id long, embedding array<double>, within int, target string").repartition(3)
+    q = spark.createDataFrame([(9000 + i, e, w, t or None) for i, e, w, t in docs[::11]], "query_id long, embedding array<double>, within int, target string")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = {}
+    for i, _, w, t in docs[::11]:
+        want[9000 + i] = min(int(j) for j in np.flatnonzero(unit @ unit[i] >= 0.9) if docs[j][2] == w and (not t or docs[j][3] == t))
+    made = []
+    meetings = R._meetings
+    monkeypatch.setattr(R, "_meetings", lambda *a: (made.append(out := meetings(*a)), out)[1])
+    assert {r.query_id: r.doc_id for r in R.first_close(v, q, 0.9).collect()} == want
+    assert made[0].count() < 0.2 * sum((unit @ unit[i] >= 0.9).sum() for i in range(0, 900, 11))
