@@ -89,7 +89,8 @@ FUSED = f"""{BM}, {VEC}, both_ AS (SELECT query_id, doc_id, rank, FALSE AS seman
 def fused(ev: Evidence) -> DataFrame:
     t = by_text(ev, 40).select("query_id", "doc_id", "rank", F.lit(1.0).alias("share"), F.lit(False).alias("semantic"))
     v = by_vector(ev, 40).filter(F.col("cosine") >= L.MIN_COSINE).select("query_id", "doc_id", "rank", F.lit(1.0).alias("share"), F.lit(True).alias("semantic"))
-    return R.ranked(R.fuse(t.unionByName(v)), "query_id", F.desc(F.round("fused", 9)), "doc_id")
+    # at most 80 rows a question: written, so that the tables they are joined to need no shuffle
+    return shared.written(R.ranked(R.fuse(t.unionByName(v)), "query_id", F.desc(F.round("fused", 9)), "doc_id"), "fused")
 
 
 @query("rrf_fusion", with_("chunks", "SELECT query_id, doc_id, round(fused,8) AS fused FROM fr", FUSED))
