@@ -34,3 +34,16 @@ def test_queries_load_where_a_package_is_missing():
     said = subprocess.run([sys.executable, "-B", "-c", blocked], cwd=ROOT, capture_output=True, text=True, timeout=120, check=True).stdout.splitlines()
     queries, sqls = (set(x.split()) for x in said[-2:])
     assert "claim_weight" in queries and sqls <= queries and not any(q.startswith("op1_") for q in queries)
+
+
+def test_sorts_of_constraints_are_dealt_by_rows(spark, monkeypatch):
+    """More rows go to more parts, not to larger ones; broken rows are the same."""
+    from tessera.plans import working
+
+    sf, run = "/root/testdata/sf0.001", working.validate_constraints
+    want = sorted(map(tuple, run(working.Evidence(spark, sf)).collect()))
+    kind = type(spark.range(0))
+    parts, dealt = [], kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda df, n, *c: (parts.append(n), dealt(df, n, *c))[1])
+    monkeypatch.setattr(working, "SORTED_ROWS", 600)
+    assert sorted(map(tuple, run(working.Evidence(spark, sf)).collect())) == want and parts == [10] * 3
