@@ -12,6 +12,7 @@ from tessera.operators import screen as S
 from tessera.operators import spotting as P
 from tessera.operators import text as X
 from tessera.plans.registry import query
+from tessera.sources import shared
 from tessera.sources.evidence import Evidence, with_
 from tessera.sources.records import robots_policy
 
@@ -110,6 +111,7 @@ def _page_sql() -> str:
 
 @query("html_text", f"WITH {_page_sql()} SELECT page_id, title, length(text) AS chars, md5(text) AS digest FROM page")
 def html_text(ev: Evidence) -> DataFrame:
+    shared.small_batches(ev.spark)
     p = ev.read("pages").select("page_id", X.page_text(F.col("html")).alias("p"))
     return p.select("page_id", "p.title", F.length("p.text").alias("chars"), F.md5("p.text").alias("digest"))
 
@@ -142,6 +144,7 @@ def page_refusal(ev: Evidence) -> DataFrame:
     """What becomes of each page: refused (and why), or read, with a note if only its beginning is handed on.
 
     Hosts have landed rules files: those that end in org forbid all, other subdomains m. ask for a delay."""
+    shared.small_batches(ev.spark)
     p = ev.read("pages").select("page_id", "url", X.page_text(F.col("html")).alias("p"))
     host = X.full_host(F.col("url"))
     rules = F.when(host.endswith(".org"), F.lit("User-agent: *\nDisallow: /")).when(host.startswith("m."), F.lit("User-agent: *\nCrawl-delay: 4\nDisallow: /private"))

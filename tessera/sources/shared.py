@@ -28,6 +28,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+#: Rows with whole texts in one Arrow batch that is handed to Python.
+TEXT_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows of the session's Arrow batches, unless they are bounded more; changes no result."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 Made = TypeVar("Made")
 #: What applications have stored so far, by application, name and the state of the files that it comes from.
 _KEPT: dict[tuple, object] = {}

@@ -47,3 +47,19 @@ def test_sorts_of_constraints_are_dealt_by_rows(spark, monkeypatch):
     monkeypatch.setattr(kind, "repartition", lambda df, n, *c: (parts.append(n), dealt(df, n, *c))[1])
     monkeypatch.setattr(working, "SORTED_ROWS", 600)
     assert sorted(map(tuple, run(working.Evidence(spark, sf)).collect())) == want and parts == [10] * 3
+
+
+def test_pages_come_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        for name in ("html_text", "page_refusal"):
+            spark.conf.set(key, "10000")
+            __import__("__spark_entry__").queries()[name](spark, "/root/testdata/sf0.001").collect()
+            assert int(spark.conf.get(key)) <= 500
+        spark.conf.set(key, "20")
+        __import__("__spark_entry__").queries()["html_text"](spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(key) == "20"
+    finally:
+        spark.conf.set(key, before)
