@@ -189,7 +189,11 @@ def search(index: Index, queries: DataFrame, k: int) -> Hits:
 
     Queries without a known token, with a null text or id find nothing."""
     average = index.length / index.n if index.length else 1.0
-    asked = queries.filter("query_id is not null").select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).distinct()
+    # a query's tokens in order; what has the same ones is looked for once, under the number of their set
+    words = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(tokens(F.col("text")))))), " ")  # no token has a blank
+    said = shared.written(queries.filter("query_id is not null").groupBy("query_id").agg(words.alias("words")).filter("words <> ''"), "said")
+    sets = shared.written(said.select("words").distinct().select("words", F.monotonically_increasing_id().alias("set")), "sets")
+    asked = sets.select(F.col("set").alias("query_id"), F.explode(F.split("words", " ")).alias("token"))
     idf = F.log(1 + (F.lit(float(index.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     t = asked.join(index.terms, "token").withColumn("idf", idf).withColumn("most", F.col("idf") * _gain(F.col("max_tf"), F.col("min_dl"), average))
     rare_first = Window.partitionBy("query_id").orderBy(F.desc("most"), "token").rowsBetween(Window.unboundedPreceding, 0)
@@ -227,8 +231,8 @@ def search(index: Index, queries: DataFrame, k: int) -> Hits:
         if index.removed is not None:
             gone = index.removed.groupBy(_part("doc_id", index.parts).alias("part")).agg(F.collect_list("doc_id").alias("ids"))  # at most the documents of a part
             met = met.unionByName(gone.crossJoin(askers.select("asking").distinct()), allowMissingColumns=True)
-        kind = queries.schema["query_id"].dataType.simpleString()
-        done = done.unionByName(met.groupBy("part", "asking").applyInArrow(_best_of_part(k, average), f"query_id {kind}, doc_id long, score double"))
+        done = done.unionByName(met.groupBy("part", "asking").applyInArrow(_best_of_part(k, average), "query_id long, doc_id long, score double"))
     looked_at = t.filter("few").select("token").unionByName(wide.select("token")).distinct()
     first = index.blocks.select("token", "part").join(looked_at, "token", "left_semi")
-    return Hits(_best(done, k).drop("rank"), first.unionByName(opened).distinct())
+    rows = _best(done, k).select(F.col("query_id").alias("set"), "doc_id", "score").join(said.join(sets, "words").select("query_id", "set"), "set")
+    return Hits(rows.select("query_id", "doc_id", "score"), first.unionByName(opened).distinct())

@@ -130,7 +130,7 @@ def _meetings(vectors: DataFrame, queries: DataFrame, keep: Callable[[DataFrame]
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, doc_id, cosine and rank of the k nearest vectors of each query; ids decide ties of nine decimals.
 
-    A block of queries meets the blocks that may hold one of its k nearest: those as near as the k vectors that are certainly not farther.
+    Queries with equal vectors are asked once.  A block of queries meets the blocks that may hold one of its k nearest: those as near as the k vectors that are certainly not farther.
     Each pair of blocks keeps its k best of every query.  Rows that ``_units`` leaves out take no part, and vectors of different length don't meet."""
 
     def best(ids: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +149,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         bound = have.filter(F.col("have") >= k).groupBy("dim", "q_block").agg(F.max("least").alias("bound"))
         return pairs.join(bound, ["dim", "q_block"], "left").filter(F.col("bound").isNull() | (F.col("most") >= F.col("bound") - MARGIN))
 
-    return ranked(_meetings(vectors, queries, near_enough, best), "query_id", F.desc(F.round("cosine", 9)), "doc_id").filter(F.col("rank") <= k)
+    def first(rows: DataFrame) -> DataFrame:
+        return ranked(rows, "query_id", F.desc(F.round("cosine", 9)), "doc_id").filter(F.col("rank") <= k)
+
+    asked = shared.written(queries.filter("query_id is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).filter("embedding is not null"), "asked")
+    once = shared.written(asked.select("embedding").distinct().select(F.monotonically_increasing_id().alias("once"), "embedding"), "once")
+    rows = first(_meetings(vectors, once.withColumnRenamed("once", "query_id"), near_enough, best)).drop("rank").withColumnRenamed("query_id", "once")
+    # ranked again, as an id may have several vectors
+    return first(rows.join(asked.join(once, "embedding").select("query_id", "once"), "once").select(F.col("query_id").cast("long").alias("query_id"), "doc_id", "cosine"))
 
 
 def close_pairs(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:

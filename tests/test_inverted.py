@@ -118,3 +118,14 @@ def test_repeated_ids_count_as_in_sql(spark):
     assert (index.n, index.length) == (6, 12) and {r.token: r.df for r in index.terms.collect()} == {"a": 3, "b": 2, "c": 1, "d": 1, "e": 1}
     left = I.removed(index, spark.createDataFrame([(1,)], "doc_id long"))
     assert (left.n, left.length) == (3, 4) and {r.token: r.df for r in left.terms.collect()} == {"a": 1, "b": 1, "e": 1}
+
+
+def test_queries_of_the_same_tokens_are_looked_for_once(spark, docs, monkeypatch):
+    """What is looked for grows with the sets of tokens that are asked, not with the queries that have them."""
+    index = I.build(spark.createDataFrame(docs, "doc_id long, text string"), block=500)
+    asked = [(100 * i + j, t) for i in range(30) for j, t in enumerate(("the word900 of word1200", "of THE word1200, word900 word900", "of the and", "word3"))]
+    rows, written = {}, I.shared.written
+    monkeypatch.setattr(I.shared, "written", lambda df, name: (rows.__setitem__(name, out.count()), out)[1] if (out := written(df, name)) is not None else None)
+    hits = I.search(index, spark.createDataFrame([(f"q{q}", t) for q, t in asked], "query_id string, text string"), 10)
+    same(found(hits), {f"q{q}": v for q, v in brute(docs, asked, 10).items()})
+    assert rows["asked"] == 4 + 3 + 1 and rows["sets"] == 3, rows

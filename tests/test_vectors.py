@@ -85,3 +85,21 @@ def test_first_close_hands_on_one_row_a_query(spark, monkeypatch):
     monkeypatch.setattr(R, "_meetings", lambda *a: (made.append(out := meetings(*a)), out)[1])
     assert {r.query_id: r.doc_id for r in R.first_close(v, q, 0.9).collect()} == want
     assert made[0].count() < 0.2 * sum((unit @ unit[i] >= 0.9).sum() for i in range(0, 900, 11))
+
+
+def test_equal_vectors_are_asked_once(spark, monkeypatch):
+    """Products grow with the vectors that are asked, not with the queries that have them; an id with several vectors, or with one twice, ranks all that they find."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 8))
+    asked = [(1000 + i, x[i % 5].tolist()) for i in range(300)] + [(2000, x[0].tolist()), (2000, x[1].tolist()), (2001, x[2].tolist()), (2001, x[2].tolist())]
+    v, q = frames(spark, [(i, u.tolist()) for i, u in enumerate(x)], asked)
+    made, meetings = [], R._meetings
+    monkeypatch.setattr(R, "_meetings", lambda *a: (made.append(out := meetings(*a)), out)[1])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = [sorted((-round(float(c), 9), j) for j, c in enumerate(unit @ unit[i])) for i in range(5)]
+    want = {1000 + i: near[i % 5][:6] for i in range(300)} | {2000: sorted(near[0] + near[1])[:6], 2001: sorted(near[2] * 2)[:6]}
+    got = {}
+    for r in R.nearest(v, q, 6).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.doc_id))
+    assert {i: sorted(p) for i, p in got.items()} == {i: [(r + 1, j) for r, (_, j) in enumerate(p)] for i, p in want.items()}
+    assert made[0].count() == 5 * 6
