@@ -29,8 +29,10 @@ K1, B = 1.2, 0.75
 BLOCK = 16_384
 #: Postings of a query's rarest tokens that are looked at one by one.
 FEW = 1024
+#: A token that one in so many documents of a part has takes a row over all of them, so rows take no more than so many times the postings.
+OFTEN = 8
 #: Queries that a part answers at a time.
-ASKED = 1024
+ASKED = 16_384
 #: Scores are ranked by six decimals, so what is closer than this is not told apart by bounds.
 MARGIN = 2e-6
 BLOCKS = "part long, token string, df long, max_tf int, min_dl int, ids array<bigint>, tfs array<int>, dls array<int>"
@@ -158,19 +160,33 @@ def _best_of_part(k: int, average: float) -> Callable[[pa.Table], pa.Table]:
         gone = table.filter(pc.is_null(table["idf"]))["ids"].combine_chunks().flatten().to_numpy()
         table = table.filter(pc.is_valid(table["idf"]))
         ids, asked = table["ids"].combine_chunks(), table["queries"].combine_chunks()
-        docs, at = np.unique(ids.flatten().to_numpy(), return_inverse=True)
-        there = ~np.isin(docs, gone)
+        coded = ids.flatten().dictionary_encode()  # only the documents are sorted, not their postings
+        order = np.argsort(coded.dictionary.to_numpy())
+        docs, place = coded.dictionary.to_numpy()[order], np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        at = place[coded.indices.to_numpy()]
+        out = np.flatnonzero(np.isin(docs, gone))
         ends = ids.offsets.to_numpy() - ids.offsets[0].as_py() if len(ids) else np.zeros(1, np.int64)
         tf, dl = (table[c].combine_chunks().flatten().to_numpy() for c in ("tfs", "dls"))
         gain = np.repeat(table["idf"].to_numpy(), np.diff(ends)) * _gain(tf.astype(float), dl, average)
+        # postings of a token that many documents have are added up as a row over all documents
+        often, whole = np.diff(ends) * OFTEN >= len(docs), {}
         queries = asked.flatten().dictionary_encode()
         code, block = queries.indices.to_numpy(), pc.list_parent_indices(asked).to_numpy()
         by_query = np.argsort(code, kind="stable")
         found, rows, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for q, blocks in enumerate(np.split(block[by_query], np.cumsum(np.bincount(code, minlength=len(queries.dictionary)))[:-1])):
-            spans = [slice(ends[b], ends[b + 1]) for b in blocks]
-            score = np.bincount(np.concatenate([at[s] for s in spans]), np.concatenate([gain[s] for s in spans]), len(docs))
-            some = np.flatnonzero((score > 0) & there)
+            spans = [slice(ends[b], ends[b + 1]) for b in blocks if not often[b]]
+            score = np.bincount(np.concatenate([at[:0], *(at[s] for s in spans)]), np.concatenate([gain[:0], *(gain[s] for s in spans)]), len(docs)).astype(float)
+            score[out] = 0
+            some = np.flatnonzero(score > 0)  # k of these alone reach ``least``
+            for b in blocks[often[blocks]].tolist():
+                if b not in whole:
+                    whole[b] = np.bincount(at[ends[b] : ends[b + 1]], gain[ends[b] : ends[b + 1]], len(docs))
+                    whole[b][out] = 0
+                score += whole[b]
+            least = np.partition(score[some], len(some) - k)[len(some) - k] - MARGIN if len(some) > k else 0.0
+            some = np.flatnonzero(score > max(least, 0.0))
             value = np.round(score[some], 6)
             if len(some) > k:
                 enough = value >= np.partition(value, len(some) - k)[len(some) - k]

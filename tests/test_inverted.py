@@ -129,3 +129,15 @@ def test_queries_of_the_same_tokens_are_looked_for_once(spark, docs, monkeypatch
     hits = I.search(index, spark.createDataFrame([(f"q{q}", t) for q, t in asked], "query_id string, text string"), 10)
     same(found(hits), {f"q{q}": v for q, v in brute(docs, asked, 10).items()})
     assert rows["asked"] == 4 + 3 + 1 and rows["sets"] == 3, rows
+
+
+def test_frequent_words_are_sent_once_for_many_queries(spark, docs, monkeypatch):
+    """1,500 different queries of frequent words: a part gets the block of a word once, not again for each thousand of queries."""
+    index = I.build(spark.createDataFrame(docs, "doc_id long, text string"), block=500)
+    rows, written = {}, I.shared.written
+    monkeypatch.setattr(I.shared, "written", lambda df, name: (rows.__setitem__(name, out.count()), out)[1] if (out := written(df, name)) is not None else None)
+    frequent = [*STOP, "word0", "word1", "word2"]
+    asked = [(i, t) for i in range(2000) if len((t := " ".join(w for j, w in enumerate(frequent) if i >> j & 1)).split()) > 3][:1500]
+    hits = found(I.search(index, spark.createDataFrame(asked, "query_id long, text string"), 10))
+    assert len(hits) == len(asked) == rows["sets"] > 1024 and rows["askers"] <= len(frequent), rows
+    same({q: hits[q] for q, _ in asked[::100]}, brute(docs, asked[::100], 10))
